@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from meldwork.llm.decontaminate import op4_decontamination
 from meldwork.llm.line_dedup import OP1_SQL, op1_line_dedup
 from meldwork.llm.near_dedup import op9_near_dedup
+from meldwork.llm.packing import op6_packing
+from meldwork.llm.quality import op8_quality
 from meldwork.llm.sharding import op2_sharding
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_sharding": op2_sharding,
+    "op4_decontamination": op4_decontamination,
+    "op6_packing": op6_packing,
+    "op8_quality": op8_quality,
     "op9_near_dedup": op9_near_dedup,
 }
 
