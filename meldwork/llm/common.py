@@ -79,21 +79,21 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tables(breaks: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     is_space = np.zeros(256, bool)
-    is_space[[ord(c) for c in SPACES]] = True
+    is_space[[ord(c) for c in breaks]] = True
     lower = np.arange(256, dtype=np.uint8)
     lower[65:91] += 32
     return is_space, lower, mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_STEP))[lower]
 
 
-def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The words of each row, split at SPACES: 64-bit hashes (A-Z lower-cased), row numbers, byte starts and ends.
+def words(column: pa.Array, breaks: str = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of each row, split at `breaks` (ASCII): 64-bit hashes (A-Z lower-cased), row numbers, byte starts and ends.
 
     A hash is a polynomial of the word's bytes, read off prefix sums of the whole batch.
     """
     body, at = text_bytes(column)
-    is_space, _, value = _tables()
+    is_space, _, value = _tables(breaks)
     n = len(body)
     if not n:
         empty = np.zeros(0, np.int64)
