@@ -5,19 +5,17 @@ over a ring of 2**ring_bits places, the second orders the places, and coordinate
 by k. A shingle's coordinates are therefore one contiguous run of the second permutation.
 
 Rows with equal shingle sets form a class; only its smallest id goes on. Bands of the signature make
-buckets, and every link is confirmed on the full sets. Within a bucket pairs aren't all emitted:
-members are first compared with one pivot, links merge components, and later rounds bring more
-pivots only where a bucket still holds several components, each against members of other components.
-Rounds end when no bucket has an untested pair across components, so the components are those of all
-links between bucket mates.
+buckets; each member is tied to the smallest of its bucket, and what hangs together so is a family:
+no link leads out of it. A family's full sets are compared in blocks of bounded size, pair of blocks
+by pair of blocks, as products of incidence matrices, and a task returns only a spanning forest of the
+links that it confirmed, so pairs never become rows and no group is held whole.
 
 Banding finds a pair at the threshold t with probability 1 - (1 - t**r)**b; with r=6, b=32 and
 t=0.85 it misses 3 in 10 million such pairs, and fewer of closer ones.
 
 Defined cases: null text or one without words has an empty set and is linked with nothing; a text
-with fewer words than a shingle has all of them as its one shingle; rows with equal ids count as
-one document with the union of neither: each row keeps its own set, links of any of them count; a null id
-is its own component (null); columns other than id and text are ignored.
+with fewer words than a shingle has all of them as its one shingle; with equal ids each row
+keeps its own set, and links of any of them count for the id; a null id is its own component (null); columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -88,72 +86,103 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     return map_rows(docs.select(F.col(id_col).cast("long"), text_col), run, "id long, set binary")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) with 100 * intersection >= percent * union, counted on the full sets."""
-    left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb")
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-            z = np.sort(np.concatenate((x, y)), kind="stable")
-            same = int(np.count_nonzero(z[1:] == z[:-1]))
-            keep.append(100 * same >= percent * (len(z) - same))
-        return pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
-
-    return map_rows(both, run, "a long, b long")
-
-
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 32, rows: int = 6) -> DataFrame:
+def _overlaps(sets: list[np.ndarray], others: list[np.ndarray], step: int = 2048) -> np.ndarray:
+    """Sizes of all intersections, by products of 0/1 matrices over slices of the shingles that occur twice."""
+    sizes, other_sizes = [len(x) for x in sets], [len(x) for x in others]
+    flat = np.concatenate([*sets, *others])
+    values, place, count = np.unique(flat, return_inverse=True, return_counts=True)
+    number = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[place]
+    row = np.concatenate((np.repeat(np.arange(len(sets)), sizes), np.repeat(np.arange(len(others)), other_sizes)))
+    mine = np.arange(len(flat)) < sum(sizes)
+    total = np.zeros((len(sets), len(others)), np.float32)
+    order = np.argsort(number, kind="stable")
+    number, row, mine = number[order], row[order], mine[order]
+    top = int(number[-1]) + 1 if len(number) else 0
+    for low in range(0, top, step):
+        i, j = np.searchsorted(number, (low, low + step))
+        column, own = number[i:j] - low, mine[i:j]
+        left, right = np.zeros((len(sets), step), np.float32), np.zeros((len(others), step), np.float32)
+        left[row[i:j][own], column[own]] = 1
+        right[row[i:j][~own], column[~own]] = 1
+        total += left @ right.T
+    return total
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the links (a, b), numbers of nodes, join two parts that the links before them don't."""
+    up = np.arange(int(max(a.max(), b.max())) + 1 if len(a) else 0).tolist()
+    keep = np.zeros(len(a), bool)
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        while up[y] != y:
+            up[y] = y = up[up[y]]
+        if x != y:
+            up[y] = x
+            keep[k] = True
+    return keep
+
+
+def _links(families: DataFrame, percent: int, block: int, most: int = 1024) -> DataFrame:
+    """(a, b): links that span the confirmed ones of every family; families is (family, id, n, set).
+
+    Families of at most `block` shingles and `most` members are dealt to bins of about that size. A
+    larger one is cut into blocks by a hash of the id, and every pair of blocks is a group of its own.
+    """
+    spark = families.sparkSession
+    sizes = written(families.groupBy("family").agg(F.sum("n").alias("weight"), F.count("*").alias("m")), "near-sizes")
+    whole = (F.col("weight") <= block) & (F.col("m") <= most)
+    small = sizes.filter(whole).agg(F.sum("weight")).first()[0] or 0
+    bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-small // block))
+    parts = F.when(whole, 1).otherwise(F.ceil(F.greatest(F.col("weight") * 2 / block, F.col("m") / most))).cast("int")
+    rows = families.join(sizes.select("family", parts.alias("parts")), "family")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    rows = rows.withColumn("group", F.when(F.col("parts") == 1, F.pmod(F.xxhash64("family"), F.lit(bins))).otherwise(F.xxhash64("family", low, high)))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        family, ids, n = (table[c].to_numpy() for c in ("family", "id", "n"))
+        side = table["own"].to_numpy() > table["other"].to_numpy()
+        twin = table["own"].to_numpy() != table["other"].to_numpy()
+        sets = table["set"].chunk(0) if table.num_rows else []
+        order = np.argsort(family, kind="stable")
+        out = [[], []]
+        for g in np.split(order, np.flatnonzero(np.diff(family[order])) + 1):
+            left, right = (g[~side[g]], g[side[g]]) if twin[g[0]] else (g, g)
+            if not len(left) or not len(right):
+                continue
+            have = {k: np.frombuffer(sets[int(k)].as_buffer(), np.uint64) for k in g}
+            same = _overlaps([have[k] for k in left], [have[k] for k in right])
+            # Whole numbers below 2**24, so exact: 100 * same >= percent * (sizes - same).
+            linked = (100 + percent) * same >= percent * (n[left][:, None] + n[right][None]).astype(np.float32) if (n[left].max() + n[right].max()) * 200 < 1 << 24 else (100 + percent) * same.astype(float) >= percent * (n[left][:, None] + n[right][None])
+            i, j = np.nonzero(linked)
+            x, y = left[i], right[j]
+            ok = ids[x] < ids[y] if not twin[g[0]] else np.ones(len(x), bool)
+            x, y = x[ok], y[ok]
+            if len(x):
+                keep = forest(x, y)
+                out[0].append(ids[x[keep]])
+                out[1].append(ids[y[keep]])
+        return pa.table({k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in zip("ab", out, strict=True)})
+
+    return rows.select("group", "family", "id", "n", "own", "other", "set").groupBy("group").applyInArrow(run, "a long, b long")
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 32, rows: int = 6, block: int = 1 << 19) -> DataFrame:
     """(id, n, class, component) of every row: set size, smallest id with the same set, smallest id reachable by links."""
-    spark = docs.sparkSession
     signs = written(signatures(docs, id_col, text_col, width, bands, rows), "near-signatures")
-    classes = signs.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("class"))
-    heads = signs.join(classes.select(F.col("class").alias("id"), "k1", "k2"), ["id", "k1", "k2"], "left_semi").dropDuplicates(["id"])
-    slots = heads.select("id", "n", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("bucket"), "id", "n")
-    sizes = slots.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1")
-    slots = slots.join(sizes, "bucket")
-    # A member that meets many others is a likely centre: pivots go from heavy to light.
-    weight = slots.groupBy("id").agg(F.sum("m").alias("weight"))
-    members = written(slots.join(weight, "id").select("bucket", "id", "n", "weight"), "near-buckets")
-    at_most = members.groupBy("bucket").agg(F.count("*").alias("m")).agg(F.max("m")).first()[0] or 0
+    classes = written(signs.filter("n > 0 AND id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("id").alias("class")), "near-sets-of-rows")
+    heads = signs.join(classes.select(F.col("class").alias("id"), "k1", "k2"), ["id", "k1", "k2"], "left_semi")
+    slots = heads.select("id", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("bucket"), "id")
+    first = slots.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("last")).filter("a < last").drop("last")
+    ties = written(slots.join(first, "bucket").filter("a < id").select("a", F.col("id").alias("b")).distinct(), "near-ties")
     named = signs.join(classes, ["k1", "k2", "n"], "left").select("id", "n", F.coalesce("class", "id").alias("class"))
-    if not at_most:
-        return named.withColumn("component", F.col("class"))
-    some = members.select("id").distinct()
-    sets = written(_sets(docs.join(some, docs[id_col] == some["id"], "left_semi"), id_col, text_col, width).dropDuplicates(["id"]), "near-sets")
-    found, low, high = None, 0, 1
-    members = members.withColumn("comp", F.col("id"))
-    while low < at_most:
-        # The places of pivots in their bucket, heavy first; only the first `high` are pivots so far.
-        order = F.struct(-F.col("weight"), F.col("id"))
-        picked = members.groupBy("bucket").agg(F.min(order).alias("o")) if high == 1 else None
-        if picked is not None:
-            pivots = picked.select("bucket", F.col("o.id").alias("p"))
-            pivots = pivots.join(members.select("bucket", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc")), ["bucket", "p"]).withColumn("po", F.lit(0))
-            ranked = members.withColumn("o", F.lit(1))
-        else:
-            from pyspark.sql import Window
-
-            ranked = written(members.withColumn("o", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("weight"), "id")) - 1), "near-ranked")
-            pivots = ranked.filter((F.col("o") >= low) & (F.col("o") < high)).select("bucket", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"), F.col("o").alias("po"))
-        pairs = ranked.join(pivots, "bucket").filter((F.col("id") != F.col("p")) & (F.col("comp") != F.col("pc")) & (F.col("o") > F.col("po")))
-        pairs = pairs.filter(100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
-        pairs = pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-        links = written(_confirmed(pairs, sets, percent), "near-links")
-        if links.limit(1).count():
-            found = links if found is None else found.unionByName(links)
-            labels = components(found)
-            members = members.drop("comp").join(labels.select(F.col("node").alias("id"), F.col("label").alias("comp")), "id", "left")
-            members = members.withColumn("comp", F.coalesce("comp", "id"))
-        # Buckets whose members all lie in one component are done.
-        open_ = members.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).filter((F.col("c0") < F.col("c1")) & (F.col("m") > high))
-        members = written(members.join(open_.select("bucket", "m"), "bucket").drop("m"), "near-buckets")
-        at_most = members.groupBy("bucket").agg(F.count("*").alias("m")).agg(F.max("m")).first()[0] or 0
-        low, high = high, high * 8
-    if found is None:
-        return named.withColumn("component", F.col("class"))
+    families = components(ties).select(F.col("node").alias("fid"), F.col("label").alias("family"))
+    members = docs.join(families, F.col(id_col) == F.col("fid"), "left_semi")
+    sets = _sets(members, id_col, text_col, width).withColumn("n", (F.octet_length("set") / 8).cast("long"))
+    sets = sets.join(families, F.col("id") == F.col("fid")).select("family", "id", "n", "set")
+    labels = components(written(_links(written(sets, "near-family-sets"), percent, block), "near-links"))
     labels = labels.select(F.col("node").alias("class"), F.col("label").alias("component"))
     return named.join(labels, "class", "left").select("id", "n", "class", F.coalesce("component", "class").alias("component"))
 
