@@ -23,6 +23,7 @@ from each other; a null id neither loses nor takes anything; other columns are i
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meldwork.llm.common import _BACK, _STEP, _powers, mix, text_bytes, written
+from meldwork.llm.common import _BACK, _STEP, _powers, mix, scratch, text_bytes, written
 
 SLICE = 1 << 21
 GRAM = 16
-_KEY = np.uint64((1 << 48) - 1)
+#: Bytes kept of a minimizer and of a fragment's hash; a fragment is known by both.
+KEY_BYTES = 5
+_KEY = np.uint64((1 << 8 * KEY_BYTES) - 1)
 
 
 def _slices(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -50,7 +53,7 @@ def _slices(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 part = batch.slice(i, rows)
                 body, at = text_bytes(part.column(1))
                 ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                packed = zstandard.ZstdCompressor(level=1).compress(body.tobytes())
+                packed = zstandard.ZstdCompressor(level=3).compress(body.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in (ids.tobytes(), np.diff(at).tobytes(), packed)), pa.array([len(body)], pa.int64())], names=["slice", "ids", "sizes", "data", "n_bytes"])
                 number += 1
 
@@ -107,13 +110,13 @@ def _packed(*arrays: np.ndarray) -> bytes:
 
 
 def _short(keys: np.ndarray) -> np.ndarray:
-    """The low 48 bits of each, as six bytes."""
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    """The low KEY_BYTES bytes of each."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
 
 
 def _long(raw: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = raw.reshape(-1, 6)
+    out = np.zeros((len(raw) // KEY_BYTES, 8), np.uint8)
+    out[:, :KEY_BYTES] = raw.reshape(-1, KEY_BYTES)
     return out.view("<u8").ravel()
 
 
@@ -146,17 +149,17 @@ def _announce(slices: DataFrame, buckets: int, length: int) -> DataFrame:
 
 
 def _answer(told: DataFrame) -> DataFrame:
-    """(slice, blob): for fragments of the slice, their 48-bit gram and mark, and 1 (all held earlier) or 2 (bytes wanted)."""
+    """(slice, blob): for fragments of the slice, their short gram and mark, and 1 (all held earlier) or 2 (bytes wanted)."""
 
     def run(table: pa.Table) -> pa.Table:
         grams, marks, docs, froms = [], [], [], []
         for slice_, n, k, blob in zip(table["slice"].to_pylist(), table["n"].to_pylist(), table["docs"].to_pylist(), table["blob"], strict=True):
             raw = np.frombuffer(blob.as_buffer(), np.uint8)
-            grams.append(_long(raw[: 6 * n]))
-            marks.append(_long(raw[6 * n : 12 * n]))
-            wide = 2 if k < 65536 else 4
-            which = raw[12 * n : (12 + wide) * n].view(np.uint16 if wide == 2 else np.uint32)
-            docs.append(np.frombuffer(raw[(12 + wide) * n :].tobytes(), np.int64)[which])
+            grams.append(_long(raw[: KEY_BYTES * n]))
+            marks.append(_long(raw[KEY_BYTES * n : 2 * KEY_BYTES * n]))
+            rest, wide = raw[2 * KEY_BYTES * n :].tobytes(), 2 if k < 65536 else 4
+            which = np.frombuffer(rest[: wide * n], np.uint16 if wide == 2 else np.uint32)
+            docs.append(np.frombuffer(rest[wide * n :], np.int64)[which])
             froms.append(np.full(n, slice_))
         gram, mark, doc, source = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (grams, marks, docs, froms))
         order = np.lexsort((doc, mark, gram))
@@ -206,8 +209,8 @@ def _resolve(slices: DataFrame, buckets: int, length: int) -> DataFrame:
                 order = np.argsort(pair, kind="stable")
                 for x in row["answers"] or []:
                     raw, n = np.frombuffer(x["blob"], np.uint8), x["n"]
-                    asked = mix(_long(raw[: 6 * n]) ^ mix(_long(raw[6 * n : 12 * n])))
-                    reply[order[np.searchsorted(pair[order], asked)]] = raw[12 * n :]
+                    asked = mix(_long(raw[: KEY_BYTES * n]) ^ mix(_long(raw[KEY_BYTES * n : 2 * KEY_BYTES * n])))
+                    reply[order[np.searchsorted(pair[order], asked)]] = raw[2 * KEY_BYTES * n :]
                 gone = (f["doc"] > first) | (reply[number] == 1)
                 start, stop = _merged(f["start"][gone], f["stop"][gone])
                 out = [(row["slice"], None, len(start), _packed(start.astype(np.int64), stop.astype(np.int64)))] if len(start) else []
@@ -233,12 +236,13 @@ def prefix_runs(body: np.ndarray, length: int) -> np.ndarray:
     words = np.zeros(len(body) - wide + 1, np.uint64)
     for j in range(wide):
         words = words << np.uint64(8) | body[j : len(words) + j].astype(np.uint64)
-    rank = np.unique(words, return_inverse=True)[1]
+    rank = np.unique(words, return_inverse=True)[1].astype(np.int32)
+    del words
     while wide < length:
         step = min(wide, length - wide)
         if len(rank) <= step:
             return np.zeros(0, np.int64)
-        rank = np.unique(rank[:-step].astype(np.int64) << 32 | rank[step:].astype(np.int64), return_inverse=True)[1]
+        rank = np.unique(rank[:-step].astype(np.int64) << 32 | rank[step:].astype(np.int64), return_inverse=True)[1].astype(np.int32)
         wide += step
     return rank
 
@@ -260,8 +264,8 @@ def _index(asked: DataFrame, length: int) -> DataFrame:
         body = np.concatenate(texts) if texts else np.zeros(0, np.uint8)
         begin = np.cumsum(size) - size
         run_of = prefix_runs(body, length)
-        piece = np.repeat(np.arange(len(size)), size)
-        position = np.arange(len(body))
+        piece = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        position = np.arange(len(body), dtype=np.int32)
         inside = position + length <= (begin + size)[piece]
         position, piece = position[inside], piece[inside]
         run_of = run_of[position]
@@ -317,11 +321,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if length < GRAM:
         raise ValueError(f"length must be at least {GRAM}")
     spark = docs.sparkSession
-    slices = written(_slices(docs, id_col, text_col), "repeat-slices")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Bucketed by slice, so that the two joins that bring answers to the slices don't shuffle the texts again.
+    name = f"repeat_slices_{uuid.uuid4().hex}"
+    _slices(docs, id_col, text_col).repartition(parts, "slice").write.bucketBy(parts, "slice").sortBy("slice").option("path", scratch(spark, name)).saveAsTable(name)
+    slices = spark.table(name)
     total = slices.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total >> 24)
-    answers = _answer(_announce(slices, buckets, length))
-    found = written(_resolve(_with_answers(slices, answers), buckets, length), "repeat-fragments")
+    answers = _answer(_announce(slices, max(parts, total >> 24), length))
+    found = written(_resolve(_with_answers(slices, answers), max(parts, total >> 21), length), "repeat-fragments")
     spans = found.filter("bucket IS NULL").unionByName(_index(found.filter("bucket IS NOT NULL"), length))
     out = _removed(_with_answers(slices, spans))
     odd = docs.filter(F.col(id_col).isNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(text_col, F.lit("")), "UTF-8").alias("kept"))
