@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The characters that count as white space in lines and words: space and U+0009 to U+000D.
@@ -34,11 +35,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def named(columns: list[str]) -> list[Column]:
+    """The columns of these very names, dots and all."""
+    return [F.col(f"`{c}`") for c in columns]
+
+
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, step: int = 1 << 21) -> DataFrame:
     """mapInArrow over slices of about `step` bytes, so that one batch of long texts doesn't fill a worker."""
 
+    names = df.columns
+    if any("." in c for c in names):  # mapInArrow can't take such names
+        df = df.toDF(*[f"_c{i}" for i in range(len(names))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = pa.RecordBatch.from_arrays(batch.columns, names=names)
             rows = max(1, batch.num_rows * step // max(step, batch.nbytes))
             for i in range(0, batch.num_rows, rows):
                 yield fn(batch.slice(i, rows))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meldwork.llm.common import LOWER, SPACES, UPPER, map_rows, scratch, written
+from meldwork.llm.common import LOWER, SPACES, UPPER, map_rows, named, scratch, written
 
 HASHES = ["h1", "h2"]
 _TRIM = SPACES
@@ -125,7 +125,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.RecordBatch.from_arrays([*arrays, pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())], names=[*columns, "_n_lines", "_n_dropped"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return map_rows(joined.select(*columns, "_drops"), apply, f"{fields}, _n_lines long, _n_dropped long")
+    return map_rows(joined.select(*named(columns), "_drops"), apply, f"{fields}, _n_lines long, _n_dropped long")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

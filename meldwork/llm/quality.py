@@ -153,7 +153,7 @@ def posteriors(scores: DataFrame, head: str) -> DataFrame:
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None, sample: int = 8000, threshold: float = 0.5) -> DataFrame:
-    """docs with p_low, p_toxic (after the sites' posteriors) and keep."""
+    """docs with _p_low, _p_toxic (after the sites' posteriors) and _keep."""
     host = F.col("source") if host is None else host
     path = F.concat_ws("/", host, F.col("lang")) if path is None else path
     heads = fit(docs, labels, id_col, text_col, sample)
@@ -168,11 +168,11 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     out = scored(docs.withColumns({"_host": host, "_path": path}), heads, text_col)
     out = out.join(shifts, out["_host"].eqNullSafe(F.col("_h")) & out["_path"].eqNullSafe(F.col("_p")), "left")
     p = {h: 1 / (1 + F.exp(-(F.col(f"_{h}") + F.coalesce(f"_{h}_shift", F.lit(0.0))))) for h in HEADS}
-    out = out.withColumns({"p_low": p["low"], "p_toxic": p["toxic"]})
-    return out.withColumn("keep", (F.col("p_low") < threshold) & (F.col("p_toxic") < threshold)).drop("_host", "_path", "_h", "_p", "_low", "_toxic", "_low_shift", "_toxic_shift")
+    out = out.withColumns({"_p_low": p["low"], "_p_toxic": p["toxic"]})
+    return out.withColumn("_keep", (F.col("_p_low") < threshold) & (F.col("_p_toxic") < threshold)).drop("_host", "_path", "_h", "_p", "_low", "_toxic", "_low_shift", "_toxic_shift")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, p_low, p_toxic of the documents that the classifier keeps."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
-    return judged(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("keep").select("doc_id", "p_low", "p_toxic")
+    return judged(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("_keep").select("doc_id", F.col("_p_low").alias("p_low"), F.col("_p_toxic").alias("p_toxic"))
