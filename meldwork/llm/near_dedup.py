@@ -171,6 +171,8 @@ def _links(families: DataFrame, percent: int, block: int, most: int = 1024) -> D
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 32, rows: int = 6, block: int = 1 << 19) -> DataFrame:
     """(id, n, class, component) of every row: set size, smallest id with the same set, smallest id reachable by links."""
+    docs = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    id_col, text_col = "_id", "_text"
     signs = written(signatures(docs, id_col, text_col, width, bands, rows), "near-signatures")
     classes = written(signs.filter("n > 0 AND id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("id").alias("class")), "near-sets-of-rows")
     heads = signs.join(classes.select(F.col("class").alias("id"), "k1", "k2"), ["id", "k1", "k2"], "left_semi")
