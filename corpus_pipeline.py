@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meldwork.llm.common import written
+from meldwork.llm.common import named, written
 from meldwork.llm.decontaminate import matches
 from meldwork.llm.line_dedup import dedup_lines
 from meldwork.llm.near_dedup import near_classes
@@ -15,12 +15,12 @@ from meldwork.llm.quality import judged
 
 def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
     """docs with n_chars, where there is one, as the text's length."""
-    return docs.withColumn("n_chars", F.length("text").cast("long")).select(columns) if "n_chars" in columns else docs.select(columns)
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(named(columns)) if "n_chars" in columns else docs.select(named(columns))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    return judged(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("keep").select(docs.columns)
+    return judged(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("_keep").select(named(docs.columns))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
