@@ -99,10 +99,8 @@ def csv_records(files: DataFrame) -> DataFrame:
 def csv_projection(rows: DataFrame) -> DataFrame:
     """Records from rows with `cells`, a map of lower-cased header to cell; the first alias that is a header decides."""
     def cell(name: str) -> Column:
-        found = F.lit(None).cast("string")
-        for alias in reversed(dims.CSV_ALIASES[name]):
-            found = F.when(F.map_contains_key("cells", alias), F.try_element_at("cells", F.lit(alias))).otherwise(found)
-        return found
+        aliases = F.array(*map(F.lit, dims.CSV_ALIASES[name]))
+        return F.try_element_at("cells", F.get(F.filter(aliases, lambda a: F.map_contains_key("cells", a)), F.lit(0)))
 
     scalars = {n: blank_to_null(cell(n)) for n in ("full_name", "headline", "city", "region", "country", "linkedin", "github")}
     lists = {n: split_list(cell(n)) for n in ("emails", "phones", "skills")}
