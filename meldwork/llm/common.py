@@ -24,8 +24,26 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+#: What this process has written to the shared folder: paths, and tables of the session's catalog.
+_WRITTEN: list[tuple[str, str | None]] = []
+
+
+def scratch(spark: SparkSession, name: str, table: str | None = None) -> str:
+    """A new path in the shared folder; purge() deletes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((path, table))
+    return path
+
+
+def purge(spark: SparkSession) -> None:
+    """Delete every intermediate table of this process. Call it when the results that rest on them are written."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path, table in _WRITTEN:
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    _WRITTEN.clear()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -49,7 +49,7 @@ class LineRuns:
     def _run(self, rows: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
         (rows.repartition(self.buckets, *HASHES).write.bucketBy(self.buckets, *HASHES).sortBy(*HASHES)
-         .option("path", scratch(self.spark, name)).saveAsTable(name))
+         .option("path", scratch(self.spark, name, name)).saveAsTable(name))
         return name
 
     def runs(self) -> list[DataFrame]:

@@ -324,7 +324,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Bucketed by slice, so that the two joins that bring answers to the slices don't shuffle the texts again.
     name = f"repeat_slices_{uuid.uuid4().hex}"
-    _slices(docs, id_col, text_col).repartition(parts, "slice").write.bucketBy(parts, "slice").sortBy("slice").option("path", scratch(spark, name)).saveAsTable(name)
+    _slices(docs, id_col, text_col).repartition(parts, "slice").write.bucketBy(parts, "slice").sortBy("slice").option("path", scratch(spark, name, name)).saveAsTable(name)
     slices = spark.table(name)
     total = slices.agg(F.sum("n_bytes")).first()[0] or 0
     answers = _answer(_announce(slices, max(parts, total >> 24), length))

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from itertools import pairwise
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -437,3 +438,12 @@ def test_sparse_sites_shrink(spark):
     frame = spark.createDataFrame(rows, "_host string, _path string, _low double").withColumn("_toxic", F.lit(0.0))
     shift = {r["_path"]: r["_low_shift"] for r in quality.posteriors(frame, "low").collect()}
     assert shift["big/a"] > shift["small/a"] > shift["o1"]
+
+
+def test_purge(spark, docs):
+    line_dedup.dedup_lines(docs).count()
+    paths = [p.removeprefix("file://") for p, _ in common._WRITTEN]
+    assert paths and any(Path(p).exists() for p in paths)
+    common.purge(spark)
+    assert not any(Path(p).exists() for p in paths)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
