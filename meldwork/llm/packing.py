@@ -19,7 +19,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meldwork.llm.common import map_rows, written
@@ -48,8 +48,8 @@ def fill_bins(demand: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.nd
     return bins, places
 
 
-def pack(examples: DataFrame, amounts: dict[str, int], key: list[str], group_rows: int = 4000) -> DataFrame:
-    """examples with _group, _bin and _place; amounts maps each limited column to its limit."""
+def pack(examples: DataFrame, amounts: dict[str, int], key: list[str], group_rows: int = 1000) -> DataFrame:
+    """examples with _group, _bin, and _ahead, how much of the first amount stands before it in the bin; amounts maps each limited column to its limit."""
     rows = examples.count()
     groups = max(1, -(-rows // group_rows))
     dealt = examples.withColumn("_group", F.pmod(F.xxhash64(*key), F.lit(groups)))
@@ -57,11 +57,17 @@ def pack(examples: DataFrame, amounts: dict[str, int], key: list[str], group_row
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(key, kind="stable").reset_index(drop=True)
-        bins, places = fill_bins(frame[list(amounts)].to_numpy(float), limits)
-        return frame.assign(_bin=bins, _place=places)
+        demand = frame[list(amounts)].to_numpy(float)
+        bins, places = fill_bins(demand, limits)
+        order = np.lexsort((places, bins))
+        total = np.cumsum(demand[order, 0]) - demand[order, 0]
+        first = np.flatnonzero(np.diff(bins[order], prepend=-1))
+        ahead = np.empty(len(frame), np.int64)
+        ahead[order] = total - np.repeat(total[first], np.diff(np.append(first, len(frame))))
+        return frame.assign(_bin=bins, _ahead=ahead)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields)
-    return dealt.groupBy("_group").applyInPandas(run, f"{fields}, _bin long, _place long")
+    return dealt.groupBy("_group").applyInPandas(run, f"{fields}, _bin long, _ahead long")
 
 
 #: Characters for which lower-casing, NFC and white space are the same in Python and in the tokenizer.
@@ -70,16 +76,27 @@ PLAIN = r"[^\x20-\x7E\n\r\tÀ-ÿ]"
 MARK = "¤"
 
 
+#: Signs that the tokenizer cuts off a word of letters as one piece. The apostrophe isn't one.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class _Numbers(dict):
-    """Words to numbers; an unknown word gets the next number and is noted as new."""
+    """Words to numbers. An unknown word gets the next one and is noted as new; letters with signs behind them as a pair."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.new: list[str] = []
+        self.new: list[tuple[int, str]] = []
+        self.pairs: list[tuple[int, int, int]] = []
 
     def __missing__(self, word: str) -> int:
-        self.new.append(word)
-        number = self[word] = len(self)
+        core = word.rstrip(SIGNS)
+        if len(core) < len(word) and core.isalpha():
+            pair = self[core], self[word[len(core) :]]
+            number = self[word] = len(self)
+            self.pairs.append((number, *pair))
+        else:
+            number = self[word] = len(self)
+            self.new.append((number, word))
         return number
 
 
@@ -88,14 +105,17 @@ class WordTokenizer:
 
     Plain texts go word by word: words seen before are looked up, new ones are encoded together.
     The tokenizer ends every piece of a word with an id whose string ends in </w>, so a word of
-    letters is one such piece and one with a stop behind it two; any other gets a mark behind it.
+    letters is one such piece; these go to a copy of the tokenizer that cuts at white space alone,
+    which is faster. Any other word gets a mark behind it.
     """
 
     def __init__(self, path: str, most: int = 700_000) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.model, self.quick = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.model.encode_special_tokens = self.quick.encode_special_tokens = True
+        self.quick.normalizer = None
+        self.quick.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ending = np.zeros(1 + max(self.model.get_vocab().values()), bool)
         self.ending[[i for t, i in self.model.get_vocab().items() if t.endswith("</w>")]] = True
         self.mark = self._encode(MARK)
@@ -107,33 +127,47 @@ class WordTokenizer:
 
     def _forget(self) -> None:
         self.numbers = _Numbers()
-        self.flat, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-
-    def _learn(self, new: list[str]) -> None:
-        """Append the ids of new words, in order."""
-        count = np.array([1 if w.isalpha() else 2 if w[-1] in ".,!?;:" and w[:-1].isalpha() else 0 for w in new])
-        ids = self._encode(" ".join(w if c else f"{w} {MARK}" for w, c in zip(new, count, strict=True)))
-        known = np.flatnonzero(count)
-        ends = np.flatnonzero(self.ending[ids]) + 1
-        if len(known) == len(new):
-            cut = ends[np.cumsum(count) - 1]
-            size = np.diff(cut, prepend=0)
-        else:  # walk from mark to mark
-            cut, at, size = 0, 0, np.zeros(len(new), np.int64)
-            at_mark = np.flatnonzero(ids[ends - 1] == self.mark[-1])
-            j, part = 0, np.ones(len(ids), bool)
-            for i, c in enumerate(count):
-                if c:
-                    at += c
-                    size[i], cut = ends[at - 1] - cut, ends[at - 1]
-                else:
-                    at = int(at_mark[j]) + 1
-                    j += 1
-                    stop = ends[at - 1] - len(self.mark)
-                    part[stop : ends[at - 1]] = False
-                    size[i], cut = stop - cut, ends[at - 1]
-            ids = ids[part]
-        self.flat, self.size = np.concatenate((self.flat, ids)), np.concatenate((self.size, size))
+        self.flat, self.size, self.begin = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self) -> None:
+        """Append the ids of the new words."""
+        new, pairs = self.numbers.new, np.array(self.numbers.pairs, np.int64).reshape(-1, 3)
+        grown = np.zeros(len(self.numbers), np.int64)
+        self.size, self.begin = (np.concatenate((x, grown[len(x) :])) for x in (self.size, self.begin))
+        parts, end = [self.flat], len(self.flat)
+
+        def put(numbers: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+            nonlocal end
+            self.size[numbers], self.begin[numbers] = sizes, end + np.cumsum(sizes) - sizes
+            parts.append(ids)
+            end += len(ids)
+
+        letters = [(i, w) for i, w in new if w.isalpha()]
+        if letters:
+            ids = np.array(self.quick.encode_batch_fast([" ".join([w for _, w in letters])], add_special_tokens=False)[0].ids, np.uint32)
+            put(np.array([i for i, _ in letters]), np.diff(np.flatnonzero(self.ending[ids]) + 1, prepend=0), ids)
+        other = [(i, w) for i, w in new if not w.isalpha()]
+        if other:
+            ids = self._encode(" ".join([f"{w} {MARK}" for _, w in other]))
+            ends = np.flatnonzero(ids == self.mark[-1]) + 1
+            part = np.ones(len(ids), bool)
+            for k in range(len(self.mark)):
+                part[ends - 1 - k] = False
+            put(np.array([i for i, _ in other]), np.diff(ends - len(self.mark) * np.arange(1, len(ends) + 1), prepend=0), ids[part])
+        self.flat = np.concatenate(parts)
+        if len(pairs):
+            parts = [self.flat]
+            both = pairs[:, 1:].ravel()
+            put(pairs[:, 0], self.size[both].reshape(-1, 2).sum(axis=1), self._laid(both))
+            self.flat = np.concatenate(parts)
+        new.clear()
+        self.numbers.pairs.clear()
+
+    def _laid(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of the words, end to end."""
+        size = self.size[numbers]
+        ends = np.cumsum(size)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[numbers] - ends + size, size)]
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.numbers) > self.most:
@@ -143,19 +177,9 @@ class WordTokenizer:
         for t, p in zip(texts, plain, strict=True):
             words = t.lower().split() if p else []
             number.append(np.fromiter(map(find, words), np.int64, len(words)))
-        if self.numbers.new:
-            self._learn(self.numbers.new)
-            self.numbers.new.clear()
-        begin = np.cumsum(self.size) - self.size
-        out = []
-        for t, p, n in zip(texts, plain, number, strict=True):
-            if p:
-                size = self.size[n]
-                ends = np.cumsum(size)
-                out.append(self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[n] - ends + size, size)])
-            else:
-                out.append(self._encode(t))
-        return out
+        if self.numbers.new or self.numbers.pairs:
+            self._learn()
+        return [self._laid(n) if p else self._encode(t) for t, p, n in zip(texts, plain, number, strict=True)]
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, end_id: int = 1) -> DataFrame:
@@ -175,7 +199,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     return map_rows(docs.select(F.col(id_col).cast("long"), text_col), run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long", 1 << 20)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, segments: int = 512, group_rows: int = 4000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, segments: int = 512, group_rows: int = 1000) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every id of a document bears loss except its first, which nothing predicts. Full pieces are
@@ -185,8 +209,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, segments
     amounts = {"length": length, "_segments": segments, "_loss": length}
     rest = cut.filter(F.col("length") < length).withColumns({"_segments": F.lit(1), "_loss": F.col("length") - (F.col("start") == 0).cast("long")})
     packed = pack(rest, amounts, ["doc_id", "start", "_row"], group_rows)
-    ahead = Window.partitionBy("_group", "_bin").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
-    packed = packed.withColumn("offset", F.coalesce(F.sum("length").over(ahead), F.lit(0)))
+    packed = packed.withColumnRenamed("_ahead", "offset")
     # Full pieces come after the packed bins of their number space: even ids are packed bins, odd ids full pieces.
     packed = packed.withColumn("sequence_id", 2 * (F.col("_group") * group_rows * 2 + F.col("_bin")))
     full = cut.filter(F.col("length") == length).withColumns({"offset": F.lit(0).cast("long"), "sequence_id": 2 * F.col("_row") + 1})
