@@ -58,8 +58,23 @@ def named(columns: list[str]) -> list[Column]:
     return [F.col(f"`{c}`") for c in columns]
 
 
+#: Rows that Spark sends to Python at once. Its default of 10,000 is made for narrow rows; of whole texts it
+#: fills both sides' memory outside the heap.
+BATCH_ROWS = 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set spark.sql.execution.arrow.maxRecordsPerBatch to BATCH_ROWS where it is larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, step: int = 1 << 21) -> DataFrame:
-    """mapInArrow over slices of about `step` bytes, so that one batch of long texts doesn't fill a worker."""
+    """mapInArrow over slices of about `step` bytes, so that one batch of long texts doesn't fill a worker.
+
+    """
+    small_batches(df.sparkSession)
 
     names = df.columns
     if any("." in c for c in names):  # mapInArrow can't take such names
@@ -116,10 +131,11 @@ def _tables(breaks: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return is_space, lower, mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_STEP))[lower]
 
 
-def words(column: pa.Array, breaks: str = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(column: pa.Array, breaks: str = SPACES, head: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The words of each row, split at `breaks` (ASCII): 64-bit hashes (A-Z lower-cased), row numbers, byte starts and ends.
 
-    A hash is a polynomial of the word's bytes, read off prefix sums of the whole batch.
+    A hash is a polynomial of the word's bytes (its first `head` bytes, if given), read off prefix
+    sums of the whole batch.
     """
     body, at = text_bytes(column)
     is_space, _, value = _tables(breaks)
@@ -140,7 +156,8 @@ def words(column: pa.Array, breaks: str = SPACES) -> tuple[np.ndarray, np.ndarra
     ends = np.flatnonzero(last) + 1
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(value[body] * _powers(_STEP, n), out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * _powers(_BACK, n)[starts])
+    upto = ends if head is None else np.minimum(ends, starts + head)
+    hashes = mix((sums[upto] - sums[starts]) * _powers(_BACK, n)[starts])
     rows = np.searchsorted(at, starts, "right") - 1
     return hashes, rows, starts - at[rows], ends - at[rows]
 

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meldwork.llm.common import _BACK, _STEP, _powers, mix, scratch, text_bytes, written
+from meldwork.llm.common import _BACK, _STEP, _powers, mix, scratch, small_batches, text_bytes, written
 
 SLICE = 1 << 21
 GRAM = 16
@@ -321,6 +321,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if length < GRAM:
         raise ValueError(f"length must be at least {GRAM}")
     spark = docs.sparkSession
+    small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Bucketed by slice, so that the two joins that bring answers to the slices don't shuffle the texts again.
     name = f"repeat_slices_{uuid.uuid4().hex}"
