@@ -1,7 +1,7 @@
 """Quality classifier: document evidence combined with site posteriors by hierarchical empirical Bayes.
 
 A document's evidence is the sum of logistic heads (one a label: low quality, toxic) over hashed
-words that pass a screening test and some style measures. The heads are fitted on a bounded sample of
+words and word beginnings that pass a screening test and some style measures. The heads are fitted on a bounded sample of
 labelled rows: the `sample` rows with the smallest hash of their id. Scores of all documents are then
 grouped: a host's rate is shrunk toward the global rate and a path's toward its host's, each by the
 weight that the method of moments finds in the spread between groups, so sparse sites stay near their
@@ -21,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meldwork.llm.common import map_rows, text_bytes, words, written
+from meldwork.llm.common import map_rows, mix, text_bytes, words, written
 
 BITS = 20
+#: Bytes of a word's beginning, which stands for its inflected forms.
+HEAD = 5
 HEADS = ("low", "toxic")
 STYLE = 8
 #: Groups that a broadcast may hold; with more, posteriors are joined by shuffle.
@@ -31,13 +33,15 @@ MAX_BROADCAST_GROUPS = 100_000
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows, hashed words, style): distinct hashed words of each row, and STYLE measures a row."""
-    h, r, start, end = words(column)
+    """(rows, hashed features, style): each row's distinct words and word beginnings, hashed, and STYLE measures a row."""
+    h, r, _, _ = words(column)
     n = len(column)
-    word = (h >> np.uint64(64 - BITS)).astype(np.int64)
-    pair = np.unique(r.astype(np.int64) << BITS | word)
+    begin = mix(words(column, head=HEAD)[0] ^ np.uint64(HEAD))
+    word, begin = ((x >> np.uint64(64 - BITS)).astype(np.int64) | r.astype(np.int64) << BITS for x in (h, begin))
+    word = np.unique(word)
+    pair = np.unique(np.concatenate((word, begin)))
     body, at = text_bytes(column)
-    count, distinct = np.bincount(r, minlength=n), np.bincount(pair >> BITS, minlength=n)
+    count, distinct = np.bincount(r, minlength=n), np.bincount(word >> BITS, minlength=n)
     length = np.diff(at)
 
     def share(mask: np.ndarray) -> np.ndarray:
@@ -74,7 +78,7 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, samp
     return style, [np.asarray(x.values) for x in got["words"]], np.stack([got[h].to_numpy() for h in HEADS], axis=1).astype(float)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 8000, most: int = 400) -> list[dict]:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 8000, most: int = 600) -> list[dict]:
     """One head a label: {'words': hashed words, 'weights', 'style', 'bias'}; at most `most` words a head."""
     style, found, y = _sample(docs, labels, id_col, text_col, sample)
     return [_head(style, found, y[:, k], most) for k in range(len(HEADS))] if len(y) else []
