@@ -43,23 +43,25 @@ def title(c: Column) -> Column:
     return F.array_join(F.transform(runs, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 1 << 20)))), "")
 
 
-def find_all(c: Column, pattern: str) -> Column:
-    return F.coalesce(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
+def find_all(c: Column, pattern: str, only: Column | None = None) -> Column:
+    """All matches; `only` is a cheap test that a text with a match passes, so that most texts are never searched."""
+    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    return F.coalesce(found if only is None else F.when(only, found), F.array().cast("array<string>"))
 
 
 def emails(text: Column) -> Column:
-    return F.array_sort(F.array_distinct(find_all(text, dims.EMAIL)))
+    return F.array_sort(F.array_distinct(find_all(text, dims.EMAIL, text.contains("@"))))
 
 
 def phones(text: Column) -> Column:
     """Phone-like runs with 7 to 15 digits, stripped, distinct, sorted."""
-    found = F.filter(find_all(text, dims.PHONE), lambda x: F.length(F.regexp_replace(x, "[^0-9]", "")).between(7, 15))
+    found = F.filter(find_all(text, dims.PHONE, text.rlike("[0-9]{3}")), lambda x: F.length(F.regexp_replace(x, "[^0-9]", "")).between(7, 15))
     return F.array_sort(F.array_distinct(F.transform(found, strip)))
 
 
 def urls(text: Column) -> Column:
     """Links other than profile links, in text order with repeats."""
-    return F.filter(find_all(text, dims.URL), lambda x: ~F.lower(x).contains("linkedin") & ~F.lower(x).contains("github"))
+    return F.filter(find_all(text, dims.URL, text.contains("http")), lambda x: ~F.lower(x).contains("linkedin") & ~F.lower(x).contains("github"))
 
 
 def first_match(text: Column, pattern: str) -> Column:
@@ -94,7 +96,7 @@ def keyword_pattern(word: str) -> str:
 
 def keywords(text: Column) -> Column:
     """Known skill keywords as whole words, sorted."""
-    return let(F.lower(text), lambda t: F.array_compact(F.array(*[F.when(t.rlike(keyword_pattern(k)), F.lit(k)) for k in sorted(dims.KEYWORDS)])))
+    return let(F.lower(text), lambda t: F.array_compact(F.array(*[F.when(t.contains(k) & t.rlike(keyword_pattern(k)), F.lit(k)) for k in sorted(dims.KEYWORDS)])))
 
 
 def section(text: Column, name: str) -> Column:
