@@ -72,20 +72,30 @@ def candidates(records: DataFrame, by: list[str]) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(n).alias("field"), F.when(F.expr(_present(c)), F.col(c).cast("string")).alias("value")) for n, c in SCALAR_COLUMNS.items()])
     long = rows.select(*by, "source_file", "source_type", "_ord", F.explode(pairs).alias("p")).select(*by, "source_file", "source_type", "_ord", "p.field", "p.value").filter("value IS NOT NULL")
     group = Window.partitionBy(*by, "field")
-    ranked = long.withColumns({"n": F.count("*").over(group), "rank": F.row_number().over(group.orderBy("_ord"))})
-    return ranked.filter("n > 1").select(*by, "field", "value", "source_file", "source_type", F.col("_ord.priority").alias("priority"), "rank", "n")
+    first = F.first(F.struct("value", "source_type", F.col("_ord.priority").alias("priority"))).over(group.orderBy("_ord"))
+    ranked = long.withColumns({"n": F.count("*").over(group), "rank": F.row_number().over(group.orderBy("_ord")), "winner": first})
+    return ranked.filter("n > 1").select(*by, "field", "value", "source_file", "source_type", F.col("_ord.priority").alias("priority"), "rank", "n", "winner")
 
 
 def provenance(contested: DataFrame, canonical: DataFrame, records: DataFrame, by: list[str]) -> DataFrame:
     """Accepted and rejected contributions of contested scalars, and the plain fields that nobody contests."""
-    rows = contested.select(*by, "field", "value", F.col("source_file").alias("source"), "source_type", "priority", (F.col("rank") == 1).alias("accepted"), F.lit(True).alias("contested"))
+    mine, best = display_name(F.col("source_type")), display_name(F.col("winner.source_type"))
+    won = F.concat(F.lit("Selected from "), mine, F.lit(" — highest priority source."))
+    lost = F.concat(F.lit("Rejected: "), mine, F.lit(" (priority "), F.col("priority"), F.lit(") lost to "), best, F.lit(" (priority "), F.col("winner.priority"), F.lit(")."))
+    rows = contested.select(
+        *by, "field", "value", F.col("winner.value").alias("winning_value"), F.col("source_file").alias("source"), "source_type", "priority", (F.col("rank") == 1).alias("accepted"), F.lit(True).alias("contested"),
+        F.lit("direct").alias("method"), F.array(F.lit("priority_based_conflict_resolution")).alias("rules_applied"), F.when(F.col("rank") == 1, won).otherwise(lost).alias("explanation"),
+    )
     first = ordered(records).groupBy(*by).agg(F.min_by(F.struct("source_file", "source_type"), F.struct("_ord.priority", "_ord.file_seq")).alias("f"))
     plain = F.array(*[F.struct(F.lit(c).alias("field"), v.alias("value")) for c, v in (
         ("full_name", F.nullif(F.col("full_name"), F.lit(""))), ("emails", F.when(F.size("emails") > 0, F.to_json("emails"))),
         ("phones", F.when(F.size("phones") > 0, F.to_json("phones"))), ("headline", F.nullif(F.col("headline"), F.lit(""))))])
     single = canonical.select(*by, F.explode(plain).alias("p")).select(*by, "p.*").filter("value IS NOT NULL")
     single = single.join(contested.select(*by, "field").distinct(), [*by, "field"], "left_anti").join(first, by)
-    single = single.select(*by, "field", "value", F.col("f.source_file").alias("source"), F.col("f.source_type").alias("source_type"), F.lit(dims.DEFAULT_PRIORITY).alias("priority"), F.lit(True).alias("accepted"), F.lit(False).alias("contested"))
+    single = single.select(
+        *by, "field", "value", F.col("value").alias("winning_value"), F.col("f.source_file").alias("source"), F.col("f.source_type").alias("source_type"), F.lit(dims.DEFAULT_PRIORITY).alias("priority"), F.lit(True).alias("accepted"), F.lit(False).alias("contested"),
+        F.lit("direct").alias("method"), F.array().cast("array<string>").alias("rules_applied"), F.concat(F.lit("Single source value from "), F.col("f.source_file"), F.lit(". No conflict.")).alias("explanation"),
+    )
     return rows.unionByName(single)
 
 

@@ -376,15 +376,18 @@ FROM contested GROUP BY entity_id, field
 def q_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = evidence(spark, sf_dir)
     rows = merge.provenance(merge.candidates(records, BY), merge.merge(records, BY), records, BY)
-    return rows.groupBy("field", "source", "source_type", "accepted", "contested").agg(F.count("*").alias("n"), F.min("priority").alias("priority"))
+    return rows.groupBy("field", "source", "source_type", "accepted", "contested").agg(F.count("*").alias("n"), F.min("priority").alias("priority"), F.count_if(F.col("value") == F.col("winning_value")).alias("equal"), F.min("explanation").alias("explanation"))
 
 
 SQL_PROVENANCE = EVIDENCE + _LONG + _CANON + """
 , lead AS (SELECT entity_id, arg_min(source_file, ord) AS source, arg_min(source_type, ord) AS source_type FROM ranked GROUP BY entity_id),
 plain AS (SELECT entity_id, 'full_name' AS field FROM canon WHERE full_name <> '' UNION ALL SELECT entity_id, 'headline' FROM canon WHERE headline <> '' UNION ALL SELECT entity_id, 'emails' FROM canon WHERE len(emails) > 0 UNION ALL SELECT entity_id, 'phones' FROM canon WHERE len(phones) > 0),
-rows_ AS (SELECT field, source_file AS source, source_type, rank = 1 AS accepted, true AS contested, priority FROM contested
-  UNION ALL SELECT p.field, l.source, l.source_type, true, false, 99 FROM plain p JOIN lead l USING (entity_id) WHERE NOT EXISTS (SELECT 1 FROM contested c WHERE c.entity_id = p.entity_id AND c.field = p.field))
-SELECT field, source, source_type, accepted, contested, count(*) AS n, min(priority) AS priority FROM rows_ GROUP BY ALL
+named AS (SELECT *, CASE source_type WHEN 'recruiter_csv' THEN 'Recruiter CSV' WHEN 'ats_json' THEN 'ATS JSON' WHEN 'resume_pdf' THEN 'Resume PDF' ELSE 'Recruiter Notes' END AS name FROM contested),
+won AS (SELECT entity_id, field, value AS w_value, priority AS w_priority, name AS w_name FROM named WHERE rank = 1),
+rows_ AS (SELECT field, source_file AS source, source_type, rank = 1 AS accepted, true AS contested, priority, value = w_value AS equal,
+    CASE WHEN rank = 1 THEN 'Selected from ' || name || ' — highest priority source.' ELSE 'Rejected: ' || name || ' (priority ' || priority || ') lost to ' || w_name || ' (priority ' || w_priority || ').' END AS explanation FROM named JOIN won USING (entity_id, field)
+  UNION ALL SELECT p.field, l.source, l.source_type, true, false, 99, true, 'Single source value from ' || l.source || '. No conflict.' FROM plain p JOIN lead l USING (entity_id) WHERE NOT EXISTS (SELECT 1 FROM contested c WHERE c.entity_id = p.entity_id AND c.field = p.field))
+SELECT field, source, source_type, accepted, contested, count(*) AS n, min(priority) AS priority, count(*) FILTER (equal) AS equal, min(explanation) AS explanation FROM rows_ GROUP BY field, source, source_type, accepted, contested
 """
 
 
