@@ -81,11 +81,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    number, _ = _ranges(rows, "id", max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    number, _ = _ranges(rows, "id", 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.withColumn("range", number)
-    first = rows.groupBy("range").agg(F.max(F.struct("id", "text")).alias("first"))  # one row a range
-    order = [r[0] for r in rows.select("range").distinct().collect()]  # as many as ranges
-    order.sort()
+    tops = rows.groupBy("range").agg(F.max("id").alias("top"))  # one row a range
+    first = rows.join(F.broadcast(tops.withColumnRenamed("range", "_r")), (F.col("range") == F.col("_r")) & F.col("id").eqNullSafe(F.col("top")))
+    first = first.groupBy("range").agg(F.max(F.struct("id", "text")).alias("first"))
+    order = sorted(r[0] for r in tops.select("range").collect())
     before = spark.createDataFrame(list(zip(order, [order[-1], *order[:-1]], strict=True)) if order else [], "range int, before int")
     follow = first.join(F.broadcast(before), "range").select("first.id", "first.text", F.col("before").alias("range"), F.lit(1).alias("extra"))
     # A range's extra row closes it, also where its id is above theirs: after the last comes the first.
