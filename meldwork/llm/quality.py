@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from meldwork.llm.common import map_rows, mix, text_bytes, words, written
 
 BITS = 20
+_MASK = (1 << BITS) - 1
 #: Bytes of a word's beginning, which stands for its inflected forms.
 HEAD = 5
 HEADS = ("low", "toxic")
@@ -32,16 +33,21 @@ STYLE = 8
 MAX_BROADCAST_GROUPS = 100_000
 
 
-def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows, hashed features, style): each row's distinct words and word beginnings, hashed, and STYLE measures a row."""
+def features(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, hashed features, style): each row's distinct words and word beginnings, hashed, and STYLE measures a row.
+
+    wanted says which of the hashed features the caller needs; None is all.
+    """
     h, r, _, _ = words(column)
     n = len(column)
     begin = mix(words(column, head=HEAD)[0] ^ np.uint64(HEAD))
-    word, begin = ((x >> np.uint64(64 - BITS)).astype(np.int64) | r.astype(np.int64) << BITS for x in (h, begin))
-    word = np.unique(word)
-    pair = np.unique(np.concatenate((word, begin)))
+    word, begin = ((x >> np.uint64(64 - BITS)).astype(np.int64) for x in (h, begin))
+    here = r.astype(np.int64) << BITS
+    distinct_words = np.unique(here | word)
+    some = (slice(None), slice(None)) if wanted is None else (wanted[distinct_words & _MASK], wanted[begin])
+    pair = np.unique(np.concatenate((distinct_words[some[0]], (here | begin)[some[1]])))
     body, at = text_bytes(column)
-    count, distinct = np.bincount(r, minlength=n), np.bincount(word >> BITS, minlength=n)
+    count, distinct = np.bincount(r, minlength=n), np.bincount(distinct_words >> BITS, minlength=n)
     length = np.diff(at)
 
     def share(mask: np.ndarray) -> np.ndarray:
@@ -54,7 +60,7 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         share((body >= 65) & (body <= 90)), share(mark[body]), share((body >= 48) & (body <= 57)), share(body == 10),
         np.log1p(count) / 10, distinct / np.maximum(count, 1), length / np.maximum(count, 1) / 20, np.sqrt(share(mark[body])),
     ), axis=1)
-    return pair >> BITS, pair & ((1 << BITS) - 1), style
+    return pair >> BITS, pair & _MASK, style
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -116,15 +122,20 @@ def _head(style: np.ndarray, found: list[np.ndarray], y: np.ndarray, most: int)
 
 def scored(docs: DataFrame, heads: list[dict], text_col: str = "text") -> DataFrame:
     """docs with _low and _toxic: each head's log-odds of being bad."""
+    tables: list[np.ndarray] = []
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         column = batch.column(text_col)
         out = np.full((batch.num_rows, len(HEADS)), -20.0)
         if heads:
-            rows, found, style = features(column)
+            if not tables:
+                for head in heads:
+                    tables.append(np.zeros(1 << BITS))
+                    tables[-1][head["words"]] = head["weights"]
+                tables.append(np.any(tables, axis=0))
+            rows, found, style = features(column, tables[-1])
             for k, head in enumerate(heads):
-                table = np.zeros(1 << BITS)
-                table[head["words"]] = head["weights"]
-                out[:, k] = np.bincount(rows, weights=table[found], minlength=batch.num_rows) + style @ head["style"] + head["bias"]
+                out[:, k] = np.bincount(rows, weights=tables[k][found], minlength=batch.num_rows) + style @ head["style"] + head["bias"]
         return pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(out[:, k]) for k in range(len(HEADS)))], names=[*batch.schema.names, "_low", "_toxic"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
