@@ -1,19 +1,25 @@
 """Personal data: exact patterns, and terms that reveal a protected entity by information content.
 
-Four kinds of entity are found by pattern. A term near an entity is judged by what it tells about it:
-its pointwise mutual information with the entity, PMI(t, e) = log2(p(e | t) / p(e)), against the
-entity's information content IC(e) = -log2 p(e), both from document counts over the whole corpus. A
-term that gives away at least `disclosure` of IC(e), and stands near e in at least `support` different
-texts, is sanitised wherever a document holds both.
-
-Defined cases: null text is empty; equal texts count as one text for support; a long text is
+Four kinds of entity are found by pattern. Every term of a document that holds an entity e is judged by
+what it tells about e: its pointwise mutual information, PMI(t, e) = log2(p(e | t) / p(e)), against the
+entity's information content IC(e) = -log2 p(e), both from document counts over the whole corpus. The same
+is asked for e's class (mail domain, number prefix) and its kind, whose counts are those of all entities in
+them, so a term can give away what a rare entity is. A term that gives away at least `disclosure` of the
+content of one of the three is sanitised wherever a document holds both, if chance doesn't explain it: its
+different texts save `texts * PMI` bits, which must exceed log2 of the candidate terms by -log2(`chance`).
+There is no floor on texts: one is enough where the entity is rare in a large corpus, and few are not in a
+corpus of some dozen documents.
+
+Defined cases: null text is empty; equal texts count as one text for the evidence; a long text is
 searched whole and in linear time; a term inside a pattern's span is no term; equal ids are separate
-documents; columns other than the id and the text pass through sanitise() and are ignored by find().
+documents and a null id is a document like others; columns other than the id and the text pass through
+sanitise() and are ignored by find().
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -35,7 +41,7 @@ _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: Characters at which terms end.
 BREAKS = SPACES + ".,;:!?()[]{}<>\"'|/\\*#$%&=~`^"
-#: Pairs of term and entity that one pass holds in a task (eight bytes each); more are taken in several passes.
+#: Flagged pairs of term and entity that a task holds (eight bytes each); more are brought to the rows by a join.
 MAX_PAIRS = 1 << 21
 
 
@@ -98,70 +104,106 @@ def _terms(text: str, spans: list[tuple[int, int, int]]) -> tuple[np.ndarray, np
     return h[free], start[free], end[free], np.flatnonzero(free)
 
 
-def _pairs(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """(entity, term, text): terms within `window` terms of an entity, once a document; term 0 stands for the entity itself."""
+def _groups(text: str, spans: list[tuple[int, int, int]]) -> set[int]:
+    """Numbers of what the text's entities are: each one's exact value, its class and its kind.
+
+    The class is a mail's domain, an address's first two numbers, a card's first six and a phone's first four digits.
+    """
+    out = set()
+    for i, k, j in spans:
+        value = text[i:j].lower()
+        digits = re.sub(r"[^0-9]", "", value)
+        part = (value[value.rfind("@") :], ".".join(x.lstrip("0") or "0" for x in value.split(".")[:2]), digits[:6], digits[:4])[k]
+        out |= {_entity(text, (i, k, j)), xxhash.xxh64_intdigest(f"{KINDS[k]}/{part}") >> 1, xxhash.xxh64_intdigest(KINDS[k]) >> 1}
+    return out
+
+
+def _summed(keys: list[np.ndarray], values: list[np.ndarray]) -> list[np.ndarray]:
+    """Distinct rows of the key columns, and the sums of the value columns over each."""
+    if not len(keys[0]):
+        return [*keys, *values]
+    order = np.lexsort(keys[::-1])
+    head = np.ones(len(order), bool)
+    head[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    at = np.flatnonzero(head)
+    return [*(k[order][at] for k in keys), *(np.add.reduceat(v[order], at) for v in values)]
+
+
+def _holding(docs: DataFrame, text_col: str) -> DataFrame:
+    """(text, copies): the different texts that hold an entity."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([t for t in batch.column(0).to_pylist() if t and base_spans(t)], pa.string())], names=["text"])
+
+    return map_rows(docs.select(text_col), run, "text string").groupBy("text").agg(F.count("*").alias("copies"))
+
+
+def _own(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The text's groups and its different terms."""
+    spans = base_spans(text)
+    return np.array(sorted(_groups(text, spans)), np.int64), np.unique(_terms(text, spans)[0]).view(np.int64)
+
+
+def _pairs(texts: DataFrame) -> DataFrame:
+    """(entity, term, together, texts): in how many documents and different texts both are."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = ([], [], [])
-        for text in batch.column(0).to_pylist():
-            spans = base_spans(text or "")
-            if not spans:
-                continue
-            key = xxhash.xxh64_intdigest(text) >> 1
-            h, start, _, _ = _terms(text, spans)
-            seen = set()
-            for span in spans:
-                e, at = _entity(text, span), int(np.searchsorted(start, len(text[: span[0]].encode())))
-                seen |= {(e, int(t)) for t in h[max(0, at - window) : at + window].view(np.int64)} | {(e, 0)}
-            for e, t in seen:
-                out[0].append(e)
-                out[1].append(t)
-                out[2].append(key)
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["entity", "term", "text"])
-
-    return map_rows(docs.select(text_col), run, "entity long, term long, text long")
-
-
-def _counted(docs: DataFrame, text_col: str, terms: list[int]) -> DataFrame:
-    """(term, n): how many documents hold each of the given terms."""
-    wanted = np.sort(np.array(terms, np.int64).view(np.uint64))
+        parts = ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)])
+        for text, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            groups, terms = _own(text)
+            parts[0].append(np.repeat(groups, len(terms)))
+            parts[1].append(np.tile(terms, len(groups)))
+            parts[2].append(np.full(len(groups) * len(terms), copies))
+        entity, term, copies = map(np.concatenate, parts)
+        out = _summed([entity, term], [copies, np.ones(len(copies), np.int64)])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["entity", "term", "together", "texts"])
+
+    out = map_rows(texts, run, "entity long, term long, together long, texts long")
+    # By the term alone, so that the join with the terms' counts needs no second exchange.
+    return out.repartition("term").groupBy("entity", "term").agg(F.sum("together").alias("together"), F.sum("texts").alias("texts"))
+
+
+def _holders(texts: DataFrame) -> DataFrame:
+    """(entity, holders, candidates): documents that hold it, and the terms of its different texts, summed."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [(g, copies, len(terms)) for text, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True) for groups, terms in (_own(text),) for g in groups]
+        columns = np.array(rows, np.int64).reshape(-1, 3).T
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _summed([columns[0]], [columns[1], columns[2]])], names=["entity", "holders", "candidates"])
+
+    out = map_rows(texts, run, "entity long, holders long, candidates long")
+    return out.groupBy("entity").agg(F.sum("holders").alias("holders"), F.sum("candidates").alias("candidates"))
+
+
+def _counted(docs: DataFrame, text_col: str) -> DataFrame:
+    """(term, n): how many documents hold each term."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         h, r, start, end = words(batch.column(0), BREAKS)
-        at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-        hit = (wanted[at] == h) & (end - start >= 3)
-        pair = np.unique(r[hit].astype(np.int64) << 32 | at[hit])
-        place, n = np.unique(pair & 0xFFFFFFFF, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(wanted[place].view(np.int64)), pa.array(n.astype(np.int64))], names=["term", "n"])
+        long = end - start >= 3
+        h, r = h[long], r[long]
+        order = np.argsort(h, kind="stable")  # rows stay in order within a term
+        h, r = h[order], r[order]
+        once = np.ones(len(h), bool)
+        once[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
+        term, n = np.unique(h[once], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n.astype(np.int64))], names=["term", "n"])
 
     return map_rows(docs.select(text_col), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def _blocks(frame: DataFrame, columns: list[str], most: int) -> Iterator[list]:
-    """The rows in blocks of at most `most`, one block at a time on the driver."""
-    rows = frame.select(columns).distinct()
-    count = rows.count()
-    parts = -(-count // most)
-    for i in range(parts):
-        part = rows.filter(F.pmod(F.xxhash64(*columns), F.lit(parts)) == i) if parts > 1 else rows
-        yield part.toArrow().to_pydict()
-
-
-def revealing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 8, support: int = 3, disclosure: float = 0.9) -> DataFrame:
-    """(entity, term): the pairs whose term gives the entity away."""
-    spark = docs.sparkSession
-    pairs = _pairs(docs, id_col, text_col, window).groupBy("entity", "term", "text").agg(F.count("*").alias("n"))
-    pairs = written(pairs.groupBy("entity", "term").agg(F.sum("n").alias("together"), F.count("*").alias("texts")), "pii-pairs")
-    near = pairs.filter((F.col("term") != 0) & (F.col("texts") >= support))
-    counts = spark.createDataFrame([], "term long, n long")
-    for block in _blocks(near, ["term"], MAX_PAIRS):
-        counts = counts.unionByName(_counted(docs, text_col, block["term"]))
+def revealing(docs: DataFrame, text_col: str = "text", disclosure: float = 0.9, chance: float = 0.05) -> DataFrame:
+    """(entity, term): the pairs whose term gives the entity, its class or its kind away."""
+    texts = written(_holding(docs, text_col), "pii-texts")
     total = docs.count()
-    alone = pairs.filter("term = 0").select(F.col("entity").alias("_e"), F.col("together").alias("holders"))
-    known = near.join(counts, "term").join(alone, F.col("entity") == F.col("_e"))
+    share = F.col("together") / F.col("n")
+    # No entity has less than one holder, so a term below this share gives away too little of any.
+    known = _pairs(texts).join(_counted(docs, text_col), "term").filter(share >= max(total, 1) ** (disclosure - 1) * 0.999)
+    known = known.join(_holders(texts), "entity")
     content = -F.log2(F.col("holders") / total)
-    information = F.log2(F.least(F.lit(1.0), F.col("together") / F.col("n"))) + content
-    return known.filter((content > 0) & (information >= disclosure * content)).select("entity", "term")
+    information = F.log2(F.least(F.lit(1.0), share)) + content
+    evidence = F.col("texts") * information - F.log2("candidates")
+    return known.filter((content > 0) & (information >= disclosure * content) & (evidence >= -math.log2(chance))).select("entity", "term")
 
 
 def _spans_of(text: str, flagged: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
@@ -171,7 +213,7 @@ def _spans_of(text: str, flagged: np.ndarray) -> tuple[list[tuple[int, int, int]
         return base, []
     h, start, end, _ = _terms(text, base)
     hit = np.zeros(len(h), bool)
-    for e in {_entity(text, s) for s in base}:
+    for e in _groups(text, base):
         pair = mix(mix(h) ^ np.uint64(e))
         hit |= flagged[np.minimum(np.searchsorted(flagged, pair), len(flagged) - 1)] == pair
     raw = text.encode() if hit.any() else b""
@@ -182,20 +224,31 @@ def _pair_hash(entity: np.ndarray, term: np.ndarray) -> np.ndarray:
     return np.sort(mix(mix(term.view(np.uint64)) ^ entity.view(np.uint64)))
 
 
-def _with_flags(docs: DataFrame, id_col: str, text_col: str, options: dict) -> tuple[DataFrame, np.ndarray | None]:
-    """The documents and the flagged pairs: one array for all up to MAX_PAIRS, else a column _terms by join on the id."""
-    pairs = written(revealing(docs, id_col, text_col, **options), "pii-revealing")
+def _with_flags(docs: DataFrame, text_col: str, options: dict) -> tuple[DataFrame, np.ndarray | None]:
+    """The documents and the flagged pairs: one array for all up to MAX_PAIRS, else a column _terms by join on a key of the text.
+
+    What is flagged in a row depends on its text alone, so equal texts share a key of 128 bits and the id plays no part.
+    """
+    pairs = written(revealing(docs, text_col, **options), "pii-revealing")
     if pairs.limit(MAX_PAIRS + 1).count() <= MAX_PAIRS:
         got = pairs.toArrow()
         return docs, _pair_hash(got["entity"].to_numpy(), got["term"].to_numpy())
+    text = F.col(f"`{text_col}`")
+    docs = docs.withColumns({"_k1": F.xxhash64(F.lit(1), text), "_k2": F.xxhash64(F.lit(2), text)})
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [(d, e) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for e in {_entity(t, s) for s in base_spans(t or "")}]
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["_doc", "_entity"])
+        parts = [[np.zeros(0, np.int64)] for _ in range(4)]
+        for t, *key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if t and base_spans(t):
+                groups, terms = _own(t)
+                n = len(groups) * len(terms)
+                for part, x in zip(parts, (np.full(n, key[0]), np.full(n, key[1]), np.repeat(groups, len(terms)), np.tile(terms, len(groups))), strict=True):
+                    part.append(x)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in parts], names=["_t1", "_t2", "entity", "term"])
 
-    holds = map_rows(docs.select(F.col(id_col).cast("long"), text_col), run, "_doc long, _entity long").distinct()
-    terms = holds.join(pairs, F.col("_entity") == F.col("entity")).groupBy("_doc").agg(F.collect_set(F.struct("entity", "term")).alias("_terms"))
-    return docs.join(terms, F.col(id_col) == F.col("_doc"), "left").drop("_doc"), None
+    holds = map_rows(docs.select(text_col, "_k1", "_k2"), run, "_t1 long, _t2 long, entity long, term long")
+    terms = holds.join(pairs, ["entity", "term"], "left_semi").groupBy("_t1", "_t2").agg(F.collect_set(F.struct("entity", "term")).alias("_terms"))
+    return docs.join(terms, (F.col("_k1") == F.col("_t1")) & (F.col("_k2") == F.col("_t2")), "left").drop("_k1", "_k2", "_t1", "_t2"), None
 
 
 def _row_flags(batch: pa.RecordBatch, flagged: np.ndarray | None) -> Iterator[np.ndarray]:
@@ -208,7 +261,7 @@ def _row_flags(batch: pa.RecordBatch, flagged: np.ndarray | None) -> Iterator[np
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row."""
-    docs, flagged = _with_flags(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")), "_id", "_text", options)
+    docs, flagged = _with_flags(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")), "_text", options)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -228,7 +281,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
     """docs with every entity generalised to its kind in brackets and every revealing term removed to [term]."""
     columns, fields = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    docs, flagged = _with_flags(docs, id_col, text_col, options)
+    docs, flagged = _with_flags(docs, text_col, options)
 
     def clean(text: str | None, flags: np.ndarray) -> str | None:
         base, terms = _spans_of(text or "", flags)

@@ -240,6 +240,30 @@ def test_revealing_terms_beyond_the_broadcast(spark, monkeypatch):
     assert "term" in str(whole)
 
 
+def rare_entities():
+    made = [(i, f"Reach user{i} under q{'abcdefghij'[i]}k@rare.io please, helpdeskline. {'filler text here ' * 12} Surname{i}ovich signs") for i in range(6)]
+    return made + [(100 + i, f"please signs text here number{i % 50} filler Reach under") for i in range(400)]
+
+
+def test_terms_of_rare_entities(spark):
+    # Each address is in one text only; the surname stands 36 words away from it.
+    got = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(rare_entities(), "doc_id long, text string")).collect()}
+    for i, text in rare_entities()[:6]:
+        assert got[i]["n_email"] == 1
+        found = {text[int(a) : int(b)] for k, a, b in (s.split(":") for s in got[i]["spans"].split(",")) if k == "term"}
+        assert found == {"helpdeskline", f"user{i}", f"Surname{i}ovich"}
+    assert got[100]["spans"] == ""
+
+
+def test_null_ids_keep_terms_beyond_the_broadcast(spark, monkeypatch):
+    frame = spark.createDataFrame([(None if i < 3 else i, t) for i, t in rare_entities()] + [(None, None)], "doc_id long, text string")
+    key = lambda r: (r["doc_id"] is not None, *(str(x) for x in r))
+    whole = sorted(pii.find(frame).collect(), key=key)
+    monkeypatch.setattr(pii, "MAX_PAIRS", 1)
+    assert sorted(pii.find(frame).collect(), key=key) == whole
+    assert sum("term" in r["spans"] for r in whole if r["doc_id"] is None) == 3
+
+
 # Packing
 
 
