@@ -6,7 +6,8 @@ grandparent; a container's points are discounted by its link density. The contai
 points and those of its siblings that score enough or read like paragraphs are kept, and their blocks
 are joined in page order. Elements that never hold article text (menus, footers, asides, forms,
 scripts, styles, and containers whose class, id or role names such a thing) are skipped with all they
-hold.
+hold; a container that another of its names calls content is kept if it holds a paragraph. A page
+without any block is read again without asking for names.
 
 Defined cases: null or empty html gives the empty string; unclosed and stray tags are repaired as
 browsers do for the tags that matter (p closes p, li closes li, and so on; an unknown end tag is
@@ -35,12 +36,20 @@ BLOCK = {"address", "article", "blockquote", "body", "center", "dd", "details",
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 CONTAINER = {"article", "main", "section", "div", "body", "td", "blockquote", "figure", "details", "header", "html", "center", "table", "tbody", "tr", "ul", "ol", "dl"}
 #: What an open element is closed by, and where that search ends.
-CLOSES = {"p": ({"p"}, CONTAINER), "li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
+CLOSES = {
+    "p": ({"p"}, CONTAINER | SKIP), "li": ({"li"}, {"ul", "ol"} | SKIP), "dt": ({"dt", "dd"}, {"dl"} | SKIP), "dd": ({"dt", "dd"}, {"dl"} | SKIP), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
+    "tbody": ({"thead", "tbody", "tr"}, {"table"}), "tfoot": ({"thead", "tbody", "tr"}, {"table"}), "option": ({"option"}, {"select", "datalist"}), "a": ({"a"}, BLOCK),
+}
+#: Skipped elements that stand within a paragraph and don't end it.
+PHRASE = {"button", "select", "option", "input", "label", "svg", "canvas", "object", "embed", "audio", "video", "map", "datalist", "template"} | RAW
+CELLS = {"td", "th", "tr", "tbody", "thead", "tfoot"}
 #: Words in class, id or role that mark menus, notices, adverts, forms and reader comments.
 UNLIKELY = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|banner|breadcrumbs?|byline-?share|combx|comments?|commentlist|community|complementary|contentinfo|consent|cookies?|disqus|disclaimer|footer|gdpr|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|overlay|pager|pagination|popup|promo\w*|recommended|related|replies|respond|search|share|sharing|shoutbox|sidebar|signup|skyscraper|social|sponsor\w*|subscribe|subscription|tags|teaser|toolbar|topbar|tracking|widget)(?=$|[\s_-])",
     re.I,
 )
+#: Names that say how a wrapper is laid out, not what it is.
+LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without)[_-]\S+", re.I)
 LIKELY = re.compile(r"article|content|entry|main|post|story|text|body", re.I)
 _SPACE = re.compile(r"\s+")
 
@@ -72,13 +81,27 @@ def _start_points(name: str, words: str) -> float:
     return base + (5.0 if LIKELY.search(words) else 0.0)
 
 
-def _read(page: str) -> tuple[_Node, list[tuple[_Node, str, int, str]]]:
-    """The tree, and the page's blocks: (container or block element, text, characters in links, element)."""
+def _unlikely(words: str) -> tuple[bool, bool]:
+    """Whether the names mark something to skip, and whether one name of its own says that it is content."""
+    words = LAYOUT.sub("", words)
+    if not UNLIKELY.search(words):
+        return False, False
+    return True, any(LIKELY.search(w) and not UNLIKELY.search(w) for w in words.split())
+
+
+def _read(page: str, loose: bool = False) -> tuple[_Node, list[tuple[_Node, str, int, str]]]:
+    """The tree, and the page's blocks: (container or block element, text, characters in links, element).
+
+    A skipped element stays on the stack of open ones, and its subtree is followed by the same rules, so
+    that whatever closes it ends the skip. A container whose names disagree is read, and kept if it holds a paragraph.
+    With `loose`, no element is skipped for its names.
+    """
     root = _Node("root", None)
     open_: list[tuple[str, _Node]] = [("root", root)]
     blocks: list[tuple[_Node, str, int, str]] = []
     parts: list[str] = []
-    link, depth_skip, skip_name, linked, at = 0, 0, "", [], 0
+    link, skipped, linked, at = 0, 0, [], 0  # skipped: the skipped element's place in open_
+    doubts: list[tuple[_Node, int]] = []
 
     def flush() -> None:
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
@@ -88,17 +111,38 @@ def _read(page: str) -> tuple[_Node, list[tuple[_Node, str, int, str]]]:
         linked.clear()
 
     def close(upto: int) -> None:
+        nonlocal skipped
         flush()
+        while doubts and not any(n is doubts[-1][0] for _, n in open_[:upto]):
+            settle(*doubts.pop())
         del open_[upto:]
+        if upto <= skipped:
+            skipped = 0
+
+    def settle(node: _Node, begin: int) -> None:
+        if not any(kind == "p" and len(text) >= 25 and in_links * 4 < len(text) for _, text, in_links, kind in blocks[begin:]):
+            del blocks[begin:]
+
+    def find(names: set[str], stops: set[str], outermost: bool = False) -> int:
+        """The place of the open element of one of the names, or 0."""
+        found = 0
+        for i in range(len(open_) - 1, 0, -1):
+            if open_[i][0] in names:
+                found = i
+                if not outermost:
+                    break
+            elif open_[i][0] in stops:
+                break
+        return found
 
     size = len(page)
     while at < size:
         m = _TOKEN.search(page, at)
         if m is None:
-            if not depth_skip:
+            if not skipped:
                 parts.append(page[at:])
             break
-        if m.start() > at and not depth_skip:
+        if m.start() > at and not skipped:
             run = page[at : m.start()]
             parts.append(run)
             if link:
@@ -108,52 +152,58 @@ def _read(page: str) -> tuple[_Node, list[tuple[_Node, str, int, str]]]:
         if name is None:
             continue
         name = name.lower()
-        if depth_skip:
-            if name == skip_name and not m[3].endswith("/"):
-                depth_skip += -1 if m[1] else 1
-            continue
         if m[1]:  # an end tag
-            if name == "a":
+            if name in BLOCK:
+                i = find({name}, {"ul", "ol"} if name == "li" else {"table"} if name in CELLS else {"td", "th"} if name != "table" else set())
+            else:
+                i = find({name}, BLOCK) if skipped else 0
+            if i:
+                close(i)
+            elif name == "a":
                 link = max(0, link - 1)
-            elif name in BLOCK:
-                for i in range(len(open_) - 1, 0, -1):
-                    if open_[i][0] == name:
-                        close(i)
-                        break
-                else:
-                    flush()
+            elif name in BLOCK and not skipped:
+                flush()
             continue
         if name in RAW:
             flush()
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else size
             continue
+        if name in BLOCK or skipped and name == "a":
+            if not skipped:
+                flush()
+            gone, stop = CLOSES.get(name, (set(), set()) if name in PHRASE or name in ("html", "body") else ({"p"}, CONTAINER | SKIP))
+            i = find(gone, stop, outermost=name in ("tbody", "tfoot")) if gone else 0
+            if i:
+                close(i)
+            if name == "body" or name not in SKIP:  # what can't be in a head ends it
+                i = find({"head"}, set()) if name in BLOCK and name != "html" else 0
+                if i:
+                    close(i)
+        void = name in VOID or m[3].endswith("/")
+        if skipped:
+            if not void:
+                open_.append((name, open_[-1][1]))
+            continue
         words, hidden = _names(m[3]) if m[3] else ("", False)
         inside = any(n in ("article", "main") for n, _ in open_)
-        drop = hidden or name in SKIP or name == "header" and not inside or bool(words and name not in ("html", "body", "article", "main") and UNLIKELY.search(words))
-        if drop:
-            if name in BLOCK:
-                flush()
-            if name not in VOID and not m[3].endswith("/"):
-                depth_skip, skip_name = 1, name
+        named, spared = _unlikely(words) if words and not loose and name not in ("html", "body", "article", "main") else (False, False)
+        spared = spared and name in CONTAINER
+        if hidden or name in SKIP or name == "header" and not inside or named and not spared:
+            if not void:
+                open_.append((name, open_[-1][1]))
+                skipped = len(open_) - 1
             continue
         if name == "br":
             parts.append("\n")
         elif name == "a":
             link += 1
-        elif name in BLOCK:
-            flush()
-            gone, stop = CLOSES.get(name, ({"p"}, CONTAINER) if name not in ("html", "body") else (set(), set()))
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i][0] in gone:
-                    close(i)
-                    break
-                if open_[i][0] in stop:
-                    break
-            if name not in VOID:
-                node = _Node(name, open_[-1][1], _start_points(name, words)) if name in CONTAINER else open_[-1][1]
-                open_.append((name, node))
-    flush()
+        elif name in BLOCK and name not in VOID:
+            node = _Node(name, open_[-1][1], _start_points(name, words)) if name in CONTAINER else open_[-1][1]
+            open_.append((name, node))
+            if named:
+                doubts.append((node, len(blocks)))
+    close(1)
     return root, blocks
 
 
@@ -162,6 +212,8 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root, blocks = _read(page)
+    if not blocks:
+        root, blocks = _read(page, loose=True)
     if not blocks:
         return ""
     for node, text, in_links, _ in blocks:

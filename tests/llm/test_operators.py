@@ -337,6 +337,27 @@ def test_main_text_without_article():
     assert html_main.main_text(page).count("\n") == 3
 
 
+LONG = "Real text, which is long, has commas, and says something of note here."
+
+
+@pytest.mark.parametrize("page", [
+    f"<article><p class=notice>x<p>{LONG}</p><p>{LONG}</p></article>",
+    f"<article><ul><li class=share>x<li>{LONG}</ul><p>{LONG}</p></article>",
+    f"<article><section><div class=ad>x<p>y</section><p>{LONG}</p><p>{LONG}</p></article>",
+    f"<article><table><tr class=ad><td>x<tr><td>{LONG}</table><p>{LONG}</p></article>",
+    f"<article><dl><dt class=ad>x<dd>{LONG}</dl><p>{LONG}</p></article>",
+    f"<article><p><span class=share>x <b>y</p><p>{LONG}</p><p>{LONG}</p></article>",
+    f"<article><select><option>x<option>y</select><p>{LONG}</p><p>{LONG}</p></article>",
+    f"<article><div class=ad><div>x</div><script>'<div>'</script></div><p>{LONG}</p><p>{LONG}</p></article>",
+    f"<head><meta name=x><body><p>{LONG}</p><p>{LONG}</p>",
+    f'<body><div class="content has-sidebar"><p>{LONG}</p><p>{LONG}</p></div></body>',
+    f'<body><div class="post sidebar"><p>{LONG}</p><p>{LONG}</p></div><div class="text menu"><p>x</p></div></body>',
+    f"<body><div class=widget><p>{LONG}</p><p>{LONG}</p></div></body>",
+])
+def test_skips_end_where_their_elements_do(page):
+    assert html_main.main_text(page).split("\n") == [LONG, LONG]
+
+
 def test_extract_table(spark):
     frame = spark.createDataFrame([(1, "u", PAGE, 3), (2, None, None, 4), (2, None, None, 4)], "page_id long, url string, html string, text long")
     assert sorted((r["page_id"], r["n_chars"] > 0) for r in html_main.extract(frame).collect()) == [(1, True), (2, False), (2, False)]
