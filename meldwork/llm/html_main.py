@@ -1,9 +1,11 @@
 """HTML extraction by tree scoring.
 
 A page is read once into blocks of text and a tree of containers. Every paragraph passes points (one,
-one for each comma, one for each hundred characters up to three) to its parent and half of them to its
-grandparent; a container's points are discounted by its link density. The container with the most
-points and those of its siblings that score enough or read like paragraphs are kept, and their blocks
+one for each comma, one for each hundred characters up to three) to its container, half of them to the
+next one above, a quarter to the third, and so on to the root; a container's points are discounted by its
+link density. From the container with the most points the search climbs while a parent adds text of low
+link density, up to the enclosing article or main. What it comes to and those of its siblings that score
+enough or read like paragraphs (within an article or main: any of low link density) are kept, and their blocks
 are joined in page order. Elements that never hold article text (menus, footers, asides, forms,
 scripts, styles, and containers whose class, id or role names such a thing) are skipped with all they
 hold; a container that another of its names calls content is kept if it holds a paragraph. A page
@@ -55,10 +57,10 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Node:
-    __slots__ = ("children", "links", "name", "parent", "points", "size")
+    __slots__ = ("children", "links", "name", "parent", "points", "prose", "size")
 
     def __init__(self, name: str, parent: _Node | None, points: float = 0.0) -> None:
-        self.name, self.parent, self.points, self.size, self.links = name, parent, points, 0, 0
+        self.name, self.parent, self.points, self.size, self.links, self.prose = name, parent, points, 0, 0, 0
         self.children: list[_Node] = []
         if parent is not None:
             parent.children.append(self)
@@ -207,6 +209,31 @@ def _read(page: str, loose: bool = False) -> tuple[_Node, list[tuple[_Node, str,
     return root, blocks
 
 
+def _enclosing(node: _Node) -> _Node | None:
+    """The nearest article or main around the node, or itself."""
+    up: _Node | None = node
+    while up is not None and up.name not in ("article", "main"):
+        up = up.parent
+    return up
+
+
+def _climbed(best: _Node) -> _Node:
+    """The highest container up to the enclosing article or main that adds text of low link density.
+
+    Without one, what is added must be paragraphs for half of it at least, and body is the bound.
+    """
+    bound, at = _enclosing(best), best
+    while at is not bound and at.parent is not None and (bound is not None or at.parent.name not in ("body", "html", "root")):
+        up = at.parent
+        size, links, prose = up.size - best.size, up.links - best.links, up.prose - best.prose
+        if size and (links * 4 >= size or bound is None and prose < max(80, size / 2)):
+            break
+        at = up
+        if size:
+            best = up
+    return best
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, joined by newlines."""
     if not page:
@@ -216,13 +243,14 @@ def main_text(page: str | None) -> str:
         root, blocks = _read(page, loose=True)
     if not blocks:
         return ""
-    for node, text, in_links, _ in blocks:
+    for node, text, in_links, kind in blocks:
         points = 1 + text.count(",") + min(3, len(text) // 100) if len(text) >= 25 else 0
-        up, share = node, 1.0
-        node.points += points * (1 - in_links / len(text))
-        if node.parent is not None:
-            node.parent.points += points * (1 - in_links / len(text)) / 2
+        prose = len(text) if kind == "p" and points and in_links * 4 < len(text) else 0
+        up, share = node, points * (1 - in_links / len(text))
         while up is not None:
+            up.points += share
+            share /= 2
+            up.prose += prose
             up.size += len(text)
             up.links += in_links
             up = up.parent
@@ -236,21 +264,29 @@ def main_text(page: str | None) -> str:
     best = max((n for n in nodes if n.size), key=lambda n: score[id(n)])
     while best.name in ("p", "ul", "ol", "tr", "tbody", "blockquote") and best.parent is not None and best.parent is not root:
         best = best.parent
+    core, best = best, _climbed(best)
     kept = {id(best)}
-    if best.parent is not None and best.name != "article":
+    if best.parent is not None and best.name not in ("article", "main"):
         least = max(10.0, score[id(best)] * 0.2)
-        kept |= {id(n) for n in best.parent.children if n.size and (score[id(n)] >= least or n.size > 80 and n.links / n.size < 0.25 and n.name not in ("ul", "ol", "header"))}
+        short = 0 if _enclosing(best) is not None else 80
+        kept |= {id(n) for n in best.parent.children if n.size and (score[id(n)] >= least or n.size > short and n.links / n.size < 0.25 and n.name not in ("ul", "ol", "header"))}
         loose = best.parent
     else:
         loose = None
-    memo: dict[int, bool] = {}
+    memo: dict[int, bool] = {id(n): True for n in nodes if id(n) in kept}
+    # What the climb has added is kept branch by branch: not the branches that are mostly links.
+    lower = {id(core)}
+    while core is not best:
+        core = core.parent
+        memo |= {id(n): False for n in core.children if id(n) not in lower and n.size and n.links * 2 > n.size}
+        lower.add(id(core))
 
     def keeps(node: _Node) -> bool:
         chain, up = [], node
-        while up is not None and id(up) not in memo and id(up) not in kept:
+        while up is not None and id(up) not in memo:
             chain.append(id(up))
             up = up.parent
-        found = up is not None and (id(up) in kept or memo[id(up)])
+        found = up is not None and memo[id(up)]
         for x in chain:
             memo[x] = found
         return found

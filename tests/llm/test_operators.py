@@ -358,6 +358,16 @@ def test_skips_end_where_their_elements_do(page):
     assert html_main.main_text(page).split("\n") == [LONG, LONG]
 
 
+def test_all_branches_of_an_article():
+    p = [f"<p>{LONG} {i}, one, two, three, four, five</p>" for i in range(8)]
+    both = f"<article><div><div>{''.join(p[:4])}</div></div><div><div>{''.join(p[4:])}</div></div></article>"
+    assert html_main.main_text(f"<body>{both}</body>").count(LONG) == 8
+    one = f"<article><section>{''.join(p[:4])}</section><section><h2>Note</h2><p>Short end.</p></section><div><a href=1>Read more of this</a></div></article>"
+    assert html_main.main_text(f"<body>{one}</body>").split("\n")[4:] == ["Note", "Short end."]
+    without = f"<body><div><div><div>{''.join(p[:4])}</div></div><div><div>{''.join(p[4:])}</div></div></div><div>Imprint</div></body>"
+    assert html_main.main_text(without).count(LONG) == 8 and "Imprint" not in html_main.main_text(without)
+
+
 def test_extract_table(spark):
     frame = spark.createDataFrame([(1, "u", PAGE, 3), (2, None, None, 4), (2, None, None, 4)], "page_id long, url string, html string, text long")
     assert sorted((r["page_id"], r["n_chars"] > 0) for r in html_main.extract(frame).collect()) == [(1, True), (2, False), (2, False)]
