@@ -2,16 +2,16 @@
 
 The text is a string of words. A k-mer is k words in a row, its inner substrings are the s-mers; a
 k-mer is an anchor (a closed syncmer) if its smallest s-mer, by hash, is its first or its last. That
-depends on the k-mer alone, so an anchor survives any edit outside it. The fingerprint is the
-`keep` smallest distinct anchor hashes, in order: a bottom sketch, whose likeness to another estimates
-the Jaccard similarity of the two anchor sets.
+depends on the k-mer alone, so an anchor survives any edit outside it. The fingerprint is all distinct
+anchor hashes, in order; the likeness of two is the Jaccard similarity of the whole sets. placed() gives
+the anchors with their word positions, to find passages that two texts share.
 
 The next document's text comes by a window over ranges of the id, cut at quantiles; the first row of
 each range is added to the range before it, so every row meets its successor with one shuffle of the
 texts.
 
-Defined cases: null text is empty; a text with fewer than k words, but at least one, has one anchor,
-all its words; without words the fingerprint is empty, and two empty ones have likeness 1; equal ids
+Defined cases: null text is empty; a text with at least one word but no syncmer (always with fewer than k
+words, by chance with k or k + 1) has one anchor, all its words; without words the fingerprint is empty, and two empty ones have likeness 1; equal ids
 follow each other by text, a null id comes last; a table of one row is followed by itself; other
 columns are ignored.
 """
@@ -47,20 +47,27 @@ def anchors(text: Column, k: int = 5, s: int = 2) -> Column:
 
     def of(w: Column) -> Column:
         few = F.when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
-        return F.when(F.size(w) < k, few).otherwise(let(smers(w), lambda m: syncmers(w, m)))
+        found = let(let(smers(w), lambda m: syncmers(w, m)), lambda x: F.when(F.exists(x, F.isnotnull), x).otherwise(few))
+        return F.when(F.size(w) < k, few).otherwise(found)
 
     return let(word_hashes, of)
 
 
-def sketch(text: Column, keep: int = 64) -> Column:
-    return F.slice(F.array_sort(F.array_distinct(F.array_compact(anchors(text)))), 1, keep)
+def anchor_set(text: Column) -> Column:
+    """All different anchors of the text, in order of their hashes."""
+    return F.array_sort(F.array_distinct(F.array_compact(anchors(text))))
 
 
-def likeness(a: Column, b: Column, keep: int = 64) -> Column:
-    """Of two sketches: the share of the smallest `keep` of both together that both hold."""
-    joint = F.slice(F.array_sort(F.array_union(a, b)), 1, keep)
-    both = F.array_intersect(a, b)
-    return let(joint, lambda x: F.when(F.size(x) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(x, both)) / F.size(x)))
+def likeness(a: Column, b: Column) -> Column:
+    """The Jaccard similarity of two whole anchor sets; 1 of two empty ones."""
+    both = F.size(F.array_intersect(a, b))
+    return let(both, lambda n: F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(n / (F.size(a) + F.size(b) - n)))
+
+
+def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, position, anchor): every anchor of every row with the number of its first word, from 0, for positional matching."""
+    found = docs.select(F.col(id_col).cast("long").alias("id"), F.posexplode(anchors(F.coalesce(text_col, F.lit("")))).alias("position", "anchor"))
+    return found.filter("anchor IS NOT NULL")
 
 
 def printed(a: Column) -> Column:
@@ -77,7 +84,7 @@ def _ranges(ids: DataFrame, id_col: str, parts: int) -> tuple[Column, int]:
     return (F.when(F.col(id_col).isNull(), len(cuts)).otherwise(number) if cuts else F.lit(0)), len(cuts) + 1
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: int = 64) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
@@ -90,17 +97,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     before = spark.createDataFrame(list(zip(order, [order[-1], *order[:-1]], strict=True)) if order else [], "range int, before int")
     follow = first.join(F.broadcast(before), "range").select("first.id", "first.text", F.col("before").alias("range"), F.lit(1).alias("extra"))
     # A range's extra row closes it, also where its id is above theirs: after the last comes the first.
-    both = rows.withColumn("extra", F.lit(0)).unionByName(follow).withColumn("sketch", sketch(F.col("text"), keep))
+    both = rows.withColumn("extra", F.lit(0)).unionByName(follow)
     ahead = Window.partitionBy("range").orderBy("extra", F.desc_nulls_last("id"), F.desc("text"))
-    both = both.withColumn("next", F.lead(F.struct("text", "sketch")).over(ahead)).filter("extra = 0")
+    both = both.withColumn("next", F.lead(F.struct("text")).over(ahead)).filter("extra = 0")
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half))
-    out = both.select("id", n.cast("long").alias("n_chars"), "sketch", F.col("next.sketch").alias("next_sketch"), edited.alias("edited"))
-    out = out.withColumns({"edited_sketch": sketch(F.col("edited"), keep), "edited_sha256": F.sha2("edited", 256)})
+    # The sets are taken after the exchange: a text's own and its successor's, rather than carrying them beside the texts.
+    out = both.select("id", n.cast("long").alias("n_chars"), "text", F.col("next.text").alias("after"), edited.alias("edited"))
+    out = out.withColumns({"own_set": anchor_set(F.col("text")), "next_set": anchor_set(F.col("after")), "edited_set": anchor_set(F.col("edited")), "edited_sha256": F.sha2("edited", 256)})
     return out.select(
-        "id", "n_chars", "edited_sha256", printed(F.col("sketch")).alias("fingerprint"), printed(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch"), keep).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch"), keep).alias("near_next"),
+        "id", "n_chars", "edited_sha256", printed(F.col("own_set")).alias("fingerprint"), printed(F.col("edited_set")).alias("edited_fingerprint"),
+        likeness(F.col("own_set"), F.col("edited_set")).alias("near_edited"), likeness(F.col("own_set"), F.col("next_set")).alias("near_next"),
     )
 
 

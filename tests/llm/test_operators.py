@@ -454,6 +454,25 @@ def test_anchors_are_closed_syncmers(spark):
     assert len(whole) == sum(min(smers[i], smers[i + 3]) <= min(smers[i + 1], smers[i + 2]) for i in range(296))
 
 
+def test_short_texts_have_a_fingerprint(spark):
+    made = [(i, " ".join(f"w{i}x{j}" for j in range(5 + i % 2))) for i in range(40)]
+    got = fingerprints.fingerprints(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    assert all(r["fingerprint"] and r["near_next"] == 0 for r in got)
+    assert len({r["fingerprint"] for r in got}) == 40
+
+
+def test_passages_of_long_texts_match_by_position(spark):
+    shared = [f"s{i}" for i in range(50)]
+    made = [(d, " ".join([f"{d}a{i}" for i in range(at)] + shared + [f"{d}b{i}" for i in range(6000 - at)])) for d, at in ((1, 1000), (2, 4000))]
+    frame = spark.createDataFrame(made, "doc_id long, text string")
+    a, b = (fingerprints.placed(frame).filter(F.col("id") == d).select("anchor", F.col("position").alias(f"p{d}")) for d in (1, 2))
+    hits = a.join(b, "anchor").collect()
+    assert len(hits) >= 10 and all(r["p2"] - r["p1"] == 3000 and 1000 <= r["p1"] <= 1045 for r in hits)
+    sizes = [fingerprints.placed(frame).filter(F.col("id") == d).select("anchor").distinct().count() for d in (1, 2)]
+    near = {r["near_next"] for r in fingerprints.fingerprints(frame).collect()}
+    assert near == {len(hits) / (sum(sizes) - len(hits))}
+
+
 # Quality
 
 
