@@ -29,9 +29,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays; 5-word shingles, 80 percent."""
-    kept = near_classes(docs).filter("id = component").select(F.col("id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi")
+    """One document of each group of near duplicates stays, that of the smallest id; 5-word shingles, 80 percent.
+
+    Rows are judged by a key of their own: a null id is a document like others (after all ids, if its
+    group has one), and of copies under one id one row stays.
+    """
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+    classes = near_classes(rows, "_row").select("id", "component")
+    named_rows = rows.select(F.col("_row").alias("id"), F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row").alias("rank"))
+    kept = classes.join(named_rows, "id").groupBy("component").agg(F.min("rank").alias("rank")).select(F.col("rank._row").alias("_kept_row"))
+    return rows.join(kept, F.col("_row") == F.col("_kept_row"), "left_semi").select(named(docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,3 +32,11 @@ def test_line_dedup_equals_its_sql(spark):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
     want = sorted(map(tuple, con.execute(ORACLES["op1_line_dedup"]).fetchall()))
     assert sorted((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in QUERIES["op1_line_dedup"](spark, str(SF)).collect()) == want
+
+
+def test_near_dedup_of_null_and_equal_ids(spark):
+    text = lambda x: " ".join(f"{x}{i}" for i in range(40))
+    made = [(None, text("a")), (None, text("b")), (None, text("b")), (7, text("c")), (7, text("c")), (7, text("d")), (9, text("d")), (None, text("c")), (None, ""), (None, None), (3, "")]
+    frame = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, corpus_pipeline.near_dedup(spark, frame, "").collect()), key=str)
+    assert got == sorted([(None, text("a")), (None, text("b")), (7, text("c")), (7, text("d")), (None, ""), (None, None), (3, "")], key=str)
