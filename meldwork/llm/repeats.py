@@ -14,8 +14,10 @@ one minimizer form a fragment. Three exchanges, all of blobs from slice to bucke
    earlier document, the match is long and the bytes go.
 3. The spans to remove come back to the slices.
 
-A minimizer that a third of all documents share counts once in a slice, so no bucket gets a row for
-each of its occurrences. Only passages that do repeat are indexed.
+Equal fragments count once in a slice. The fragments at the edges of a passage that many documents share
+differ in every one of them, though their minimizer is the same; where a minimizer has more than HOT
+different fragments, their windows of `length` bytes go out under a 128-bit hash of the whole string
+instead, and the smallest document of each hash is a grouped minimum, so no group holds them all. Only passages that do repeat are indexed.
 
 Defined cases: null text is empty; a text shorter than `length` loses nothing; equal ids don't take
 from each other; a null id neither loses nor takes anything; other columns are ignored.
@@ -39,6 +41,10 @@ SLICE = 1 << 21
 GRAM = 16
 #: Bytes kept of a minimizer and of a fragment's hash; a fragment is known by both.
 KEY_BYTES = 5
+#: Different fragments of one minimizer above which they are compared window by window instead of in one bucket.
+HOT = 1 << 14
+#: The bucket number that marks rows of such windows, and windows in a row.
+_WINDOWS, _WINDOW_ROWS = -1, 1 << 16
 _KEY = np.uint64((1 << 8 * KEY_BYTES) - 1)
 
 
@@ -148,8 +154,8 @@ def _announce(slices: DataFrame, buckets: int, length: int) -> DataFrame:
     return slices.mapInArrow(run, "bucket long, slice long, n long, docs long, blob binary")
 
 
-def _answer(told: DataFrame) -> DataFrame:
-    """(slice, blob): for fragments of the slice, their short gram and mark, and 1 (all held earlier) or 2 (bytes wanted)."""
+def _answer(told: DataFrame, hot: int) -> DataFrame:
+    """(slice, blob): for fragments of the slice, their short gram and mark, and 1 (all held earlier), 2 (bytes wanted) or 3 (windows wanted)."""
 
     def run(table: pa.Table) -> pa.Table:
         grams, marks, docs, froms = [], [], [], []
@@ -173,7 +179,7 @@ def _answer(told: DataFrame) -> DataFrame:
         at_gram = np.flatnonzero(new_gram)
         kinds = np.add.reduceat(new_mark.astype(np.int64), at_gram) if len(at_gram) else at_gram
         kinds = np.repeat(kinds, np.diff(np.append(at_gram, len(doc))))
-        reply = np.where(doc > first, 1, np.where(kinds > 1, 2, 0)).astype(np.uint8)
+        reply = np.where(doc > first, 1, np.where(kinds > hot, 3, np.where(kinds > 1, 2, 0))).astype(np.uint8)
         keep = np.flatnonzero(reply)
         out = [(s, len(p), _packed(_short(gram[keep[p]]), _short(mark[keep[p]]), reply[keep[p]])) for s, p in _spread(source[keep])]
         columns = list(zip(*out, strict=True)) if out else [(), (), ()]
@@ -194,6 +200,13 @@ def _merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray
 _SPANS = "slice long, bucket long, n long, blob binary"
 
 
+def _window_hashes(body: np.ndarray, at: np.ndarray, length: int, salt: int) -> np.ndarray:
+    value = mix(np.arange(salt, salt + 256, dtype=np.uint64) * np.uint64(_STEP))
+    sums = np.zeros(len(body) + 1, np.uint64)
+    np.cumsum(value[body] * _powers(_STEP, len(body)), out=sums[1:])
+    return mix((sums[at + length] - sums[at]) * _powers(_BACK, len(body))[at])
+
+
 def _resolve(slices: DataFrame, buckets: int, length: int) -> DataFrame:
     """_SPANS rows: with bucket null, spans of the slice to remove; else fragments whose bytes are wanted there."""
 
@@ -219,6 +232,15 @@ def _resolve(slices: DataFrame, buckets: int, length: int) -> DataFrame:
                     w = wanted[part]
                     text = b"".join(body[x:y].tobytes() for x, y in zip(f["start"][w], f["stop"][w], strict=True))
                     out.append((row["slice"], b, len(w), _packed(f["doc"][w], f["start"][w].astype(np.int64), (f["stop"] - f["start"])[w].astype(np.int64)) + text))
+                hot = np.flatnonzero((reply[number] == 3) & (f["doc"] == first))
+                if len(hot):
+                    count = (f["stop"] - f["start"])[hot] - length + 1
+                    at_ = np.repeat(f["start"][hot] - np.cumsum(count) + count, count) + np.arange(count.sum())
+                    doc = np.repeat(f["doc"][hot], count)
+                    a, b = (_window_hashes(body, at_, length, salt) for salt in (1, 1 << 32))
+                    for j in range(0, len(at_), _WINDOW_ROWS):
+                        part = slice(j, j + _WINDOW_ROWS)
+                        out.append((row["slice"], _WINDOWS, len(at_[part]), _packed(a[part], b[part], doc[part], at_[part])))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["slice", "bucket", "n", "blob"])
 
@@ -284,6 +306,25 @@ def _index(asked: DataFrame, length: int) -> DataFrame:
     return asked.groupBy("bucket").applyInArrow(run, _SPANS)
 
 
+def _hot(asked: DataFrame, length: int) -> DataFrame:
+    """_SPANS rows: windows of hot minimizers that an earlier document holds, by a grouped minimum over the hash of the whole string."""
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for slice_, n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                columns = np.frombuffer(blob.as_buffer(), np.int64).reshape(4, n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, slice_)), *map(pa.array, columns)], names=["slice", "a", "b", "doc", "start"])
+
+    def run(table: pa.Table) -> pa.Table:
+        start = table["start"].to_numpy()
+        a, b = _merged(start, start + length)
+        return pa.table({"slice": table["slice"].slice(0, 1), "bucket": pa.array([None], pa.int64()), "n": pa.array([len(a)], pa.int64()), "blob": pa.array([_packed(a, b)], pa.binary())})
+
+    windows = asked.select("slice", "n", "blob").mapInArrow(opened, "slice long, a long, b long, doc long, start long")
+    first = windows.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").drop("last")
+    return windows.join(first, ["a", "b"]).filter("doc > first").select("slice", "start").groupBy("slice").applyInArrow(run, _SPANS)
+
+
 def _removed(slices: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): every document without its spans."""
 
@@ -328,9 +369,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     _slices(docs, id_col, text_col).repartition(parts, "slice").write.bucketBy(parts, "slice").sortBy("slice").option("path", scratch(spark, name, name)).saveAsTable(name)
     slices = spark.table(name)
     total = slices.agg(F.sum("n_bytes")).first()[0] or 0
-    answers = _answer(_announce(slices, max(parts, total >> 24), length))
+    answers = _answer(_announce(slices, max(parts, total >> 24), length), HOT)
     found = written(_resolve(_with_answers(slices, answers), max(parts, total >> 21), length), "repeat-fragments")
-    spans = found.filter("bucket IS NULL").unionByName(_index(found.filter("bucket IS NOT NULL"), length))
+    spans = found.filter("bucket IS NULL").unionByName(_index(found.filter(f"bucket <> {_WINDOWS}"), length))
+    spans = spans.unionByName(_hot(found.filter(f"bucket = {_WINDOWS}"), length))
     out = _removed(_with_answers(slices, spans))
     odd = docs.filter(F.col(id_col).isNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(text_col, F.lit("")), "UTF-8").alias("kept"))
     odd = odd.select("doc_id", F.octet_length("kept").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "kept")

@@ -137,6 +137,22 @@ def test_repeats(docs, rows, none, length, monkeypatch):
     assert repeats.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 8])
+def test_repeats_of_hot_minimizers(spark, hot, monkeypatch):
+    rnd = random.Random(5)
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(90))
+    made = [(i, f"{''.join(rnd.choice('stuvwxyz') for _ in range(30 + i % 3))}{passage[i % 4:]}{''.join(rnd.choice('stuvwxyz') for _ in range(40))}") for i in range(60)]
+    frame = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    asked = []
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "SLICE", 1000)
+    index = repeats._index
+    monkeypatch.setattr(repeats, "_index", lambda found, length: asked.append(found.agg(F.sum("n")).first()[0] or 0) or index(found, length))
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in repeats.remove_repeats(frame).collect()}
+    assert got == brute_repeats(dict(made), 50) and sum(r[1] for r in got.values()) > 59 * 80
+    assert asked[0] < 60  # each document's edge differs, so 60 of them had met in one bucket
+
+
 def test_repeats_of_equal_and_null_ids(spark):
     t = "the very same passage of more than fifty bytes stands here in full"
     got = repeats.remove_repeats(spark.createDataFrame([(5, t), (5, t), (None, t), (9, f"x {t} {t}")], "doc_id long, text string")).collect()
