@@ -9,26 +9,32 @@ enough or read like paragraphs (within an article or main: any of low link densi
 are joined in page order. Elements that never hold article text (menus, footers, asides, forms,
 scripts, styles, and containers whose class, id or role names such a thing) are skipped with all they
 hold; a container that another of its names calls content is kept if it holds a paragraph. A page
-without any block is read again without asking for names.
+without any block is read again without asking for names, then with the paragraphs of its forms.
 
 Defined cases: null or empty html gives the empty string; unclosed and stray tags are repaired as
 browsers do for the tags that matter (p closes p, li closes li, and so on; an unknown end tag is
-ignored); a page without any block gives the empty string; repeated rows are each extracted; nothing
-is cut or capped.
+ignored); a container that is to go for its names but is never closed loses all but its paragraphs;
+attributes are read by the states of the HTML standard; a `<` that no `>` follows is text; a page without
+any block gives the empty string; repeated rows are each extracted; nothing is cut or capped; the time
+is linear in the page, at any depth of nesting.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from meldwork.llm.common import map_rows
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NAMES = re.compile(r"\b(class|id|role|hidden|style|aria-hidden|itemprop)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+# One attribute, or the end of the tag; the states of the HTML standard: a quote opens a value only right behind the
+# equals sign, and a quote that nothing closes is part of an unquoted value.
+_ATTRIBUTE = re.compile(r"""[\s/]*+(?:(>)|(=?[^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?)""")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_COMMENT = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?", re.S)
 #: Elements whose text up to the end tag isn't markup.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript"}
 #: Elements that hold no article text.
@@ -37,11 +43,18 @@ SKIP = RAW | {"nav", "footer", "aside", "form", "button", "select", "option", "i
 BLOCK = {"address", "article", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"} | SKIP
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 CONTAINER = {"article", "main", "section", "div", "body", "td", "blockquote", "figure", "details", "header", "html", "center", "table", "tbody", "tr", "ul", "ol", "dl"}
-#: What an open element is closed by, and where that search ends.
+#: Where the search for an open element ends.
+SCOPES = {
+    "flow": CONTAINER | SKIP, "list": {"ul", "ol"} | SKIP, "items": {"ul", "ol"}, "terms": {"dl"} | SKIP, "table": {"table"}, "row": {"tr", "table"}, "cell": {"td", "th"}, "select": {"select", "datalist"}, "block": BLOCK, "page": set(),
+}
+_SCOPES_OF = {n: tuple(k for k, v in SCOPES.items() if n in v) for n in BLOCK | CONTAINER | SKIP}
+#: The open elements that a start tag closes, and the scope in which it looks for them.
 CLOSES = {
-    "p": ({"p"}, CONTAINER | SKIP), "li": ({"li"}, {"ul", "ol"} | SKIP), "dt": ({"dt", "dd"}, {"dl"} | SKIP), "dd": ({"dt", "dd"}, {"dl"} | SKIP), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
-    "tbody": ({"thead", "tbody", "tr"}, {"table"}), "tfoot": ({"thead", "tbody", "tr"}, {"table"}), "option": ({"option"}, {"select", "datalist"}), "a": ({"a"}, BLOCK),
+    "p": ({"p"}, "flow"), "li": ({"li"}, "list"), "dt": ({"dt", "dd"}, "terms"), "dd": ({"dt", "dd"}, "terms"), "tr": ({"tr"}, "table"), "td": ({"td", "th"}, "row"), "th": ({"td", "th"}, "row"),
+    "tbody": ({"thead", "tbody", "tr"}, "table"), "tfoot": ({"thead", "tbody", "tr"}, "table"), "option": ({"option"}, "select"), "a": ({"a"}, "block"),
 }
+#: Elements whose end tag may be missing: what follows closes them.
+OMITTED = {"p", "li", "dt", "dd", "tr", "td", "th", "tbody", "thead", "tfoot", "option", "body", "html"}
 #: Skipped elements that stand within a paragraph and don't end it.
 PHRASE = {"button", "select", "option", "input", "label", "svg", "canvas", "object", "embed", "audio", "video", "map", "datalist", "template"} | RAW
 CELLS = {"td", "th", "tr", "tbody", "thead", "tfoot"}
@@ -54,6 +67,7 @@ UNLIKELY = re.compile(
 LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without)[_-]\S+", re.I)
 LIKELY = re.compile(r"article|content|entry|main|post|story|text|body", re.I)
 _SPACE = re.compile(r"\s+")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Node:
@@ -66,14 +80,26 @@ class _Node:
             parent.children.append(self)
 
 
-def _names(attributes: str) -> tuple[str, bool]:
+def _attributes(page: str, at: int) -> tuple[list[tuple[str, str]], int]:
+    """The attributes of the tag whose name ends at `at`, and the place behind the tag; 0 where the page ends first."""
+    found = []
+    while at < len(page):
+        m = _ATTRIBUTE.match(page, at)
+        at = m.end()
+        if m[1]:
+            return found, at
+        if m[2]:
+            found.append((m[2].lower(), m[3] or m[4] or m[5] or ""))
+    return found, 0
+
+
+def _names(attributes: list[tuple[str, str]]) -> tuple[str, bool]:
     """What class, id and role say, and whether the element is hidden."""
     words, hidden = [], False
-    for key, *value in _NAMES.findall(attributes):
-        key, value = key.lower(), "".join(value)
+    for key, value in attributes:
         if key in ("class", "id", "role"):
             words.append(value)
-        elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+        elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and _HIDDEN.search(value):
             hidden = True
     return " ".join(words), hidden
 
@@ -91,122 +117,192 @@ def _unlikely(words: str) -> tuple[bool, bool]:
     return True, any(LIKELY.search(w) and not UNLIKELY.search(w) for w in words.split())
 
 
-def _read(page: str, loose: bool = False) -> tuple[_Node, list[tuple[_Node, str, int, str]]]:
-    """The tree, and the page's blocks: (container or block element, text, characters in links, element).
-
-    A skipped element stays on the stack of open ones, and its subtree is followed by the same rules, so
-    that whatever closes it ends the skip. A container whose names disagree is read, and kept if it holds a paragraph.
-    With `loose`, no element is skipped for its names.
+class _Open:
+    """The open elements, outermost first, with the places of each name and the last place of each scope."""
+
+    def __init__(self, root: _Node) -> None:
+        self.names, self.nodes = ["root"], [root]
+        self.places: dict[str, list[int]] = {}
+        self.scopes: dict[str, list[int]] = {k: [0] for k in SCOPES}
+
+    def push(self, name: str, node: _Node) -> None:
+        at = len(self.names)
+        self.places.setdefault(name, []).append(at)
+        for k in _SCOPES_OF.get(name, ()):
+            self.scopes[k].append(at)
+        self.names.append(name)
+        self.nodes.append(node)
+
+    def cut(self, upto: int) -> None:
+        for i in range(len(self.names) - 1, upto - 1, -1):
+            name = self.names.pop()
+            self.places[name].pop()
+            for k in _SCOPES_OF.get(name, ()):
+                self.scopes[k].pop()
+        del self.nodes[upto:]
+
+    def find(self, names: set[str], scope: str) -> int:
+        """The place of the innermost open element of one of the names within the scope, or 0."""
+        best = max((p[-1] for n in names if (p := self.places.get(n))), default=0)
+        return best if best > self.scopes[scope][-1] else 0
+
+    def outermost(self, names: set[str], scope: str) -> int:
+        """The place of the outermost open element of one of the names within the scope, or 0."""
+        bound = self.scopes[scope][-1]
+        return min((p[i] for n in names if (p := self.places.get(n)) and (i := bisect_right(p, bound)) < len(p)), default=0)
+
+    def has(self, *names: str) -> bool:
+        return any(self.places.get(n) for n in names)
+
+
+def _read(page: str, level: int = 0) -> tuple[list[_Node], list[tuple[_Node, str, int, str]]]:
+    """The tree's nodes, parents first, and the page's blocks: (container or block element, text, characters in links, element).
+
+    A skipped element stays among the open ones, and its subtree is followed by the same rules, so that
+    whatever closes it ends the skip. A container that is to go for its names is in doubt: it is read, and its blocks go
+    when its own end tag comes; where that is missing, its paragraphs stay. One whose names disagree stays
+    if it holds a paragraph. At level 1 no element goes for its names, at level 2 forms are in doubt too.
+    Every step costs the same at any depth, so the time is linear in the page.
     """
     root = _Node("root", None)
-    open_: list[tuple[str, _Node]] = [("root", root)]
-    blocks: list[tuple[_Node, str, int, str]] = []
+    tree, up = [root], _Open(root)
+    blocks: list[tuple[_Node, str, int, str] | None] = []
+    prose: list[int] = []  # numbers of blocks that are paragraphs
+    other: list[int] = []  # and of the rest
+    doubts: list[tuple[int, int, bool]] = []  # place among the open elements, first block, spared
     parts: list[str] = []
-    link, skipped, linked, at = 0, 0, [], 0  # skipped: the skipped element's place in open_
-    doubts: list[tuple[_Node, int]] = []
+    linked: list[int] = []
+    link, skipped = 0, 0  # skipped: the skipped element's place among the open ones
+    inline = False  # whether it stands in running text and goes for its names
+    unended: set[str] = set()
 
     def flush() -> None:
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
-            blocks.append((open_[-1][1], text, min(len(text), sum(linked)), open_[-1][0]))
+            in_links, kind = min(len(text), sum(linked)), up.names[-1]
+            (prose if kind == "p" and len(text) >= 25 and in_links * 4 < len(text) else other).append(len(blocks))
+            blocks.append((up.nodes[-1], text, in_links, kind))
         parts.clear()
         linked.clear()
 
-    def close(upto: int) -> None:
+    def drop(numbers: list[int], begin: int) -> None:
+        while numbers and numbers[-1] >= begin:
+            blocks[numbers.pop()] = None
+
+    def close(upto: int, name: str | None = None) -> None:
+        """Close the elements from `upto` on; name is that of the end tag that does it."""
         nonlocal skipped
         flush()
-        while doubts and not any(n is doubts[-1][0] for _, n in open_[:upto]):
-            settle(*doubts.pop())
-        del open_[upto:]
+        while doubts and doubts[-1][0] >= upto:
+            place, begin, spared = doubts.pop()
+            ended = place == upto and name == up.names[place]
+            if spared and prose and prose[-1] >= begin:
+                continue
+            drop(other, begin)
+            if ended or spared:
+                drop(prose, begin)
+        up.cut(upto)
         if upto <= skipped:
             skipped = 0
 
-    def settle(node: _Node, begin: int) -> None:
-        if not any(kind == "p" and len(text) >= 25 and in_links * 4 < len(text) for _, text, in_links, kind in blocks[begin:]):
-            del blocks[begin:]
-
-    def find(names: set[str], stops: set[str], outermost: bool = False) -> int:
-        """The place of the open element of one of the names, or 0."""
-        found = 0
-        for i in range(len(open_) - 1, 0, -1):
-            if open_[i][0] in names:
-                found = i
-                if not outermost:
-                    break
-            elif open_[i][0] in stops:
-                break
-        return found
-
-    size = len(page)
+    size, last = len(page), page.rfind(">")
+    at = quoted_to_the_end = 0
     while at < size:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            if not skipped:
-                parts.append(page[at:])
-            break
-        if m.start() > at and not skipped:
-            run = page[at : m.start()]
+        begin = page.find("<", at)
+        begin = size if begin < 0 else begin
+        if begin > last:  # no tag can end, so what is left is text
+            begin = size
+        if begin > at and not skipped:
+            run = page[at:begin]
             parts.append(run)
             if link:
                 linked.append(len(run.strip()))
-        at = m.end()
-        name = m[2]
-        if name is None:
+        if begin == size:
+            break
+        sign = page[begin + 1]
+        if sign in "!?":
+            at = _COMMENT.match(page, begin).end()
+            continue
+        ends = sign == "/"
+        m = _NAME.match(page, begin + 1 + ends)
+        if m is None:
+            at = begin + 1
+            if ends:  # as the standard has it, a comment
+                at = page.find(">", begin) + 1
+            elif not skipped:
+                parts.append("<")
             continue
-        name = name.lower()
-        if m[1]:  # an end tag
+        name, attributes, at = m[0].lower(), [], m.end()
+        if page[at : at + 1] == ">":
+            at += 1
+        else:
+            attributes, behind = ([], 0) if quoted_to_the_end else _attributes(page, at)
+            if not behind:  # a quote has swallowed the last >: from here on tags end at the next one
+                quoted_to_the_end, behind = 1, page.find(">", at) + 1
+            at = behind
+        if ends:
             if name in BLOCK:
-                i = find({name}, {"ul", "ol"} if name == "li" else {"table"} if name in CELLS else {"td", "th"} if name != "table" else set())
+                i = up.find({name}, "items" if name == "li" else "table" if name in CELLS else "page" if name == "table" else "cell")
             else:
-                i = find({name}, BLOCK) if skipped else 0
+                i = up.find({name}, "block") if up.places.get(name) else 0
             if i:
-                close(i)
+                close(i, name)
             elif name == "a":
                 link = max(0, link - 1)
             elif name in BLOCK and not skipped:
                 flush()
             continue
-        if name in RAW:
-            flush()
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else size
-            continue
+        if name in RAW and name not in unended:
+            end = re.compile(rf"</{name}(?=[\s/>])[^>]*+(?:>|\Z)", re.I).search(page, at)
+            if end or name in ("script", "style"):
+                flush()
+                at = end.end() if end else size
+                continue
+            unended.add(name)  # its text is read as markup, and skipped until the next block
+        if skipped and up.names[skipped] in unended and name in BLOCK and name not in RAW:
+            close(skipped)
         if name in BLOCK or skipped and name == "a":
+            if skipped and inline and name in CONTAINER | {"p"} and up.names[skipped] != "a":  # running text holds no blocks: it may never be closed
+                doubts.append((skipped, len(blocks), False))
+                skipped = 0
             if not skipped:
                 flush()
-            gone, stop = CLOSES.get(name, (set(), set()) if name in PHRASE or name in ("html", "body") else ({"p"}, CONTAINER | SKIP))
-            i = find(gone, stop, outermost=name in ("tbody", "tfoot")) if gone else 0
+            gone, scope = CLOSES.get(name, (set(), "page") if name in PHRASE or name in ("html", "body") else ({"p"}, "flow"))
+            i = (up.outermost if name in ("tbody", "tfoot") else up.find)(gone, scope) if gone else 0
             if i:
                 close(i)
-            if name == "body" or name not in SKIP:  # what can't be in a head ends it
-                i = find({"head"}, set()) if name in BLOCK and name != "html" else 0
-                if i:
-                    close(i)
-        void = name in VOID or m[3].endswith("/")
+            if name in BLOCK and name != "html" and (name == "body" or name not in SKIP) and (i := up.find({"head"}, "page")):
+                close(i)  # what can't be in a head ends it
+        void = name in VOID or page[at - 2] == "/" and name not in BLOCK
         if skipped:
+            if name == "main" and up.names[skipped] in ("nav", "footer", "aside", "header", "form"):  # these never hold it
+                close(skipped)
+            else:
+                if not void:
+                    up.push(name, up.nodes[-1])
+                continue
+        words, hidden = _names(attributes) if attributes else ("", False)
+        named, spared = _unlikely(words) if words and not level and name not in ("html", "body", "article", "main") else (False, False)
+        doubtful = named and name in CONTAINER and name not in OMITTED or level > 1 and name == "form"
+        if hidden or name in SKIP and not doubtful or name == "header" and not up.has("article", "main") or named and not doubtful:
             if not void:
-                open_.append((name, open_[-1][1]))
-            continue
-        words, hidden = _names(m[3]) if m[3] else ("", False)
-        inside = any(n in ("article", "main") for n, _ in open_)
-        named, spared = _unlikely(words) if words and not loose and name not in ("html", "body", "article", "main") else (False, False)
-        spared = spared and name in CONTAINER
-        if hidden or name in SKIP or name == "header" and not inside or named and not spared:
-            if not void:
-                open_.append((name, open_[-1][1]))
-                skipped = len(open_) - 1
+                skipped, inline = len(up.names), named and not hidden and name not in BLOCK
+                up.push(name, up.nodes[-1])
             continue
         if name == "br":
             parts.append("\n")
         elif name == "a":
             link += 1
         elif name in BLOCK and name not in VOID:
-            node = _Node(name, open_[-1][1], _start_points(name, words)) if name in CONTAINER else open_[-1][1]
-            open_.append((name, node))
-            if named:
-                doubts.append((node, len(blocks)))
+            node = up.nodes[-1]
+            if name in CONTAINER:
+                node = _Node(name, node, _start_points(name, words))
+                tree.append(node)
+            if doubtful:
+                doubts.append((len(up.names), len(blocks), spared or name == "form"))
+            up.push(name, node)
     close(1)
-    return root, blocks
+    return tree, [b for b in blocks if b is not None]
 
 
 def _enclosing(node: _Node) -> _Node | None:
@@ -238,29 +334,29 @@ def main_text(page: str | None) -> str:
     """The article's blocks, joined by newlines."""
     if not page:
         return ""
-    root, blocks = _read(page)
-    if not blocks:
-        root, blocks = _read(page, loose=True)
-    if not blocks:
+    for level in range(3):
+        nodes, blocks = _read(page, level)
+        if blocks:
+            break
+    else:
         return ""
+    root, flow = nodes[0], {}
     for node, text, in_links, kind in blocks:
         points = 1 + text.count(",") + min(3, len(text) // 100) if len(text) >= 25 else 0
-        prose = len(text) if kind == "p" and points and in_links * 4 < len(text) else 0
-        up, share = node, points * (1 - in_links / len(text))
-        while up is not None:
-            up.points += share
-            share /= 2
-            up.prose += prose
-            up.size += len(text)
-            up.links += in_links
-            up = up.parent
+        flow[id(node)] = flow.get(id(node), 0.0) + points * (1 - in_links / len(text))
+        node.prose += len(text) if kind == "p" and points and in_links * 4 < len(text) else 0
+        node.size += len(text)
+        node.links += in_links
     score: dict[int, float] = {}
-    nodes, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        nodes.append(node)
-        stack.extend(reversed(node.children))
+    for node in reversed(nodes):  # children before their parents
+        share, up = flow.get(id(node), 0.0), node.parent
+        node.points += share
         score[id(node)] = node.points * (1 - node.links / node.size) if node.size else 0.0
+        if up is not None:
+            flow[id(up)] = flow.get(id(up), 0.0) + share / 2
+            up.prose += node.prose
+            up.size += node.size
+            up.links += node.links
     best = max((n for n in nodes if n.size), key=lambda n: score[id(n)])
     while best.name in ("p", "ul", "ol", "tr", "tbody", "blockquote") and best.parent is not None and best.parent is not root:
         best = best.parent

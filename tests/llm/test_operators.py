@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from itertools import pairwise
 from pathlib import Path
@@ -374,6 +375,68 @@ def test_skips_end_where_their_elements_do(page):
     assert html_main.main_text(page).split("\n") == [LONG, LONG]
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    (f'<article><p>{LONG} 1<p class="share">Share this<p>{LONG} 2</p></article>', [f"{LONG} 1", f"{LONG} 2"]),
+    (f"<p title=it's>{LONG} 1</p><p>{LONG}, it's</p>", [f"{LONG} 1", f"{LONG}, it's"]),
+    (f'<p title="5>{LONG} 1</p><p>{LONG} 2</p>', [f"{LONG} 1", f"{LONG} 2"]),
+    (f'<div data-id="related"><p>{LONG}</p></div>', [LONG]),
+    (f"<article><div class=ad>Buy now<p>{LONG}</p></article>", [LONG]),
+    (f"<article><span class=share>Share<p>{LONG} 1</p><p>{LONG} 2</p></article>", [f"{LONG} 1", f"{LONG} 2"]),
+    (f"<article><span class=share>Share<div>it</div></span><a class=share><div>Share</div></a><p>{LONG}</p></article>", [LONG]),
+    (f"<nav><a href=1>x</a><main><p>{LONG}</p></main>", [LONG]),
+    (f"<title>T<body><p>{LONG}</p>", [LONG]),
+    (f"<form><div><p>{LONG}</p></div><p>x</p></form>", [LONG, "x"]),
+    (f"<p>{LONG}, 1 < 2, <3, </3>x</ p>", [f"{LONG}, 1 < 2, <3, x"]),
+    (f"<!--><p>{LONG}</p><!-- a --!>b<!---->", [LONG, "b"]),
+    (f"<p>{LONG} <a <b <c", [f"{LONG} <a <b <c"]),
+])
+def test_broken_markup_loses_no_text(page, want):
+    assert html_main.main_text(page).split("\n") == want
+
+
+def test_generated_pages_against_a_second_parser():
+    """Paragraphs with unclosed, stray and quoted markup: the texts as the standard library's parser sees them."""
+    from html.parser import HTMLParser
+
+    class Texts(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.blocks, self.off = [""], 0
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("p", "li", "ul", "h2", "div"):
+                self.blocks.append("")
+
+        def handle_endtag(self, tag):
+            if tag in ("p", "li", "ul", "h2", "div"):
+                self.blocks.append("")
+
+        def handle_data(self, data):
+            self.blocks[-1] += data
+
+    rnd = random.Random(7)
+    attributes = ["", " title=it's", " title='a>b'", ' title="<p>"', " data-class=ad", ' data-x = "y"', " a=b/", " / hidden-x", " x=\"'\""]
+    for _ in range(300):
+        parts = []
+        for i in range(rnd.randint(3, 8)):
+            words = " ".join(rnd.choice(["word", "&amp; so", "text,", "<b>bold</b>", "<i>open", "</em>", "it's", "5 &lt; 6", "<br/>"]) for _ in range(rnd.randint(12, 20)))
+            a = rnd.choice(attributes)
+            parts.append(rnd.choice([f"<p{a}>{i} {words}</p>", f"<p{a}>{i} {words}", f"<div{a}><p{a}>{i} {words}</p></div>", f"<ul{a}><li{a}>{i} {words}<li>{words}</ul>", f"<h2{a}>{i} title here</h2><p>{i} {words}</p></div>"]))
+        body = "".join(parts)
+        second = Texts()
+        second.feed(body)
+        second.close()
+        want = [t for t in (re.sub(r"\s+", " ", b).strip() for b in second.blocks) if t]
+        assert html_main.main_text(f"<body><nav><p>Menu</p></nav><article>{body}</article></body>").replace("\n", "") == "".join(want)
+
+
+@pytest.mark.parametrize("page", ["<div>" * 50_000 + "Text", "<div><p>Some text of a paragraph, long enough" * 20_000, "<a " * 50_000, '<a b="' * 50_000 + ">", "<div class=ad>" * 30_000 + "x", "<div>" * 30_000 + "</section>" * 30_000, "<title>" * 30_000])
+def test_deep_and_unclosed_pages_take_linear_time(page):
+    began = time.perf_counter()
+    html_main.main_text(page)
+    assert time.perf_counter() - began < 20
+
+
 def test_all_branches_of_an_article():
     p = [f"<p>{LONG} {i}, one, two, three, four, five</p>" for i in range(8)]
     both = f"<article><div><div>{''.join(p[:4])}</div></div><div><div>{''.join(p[4:])}</div></div></article>"
