@@ -6,9 +6,12 @@ and no group grows with the corpus; a group is packed bin by bin: of the example
 one with the largest dot product of its demand and the bin's free room (both as fractions of the
 limits) goes in next, until none fits.
 
-Defined cases: null text is empty: the closing id alone; a document longer than a sequence is cut
-into full sequences and a rest; equal ids are separate documents; an empty table gives no rows; an
-example beyond a limit on its own is an error in pack(), as no bin can hold it.
+A document is read as an instruction example: the first `prompt` of its ids, a quarter, is its prompt and bears no
+loss. A sequence holds at most 7/8 of its length in loss-bearing ids and at most 32 segments, so parts of long
+documents behind the prompt must share theirs with prompts. Documents are cut at a quarter of a sequence, which leaves room for that.
+
+Defined cases: null text is empty: the closing id alone; equal ids are separate documents; an empty table gives
+no rows; an example beyond a limit on its own is an error in pack(), as no bin can hold it.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meldwork.llm.common import map_rows, written
@@ -49,7 +52,7 @@ def fill_bins(demand: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def pack(examples: DataFrame, amounts: dict[str, int], key: list[str], group_rows: int = 1000) -> DataFrame:
-    """examples with _group, _bin, and _ahead, how much of the first amount stands before it in the bin; amounts maps each limited column to its limit."""
+    """examples with _bin, and _ahead, how much of the first amount stands before it in the bin; amounts maps each limited column to its limit."""
     rows = examples.count()
     groups = max(1, -(-rows // group_rows))
     dealt = examples.withColumn("_group", F.pmod(F.xxhash64(*key), F.lit(groups)))
@@ -64,10 +67,10 @@ def pack(examples: DataFrame, amounts: dict[str, int], key: list[str], group_row
         first = np.flatnonzero(np.diff(bins[order], prepend=-1))
         ahead = np.empty(len(frame), np.int64)
         ahead[order] = total - np.repeat(total[first], np.diff(np.append(first, len(frame))))
-        return frame.assign(_bin=bins, _ahead=ahead)
+        return frame.assign(_bin=bins * groups + frame["_group"], _ahead=ahead)  # no two groups share a number
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields)
-    return dealt.groupBy("_group").applyInPandas(run, f"{fields}, _bin long, _ahead long")
+    return dealt.groupBy("_group").applyInPandas(run, f"{fields}, _bin long, _ahead long").drop("_group")
 
 
 #: Characters for which lower-casing, NFC and white space are the same in Python and in the tokenizer.
@@ -106,20 +109,21 @@ class WordTokenizer:
     Plain texts go word by word: words seen before are looked up, new ones are encoded together.
     The tokenizer ends every piece of a word with an id whose string ends in </w>, so a word of
     letters is one such piece; these go to a copy of the tokenizer that cuts at white space alone,
-    which is faster. Any other word gets a mark behind it.
+    which is faster. Any other word gets a mark behind it. A text that holds one of the tokenizer's special
+    strings, which it may find inside a word, is encoded whole.
     """
 
     def __init__(self, path: str, most: int = 700_000) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.model, self.quick = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.model.encode_special_tokens = self.quick.encode_special_tokens = True
         self.quick.normalizer = None
         self.quick.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ending = np.zeros(1 + max(self.model.get_vocab().values()), bool)
         self.ending[[i for t, i in self.model.get_vocab().items() if t.endswith("</w>")]] = True
         self.mark = self._encode(MARK)
-        self.most, self.odd = most, re.compile(PLAIN).search
+        special = [re.escape(t.content) for t in self.model.get_added_tokens_decoder().values()]
+        self.most, self.odd = most, re.compile("|".join([PLAIN, *special]), re.I).search
         self._forget()
 
     def _encode(self, text: str) -> np.ndarray:
@@ -182,8 +186,8 @@ class WordTokenizer:
         return [self._laid(n) if p else self._encode(t) for t, p, n in zip(texts, plain, number, strict=True)]
 
 
-def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, end_id: int = 1) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens): documents cut into full sequences and a rest."""
+def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = 512, end_id: int = 1) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens): documents cut into pieces of `length` and a rest."""
     made: list[WordTokenizer] = []
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -199,22 +203,19 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     return map_rows(docs.select(F.col(id_col).cast("long"), text_col), run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long", 1 << 20)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, segments: int = 512, group_rows: int = 1000) -> DataFrame:
-    """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+def loss_bearing(prompt: float) -> Column:
+    """The ids of a piece that stand behind its document's prompt."""
+    begin = F.greatest(F.col("start"), F.floor(F.col("doc_tokens") * prompt))
+    return F.greatest(F.lit(0), F.col("start") + F.col("length") - begin).cast("long")
 
-    Every id of a document bears loss except its first, which nothing predicts. Full pieces are
-    sequences of their own; the rest are packed under the three limits.
-    """
-    cut = written(pieces(docs, tokenizer, length=length).withColumn("_row", F.monotonically_increasing_id()), "pack-pieces")
-    amounts = {"length": length, "_segments": segments, "_loss": length}
-    rest = cut.filter(F.col("length") < length).withColumns({"_segments": F.lit(1), "_loss": F.col("length") - (F.col("start") == 0).cast("long")})
-    packed = pack(rest, amounts, ["doc_id", "start", "_row"], group_rows)
-    packed = packed.withColumnRenamed("_ahead", "offset")
-    # Full pieces come after the packed bins of their number space: even ids are packed bins, odd ids full pieces.
-    packed = packed.withColumn("sequence_id", 2 * (F.col("_group") * group_rows * 2 + F.col("_bin")))
-    full = cut.filter(F.col("length") == length).withColumns({"offset": F.lit(0).cast("long"), "sequence_id": 2 * F.col("_row") + 1})
-    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    return packed.select(columns).unionByName(full.select(columns))
+
+def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, segments: int = 32, loss: float = 0.875, prompt: float = 0.25, group_rows: int = 1000) -> DataFrame:
+    """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens."""
+    cut = written(pieces(docs, tokenizer, length=length // 4).withColumn("_row", F.monotonically_increasing_id()), "pack-pieces")
+    amounts = {"length": length, "_segments": segments, "loss_tokens": int(length * loss)}
+    packed = pack(cut.withColumns({"_segments": F.lit(1), "loss_tokens": loss_bearing(prompt)}), amounts, ["doc_id", "start", "_row"], group_rows)
+    packed = packed.withColumnsRenamed({"_ahead": "offset", "_bin": "sequence_id"})
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
 def tokenizer_path() -> str:

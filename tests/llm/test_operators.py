@@ -24,7 +24,7 @@ def corpus(seed=1, n=120):
     words = ["".join(rnd.choice("abcdeé") for _ in range(rnd.randint(1, 6))) for _ in range(150)]
     line = lambda k=9: " ".join(rnd.choice(words) for _ in range(k))
     shared, base = [line(14) for _ in range(6)], line(120)
-    texts = [None, "", " \t", "one", "One\n", "a b", "\n\n", "日本語 テキスト\r\nünïcode", line(3000)]
+    texts = [None, "", " \t", "one", "One\n", "a b", "\n\n", "日本語 テキスト\r\nünïcode", line(3000), "a <|startoftext|> b", "x<|ENDOFTEXT|>y plain words"]
     while len(texts) < n:
         kind = rnd.randrange(6)
         if kind == 0:
@@ -288,7 +288,6 @@ def test_tokens_and_packing(docs, rows, none):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(packing.tokenizer_path())
-    model.encode_special_tokens = True
     ids = {d: np.array([*model.encode(t, add_special_tokens=False).ids, 1], "<u4") for d, t in texts(rows).items()}
     got = packing.pack_documents(docs, packing.tokenizer_path(), length=64, group_rows=50).collect()
     bins, pieces = {}, {}
@@ -312,13 +311,28 @@ def test_word_tokenizer_is_exact():
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(packing.tokenizer_path())
-    model.encode_special_tokens = True
     fast = packing.WordTokenizer(packing.tokenizer_path(), most=40)
-    odd = ["It's 3 o'clock... don't!! x", "", "naïve ÇA 12,5€ <|endoftext|>", "ok ½", "a—b", "''s 's 'S", "...!!! a.b.c 42", "日本語", " é é", "ª º µ s. 's.", "x¤y", "thor.,!? THOR's", "a\x1cb\x85c\xa0d", "ſt İ ǅ"]
+    odd = ["It's 3 o'clock... don't!! x", "", "naïve ÇA 12,5€ <|endoftext|>", "a <|startoftext|> b", "plain<|endoftext|>words <|STARTOFTEXT|>", "<|endoftext",  "ok ½", "a—b", "''s 's 'S", "...!!! a.b.c 42", "日本語", " é é", "ª º µ s. 's.", "x¤y", "thor.,!? THOR's", "a\x1cb\x85c\xa0d", "ſt İ ǅ"]
     for batch in ([t] for t in [*odd, *odd]):
         assert [x.tolist() for x in fast.ids(batch)] == [model.encode(t, add_special_tokens=False).ids for t in batch]
 
 
+def test_segments_and_loss_limits_change_the_placement(spark):
+    """On documents as they are, a packing by tokens alone breaks both other limits; the registered one keeps them."""
+    rnd = random.Random(9)
+    made = [(i, " ".join(rnd.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(rnd.choice([3, 8, 40, 400, 3000])))) for i in range(800)]
+    frame = spark.createDataFrame(made, "doc_id long, text string")
+
+    def used(**limits):
+        got = packing.pack_documents(frame, packing.tokenizer_path(), **limits).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("s"), F.sum("loss_tokens").alias("l")).collect()
+        return max(r["s"] for r in got), max(r["l"] for r in got), max(r["n"] for r in got), 1 - sum(r["n"] for r in got) / len(got) / 2048
+
+    segments, loss, tokens, padding = used()
+    assert segments <= 32 and loss <= 1792 and tokens <= 2048 and padding < 0.05
+    segments, loss, tokens, _ = used(segments=10**6, loss=1.0)
+    assert segments > 32 and loss > 1792 and tokens <= 2048
+
+
 def test_bins_hold_every_limit():
     rnd = np.random.default_rng(0)
     demand, limits = rnd.integers(1, 60, (300, 3)).astype(float), np.array([100.0, 80.0, 90.0])
