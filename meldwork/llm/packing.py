@@ -7,8 +7,8 @@ one with the largest dot product of its demand and the bin's free room (both as
 limits) goes in next, until none fits.
 
 A document is read as an instruction example: the first `prompt` of its ids, a quarter, is its prompt and bears no
-loss. A sequence holds at most 7/8 of its length in loss-bearing ids and at most 32 segments, so parts of long
-documents behind the prompt must share theirs with prompts. Documents are cut at a quarter of a sequence, which leaves room for that.
+loss. A sequence holds at most 7/8 of its length in loss-bearing ids and at most 12 segments. A document longer than
+a sequence is cut: its prompt into quarters of a sequence, the rest into three quarters, which must share theirs with prompts.
 
 Defined cases: null text is empty: the closing id alone; equal ids are separate documents; an empty table gives
 no rows; an example beyond a limit on its own is an error in pack(), as no bin can hold it.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -34,20 +35,27 @@ def fill_bins(demand: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.nd
     if (share > 1).any():
         raise ValueError("an example exceeds a limit on its own")
     order = np.lexsort((np.arange(len(share)), -share.sum(axis=1)))
-    share, bins, places = share[order], np.zeros(len(share), np.int64), np.zeros(len(share), np.int64)
-    left, number = np.arange(len(share)), 0
-    while len(left):
-        own = share[left]
-        free, used, place = np.ones(share.shape[1]), np.zeros(len(left), bool), 0
-        fits = np.ones(len(left), bool)
-        while fits.any():
-            pick = int(np.argmax(np.where(fits, own @ free, -1.0)))
-            used[pick] = True
-            bins[order[left[pick]]], places[order[left[pick]]] = number, place
-            free = free - own[pick]
+    left, bins, places = np.ascontiguousarray(share[order].T), np.zeros(len(share), np.int64), np.zeros(len(share), np.int64)
+    where, number = order, 0  # left: amounts by rows of what is still to place, where: its place in demand
+
+    def add(at: int, place: int) -> None:
+        bins[where[at]], places[where[at]] = number, place
+
+    while len(where):
+        used, place = np.zeros(len(where), bool), 0
+        free = np.ones(len(left))
+        fits, own, pick = np.arange(len(where)), left, 0  # an empty bin takes the largest, which is the first
+        while len(fits):
+            at = fits[pick]
+            used[at] = True
+            add(at, place)
+            free = free - left[:, at]
             place += 1
-            fits = ~used & (own <= free + 1e-9).all(axis=1)
-        left, number = left[~used], number + 1
+            ok = np.logical_and.reduce(own <= free[:, None] + 1e-9)
+            ok[pick] = False
+            fits, own = fits[ok], own[:, ok]
+            pick = int(np.argmax(free @ own)) if len(fits) else 0
+        left, where, number = left[:, ~used], where[~used], number + 1
     return bins, places
 
 
@@ -123,7 +131,7 @@ class WordTokenizer:
         self.ending[[i for t, i in self.model.get_vocab().items() if t.endswith("</w>")]] = True
         self.mark = self._encode(MARK)
         special = [re.escape(t.content) for t in self.model.get_added_tokens_decoder().values()]
-        self.most, self.odd = most, re.compile("|".join([PLAIN, *special]), re.I).search
+        self.most, self.odd, self.special = most, re.compile(PLAIN).search, re.compile("|".join(special), re.I).search
         self._forget()
 
     def _encode(self, text: str) -> np.ndarray:
@@ -176,7 +184,7 @@ class WordTokenizer:
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.numbers) > self.most:
             self._forget()
-        plain = [not self.odd(t) for t in texts]
+        plain = [not (self.odd(t) or "<" in t and self.special(t)) for t in texts]
         number, find = [], self.numbers.__getitem__
         for t, p in zip(texts, plain, strict=True):
             words = t.lower().split() if p else []
@@ -186,8 +194,16 @@ class WordTokenizer:
         return [self._laid(n) if p else self._encode(t) for t, p, n in zip(texts, plain, number, strict=True)]
 
 
-def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = 512, end_id: int = 1) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens): documents cut into pieces of `length` and a rest."""
+def cuts(n: int, length: int, prompt: float) -> list[int]:
+    """Where a document of n ids is cut, its ends included."""
+    if n <= length:
+        return [0, n]
+    behind, step = int(n * prompt), max(1, int(length * prompt))
+    return [*range(0, behind, step), *range(behind, n, length - step), n]
+
+
+def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, prompt: float = 0.25, end_id: int = 1) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens): whole documents of at most `length` ids, and the cut ones."""
     made: list[WordTokenizer] = []
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -196,7 +212,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         rows = []
         for doc, ids in zip(batch.column(0).to_pylist(), made[0].ids([t or "" for t in batch.column(1).to_pylist()]), strict=True):
             ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-            rows += [(doc, i, len(x := ids[i : i + length]), zlib.crc32(x.tobytes()), len(ids)) for i in range(0, len(ids), length)]
+            rows += [(doc, i, j - i, zlib.crc32(ids[i:j].tobytes()), len(ids)) for i, j in pairwise(cuts(len(ids), length, prompt))]
         columns = list(zip(*rows, strict=True)) or [()] * 5
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
@@ -209,9 +225,9 @@ def loss_bearing(prompt: float) -> Column:
     return F.greatest(F.lit(0), F.col("start") + F.col("length") - begin).cast("long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, segments: int = 32, loss: float = 0.875, prompt: float = 0.25, group_rows: int = 1000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, segments: int = 12, loss: float = 0.875, prompt: float = 0.25, group_rows: int = 1000) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens."""
-    cut = written(pieces(docs, tokenizer, length=length // 4).withColumn("_row", F.monotonically_increasing_id()), "pack-pieces")
+    cut = written(pieces(docs, tokenizer, length=length, prompt=prompt).withColumn("_row", F.monotonically_increasing_id()), "pack-pieces")
     amounts = {"length": length, "_segments": segments, "loss_tokens": int(length * loss)}
     packed = pack(cut.withColumns({"_segments": F.lit(1), "loss_tokens": loss_bearing(prompt)}), amounts, ["doc_id", "start", "_row"], group_rows)
     packed = packed.withColumnsRenamed({"_ahead": "offset", "_bin": "sequence_id"})

@@ -328,9 +328,9 @@ def test_segments_and_loss_limits_change_the_placement(spark):
         return max(r["s"] for r in got), max(r["l"] for r in got), max(r["n"] for r in got), 1 - sum(r["n"] for r in got) / len(got) / 2048
 
     segments, loss, tokens, padding = used()
-    assert segments <= 32 and loss <= 1792 and tokens <= 2048 and padding < 0.05
+    assert segments <= 12 and loss <= 1792 and tokens <= 2048 and padding < 0.05
     segments, loss, tokens, _ = used(segments=10**6, loss=1.0)
-    assert segments > 32 and loss > 1792 and tokens <= 2048
+    assert segments > 12 and loss > 1792 and tokens <= 2048
 
 
 def test_bins_hold_every_limit():
