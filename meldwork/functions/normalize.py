@@ -57,7 +57,7 @@ def phone(c: Column, region: str = "IN") -> Column:
     def value(bare: Column, digits: Column) -> Column:
         home = F.regexp_replace(digits, "^0", "")
         near = F.when(home.rlike(f"^[{first}][0-9]{{{length - 1}}}$"), F.concat(F.lit("+" + code), home)).when(digits.rlike(f"^{code}[{first}][0-9]{{{length - 1}}}$"), F.concat(F.lit("+"), digits))
-        far = F.when(bare.startswith("+"), digits).when(digits.startswith("00"), F.substring(digits, 3, 1 << 20))
+        far = F.when(bare.startswith("+"), digits).when(digits.startswith("00"), F.substring(digits, F.lit(3), F.length(digits)))
         return F.when(~_odd(bare, digits), let(far, lambda f: F.when(f.isNotNull(), abroad(f)).otherwise(near)))
 
     def of(bare: Column, digits: Column, got: Column) -> Column:

@@ -40,7 +40,7 @@ def split_list(c: Column, delimiter: str = ",") -> Column:
 def title(c: Column) -> Column:
     """Every run of letters capitalised, so `node.js` becomes `Node.Js` and `3d` `3D`."""
     runs = F.regexp_extract_all(c, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 1 << 20)))), "")
+    return F.array_join(F.transform(runs, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, F.lit(2), F.length(x))))), "")
 
 
 def find_all(c: Column, pattern: str, only: Column | None = None) -> Column:
@@ -95,8 +95,15 @@ def keyword_pattern(word: str) -> str:
 
 
 def keywords(text: Column) -> Column:
-    """Known skill keywords as whole words, sorted."""
-    return let(F.lower(text), lambda t: F.array_compact(F.array(*[F.when(t.contains(k) & t.rlike(keyword_pattern(k)), F.lit(k)) for k in sorted(dims.KEYWORDS)])))
+    """Known skill keywords as whole words, sorted. Those of letters and digits are looked up among the text's words; the others are searched."""
+    plain = [k for k in dims.KEYWORDS if k.isalnum()]
+
+    def found(t: Column) -> Column:
+        words = F.array_intersect(F.split(t, r"[^\p{L}\p{N}_]+"), F.array(*map(F.lit, plain)))
+        odd = F.array_compact(F.array(*[F.when(t.contains(k) & t.rlike(keyword_pattern(k)), F.lit(k)) for k in dims.KEYWORDS if k not in plain]))
+        return F.array_sort(F.concat(words, odd))
+
+    return let(F.lower(text), found)
 
 
 def section(text: Column, name: str) -> Column:
@@ -117,7 +124,7 @@ def blocks(text: Column) -> Column:
 def experience_block(lines: Column) -> Column:
     dates = find_all(F.array_join(lines, " "), dims.MONTH_YEAR)
     second = F.get(lines, F.lit(1))
-    rest = F.substring(F.array_join(F.slice(lines, 3, 1 << 20), " "), 1, 500)
+    rest = F.substring(F.array_join(F.slice(lines, F.lit(3), F.size(lines)), " "), 1, 500)
     return F.struct(
         F.when(~second.rlike(dims.MONTH_YEAR), second).alias("company"), F.get(lines, F.lit(0)).alias("title"),
         F.get(dates, F.lit(0)).alias("start"), F.get(dates, F.lit(1)).alias("end"), F.nullif(rest, F.lit("")).alias("summary"),
@@ -129,7 +136,7 @@ def education_block(lines: Column) -> Column:
     whole = F.array_join(lines, " ")
     years = F.regexp_extract_all(whole, F.lit(dims.YEAR), F.lit(1))
     degree = F.nullif(strip(F.regexp_extract(whole, dims.DEGREE, 0)), F.lit(""))
-    other = F.get(F.filter(F.slice(lines, 2, 1 << 20), lambda x: ~x.rlike(dims.YEAR) & (F.length(x) > 3)), F.lit(0))
+    other = F.get(F.filter(F.slice(lines, F.lit(2), F.size(lines)), lambda x: ~x.rlike(dims.YEAR) & (F.length(x) > 3)), F.lit(0))
     return F.struct(
         F.get(lines, F.lit(0)).alias("institution"), F.coalesce(degree, other).alias("degree"), F.when(degree.isNotNull(), other).alias("field"),
         F.get(years, F.size(years) - 1).cast("int").alias("end_year"),

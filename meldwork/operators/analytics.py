@@ -11,11 +11,11 @@ def categories(log: DataFrame) -> DataFrame:
 
 
 def search(log: DataFrame, words: str = "", category: str | None = None) -> DataFrame:
-    """Rules whose name or field holds the words, in any case, and that are of the category."""
+    """Rules whose name, description or field holds the words, in any case, and that are of the category."""
     found = log
     if words:
         w = F.lower(F.lit(words))
-        found = found.filter(F.contains(F.lower("rule"), w) | F.contains(F.lower("field"), w) | F.contains(F.lower(F.coalesce("before", F.lit(""))), w))
+        found = found.filter(F.contains(F.lower("rule"), w) | F.contains(F.lower("field"), w) | F.contains(F.lower("description"), w))
     return found.filter(F.col("category") == category) if category else found
 
 
@@ -51,7 +51,7 @@ def counters(files: DataFrame, records: DataFrame, contested: DataFrame, errors:
     """One row for the run: files, records, fields changed, duplicates, conflicts, errors, mean confidence and quality."""
     parts = [
         files.agg(F.count("*").alias("files_processed")),
-        records.agg(F.count("*").alias("records_parsed"), F.coalesce(F.sum("_changed"), F.lit(0)).alias("fields_normalized"), F.coalesce(F.sum("_duplicates"), F.lit(0)).alias("duplicates_removed")),
+        records.agg(F.count("*").alias("records_parsed"), F.coalesce(F.sum("_changed"), F.lit(0)).alias("fields_normalized"), F.coalesce(F.sum("_duplicates"), F.lit(0)).alias("duplicates_removed"), F.coalesce(F.sum("parsed_fields"), F.lit(0)).alias("fields_parsed")),
         contested.agg(F.count_if(F.col("rank") == 1).alias("conflicts_detected")).withColumn("conflicts_resolved", F.col("conflicts_detected")),
         errors.agg(F.count("*").alias("validation_errors")).withColumn("success", F.col("validation_errors") == 0),
         scored.agg(F.bround(F.avg("overall_confidence") * 100, 1).alias("average_confidence"), F.bround(F.avg("quality_score.overall_score"), 1).alias("quality_score")),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meldwork.functions import dims
 from meldwork.functions import normalize as N
 from meldwork.functions.text import non_empty, strip
 
@@ -40,13 +41,22 @@ def parse(records: DataFrame) -> DataFrame:
 
 
 def parsed_fields(records: DataFrame) -> DataFrame:
-    """records with parsed_fields: how many scalars, list items and nested strings were cleaned."""
+    """Records with parsed_fields: how many scalars, list items and nested strings parse() has to clean."""
+    def texts(c: str, fields: list[str]) -> Column:
+        values = F.flatten(F.transform(c, lambda x: F.array(*[x[f] for f in fields])))
+        return F.size(F.filter(values, lambda x: non_empty(x)))
+
     scalars = sum(F.when(non_empty(F.col(c)), 1).otherwise(0) for c in ("full_name", "headline"))
-    lists = sum(F.size(c) for c in TEXT_LISTS)
-    nested = sum(F.size(F.filter(F.flatten(F.transform(c, lambda x, fs=fs: F.array(*[x[f] for f in fs]))), lambda x: non_empty(x))) for c, fs in (("experience", ["company", "title", "summary"]), ("education", ["institution", "degree", "field"])))
+    lists = sum(F.size(F.filter(c, lambda x: non_empty(x))) for c in ("emails", "phones", "skills"))
+    nested = texts("experience", ["company", "title", "summary"]) + texts("education", ["institution", "degree", "field"])
     return records.withColumn("parsed_fields", scalars + lists + nested)
 
 
+def unnormalized(records: DataFrame) -> DataFrame:
+    """records as they are, with nothing logged, for a run that goes on without a stage."""
+    return records.withColumns({"_rules": F.array().cast(f"array<{N.RULE}>"), "_duplicates": F.lit(0), "_changed": F.lit(0)})
+
+
 def normalize(records: DataFrame, region: str = "IN", countries: dict[str, str] | None = None) -> DataFrame:
     """E-mails, phones, country and dates normalized; _rules, _duplicates and _changed say what that did."""
     step = records.withColumns({"_e": N.email_list(F.col("emails")), "_p": N.phone_list(F.col("phones"), region), "_c": N.country(F.col("country"), countries)})
@@ -67,9 +77,35 @@ def canonicalize(records: DataFrame) -> DataFrame:
     return step.withColumns({"_rules": F.concat("_rules", "_s.rules"), "_duplicates": F.col("_duplicates") + F.col("_s.duplicates"), "skills": F.col("_s.value")}).drop("_s")
 
 
+def described(rule: Column, before: Column, after: Column) -> Column:
+    """What a rule has done, in words."""
+    def say(*parts: object) -> Column:
+        return F.concat(*[F.lit(x) if isinstance(x, str) else F.coalesce(x, F.lit("")) for x in parts])
+
+    region = F.lit("unknown")
+    for name, (code, _, _) in dims.PHONE_RULES.items():
+        region = F.when(after.startswith("+" + code), name).otherwise(region)
+    texts = {
+        "email_validation_failed": say("Email '", before, "' failed RFC validation"), "trim_whitespace": say("Email trim whitespace"), "lowercase": say("Email lowercase"), "remove_duplicate_email": say("Duplicate email '", before, "' removed"),
+        "convert_to_e164": say("Converted to E.164 format (detected country: ", region, ")"), "phone_validation_failed": say("Phone '", before, "' is not a valid number"),
+        "phone_parse_failed": say("Phone '", before, "' could not be parsed"), "remove_duplicate_phone": say("Duplicate phone '", before, "' removed"),
+        "country_code_uppercase": say("Country code '", before, "' uppercased to '", after, "'"), "country_alias_resolve": say("Country '", before, "' resolved to ISO-3166 '", after, "' via alias"),
+        "country_name_resolve": say("Country '", before, "' resolved to ISO-3166 '", after, "'"), "country_fuzzy_resolve": say("Country '", before, "' fuzzy-matched to ISO-3166 '", after, "'"),
+        "country_resolve_failed": say("Country '", before, "' could not be resolved to ISO-3166"), "skill_canonicalize": say("Skill '", before, "' canonicalized to '", after, "'"),
+        "skill_title_case": say("Skill '", before, "' title-cased to '", after, "'"), "remove_duplicate_skill": say("Duplicate skill '", before, "' removed"),
+        "date_year_only": say("Year-only date '", before, "' defaulted to January"), "date_format_normalize": say("Date '", before, "' normalized to YYYY-MM format"), "date_parse_failed": say("Date '", before, "' could not be parsed"),
+    }
+    out = F.lit("")
+    for name, text in texts.items():
+        out = F.when(rule == name, text).otherwise(out)
+    return out
+
+
 def rule_log(records: DataFrame, *keys: str) -> DataFrame:
-    """One row for every rule that was applied."""
-    return records.select(*keys, "source_file", "file_seq", "row_seq", F.posexplode("_rules").alias("step", "r")).select(*keys, "source_file", "file_seq", "row_seq", "step", "r.*")
+    """One row for every rule that was applied, with its description and stage."""
+    log = records.select(*keys, "source_file", "file_seq", "row_seq", F.posexplode("_rules").alias("step", "r")).select(*keys, "source_file", "file_seq", "row_seq", "step", "r.*")
+    stage = F.when(F.col("category") == "skill", "canonicalization").otherwise("normalization")
+    return log.withColumns({"description": described(F.col("rule"), F.col("before"), F.col("after")), "stage": stage})
 
 
 def chains(log: DataFrame, *keys: str) -> DataFrame:

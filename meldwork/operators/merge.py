@@ -28,8 +28,17 @@ def _present(column: str) -> str:
     return f"{column} IS NOT NULL" if column == "years_experience" else f"{column} IS NOT NULL AND {column} <> ''"
 
 
-def merge(records: DataFrame, by: list[str]) -> DataFrame:
-    """One canonical row an entity. An entity without records has no row."""
+def lead() -> list[Column]:
+    """For merge(): what provenance() asks of an entity: its first file, and how many records have each plain scalar."""
+    first = F.min_by(F.struct("source_file", "source_type"), F.struct("_ord.priority", "_ord.file_seq")).alias("_lead")
+    return [first, *[F.count_if(F.expr(_present(c))).alias(f"_n_of_{c}") for c in ("full_name", "headline")]]
+
+
+def merge(records: DataFrame, by: list[str], *more: Column) -> DataFrame:
+    """One canonical row an entity, with more aggregates of its records. An entity without records has no row.
+
+    All records of an entity meet in one row, and its lists in one buffer: a large table needs a key that divides it.
+    """
     rows = ordered(records)
     scalars = [F.expr(f"min_by({c}, _ord) FILTER (WHERE {_present(c)})").alias(f"_{c}") for c in SCALAR_COLUMNS.values()]
 
@@ -44,8 +53,9 @@ def merge(records: DataFrame, by: list[str]) -> DataFrame:
     base = rows.groupBy(*by).agg(
         F.coalesce(F.min_by("candidate_id", "_ord"), F.lit("CND-UNKNOWN")).alias("candidate_id"), *scalars,
         union(lowered).alias("emails"), union(F.col("phones")).alias("phones"), union(F.col("other_links")).alias("other_links"),
-        concat("experience").alias("experience"), concat("education").alias("education"), F.count("*").alias("n_records"),
+        concat("experience").alias("experience"), concat("education").alias("education"), F.count("*").alias("n_records"), *more,
     )
+    known = {*by, "candidate_id", *(f"_{c}" for c in SCALAR_COLUMNS.values()), "emails", "phones", "other_links", "experience", "education", "n_records"}
     skills = skill_rollup(records, by)
     out = base.join(skills, by, "left")
     return out.select(
@@ -54,6 +64,7 @@ def merge(records: DataFrame, by: list[str]) -> DataFrame:
         F.struct(F.col("_linkedin").alias("linkedin"), F.col("_github").alias("github"), F.col("_portfolio").alias("portfolio"), F.col("other_links").alias("other")).alias("links"),
         F.col("_headline").alias("headline"), F.col("_years_experience").alias("years_experience"),
         F.coalesce("skills", F.array().cast("array<struct<name:string,confidence:double,sources:array<string>>>")).alias("skills"), "experience", "education", "n_records",
+        *[c for c in base.columns if c not in known],
     )
 
 
@@ -77,8 +88,8 @@ def candidates(records: DataFrame, by: list[str]) -> DataFrame:
     return ranked.filter("n > 1").select(*by, "field", "value", "source_file", "source_type", F.col("_ord.priority").alias("priority"), "rank", "n", "winner")
 
 
-def provenance(contested: DataFrame, canonical: DataFrame, records: DataFrame, by: list[str]) -> DataFrame:
-    """Accepted and rejected contributions of contested scalars, and the plain fields that nobody contests."""
+def provenance(contested: DataFrame, canonical: DataFrame, by: list[str]) -> DataFrame:
+    """Accepted and rejected contributions of contested scalars, and the plain fields that nobody contests; canonical was merged with lead()."""
     mine, best = display_name(F.col("source_type")), display_name(F.col("winner.source_type"))
     won = F.concat(F.lit("Selected from "), mine, F.lit(" — highest priority source."))
     lost = F.concat(F.lit("Rejected: "), mine, F.lit(" (priority "), F.col("priority"), F.lit(") lost to "), best, F.lit(" (priority "), F.col("winner.priority"), F.lit(")."))
@@ -86,12 +97,10 @@ def provenance(contested: DataFrame, canonical: DataFrame, records: DataFrame, b
         *by, "field", "value", F.col("winner.value").alias("winning_value"), F.col("source_file").alias("source"), "source_type", "priority", (F.col("rank") == 1).alias("accepted"), F.lit(True).alias("contested"),
         F.lit("direct").alias("method"), F.array(F.lit("priority_based_conflict_resolution")).alias("rules_applied"), F.when(F.col("rank") == 1, won).otherwise(lost).alias("explanation"),
     )
-    first = ordered(records).groupBy(*by).agg(F.min_by(F.struct("source_file", "source_type"), F.struct("_ord.priority", "_ord.file_seq")).alias("f"))
     plain = F.array(*[F.struct(F.lit(c).alias("field"), v.alias("value")) for c, v in (
-        ("full_name", F.nullif(F.col("full_name"), F.lit(""))), ("emails", F.when(F.size("emails") > 0, F.to_json("emails"))),
-        ("phones", F.when(F.size("phones") > 0, F.to_json("phones"))), ("headline", F.nullif(F.col("headline"), F.lit(""))))])
-    single = canonical.select(*by, F.explode(plain).alias("p")).select(*by, "p.*").filter("value IS NOT NULL")
-    single = single.join(contested.select(*by, "field").distinct(), [*by, "field"], "left_anti").join(first, by)
+        ("full_name", F.when(F.col("_n_of_full_name") == 1, F.col("full_name"))), ("emails", F.when(F.size("emails") > 0, F.to_json("emails"))),
+        ("phones", F.when(F.size("phones") > 0, F.to_json("phones"))), ("headline", F.when(F.col("_n_of_headline") == 1, F.col("headline"))))])
+    single = canonical.select(*by, F.col("_lead").alias("f"), F.explode(plain).alias("p")).select(*by, "f", "p.*").filter("value IS NOT NULL")
     single = single.select(
         *by, "field", "value", F.col("value").alias("winning_value"), F.col("f.source_file").alias("source"), F.col("f.source_type").alias("source_type"), F.lit(dims.DEFAULT_PRIORITY).alias("priority"), F.lit(True).alias("accepted"), F.lit(False).alias("contested"),
         F.lit("direct").alias("method"), F.array().cast("array<string>").alias("rules_applied"), F.concat(F.lit("Single source value from "), F.col("f.source_file"), F.lit(". No conflict.")).alias("explanation"),
@@ -106,7 +115,7 @@ def conflicts(contested: DataFrame, by: list[str]) -> DataFrame:
     def shown(x: Column) -> Column:
         return F.struct(x["value"].alias("value"), x["source"].alias("source"), x["priority"].alias("priority"))
 
-    top, rest = F.col("c")[0], F.slice("c", 2, 1 << 20)
+    top, rest = F.col("c")[0], F.slice("c", F.lit(2), F.size("c"))
     head = F.concat(F.lit("'"), F.col("field"), F.lit("' selected from "), top["name"], F.lit(" (priority "), top["priority"], F.lit(") because it has higher source priority."))
     tail = F.transform(rest, lambda x: F.concat(F.lit("Rejected '"), x["value"], F.lit("' from "), x["name"], F.lit(" (priority "), x["priority"], F.lit(").")))
     return listed.select(

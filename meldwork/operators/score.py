@@ -24,17 +24,17 @@ def _valid() -> dict[str, Column]:
     }
 
 
-def contributions(records: DataFrame, by: list[str]) -> DataFrame:
-    """Per entity and field: records with a value, the best weight among their sources; and the entity's files."""
+def contributions() -> list[Column]:
+    """For merge(): per field the records with a value and the best weight among their sources; and the entity's files."""
     aggs = []
     for field, test in _HAS.items():
         has = F.coalesce(F.expr(test), F.lit(False))
         aggs += [F.count_if(has).alias(f"_n_{field}"), F.max(F.when(has, weight(F.col("source_type")))).alias(f"_w_{field}")]
-    return records.groupBy(*by).agg(*aggs, F.count_distinct("file_seq").alias("_files"))
+    return [*aggs, F.count_distinct("file_seq").alias("_files")]
 
 
-def confidence(canonical: DataFrame, contributed: DataFrame, by: list[str]) -> DataFrame:
-    """canonical with field_confidences and overall_confidence: best weight times share of files, between one half and one."""
+def confidence(canonical: DataFrame) -> DataFrame:
+    """A canonical table that was merged with contributions(), with field_confidences and overall_confidence: best weight times share of files, between one half and one."""
     fields, scores = [], []
     for field, ok in _valid().items():
         n = F.col(f"_n_{field}")
@@ -42,9 +42,9 @@ def confidence(canonical: DataFrame, contributed: DataFrame, by: list[str]) -> D
         score = F.bround(F.when(F.coalesce(ok, F.lit(False)), F.coalesce(F.col(f"_w_{field}"), F.lit(dims.DEFAULT_WEIGHT)) * share).otherwise(0.0), 4)
         scores.append(score)
         fields.append(F.struct(F.lit(field).alias("field"), score.alias("confidence"), F.col("_files").alias("source_count"), n.alias("sources_agreeing")))
-    out = canonical.join(contributed, by).withColumn("field_confidences", F.array(*fields))
+    out = canonical.withColumn("field_confidences", F.array(*fields))
     total = F.aggregate("field_confidences", F.lit(0.0), lambda a, x: a + x["confidence"])
-    return out.withColumn("overall_confidence", F.bround(total / len(fields), 4)).drop(*[c for c in contributed.columns if c.startswith("_")])
+    return out.withColumn("overall_confidence", F.bround(total / len(fields), 4)).drop(*[f"_{x}_{f}" for f in _HAS for x in "nw"], "_files")
 
 
 def backfill(rows: DataFrame, scored: DataFrame, by: list[str]) -> DataFrame:
@@ -81,3 +81,27 @@ def validate(canonical: DataFrame, by: list[str]) -> DataFrame:
         F.transform(F.filter("phones", lambda x: ~x.startswith("+")), lambda x: error("phones", F.concat(F.lit("Phone not in E.164 format: "), x), "format_error")),
     )
     return canonical.select(*by, F.explode(found).alias("e")).select(*by, "e.*")
+
+
+def schema_errors(canonical: DataFrame, by: list[str]) -> DataFrame:
+    """One row a value that the canonical schema doesn't allow beyond its types: (by, field, error, type, input), field as a path, input cut to 100 characters."""
+    def error(field: Column, text: str, kind: str, given: Column) -> Column:
+        return F.struct(field.alias("field"), F.lit(text).alias("error"), F.lit(kind).alias("type"), F.substring(F.coalesce(given.cast("string"), F.lit("None")), 1, 100).alias("input"))
+
+    def bounded(field: Column, x: Column, top: float) -> Column:
+        low, high = error(field, "Input should be greater than or equal to 0", "greater_than_equal", x), error(field, f"Input should be less than or equal to {top:g}", "less_than_equal", x)
+        return F.when(x < 0, low).when(x > top, high)
+
+    def named(field: Column, x: Column) -> Column:
+        return F.when(x.isNull(), error(field, "Input should be a valid string", "string_type", x))
+
+    def at(*path: object) -> Column:
+        return F.concat_ws(" → ", *[F.lit(p) if isinstance(p, str) else p for p in path])
+
+    checks = [F.array(*[named(F.lit(c), F.col(c)) for c in ("candidate_id", "full_name") if c in canonical.columns])]
+    if "skills" in canonical.columns:
+        checks += [F.transform("skills", lambda s, i: named(at("skills", i.cast("string"), "name"), s["name"])), F.transform("skills", lambda s, i: bounded(at("skills", i.cast("string"), "confidence"), s["confidence"], 1))]
+    if "field_confidences" in canonical.columns:
+        checks += [F.transform("field_confidences", lambda f, i: bounded(at("field_confidences", i.cast("string"), "confidence"), f["confidence"], 1))]
+    checks += [F.array(bounded(F.lit("overall_confidence"), F.col("overall_confidence"), 1))]
+    return canonical.select(*by, F.explode(F.array_compact(F.concat(*checks))).alias("e")).select(*by, "e.*")

@@ -1,13 +1,15 @@
-"""The engine: files or records in, a set of lazy tables out. Each table is planned only when it is read."""
+"""The engine: files or records in, a set of tables, stages and a log out."""
 
 from __future__ import annotations
 
 import json
+import logging
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meldwork.functions.normalize import iso_countries
@@ -15,20 +17,37 @@ from meldwork.operators import analytics, clean, merge, project, score
 from meldwork.sources import files as sources
 
 
+logger = logging.getLogger(__name__)
+
+
 @dataclass
 class Stage:
+    """What a stage did. A status is the worst of what it met: error, warning or success."""
+
     name: str
-    status: str
-    ms: float
-    error: str | None = None
+    index: int
+    status: str = "success"
+    start: str = ""
+    end: str = ""
+    ms: float = 0.0
+    warnings: list[str] = field(default_factory=list)
+    errors: list[str] = field(default_factory=list)
+    warning_count: int = 0
+    fields_transformed: int = 0
+    records_processed: int = 0
+
+    def settle(self) -> None:
+        self.status = "error" if self.errors else "warning" if self.warning_count else "success"
 
 
 @dataclass
 class Result:
-    """The tables of a run by name, and the stages that built their plans."""
+    """The tables of a run by name, the stages and the log. release() lets go of what the run keeps in memory."""
 
     tables: dict[str, DataFrame]
     stages: list[Stage] = field(default_factory=list)
+    log: list[dict] = field(default_factory=list)
+    held: list[DataFrame] = field(default_factory=list)
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
@@ -38,59 +57,139 @@ class Result:
         for name, table in self.tables.items():
             table.write.mode("overwrite").parquet(f"{path}/{run_id}/{name}")
 
+    def write_json(self, path: str) -> None:
+        """The projected objects as JSON lines, one an entity, however many there are."""
+        self.tables["output"].select(F.col("json").alias("value")).write.mode("overwrite").text(path)
+
+    def release(self) -> None:
+        for df in self.held:
+            df.unpersist()
+        self.held.clear()
+
 
 class Engine:
-    """Consolidates records. `by` is the entity key: the run, unless given otherwise."""
+    """Consolidates records. `by` is the entity key: the run, unless given otherwise.
+
+    A run computes two tables while it goes and keeps them: the canonicalized records and the scored rows. Their stages
+    are timed with that work, and an error in it is recorded where it arises; the run goes on with what the stage before gave.
+    All other tables are planned only. With the default key, all records of a run meet in one row, as the
+    one entity of a run demands; a large table needs a key of its own in `by`.
+    """
 
-    def __init__(self, spark: SparkSession, by: list[str] | None = None, region: str = "IN", countries: dict[str, str] | None = None) -> None:
-        self.spark, self.by, self.region = spark, by or ["run_id"], region
+    def __init__(self, spark: SparkSession, by: list[str] | None = None, region: str = "IN", countries: dict[str, str] | None = None, pdf: Callable[[bytes], str] | None = None, keep_messages: int = 100) -> None:
+        self.spark, self.by, self.region, self.pdf, self.keep_messages = spark, by or ["run_id"], region, pdf, keep_messages
         self.countries = iso_countries(spark) if countries is None else countries
-        self.stages: list[Stage] = []
+        self._reset()
 
-    def _stage(self, name: str, build: Callable[[], DataFrame], otherwise: DataFrame | None = None) -> DataFrame:
-        """Plan one stage; an error is recorded and the run goes on with `otherwise`, if there is one."""
+    def _reset(self) -> None:
+        self.stages: list[Stage] = []
+        self.log: list[dict] = []
+        self.held: list[DataFrame] = []
+
+    def _say(self, stage: Stage, level: str, message: str) -> None:
+        self.log.append({"timestamp": _now(), "level": level, "stage": stage.name, "stage_index": stage.index, "message": message})
+        logger.log(getattr(logging, level), "[%s] %s", stage.name, message)
+
+    def _stage(self, name: str, build: Callable[[], DataFrame], otherwise: Callable[[], DataFrame] | None = None, keep: bool = False) -> DataFrame:
+        """Run one stage: plan its table and, with `keep`, compute and hold it. After an error the run goes on with `otherwise`, if there is one."""
+        stage = Stage(name, len(self.stages), start=_now())
+        self.stages.append(stage)
+        self._say(stage, "INFO", f"Stage '{name}' started")
         began = time.perf_counter()
         try:
             out = build()
-            self.stages.append(Stage(name, "success", round((time.perf_counter() - began) * 1000, 2)))
+            if keep:
+                out = out.persist()
+                self.held.append(out)
+                stage.records_processed = out.count()
             return out
         except Exception as e:
-            self.stages.append(Stage(name, "error", round((time.perf_counter() - began) * 1000, 2), str(e)[:500]))
+            stage.errors.append(f"Unhandled error: {e}")
+            self._say(stage, "ERROR", f"Stage '{name}' failed: {e}")
             if otherwise is None:
                 raise
-            return otherwise
+            if keep:
+                self.held.pop().unpersist()
+            return otherwise()
+        finally:
+            stage.ms, stage.end = round((time.perf_counter() - began) * 1000, 2), _now()
+            stage.settle()
+            self._say(stage, "INFO", f"Stage '{name}' completed in {stage.ms:.1f}ms")
+
+    def _warn(self, name: str, messages: DataFrame) -> None:
+        """Note the stage's warnings, a table of one text column: their number, and the first `keep_messages` of them in order."""
+        stage = next(s for s in self.stages if s.name == name)
+        stage.warning_count = messages.count()
+        stage.warnings = [r[0] for r in messages.orderBy(messages.columns[0]).limit(self.keep_messages).collect()] if stage.warning_count else []
+        for m in stage.warnings:
+            self._say(stage, "WARNING", m)
+        stage.settle()
 
     def run(self, paths: str | list[str], config: dict | None = None, run_id: str = "run") -> Result:
         """Read files, extract their records, and consolidate them."""
-        self.stages = []
+        self._reset()
+        began = time.perf_counter()
         found = self._stage("Input Detection", lambda: sources.read_files(self.spark, paths, run_id))
-        records = self._stage("Extraction", lambda: sources.extract(found))
-        out = self.consolidate(records, config)
-        out.tables |= {"files": found.drop("content"), "rejects": sources.rejects(found)}
-        out.tables["counters"] = analytics.counters(out["files"], out["records"], out["candidates"], out["validation_errors"], out["canonical"])
+        parsed = self._stage("Extraction", lambda: sources.parse_files(found, self.pdf), keep=True)
+        files, rejects = found.drop("content"), sources.rejects(found, parsed)
+        self._warn("Input Detection", sources.unknown_files(found).select("warning"))
+        self._warn("Extraction", rejects.filter("NOT startswith(error, 'Unknown file type')").select(F.concat("source_file", F.lit(": "), "error").alias("warning")))
+        out = self._consolidated(sources.extract(parsed), config)
+        out.tables |= {"files": files, "rejects": rejects, "changes": changes(files, out["records"], out["candidates"], *self.by)}
+        out.tables["counters"] = analytics.counters(files, out["records"], out["candidates"], out["validation_errors"], out["canonical"]).withColumns(
+            {"warnings": F.lit(sum(s.warning_count for s in self.stages)), "processing_time_ms": F.lit(round((time.perf_counter() - began) * 1000, 2))})
         return out
 
     def consolidate(self, records: DataFrame, config: dict | None = None) -> Result:
         """From records to canonical rows, conflicts, provenance, scores, errors and the projected JSON."""
+        self._reset()
+        return self._consolidated(records, config)
+
+    def _consolidated(self, records: DataFrame, config: dict | None) -> Result:
         by, wanted = self.by, project.OutputConfig.parse(config)
-        parsed = self._stage("Parsing", lambda: clean.parse(records))
+        parsed = self._stage("Parsing", lambda: clean.parse(clean.parsed_fields(records)))
         normal = self._stage("Normalization", lambda: clean.normalize(parsed, self.region, self.countries))
-        ready = self._stage("Canonicalization", lambda: clean.canonicalize(normal)).persist()
-        merged = self._stage("Merge", lambda: merge.merge(ready, by))
+        ready = self._stage("Canonicalization", lambda: clean.canonicalize(normal), lambda: self._last_good(normal, parsed, records), keep=True)
+        merged = self._stage("Merge", lambda: merge.merge(ready, by, *merge.lead(), *score.contributions()))
         contested = self._stage("Conflict Resolution", lambda: merge.candidates(ready, by))
-        scored = self._stage("Confidence", lambda: score.quality(score.confidence(merged, score.contributions(ready, by), by)))
-        rows = score.backfill(merge.provenance(contested, merged, ready, by), scored, by)
+        scored = self._stage("Confidence", lambda: score.quality(score.confidence(merged)), keep=True)
+        rows = score.backfill(merge.provenance(contested, scored, by), scored, by)
         accepted = rows.filter("accepted").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("field", "source", F.lit("direct").alias("method")))).alias("provenance"))
-        full = scored.join(accepted, by, "left")
+        full = scored.drop(*[c for c in scored.columns if c.startswith("_")]).join(accepted, by, "left")
         projected = self._stage("Projection", lambda: project.project_json(full, by, wanted))
-        errors = self._stage("Validation", lambda: score.validate(scored, by))
-        missing = project.missing_errors(full, by, wanted)
-        log = clean.rule_log(ready, *by)
+        errors = self._stage("Validation", lambda: validation_errors(full, by, wanted))
+        log = clean.rule_log(ready, *by).withColumn("timestamp", F.lit(_now()))
+        work = ready.agg(F.count("*"), F.sum("parsed_fields"), F.sum("_changed"), F.sum(F.size("_rules"))).first()
+        for stage in self.stages:
+            at = {"Parsing": 1, "Normalization": 2, "Canonicalization": 3}.get(stage.name)
+            if at:
+                stage.records_processed, stage.fields_transformed = work[0], work[at] or 0
+        if not work[0]:
+            self._warn("Merge", self.spark.createDataFrame([("No records to merge",)], "warning string"))
+        self._warn("Validation", errors.select(F.concat(F.lit("Validation error on '"), "field", F.lit("': "), "error").alias("warning")))
         return Result({
             "records": ready, "canonical": full, "candidates": contested, "conflicts": merge.conflicts(contested, by), "provenance": rows, "field_provenance": merge.field_provenance(rows, by),
-            "rule_log": log, "chains": clean.chains(log, *by), "output": projected,
-            "validation_errors": errors.select(*by, "field", "error", "type").unionByName(missing.select(*by, "field", "error", F.lit("required").alias("type"))),
-        }, self.stages)
+            "rule_log": log, "chains": clean.chains(log, *by), "output": projected, "validation_errors": errors,
+        }, self.stages, self.log, self.held)
+
+    def _last_good(self, *tables: DataFrame) -> DataFrame:
+        """The first of the tables that can be computed, with the columns of a canonicalized one; the stages of the others are in error."""
+        names = ["Normalization", "Parsing"]
+        for i, table in enumerate(tables):
+            try:
+                out = table if "_rules" in table.columns else clean.unnormalized(table)
+                out = (out if "parsed_fields" in out.columns else out.withColumn("parsed_fields", F.lit(0))).persist()
+                out.count()
+                self.held.append(out)
+                return out
+            except Exception as e:
+                if i == len(names):
+                    raise
+                stage = next(s for s in self.stages if s.name == names[i])
+                stage.errors.append(f"Unhandled error: {e}")
+                self._say(stage, "ERROR", f"Stage '{names[i]}' failed: {e}")
+                stage.settle()
+        raise ValueError("no table is given")
 
     def load(self, path: str, run_id: str = "latest") -> dict[str, DataFrame]:
         """The tables of a written run; `latest` is the greatest run id."""
@@ -112,7 +211,36 @@ def config_schema() -> dict:
     return {"type": "object", "properties": {"fields": {"type": "array", "items": item}, **flags, "on_missing": {"enum": ["null", "omit", "error"], "default": "null"}}}
 
 
-def to_json(df: DataFrame) -> str:
-    """A small result as indented JSON, for export; one row is one object."""
-    rows = [json.loads(r) for r in df.toJSON().take(1000)]
+def _now() -> str:
+    return datetime.now(UTC).isoformat().replace("+00:00", "Z")
+
+
+def validation_errors(full: DataFrame, by: list[str], wanted: project.OutputConfig) -> DataFrame:
+    """(by, field, error, type, input): the schema's, the business rules' and the projection's errors."""
+    none = F.lit(None).cast("string").alias("input")
+    rules = score.validate(full, by).select(*by, "field", "error", "type", none)
+    missing = project.missing_errors(full, by, wanted).select(*by, "field", "error", F.lit("required").alias("type"), none)
+    return score.schema_errors(full, by).unionByName(rules).unionByName(missing)
+
+
+def changes(files: DataFrame, records: DataFrame, contested: DataFrame, *keys: str) -> DataFrame:
+    """(stage, item, change): what each stage has changed, as maps of texts."""
+    def row(df: DataFrame, stage: str, item: Column, **values: Column) -> DataFrame:
+        pairs = [x for k, v in values.items() for x in (F.lit(k), v.cast("string"))]
+        return df.select(F.lit(stage).alias("stage"), item.alias("item"), F.create_map(*pairs).alias("change"))
+
+    file = F.col("source_file")
+    out = row(files, "Input Detection", file, detected_type=F.col("source_type"), size_bytes=F.col("size"))
+    out = out.unionByName(row(records.groupBy("source_file", "source_type").agg(F.count("*").alias("n")), "Extraction", file, source_type=F.col("source_type"), records_extracted=F.col("n")))
+    out = out.unionByName(row(records, "Parsing", file, source_type=F.col("source_type"), candidate_id=F.col("candidate_id"), fields_parsed=F.col("parsed_fields")))
+    out = out.unionByName(row(records.filter("_changed > 0 OR _duplicates > 0"), "Normalization", file, fields_normalized=F.col("_changed"), duplicates_removed=F.col("_duplicates")))
+    won = contested.filter("rank = 1")
+    return out.unionByName(row(won, "Conflict Resolution", F.concat_ws("/", *[F.col(k).cast("string") for k in keys], "field"), winner=F.col("value"), winner_source=F.col("source_file"), candidates=F.col("n")))
+
+
+def to_json(df: DataFrame, most: int = 100_000) -> str:
+    """A small result as indented JSON, for export; one row is one object. Above `most` rows it raises: write_json() has no bound."""
+    rows = [json.loads(r) for r in df.toJSON().take(most + 1)]
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: use Result.write_json()")
     return json.dumps(rows[0] if len(rows) == 1 else rows, indent=2, ensure_ascii=False)

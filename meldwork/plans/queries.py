@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meldwork.functions import dims, normalize, schema, text
 from meldwork.operators import analytics, clean, merge, project, score
+from meldwork.plans import reader_queries
 from meldwork.sources import files
 
 BY = ["entity_id"]
@@ -194,7 +195,14 @@ def q_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", F.array_join(text.keywords(F.col("text")), "|").alias("keywords"))
 
 
-SQL_KEYWORDS = "SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), {_q(text.keyword_pattern(k))}) THEN {_q(k)} END" for k in sorted(dims.KEYWORDS)) + "], lambda x: x IS NOT NULL), '|') AS keywords FROM documents"
+def _keyword_sql(word: str) -> str:
+    """Whether the word stands in the text between word boundaries, by regular expression of DuckDB's own."""
+    escaped = "".join(f"\\{c}" if not c.isalnum() and c != " " else c for c in word)
+    behind = "($|[^\\p{L}\\p{N}_])" if word[-1].isalnum() else "[\\p{L}\\p{N}_]"
+    return f"regexp_matches(lower(text), {_q('(^|[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}_])' + escaped + behind)})"
+
+
+SQL_KEYWORDS = "SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_keyword_sql(k)} THEN {_q(k)} END" for k in sorted(dims.KEYWORDS)) + "], lambda x: x IS NOT NULL), '|') AS keywords FROM documents"
 
 
 def q_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -375,7 +383,7 @@ FROM contested GROUP BY entity_id, field
 
 def q_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = evidence(spark, sf_dir)
-    rows = merge.provenance(merge.candidates(records, BY), merge.merge(records, BY), records, BY)
+    rows = merge.provenance(merge.candidates(records, BY), merge.merge(records, BY, *merge.lead()), BY)
     return rows.groupBy("field", "source", "source_type", "accepted", "contested").agg(F.count("*").alias("n"), F.min("priority").alias("priority"), F.count_if(F.col("value") == F.col("winning_value")).alias("equal"), F.min("explanation").alias("explanation"))
 
 
@@ -401,7 +409,7 @@ SQL_CONFLICT_FIELDS = EVIDENCE + _LONG + "SELECT field, count(*) AS n, 100.0::DO
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = evidence(spark, sf_dir)
-    return score.quality(score.confidence(merge.merge(records, BY), score.contributions(records, BY), BY))
+    return score.quality(score.confidence(merge.merge(records, BY, *score.contributions())))
 
 
 def q_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -459,11 +467,5 @@ UNION ALL SELECT entity_id, 'phones', 'Phone not in E.164 format: ' || p, 'forma
 """
 
 
-def q_export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The projected object as JSON, missing keys left out; JSON text differs between engines, so no SQL."""
-    wanted = project.OutputConfig.parse({"on_missing": "omit", "include_provenance": False, "fields": [{"path": "full_name"}, {"path": "mail", "from": "emails[0]"}, {"path": "location"}]})
-    return project.project_json(scored(spark, sf_dir), BY, wanted)
-
-
-QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}
-ORACLES = {"q_" + k[4:].lower(): v for k, v in globals().items() if k.startswith("SQL_")}
+QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")} | reader_queries.QUERIES
+ORACLES = {"q_" + k[4:].lower(): v for k, v in globals().items() if k.startswith("SQL_")} | reader_queries.ORACLES

@@ -1,7 +1,8 @@
 """Files to records: detection by extension and content, then one reader a source type.
 
-Every reader takes the files table (run_id, file_seq, source_file, source_type, content) and gives
-records; a file or record that can't be read is a row of rejects, never a failed task.
+parse_files() reads the files table (run_id, file_seq, source_file, source_type, content) once; extract() makes
+records of its rows. A file or record that can't be read is a row of rejects, never a failed task; a record without
+a name is no record.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import io
 import json
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -20,20 +21,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meldwork.functions import dims, text
-from meldwork.functions.schema import as_records, priority
+from meldwork.functions.schema import RECORD, as_records, priority
 from meldwork.functions.text import WHITE, blank_to_null, non_empty, split_list
 
 
 def read_files(spark: SparkSession, paths: str | list[str], run_id: str = "run") -> DataFrame:
-    """The files under paths, in the order of their paths; a file name that comes again replaces the earlier one."""
+    """The files under paths, in the order of their paths; a file name that comes again replaces the earlier one.
+
+    Names and order are settled on the paths alone; contents meet them by path. file_seq rises with the path
+    and isn't gapless.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    named = raw.select("path", F.element_at(F.split("path", "/"), -1).alias("source_file"), "content", "modificationTime")
-    last = named.groupBy("source_file").agg(F.max_by(F.struct("path", "content"), "path").alias("f"))
-    # The order needs the paths alone; each file's place is the number of paths up to it.
-    place = last.select("source_file", F.col("f.path").alias("path"))
-    ranked = spark.createDataFrame([(r["source_file"], i) for i, r in enumerate(place.orderBy("path").collect())], "source_file string, file_seq long")
-    files = last.join(F.broadcast(ranked), "source_file").select(F.lit(run_id).alias("run_id"), "file_seq", "source_file", F.col("f.content").alias("content"))
-    return detect(files)
+    last = raw.select("path").withColumn("source_file", F.element_at(F.split("path", "/"), -1)).groupBy("source_file").agg(F.max("path").alias("path"))
+    order = last.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "path").sortWithinPartitions("path").withColumn("file_seq", F.monotonically_increasing_id())
+    return detect(raw.select("path", "content").join(order, "path").select(F.lit(run_id).alias("run_id"), "file_seq", "source_file", "content"))
 
 
 def extension(name: Column) -> Column:
@@ -67,7 +68,7 @@ def detect(files: DataFrame) -> DataFrame:
 
 
 def unknown_files(files: DataFrame) -> DataFrame:
-    return files.filter("source_type = 'unknown'").select("run_id", "source_file", F.lit("unknown file type").alias("warning"))
+    return files.filter("source_type = 'unknown'").select("run_id", "source_file", F.concat(F.lit("Unknown file type for '"), "source_file", F.lit("' (ext: "), extension(F.col("source_file")), F.lit(")")).alias("warning"))
 
 
 KEYS = ["run_id", "source_file", "source_type", "file_seq"]
@@ -75,52 +76,59 @@ KEYS = ["run_id", "source_file", "source_type", "file_seq"]
 NA = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
-def _csv_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        out = []
-        for r in frame.itertuples(index=False):
-            try:
-                body = bytes(r.content).decode("utf-8-sig")
-            except UnicodeDecodeError:
-                body = bytes(r.content).decode("latin-1")
-            for i, row in enumerate(csv.DictReader(io.StringIO(body, newline=""))):
-                cells = {str(k).lower().strip(): None if v in NA else v for k, v in row.items() if k is not None}
-                out.append((r.run_id, r.source_file, r.source_type, r.file_seq, i, cells))
-        yield pd.DataFrame(out, columns=[*KEYS, "row_seq", "cells"])
-
-
-def csv_records(files: DataFrame) -> DataFrame:
-    """One record a row with a name. Cells stay strings; header aliases are tried in their order."""
-    only = files.filter("source_type = 'recruiter_csv'").select(*KEYS, "content")
-    rows = only.mapInPandas(_csv_rows, "run_id string, source_file string, source_type string, file_seq long, row_seq long, cells map<string,string>")
-    return csv_projection(rows)
+def _csv_rows(content: bytes) -> list[dict]:
+    """The cells of every row by lower-cased header, as long as they may be."""
+    csv.field_size_limit(1 << 62)
+    try:
+        body = content.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        body = content.decode("latin-1")
+    return [{"row_seq": i, "cells": {str(k).lower().strip(): None if v in NA else v for k, v in row.items() if k is not None}} for i, row in enumerate(csv.DictReader(io.StringIO(body, newline="")))]
 
 
-def csv_projection(rows: DataFrame) -> DataFrame:
-    """Records from rows with `cells`, a map of lower-cased header to cell; the first alias that is a header decides."""
+def _cells(rows: DataFrame) -> Callable[[str], Column]:
     def cell(name: str) -> Column:
         aliases = F.array(*map(F.lit, dims.CSV_ALIASES[name]))
         return F.try_element_at("cells", F.get(F.filter(aliases, lambda a: F.map_contains_key("cells", a)), F.lit(0)))
 
+    return cell
+
+
+def _number(c: Column) -> Column:
+    return blank_to_null(c).try_cast("double")
+
+
+_ENDLESS = [float("inf"), float("-inf")]
+
+
+def csv_projection(rows: DataFrame) -> DataFrame:
+    """Records from rows with `cells`, a map of lower-cased header to cell; the first alias that is a header decides."""
+    cell = _cells(rows)
     scalars = {n: blank_to_null(cell(n)) for n in ("full_name", "headline", "city", "region", "country", "linkedin", "github")}
     lists = {n: split_list(cell(n)) for n in ("emails", "phones", "skills")}
     company, headline = blank_to_null(cell("company")), blank_to_null(cell("headline"))
     none = F.lit(None).cast("string")
     entry = F.struct(company.alias("company"), headline.alias("title"), none.alias("start"), none.alias("end"), none.alias("summary"))
-    number = F.expr("try_cast(y AS DOUBLE)")
-    step = rows.withColumn("y", blank_to_null(cell("years_experience"))).withColumns(scalars | lists)
-    step = step.withColumn("experience", F.when(company.isNotNull() | headline.isNotNull(), F.array(entry))).withColumn("years_experience", F.when(number.isNotNull(), number).cast("string"))
-    step = step.filter(non_empty(F.col("full_name")) & ~F.coalesce(F.col("years_experience").isin("Infinity", "-Infinity"), F.lit(False)))
-    return as_records(step.withColumn("years_experience", F.expr("try_cast(try_cast(years_experience AS DOUBLE) AS INT)")), "run_id")
+    step = rows.withColumn("y", _number(cell("years_experience"))).withColumns(scalars | lists)
+    step = step.withColumn("experience", F.when(company.isNotNull() | headline.isNotNull(), F.array(entry)))
+    step = step.filter(non_empty(F.col("full_name")) & ~F.coalesce(F.col("y").isin(_ENDLESS), F.lit(False)))
+    return as_records(step.withColumn("years_experience", F.col("y").try_cast("int")), "run_id")
+
+
+def csv_rejects(rows: DataFrame) -> DataFrame:
+    """Rows with a name whose years can't be a whole number."""
+    cell = _cells(rows)
+    bad = rows.filter(blank_to_null(cell("full_name")).isNotNull() & _number(cell("years_experience")).isin(_ENDLESS))
+    return bad.select("run_id", "source_file", F.concat(F.lit("row "), "row_seq", F.lit(": years of experience are infinite")).alias("error"))
 
 
 def _present(data: dict, aliases: list[str]) -> object:
     """The value under the first alias that is a key, even if null; a+b joins the parts that are there."""
     for alias in aliases:
         if "+" in alias:
-            joined = " ".join(str(data[p]) for p in alias.split("+") if data.get(p))
-            if joined:
-                return joined
+            parts = [str(data[p]).strip() for p in alias.split("+") if data.get(p)]
+            if parts:
+                return " ".join(parts)
         elif alias in data:
             return data[alias]
     return None
@@ -128,21 +136,20 @@ def _present(data: dict, aliases: list[str]) -> object:
 
 def _listed(value: object) -> list[str]:
     if isinstance(value, str):
-        return [x.strip() for x in value.split(",") if x.strip()]
-    if not isinstance(value, list):
-        return []
+        value = value.split(",")
     out = []
-    for item in value:
+    for item in value if isinstance(value, list) else []:
         if isinstance(item, dict):
-            item = next((item[k] for k in ("name", "value", "skill", "skillName") if item.get(k)), None)
+            item = next((str(item[k]) for k in ("name", "value", "skill", "skillName") if k in item), None)
         if isinstance(item, str) and item.strip():
             out.append(item.strip())
     return out
 
 
 def _month(value: object) -> str | None:
+    """A date as it is, or year and month of an object, whatever they are; only a text is a date later on."""
     if isinstance(value, dict):
-        return f"{value['year']}-{int(value.get('month') or 0):02d}" if value.get("year") else None
+        return f"{value['year']}-{str(value.get('month', '')).zfill(2)}" if value.get("year") else None
     return value if isinstance(value, str) else None
 
 
@@ -154,108 +161,123 @@ def _text(value: object) -> str | None:
     return None if value is None else str(value)
 
 
+def _items(value: object) -> list[dict]:
+    return [x for x in (value if isinstance(value, list) else [value]) if isinstance(x, dict)]
+
+
 def _experience(value: object) -> list[dict]:
     found = []
-    for item in value if isinstance(value, list) else [value]:
-        if isinstance(item, dict):
-            entry = {
-                "company": _text(_either(item, "company", "companyName", "organization")), "title": _text(_either(item, "title", "position", "role", "jobTitle")),
-                "start": _month(_either(item, "start", "startDate", "start_date")), "end": _month(_either(item, "end", "endDate", "end_date")),
-                "summary": _text(_either(item, "summary", "description")),
-            }
-            if entry["company"] or entry["title"]:
-                found.append(entry)
+    for item in _items(value):
+        entry = {
+            "company": _text(_either(item, "company", "companyName", "organization")), "title": _text(_either(item, "title", "position", "role", "jobTitle")),
+            "start": _month(_either(item, "start", "startDate", "start_date")), "end": _month(_either(item, "end", "endDate", "end_date")),
+            "summary": _text(_either(item, "summary", "description")),
+        }
+        if entry["company"] or entry["title"]:
+            found.append(entry)
     return found
 
 
 def _education(value: object) -> list[dict]:
     found = []
-    for item in value if isinstance(value, list) else [value]:
-        if isinstance(item, dict):
-            year = _either(item, "end_year", "endYear", "graduation_year")
-            year = year.get("year") if isinstance(year, dict) else year
-            try:
-                year = int(year) if year is not None else None
-            except (TypeError, ValueError):
-                year = None
-            entry = {"institution": _text(_either(item, "institution", "school", "schoolName", "university")), "degree": _text(_either(item, "degree", "degreeName")), "field": _text(_either(item, "field", "fieldOfStudy", "major", "specialization")), "end_year": year}
-            if entry["institution"] or entry["degree"]:
-                found.append(entry)
+    for item in _items(value):
+        year = _either(item, "end_year", "endYear", "graduation_year")
+        year = year.get("year") if isinstance(year, dict) else year
+        entry = {"institution": _text(_either(item, "institution", "school", "schoolName", "university")), "degree": _text(_either(item, "degree", "degreeName")), "field": _text(_either(item, "field", "fieldOfStudy", "major", "specialization")), "end_year": _whole(year, int)}
+        if entry["institution"] or entry["degree"]:
+            found.append(entry)
     return found
 
 
-def _years(value: object) -> int | None:
+def _whole(value: object, read: Callable[[object], float] = float) -> int | None:
+    """A whole number, or None for what isn't one; infinity, or one beyond 32 bits, raises OverflowError."""
     try:
-        return None if value is None else int(float(value))  # infinity raises OverflowError and drops the record
+        number = None if value is None else int(read(value))
     except (TypeError, ValueError):
         return None
-
-
-def _place(data: dict, value: object, aliases: dict[str, list[str]], linkedin: bool) -> tuple:
-    def plain(x: object) -> str | None:
-        return x if isinstance(x, str) and x.strip() else None
-
-    if linkedin:
-        if isinstance(value, dict):
-            return plain(_either(value, "name", "city")), None, plain(_either(value, "country", "countryCode"))
-        return plain(value), None, None
-    city = _either(value, "city") if isinstance(value, dict) else value
-    return plain(city), plain(_present(data, aliases["region"])), plain(_present(data, aliases["country"]))
+    if number is not None and not -(1 << 31) <= number < 1 << 31:
+        raise OverflowError("a number is too large")
+    return number
 
 
 def json_record(data: dict, linkedin: bool) -> dict | None:
-    """One record of a JSON object, or None where it has no name or a scalar of the wrong type."""
+    """One record of a JSON object, None where it has no name. A scalar of the wrong type raises TypeError."""
     aliases = dims.LINKEDIN_ALIASES if linkedin else dims.ATS_ALIASES
     got = {k: _present(data, v) for k, v in aliases.items()}
-    name = got["full_name"]
-    if not isinstance(name, str) or not name.strip():
-        return None
-    scalars = {k: got.get(k) for k in ("headline", "linkedin", "github", "portfolio")}
-    if any(v is not None and not isinstance(v, str) for v in scalars.values()):
+    if not got["full_name"]:
         return None
-    try:
-        years = None if linkedin else _years(got["years_experience"])
-    except OverflowError:
-        return None
-    city, region, country = _place(data, got["location"] if linkedin else got["city"], aliases, linkedin)
+    place = got["location"] if linkedin else got["city"]
+    if linkedin:
+        inside = isinstance(place, dict)
+        city, region, country = (_either(place, "name", "city") if inside else place if isinstance(place, str) else None), None, _either(place, "country", "countryCode") if inside else None
+    else:
+        place = place.get("city") if isinstance(place, dict) else place
+        city, region, country = (x if isinstance(x, str) else None for x in (place, got["region"], got["country"]))
+    scalars = {k: got.get(k) for k in ("headline", "linkedin", "github", "portfolio")} | {"city": city, "region": region, "country": country}
+    for k, v in scalars.items():
+        if v is not None and not isinstance(v, str):
+            raise TypeError(f"{k} isn't a text")
     return scalars | {
-        "full_name": name.strip(), "city": city, "region": region, "country": country, "years_experience": years, "emails": _listed(got["emails"]), "phones": _listed(got.get("phones")),
+        "full_name": str(got["full_name"]).strip(), "years_experience": None if linkedin else _whole(got["years_experience"]), "emails": _listed(got["emails"]), "phones": _listed(got.get("phones")),
         "skills": _listed(got["skills"]), "experience": _experience(got["experience"]), "education": _education(got["education"]),
     }
 
 
-def _json_items(body: str) -> Iterator[dict]:
-    data = json.loads(body)
-    if isinstance(data, dict):
-        data = next((data[k] for k in dims.WRAPPER_KEYS if isinstance(data.get(k), list)), [data])
-    yield from (x for x in data if isinstance(x, dict))
-
-
 _JSON_FIELDS = ["full_name", "headline", "city", "region", "country", "years_experience", "linkedin", "github", "portfolio", "emails", "phones", "skills", "experience", "education"]
 
 
-def _json_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        out = []
-        for r in frame.itertuples(index=False):
+def _json_rows(content: bytes, linkedin: bool) -> list[dict]:
+    """A row for every record and for every one that can't be read; a list, a single object or, in the plain dialect, an object that wraps a list."""
+    data = json.loads(content.decode())
+    if isinstance(data, dict):
+        data = [data] if linkedin else next((data[k] for k in dims.WRAPPER_KEYS if isinstance(data.get(k), list)), [data])
+    out = []
+    for i, item in enumerate(data if isinstance(data, list) else []):
+        if isinstance(item, dict):
             try:
-                items = list(_json_items(bytes(r.content).decode()))
-            except ValueError:
+                got = json_record(item, linkedin)
+            except (TypeError, ValueError, OverflowError, RecursionError) as e:
+                out.append({"row_seq": i, "error": f"record {i}: {e}"})
                 continue
-            for i, item in enumerate(items):
-                got = json_record(item, r.source_type == "linkedin_json")
-                if got:
-                    out.append((r.run_id, r.source_file, r.source_type, r.file_seq, i, *[got[k] for k in _JSON_FIELDS]))
-        yield pd.DataFrame(out, columns=[*KEYS, "row_seq", *_JSON_FIELDS]).astype({"years_experience": "Int64"})
+            if got:
+                out.append(got | {"row_seq": i})
+    return out
+
+
+#: One row for every record, text or failure of a file; one of cells, text, error or the JSON fields is set, by `kind`.
+PARSED = {"run_id": "string", "source_file": "string", "source_type": "string", "file_seq": "long", "row_seq": "long", "kind": "string", "cells": "map<string,string>", "text": "string", "error": "string"} | {f: RECORD[f] for f in _JSON_FIELDS}
+
+
+def parse_files(files: DataFrame, pdf: Callable[[bytes], str] | None = None) -> DataFrame:
+    """PARSED rows of all files of known type, each read once. `pdf` turns a PDF's bytes into text; by default pdf_text."""
 
+    def rows(source_type: str, content: bytes) -> list[dict]:
+        if source_type == "recruiter_csv":
+            return [x | {"kind": "csv"} for x in _csv_rows(content)]
+        if source_type in ("ats_json", "linkedin_json"):
+            return [{"kind": "json"} | x for x in _json_rows(content, source_type == "linkedin_json")]
+        if source_type == "recruiter_notes":
+            try:
+                return [{"kind": "note", "text": content.decode()}]
+            except UnicodeDecodeError:
+                return [{"kind": "note", "text": content.decode("latin-1")}]
+        body = ((pdf or pdf_text) if source_type == "resume_pdf" else docx_text)(content)
+        return [{"kind": "document", "text": body} if body.strip() else {"error": "no extractable text"}]
 
-def json_records(files: DataFrame) -> DataFrame:
-    """Records of both JSON dialects: a list, an object that wraps one, or a single object."""
-    from meldwork.functions.schema import RECORD
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for r in frame.itertuples(index=False):
+                own = {k: getattr(r, k) for k in KEYS}
+                try:
+                    found = rows(r.source_type, bytes(r.content))
+                except Exception as e:  # noqa: BLE001  whatever a file holds, it is a reject
+                    found = [{"error": f"{type(e).__name__}: {e}"}]
+                out += [{"row_seq": 0} | x | own | ({"kind": "error"} if x.get("error") else {}) for x in found]
+            yield pd.DataFrame([tuple(map(x.get, PARSED)) for x in out], columns=list(PARSED), dtype=object).astype({"years_experience": "Int64"})
 
-    only = files.filter("source_type IN ('ats_json', 'linkedin_json')").select(*KEYS, "content")
-    schema = "run_id string, source_file string, source_type string, file_seq long, row_seq long, " + ", ".join(f"{f} {RECORD[f]}" for f in _JSON_FIELDS)
-    return as_records(only.mapInPandas(_json_rows, schema), "run_id")
+    only = files.filter("source_type <> 'unknown'").select(*KEYS, "content")
+    return only.mapInPandas(run, ", ".join(f"{k} {v}" for k, v in PARSED.items()))
 
 
 def document_record(rows: DataFrame, keep: int = 5000) -> DataFrame:
@@ -269,10 +291,8 @@ def document_record(rows: DataFrame, keep: int = 5000) -> DataFrame:
     }), "run_id")
 
 
-def notes_records(files: DataFrame, keep: int = 1000) -> DataFrame:
-    """One record a note that isn't blank."""
-    body = F.col("content").cast("string")
-    rows = files.filter("source_type = 'recruiter_notes'").select(*KEYS, F.when(F.is_valid_utf8(body), body).otherwise(F.decode("content", "ISO-8859-1")).alias("text"))
+def notes_records(rows: DataFrame, keep: int = 1000) -> DataFrame:
+    """One record a note that isn't blank, from rows with `text`."""
     t = F.col("text")
     return as_records(rows.filter(~t.rlike(f"^{WHITE}*$")).withColumns({
         "full_name": text.labelled_name(t), "emails": text.emails(t), "phones": text.phones(t), "skills": text.keywords(t), "raw_text": F.substring(t, 1, keep), "row_seq": F.lit(0),
@@ -306,36 +326,21 @@ def pdf_text(content: bytes) -> str:
     pages = []
     for page in reader.pages:
         try:
-            pages.append(page.extract_text() or "")
+            pages.append(page.extract_text())
         except Exception:  # noqa: BLE001, S112  a page may hold anything
             continue
-    return "\n".join(pages)
-
-
-def document_texts(files: DataFrame) -> DataFrame:
-    """(keys, text, error) of every PDF and DOCX file."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for r in frame.itertuples(index=False):
-                body, error = None, None
-                try:
-                    body = (pdf_text if r.source_type == "resume_pdf" else docx_text)(bytes(r.content))
-                except Exception as e:  # noqa: BLE001  a bad file is a reject
-                    error = str(e)[:200]
-                out.append((r.run_id, r.source_file, r.source_type, r.file_seq, body, error))
-            yield pd.DataFrame(out, columns=[*KEYS, "text", "error"])
+    return "\n".join(x for x in pages if x)
 
-    only = files.filter("source_type IN ('resume_pdf', 'resume_docx')").select(*KEYS, "content")
-    return only.mapInPandas(run, "run_id string, source_file string, source_type string, file_seq long, text string, error string")
 
+def extract(parsed: DataFrame) -> DataFrame:
+    """Records of all PARSED rows."""
+    def of(kind: str) -> DataFrame:
+        return parsed.filter(F.col("kind") == kind)
 
-def extract(files: DataFrame) -> DataFrame:
-    """Records of all files of known type."""
-    documents = document_texts(files).filter(F.col("text").isNotNull() & ~F.col("text").rlike(f"^{WHITE}*$"))
-    return csv_records(files).unionByName(json_records(files)).unionByName(document_record(documents)).unionByName(notes_records(files))
+    return csv_projection(of("csv").select(*KEYS, "row_seq", "cells")).unionByName(as_records(of("json").drop("cells", "text", "error"), "run_id")).unionByName(document_record(of("document").select(*KEYS, "text"))).unionByName(notes_records(of("note").select(*KEYS, "text")))
 
 
-def rejects(files: DataFrame) -> DataFrame:
-    """Files that gave no text, and why."""
-    return document_texts(files).filter("error IS NOT NULL").select("run_id", "source_file", "error").unionByName(unknown_files(files).withColumnRenamed("warning", "error"))
+def rejects(files: DataFrame, parsed: DataFrame) -> DataFrame:
+    """(run_id, source_file, error): files and records that gave nothing, and why."""
+    failed = parsed.filter("kind = 'error'").select("run_id", "source_file", "error")
+    return failed.unionByName(csv_rejects(parsed.filter("kind = 'csv'"))).unionByName(unknown_files(files).withColumnRenamed("warning", "error"))

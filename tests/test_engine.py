@@ -47,8 +47,9 @@ def test_sources(spark, folder, result):
     assert (rows[1]["years_experience"], rows[1]["emails"]) == (None, [])
     assert (rows[2]["skills"], rows[2]["years_experience"]) == (["A", "B"], 9)
     assert rows[2]["experience"][0]["start"] == "2020-00"
+    assert {r["source_file"]: r["error"].split(":")[0] for r in result["rejects"].collect() if r["source_file"] == "a.csv"} == {"a.csv": "row 1"}
     assert rows[5]["skills"] == ["Docker"]
-    assert {r["source_file"] for r in result["rejects"].collect()} == {"f.pdf", "g.xyz"}
+    assert sorted((r["source_file"], r["error"].split(":")[0]) for r in result["rejects"].filter("source_file <> 'a.csv'").collect()) == [("b.json", "record 2"), ("b.json", "record 3"), ("f.pdf", "RuntimeError"), ("g.xyz", "Unknown file type for 'g.xyz' (ext")]
 
 
 def test_canonical(result):
@@ -81,10 +82,81 @@ def test_projection_omits_only_own_nulls(result):
 def test_counters_and_stages(result):
     row = result["counters"].first()
     assert (row["files_processed"], row["records_parsed"], row["success"]) == (7, 6, True)
-    assert all(s.status == "success" for s in result.stages)
+    assert (row["fields_parsed"] > 0, row["warnings"], row["processing_time_ms"] > 0) == (True, 5, True)
+    assert {s.name: s.status for s in result.stages if s.status != "success"} == {"Input Detection": "warning", "Extraction": "warning"}
+    assert [s.index for s in result.stages] == list(range(len(result.stages)))
+    work = {s.name: (s.records_processed, s.fields_transformed) for s in result.stages}
+    assert work["Parsing"][0] == 6 and work["Parsing"][1] > 6 and work["Normalization"][1] > 0
+    assert {"Stage 'Merge' started", "Unknown file type for 'g.xyz' (ext: .xyz)"} <= {e["message"] for e in result.log}
+    assert {r["stage"] for r in result["changes"].select("stage").distinct().collect()} == {"Input Detection", "Extraction", "Parsing", "Normalization", "Conflict Resolution"}
     assert result["chains"].filter("total > 0").count() > 0
 
 
+def test_rules_are_described(result):
+    rows = {r["rule"]: r for r in result["rule_log"].collect()}
+    assert rows["skill_canonicalize"]["description"].startswith("Skill 'k8s' canonicalized to 'Kubernetes'") or "canonicalized to" in rows["skill_canonicalize"]["description"]
+    assert (rows["skill_canonicalize"]["stage"], rows["convert_to_e164"]["stage"]) == ("canonicalization", "normalization")
+    assert all(r["description"] for r in rows.values())
+
+
+BAD = {
+    "bom.json": "\ufeff{}".encode(), "deep.json": b"[" * 200_000, "cut.json": b'{"name": ', "latin.json": b'{"name": "\xff"}', "null.json": b"null", "long.csv": f"name,skills\nAnn,{'x' * 300_000}\n".encode(), "nul.csv": b"na\0me\n\0", "zip.docx": b"PK",
+    "odd.json": json.dumps([{"name": 7, "workExperience": [{"companyName": "Z", "startDate": {"year": 2020, "month": "March"}}]}, {"name": "I", "education": [{"school": "S", "endYear": float("inf")}]}, {"name": "B", "yoe": 1e30}, {"name": ["x"], "skills": [{"name": None}, {"skill": 3}]}]).encode(),
+}
+
+
+def test_no_file_fails_the_run(spark, tmp_path):
+    for name, body in BAD.items():
+        (tmp_path / name).write_bytes(body)
+    out = Engine(spark, countries={}).run(str(tmp_path))
+    got = {r["full_name"]: r for r in out["records"].collect()}
+    assert set(got) == {"Ann", "7", "['x']"}
+    assert got["7"]["experience"][0]["start"] == "2020-March" or got["7"]["experience"][0]["start"] is None
+    assert len(got["Ann"]["skills"][0]) == 300_000
+    assert got["['x']"]["skills"] == ["3", "None"]
+    failed = {}
+    for r in out["rejects"].collect():
+        failed.setdefault(r["source_file"], []).append(r["error"].split(":")[0])
+    assert {k: sorted(v) for k, v in failed.items()} == {"bom.json": ["JSONDecodeError"], "deep.json": ["RecursionError"], "cut.json": ["JSONDecodeError"], "latin.json": ["UnicodeDecodeError"], "zip.docx": ["BadZipFile"], "odd.json": ["record 1", "record 2"]}
+    out.release()
+    assert not out.held
+
+
+def test_pdf_by_a_given_parser(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"Ann Lee|ann@x.io|Skills|python")
+    (tmp_path / "b.pdf").write_bytes(b" ")
+    out = Engine(spark, countries={}, pdf=lambda body: body.decode().replace("|", "\n")).run(str(tmp_path))
+    row = out["records"].first()
+    assert (row["source_type"], row["full_name"], row["emails"], row["skills"]) == ("resume_pdf", "Ann Lee", ["ann@x.io"], ["Python"])
+    assert [(r["source_file"], r["error"]) for r in out["rejects"].collect()] == [("b.pdf", "no extractable text")]
+
+
+def test_a_stage_that_fails_is_recorded_and_passed_over(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    records = schema.as_records(spark.createDataFrame([("r", "Ann", ["K8S"])], "run_id string, full_name string, skills array<string>"), "run_id")
+    normalize = clean.normalize
+    monkeypatch.setattr(clean, "normalize", lambda *a: normalize(*a).withColumn("_changed", F.expr("IF(full_name IS NULL, 0, raise_error('broken'))").cast("int")))
+    out = Engine(spark, countries={}).consolidate(records)
+    assert {s.name for s in out.stages if s.status == "error"} == {"Normalization", "Canonicalization"}
+    assert out["canonical"].first()["full_name"] == "Ann"
+    assert any(e["level"] == "ERROR" and "broken" in e["message"] for e in out.log)
+
+
+def test_schema_errors(spark):
+    frame = spark.sql("SELECT 'r' AS run_id, CAST(NULL AS STRING) AS candidate_id, '' AS full_name, array(named_struct('name', 'a', 'confidence', 1.5D), named_struct('name', NULL, 'confidence', 0D)) AS skills, array(named_struct('field', 'f', 'confidence', -1D)) AS field_confidences, 2D AS overall_confidence")
+    got = sorted((r["field"], r["type"], r["input"]) for r in score.schema_errors(frame, ["run_id"]).collect())
+    assert got == [("candidate_id", "string_type", "None"), ("field_confidences → 0 → confidence", "greater_than_equal", "-1.0"), ("overall_confidence", "less_than_equal", "2.0"), ("skills → 0 → confidence", "less_than_equal", "1.5"), ("skills → 1 → name", "string_type", "None")]
+
+
+def test_export_of_many_rows(spark, tmp_path):
+    from meldwork.plans.engine import to_json
+
+    assert len(json.loads(to_json(spark.range(1500)))) == 1500
+    with pytest.raises(ValueError, match="rows"):
+        to_json(spark.range(11), most=10)
+
+
 def test_write_and_load(spark, result, tmp_path):
     result.write(str(tmp_path), "r1")
     assert Engine(spark, countries={}).load(str(tmp_path))["canonical"].first()["full_name"] == "Ann Lee"
