@@ -1,17 +1,20 @@
 """Personal data: exact patterns, and terms that reveal a protected entity by information content.
 
-Four kinds of entity are found by pattern. Every term of a document that holds an entity e is judged by
+Four kinds of entity are found by pattern; a fifth, the secret, is a long value of letters and digits that a label is
+set to (`token = "..."`). Every term within `WINDOW` words of an entity e is judged by
 what it tells about e: its pointwise mutual information, PMI(t, e) = log2(p(e | t) / p(e)), against the
-entity's information content IC(e) = -log2 p(e), both from document counts over the whole corpus. The same
-is asked for e's class (mail domain, number prefix) and its kind, whose counts are those of all entities in
+entity's information content IC(e) = -log2 p(e), both from document counts over the whole corpus, where p(e | t)
+counts the documents in which t stands that near to e. The same
+is asked for e's class (mail domain, number prefix, label of a secret) and its kind, whose counts are those of all entities in
 them, so a term can give away what a rare entity is. A term that gives away at least `disclosure` of the
-content of one of the three is sanitised wherever a document holds both, if chance doesn't explain it: its
+content of one of the three is sanitised wherever it stands near that one, if chance doesn't explain it: its
 different texts save `texts * PMI` bits, which must exceed log2 of the candidate terms by -log2(`chance`).
 There is no floor on texts: one is enough where the entity is rare in a large corpus, and few are not in a
-corpus of some dozen documents.
+corpus of some dozen documents. A secret gives itself away: it is sanitised where it is rare, that is where its own
+content, by different texts, is at least half of what a value of one text has.
 
 Defined cases: null text is empty; equal texts count as one text for the evidence; a long text is
-searched whole and in linear time; a term inside a pattern's span is no term; equal ids are separate
+searched whole and in linear time; a term inside an entity's span is no term; equal ids are separate
 documents and a null id is a document like others; columns other than the id and the text pass through
 sanitise() and are ignored by find().
 """
@@ -21,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +37,22 @@ from meldwork.llm.common import SPACES, map_rows, mix, words, written
 
 #: The kinds, in the order in which spans with one start are listed.
 KINDS = ("email", "ip", "card", "phone")
+#: All kinds of spans.
+NAMES = (*KINDS, "secret", "term")
+SECRET, TERM = 4, 5
+#: What the low bits of a group's number say beside the five kinds of exact values: a class, a kind.
+_CLASS, _KIND = 5, 6
+#: Words on each side of an entity that count as near it.
+WINDOW = 64
+#: Numbers that no term has: how many documents hold a group, and of how many terms its evidence is the best.
+_HOLDERS, _CANDIDATES = 0, 1
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # A match can't begin inside a run of digits that a search has passed, so both may ask for its beginning.
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z][A-Za-z0-9_.-]{1,63})[\"']? ?[=:] ?[\"']?([A-Za-z0-9][A-Za-z0-9_+/=~-]{15,})")
 #: Characters at which terms end.
 BREAKS = SPACES + ".,;:!?()[]{}<>\"'|/\\*#$%&=~`^"
 #: Flagged pairs of term and entity that a task holds (eight bytes each); more are brought to the rows by a join.
@@ -83,39 +97,97 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _entity(text: str, span: tuple[int, int, int]) -> int:
-    """A 63-bit number for the entity: its kind and its letters and digits."""
-    value = text[span[0] : span[2]].lower()
-    if span[1] > 1:
-        value = re.sub(r"[^0-9]", "", value)
-    return xxhash.xxh64_intdigest(f"{KINDS[span[1]]}:{value}") >> 1
-
-
-def _terms(text: str, spans: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Terms outside the spans: hashes, byte starts and ends, and each term's ordinal among all words."""
-    h, _, start, end = words(pa.array([text]), BREAKS)
-    long = end - start >= 3
-    h, start, end = h[long], start[long], end[long]
-    free = np.ones(len(h), bool)
-    for i, _, j in spans:
-        a = len(text[:i].encode())
-        b = a + len(text[i:j].encode())
-        free &= (end <= a) | (start >= b)
-    return h[free], start[free], end[free], np.flatnonzero(free)
-
-
-def _groups(text: str, spans: list[tuple[int, int, int]]) -> set[int]:
-    """Numbers of what the text's entities are: each one's exact value, its class and its kind.
-
-    The class is a mail's domain, an address's first two numbers, a card's first six and a phone's first four digits.
+def secret_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str]]:
+    """(start, kind number, end, label) of every value that is set behind a label and holds letters and digits, outside the base spans."""
+    if "=" not in text and ":" not in text:
+        return []
+    found = [(m.start(2), SECRET, m.end(2), m[1].lower()) for m in _SECRET.finditer(text) if any(c.isdigit() for c in m[2]) and any(c.isalpha() for c in m[2])]
+    covered = _Cover([(i, j) for i, _, j in base])
+    return [s for s in found if not covered.touches(s[0], s[2])]
+
+
+class _Cover:
+    """Spans, merged, to ask whether they touch another."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        self.starts, self.ends = [], []
+        for i, j in sorted(spans):
+            if self.ends and i <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], j)
+            else:
+                self.starts.append(i)
+                self.ends.append(j)
+
+    def touches(self, i: int, j: int) -> bool:
+        k = bisect_right(self.starts, j - 1) - 1
+        return k >= 0 and self.ends[k] > i
+
+
+def _number(name: str, mark: int) -> int:
+    return xxhash.xxh64_intdigest(name) >> 4 << 3 | mark
+
+
+def _byte_places(text: str) -> np.ndarray | None:
+    """The byte at which each code point begins, and the text's end; None where that is the code point's own number."""
+    if text.isascii():
+        return None
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return np.concatenate(([0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))))
+
+
+class _Text:
+    """A text's entities and terms: what it holds, and which terms stand near which group."""
+
+    def __init__(self, text: str) -> None:
+        self.base = base_spans(text)
+        self.secrets = secret_spans(text, self.base)
+        self.text = text
+
+    def read(self) -> None:
+        h, _, start, end = words(pa.array([self.text]), BREAKS)
+        places = _byte_places(self.text)
+        spans = [(i, k, j, "") for i, k, j in self.base] + self.secrets
+        at = np.array([(i, j) for i, _, j, _ in spans], np.int64).reshape(-1, 2)
+        if places is not None:
+            at = places[at]
+        inside = np.zeros(int(max(end.max(initial=0), at.max(initial=0))) + 2, np.int64)
+        np.add.at(inside, at[:, 0], 1)
+        np.add.at(inside, at[:, 1], -1)
+        held = np.concatenate(([0], np.cumsum(np.cumsum(inside) > 0)))
+        keep = np.flatnonzero((end - start >= 3) & (held[end] == held[start]))
+        self.terms, self.start, self.end, self.order = h[keep], start[keep], end[keep], keep
+        if places is not None:
+            self.start, self.end = np.searchsorted(places, self.start), np.searchsorted(places, self.end)
+        word = np.searchsorted(start, at[:, 0], "right") - 1
+        self.near: dict[int, list[int]] = {}
+        for (i, k, j, label), w in zip(spans, word.tolist(), strict=True):
+            for group in _groups(self.text[i:j].lower(), k, label):
+                self.near.setdefault(group, []).append(w)
+
+    def groups(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each group and the places of the terms near it."""
+        for group, at in self.near.items():
+            w = np.unique(np.array(at, np.int64))
+            low, high = np.searchsorted(self.order, w - WINDOW), np.searchsorted(self.order, w + WINDOW, "right")
+            low[1:] = np.maximum(low[1:], high[:-1])  # stretches that overlap count once
+            n = np.maximum(high - low, 0)
+            yield group, np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+    def pairs(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each group and the different terms near it."""
+        for group, at in self.groups():
+            yield group, np.unique(self.terms[at]).view(np.int64)
+
+
+def _groups(value: str, kind: int, label: str) -> tuple[int, int, int]:
+    """Numbers of an entity's exact value, its class and its kind.
+
+    The class is a mail's domain, an address's first two numbers, a card's first six, a phone's first four digits, a secret's label.
     """
-    out = set()
-    for i, k, j in spans:
-        value = text[i:j].lower()
-        digits = re.sub(r"[^0-9]", "", value)
-        part = (value[value.rfind("@") :], ".".join(x.lstrip("0") or "0" for x in value.split(".")[:2]), digits[:6], digits[:4])[k]
-        out |= {_entity(text, (i, k, j)), xxhash.xxh64_intdigest(f"{KINDS[k]}/{part}") >> 1, xxhash.xxh64_intdigest(KINDS[k]) >> 1}
-    return out
+    digits = re.sub(r"[^0-9]", "", value)
+    part = (value[value.rfind("@") :], ".".join(x.lstrip("0") or "0" for x in value.split(".")[:2]), digits[:6], digits[:4], label)[kind]
+    exact = digits if kind in (2, 3) else value
+    return _number(f"{NAMES[kind]}:{exact}", kind), _number(f"{NAMES[kind]}/{part}", _CLASS), _number(NAMES[kind], _KIND)
 
 
 def _summed(keys: list[np.ndarray], values: list[np.ndarray]) -> list[np.ndarray]:
@@ -133,46 +205,32 @@ def _holding(docs: DataFrame, text_col: str) -> DataFrame:
     """(text, copies): the different texts that hold an entity."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([t for t in batch.column(0).to_pylist() if t and base_spans(t)], pa.string())], names=["text"])
+        held = [t for t in batch.column(0).to_pylist() if t and (x := _Text(t)) and (x.base or x.secrets)]
+        return pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["text"])
 
     return map_rows(docs.select(text_col), run, "text string").groupBy("text").agg(F.count("*").alias("copies"))
 
 
-def _own(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The text's groups and its different terms."""
-    spans = base_spans(text)
-    return np.array(sorted(_groups(text, spans)), np.int64), np.unique(_terms(text, spans)[0]).view(np.int64)
-
-
 def _pairs(texts: DataFrame) -> DataFrame:
-    """(entity, term, together, texts): in how many documents and different texts both are."""
+    """(entity, term, together, texts): in how many documents and different texts both are; with the term _HOLDERS those that hold the entity, with _CANDIDATES the terms near it."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         parts = ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)])
         for text, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            groups, terms = _own(text)
-            parts[0].append(np.repeat(groups, len(terms)))
-            parts[1].append(np.tile(terms, len(groups)))
-            parts[2].append(np.full(len(groups) * len(terms), copies))
+            own = _Text(text)
+            own.read()
+            for group, terms in own.pairs():
+                parts[0].append(np.full(len(terms) + 2, group))
+                parts[1].append(np.append(terms, (_HOLDERS, _CANDIDATES)))
+                parts[2].append(np.append(np.full(len(terms) + 1, copies), len(terms)))
         entity, term, copies = map(np.concatenate, parts)
         out = _summed([entity, term], [copies, np.ones(len(copies), np.int64)])
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["entity", "term", "together", "texts"])
 
     out = map_rows(texts, run, "entity long, term long, together long, texts long")
-    # By the term alone, so that the join with the terms' counts needs no second exchange.
-    return out.repartition("term").groupBy("entity", "term").agg(F.sum("together").alias("together"), F.sum("texts").alias("texts"))
-
-
-def _holders(texts: DataFrame) -> DataFrame:
-    """(entity, holders, candidates): documents that hold it, and the terms of its different texts, summed."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(g, copies, len(terms)) for text, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True) for groups, terms in (_own(text),) for g in groups]
-        columns = np.array(rows, np.int64).reshape(-1, 3).T
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _summed([columns[0]], [columns[1], columns[2]])], names=["entity", "holders", "candidates"])
-
-    out = map_rows(texts, run, "entity long, holders long, candidates long")
-    return out.groupBy("entity").agg(F.sum("holders").alias("holders"), F.sum("candidates").alias("candidates"))
+    # By the term alone, so that the join with the terms' counts needs no second exchange. The two numbers that no term has are spread by entity.
+    spread = F.when(F.col("term").isin(_HOLDERS, _CANDIDATES), F.col("entity")).otherwise(F.col("term"))
+    return out.groupBy("entity", "term", spread.alias("_at")).agg(F.sum("together").alias("together"), F.sum("texts").alias("texts")).drop("_at")
 
 
 def _counted(docs: DataFrame, text_col: str) -> DataFrame:
@@ -193,31 +251,40 @@ def _counted(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def revealing(docs: DataFrame, text_col: str = "text", disclosure: float = 0.9, chance: float = 0.05) -> DataFrame:
-    """(entity, term): the pairs whose term gives the entity, its class or its kind away."""
-    texts = written(_holding(docs, text_col), "pii-texts")
+    """(entity, term): the pairs whose term gives the entity, its class or its kind away; with the term _HOLDERS, the secrets that are rare."""
+    pairs = written(_pairs(written(_holding(docs, text_col), "pii-texts")), "pii-pairs")
     total = docs.count()
+    holders = pairs.filter(F.col("term") == _HOLDERS).select("entity", F.col("together").alias("holders"), F.col("texts").alias("held"))
+    candidates = pairs.filter(F.col("term") == _CANDIDATES).select("entity", F.col("together").alias("candidates"))
     share = F.col("together") / F.col("n")
     # No entity has less than one holder, so a term below this share gives away too little of any.
-    known = _pairs(texts).join(_counted(docs, text_col), "term").filter(share >= max(total, 1) ** (disclosure - 1) * 0.999)
-    known = known.join(_holders(texts), "entity")
+    known = pairs.filter(~F.col("term").isin(_HOLDERS, _CANDIDATES)).join(_counted(docs, text_col), "term").filter(share >= max(total, 1) ** (disclosure - 1) * 0.999)
+    known = known.join(holders, "entity").join(candidates, "entity")
     content = -F.log2(F.col("holders") / total)
     information = F.log2(F.least(F.lit(1.0), share)) + content
     evidence = F.col("texts") * information - F.log2("candidates")
-    return known.filter((content > 0) & (information >= disclosure * content) & (evidence >= -math.log2(chance))).select("entity", "term")
+    found = known.filter((content > 0) & (information >= disclosure * content) & (evidence >= -math.log2(chance))).select("entity", "term")
+    rare = holders.filter((F.col("entity").bitwiseAND(7) == SECRET) & (F.col("held") * F.col("held") <= total))
+    return found.unionByName(rare.select("entity", F.lit(_HOLDERS).cast("long").alias("term")))
+
+
+def _spans_of(text: str, flagged: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Base spans, and those of rare secrets and of terms near an entity with which their pair is flagged."""
+    own = _Text(text)
+    if not (own.base or own.secrets) or not len(flagged):
+        return own.base, []
+    own.read()
+    hit, mixed = np.zeros(len(own.terms), bool), mix(own.terms)
 
+    def known(pair: np.ndarray) -> np.ndarray:
+        return flagged[np.minimum(np.searchsorted(flagged, pair), len(flagged) - 1)] == pair
 
-def _spans_of(text: str, flagged: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
-    """Base spans, and the spans of terms whose pair with one of the text's entities is flagged."""
-    base = base_spans(text)
-    if not base or not len(flagged):
-        return base, []
-    h, start, end, _ = _terms(text, base)
-    hit = np.zeros(len(h), bool)
-    for e in _groups(text, base):
-        pair = mix(mix(h) ^ np.uint64(e))
-        hit |= flagged[np.minimum(np.searchsorted(flagged, pair), len(flagged) - 1)] == pair
-    raw = text.encode() if hit.any() else b""
-    return base, [(i := len(raw[:a].decode()), i + len(raw[a:b].decode())) for a, b in zip(start[hit], end[hit], strict=True)]
+    for group, at in own.groups():
+        hit[at] |= known(mix(mixed[at] ^ np.uint64(group)))
+    more = [(i, TERM, j) for i, j in zip(own.start[hit].tolist(), own.end[hit].tolist(), strict=True)]
+    numbers = np.array([_groups(text[i:j].lower(), k, label)[0] for i, k, j, label in own.secrets], np.uint64)
+    rare = known(mix(mix(np.full(len(numbers), _HOLDERS, np.uint64)) ^ numbers)) if len(numbers) else []
+    return own.base, more + [(i, k, j) for (i, k, j, _), r in zip(own.secrets, rare, strict=True) if r]
 
 
 def _pair_hash(entity: np.ndarray, term: np.ndarray) -> np.ndarray:
@@ -239,11 +306,13 @@ def _with_flags(docs: DataFrame, text_col: str, options: dict) -> tuple[DataFram
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         parts = [[np.zeros(0, np.int64)] for _ in range(4)]
         for t, *key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if t and base_spans(t):
-                groups, terms = _own(t)
-                n = len(groups) * len(terms)
-                for part, x in zip(parts, (np.full(n, key[0]), np.full(n, key[1]), np.repeat(groups, len(terms)), np.tile(terms, len(groups))), strict=True):
-                    part.append(x)
+            own = _Text(t or "")
+            if own.base or own.secrets:
+                own.read()
+                for group, terms in own.pairs():
+                    n = len(terms) + 1
+                    for part, x in zip(parts, (np.full(n, key[0]), np.full(n, key[1]), np.full(n, group), np.append(terms, _HOLDERS)), strict=True):
+                        part.append(x)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in parts], names=["_t1", "_t2", "entity", "term"])
 
     holds = map_rows(docs.select(text_col, "_k1", "_k2"), run, "_t1 long, _t2 long, entity long, term long")
@@ -269,8 +338,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
             base, terms = _spans_of(text or "", flags)
             count = [sum(s[1] == k for s in base) for k in range(len(KINDS))]
             printed = ",".join(f"{KINDS[k]}:{i}:{j}" for i, k, j in base)
-            every = sorted([*base, *((i, len(KINDS), j) for i, j in terms)])
-            rows.append((doc, *count, hashlib.sha256(printed.encode()).hexdigest(), ",".join(f"{(*KINDS, 'term')[k]}:{i}:{j}" for i, k, j in every)))
+            every = sorted([*base, *terms])
+            rows.append((doc, *count, hashlib.sha256(printed.encode()).hexdigest(), ",".join(f"{NAMES[k]}:{i}:{j}" for i, k, j in every)))
         columns = list(zip(*rows, strict=True)) or [()] * 7
         kinds = [pa.int64()] * 5 + [pa.string()] * 2
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
@@ -279,16 +348,16 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
-    """docs with every entity generalised to its kind in brackets and every revealing term removed to [term]."""
+    """docs with every entity generalised to its kind in brackets, every rare secret to [secret] and every revealing term to [term]."""
     columns, fields = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     docs, flagged = _with_flags(docs, text_col, options)
 
     def clean(text: str | None, flags: np.ndarray) -> str | None:
         base, terms = _spans_of(text or "", flags)
         out, done = [], 0
-        for i, k, j in sorted([*base, *((i, len(KINDS), j) for i, j in terms)]):
+        for i, k, j in sorted([*base, *terms]):
             if i >= done:
-                out += [text[done:i], f"[{(*KINDS, 'term')[k]}]"]
+                out += [text[done:i], f"[{NAMES[k]}]"]
             done = max(done, j)
         return "".join(out) + text[done:] if out else text
 

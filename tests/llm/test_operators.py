@@ -272,6 +272,96 @@ def test_terms_of_rare_entities(spark):
     assert got[100]["spans"] == ""
 
 
+def brute_revealing(made, window, disclosure=0.9, chance=0.05):
+    """Spans by the formulas, with strings in place of numbers and loops in place of tables."""
+    import math
+
+    def secrets(t):
+        found = [(m.start(2), 4, m.end(2), m[1].lower()) for m in re.finditer(r"""(?<![\w.-])([A-Za-z][A-Za-z0-9_.-]{1,63})["']? ?[=:] ?["']?([A-Za-z0-9][A-Za-z0-9_+/=~-]{15,})""", t) if re.search("[0-9]", m[2]) and re.search("[A-Za-z]", m[2])]
+        return [s for s in found if not any(i < s[2] and s[0] < j for i, _, j in plain_spans(t))]
+
+    def read(t):
+        spans = [(i, k, j, "") for i, k, j in plain_spans(t)] + secrets(t)
+        all_words = [(m.start(), m.end()) for m in re.finditer("[^" + re.escape(pii.BREAKS) + "]+", t)]
+        terms = [(n, t[a:b].translate(FOLD), a, b) for n, (a, b) in enumerate(all_words) if len(t[a:b].encode()) >= 3 and not any(i < b and a < j for i, _, j, _ in spans)]
+        near = {}
+        for i, k, j, label in spans:
+            w = max((n for n, (a, _) in enumerate(all_words) if a <= i), default=-1)
+            v = t[i:j].lower()
+            d = re.sub("[^0-9]", "", v)
+            part = [v[v.rfind("@"):], ".".join(str(int(x)) for x in v.split(".")[:2]) if k == 1 else "", d[:6], d[:4], label][k]
+            for g in ((k, d if k in (2, 3) else v), (k, "class", part), (k, "kind")):
+                near.setdefault(g, set()).update(x for x in terms if abs(x[0] - w) <= window)
+        return spans, near, {x[1] for x in terms} | {t[a:b].translate(FOLD) for a, b in all_words}
+
+    total, holders, held, candidates, together, texts, n = len(made), {}, {}, {}, {}, {}, {}
+    for t in [t or "" for _, t in made]:
+        for w in read(t)[2]:
+            n[w] = n.get(w, 0) + 1
+    copies = {}
+    for _, t in made:
+        copies[t or ""] = copies.get(t or "", 0) + 1
+    for t, c in copies.items():
+        for g, x in read(t)[1].items():
+            own = {y[1] for y in x}
+            holders[g], held[g], candidates[g] = holders.get(g, 0) + c, held.get(g, 0) + 1, candidates.get(g, 0) + len(own)
+            for y in own:
+                together[g, y], texts[g, y] = together.get((g, y), 0) + c, texts.get((g, y), 0) + 1
+    flagged = set()
+    for (g, y), c in together.items():
+        content = -math.log2(holders[g] / total)
+        gain = math.log2(min(1, c / n[y])) + content
+        if content > 0 and gain >= disclosure * content and texts[g, y] * gain - math.log2(candidates[g]) >= -math.log2(chance):
+            flagged.add((g, y))
+    out = {}
+    for d, t in made:
+        spans, near, _ = read(t or "")
+        more = {(a, 5, b) for g, x in near.items() for _, y, a, b in x if (g, y) in flagged}
+        rare = [(i, 4, j) for i, k, j, _ in spans if k == 4 and held[4, t[i:j].lower()] ** 2 <= total]
+        out[d] = ",".join(f"{pii.NAMES[k]}:{i}:{j}" for i, k, j in sorted([*plain_spans(t or ""), *more, *rare]))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_revealing_equals_brute_force(spark, seed, monkeypatch):
+    rnd = random.Random(seed)
+    monkeypatch.setattr(pii, "WINDOW", 6)
+    plain = ["the", "and", "für", "long", "ok", "very", "Über", "text", "now"]
+    made = []
+    for i in range(150):
+        w = [rnd.choice(plain) for _ in range(rnd.randint(3, 30))]
+        for _ in range(rnd.choice([0, 0, 0, 1, 2])):
+            k = rnd.randrange(4)
+            what = [f"p{k}@é.org x{k}@mail{k}.com signer{k}", f"10.{k}.0.{rnd.randrange(9)} hostname{k}", f"token = \"{rnd.randrange(10**6):06d}abcdef{k}0123456789\"", f"+49 170 12345{k} callme{k}", "key: 0000000000000000"][rnd.randrange(5)]
+            w.insert(rnd.randrange(len(w)), what)
+        made.append((i, " ".join(w)))
+    made += [(200, made[3][1]), (201, made[3][1]), (202, None), (203, "")]
+    frame = spark.createDataFrame(made, "doc_id long, text string")
+    want = brute_revealing(made, 6)
+    assert {r["doc_id"]: r["spans"] for r in pii.find(frame).collect()} == want
+    assert all(k in str(want.values()) for k in ("term:", "secret:"))
+
+
+def test_secrets_behind_a_label(spark):
+    made = [(i, f"plain words {i} here") for i in range(60)] + [(100 + i, f'some words é token = "{i:02d}f3ef4d6b2755a36d7d9c25bd" and more') for i in range(5)] + [(200 + i, 'release = "v1abcdef0123456789abc" of it') for i in range(12)]
+    got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert all("secret:22:48" in got[100 + i] and "term:13:18" in got[100 + i] for i in range(5))
+    assert all("secret" not in got[200 + i] for i in range(12)) and got[3] == ""
+
+
+def test_many_entities_take_linear_time():
+    took = []
+    for n in (2_000, 20_000):
+        text = " ".join(f"é name{i} mail{i}@host{i % 7}.org said so," for i in range(n))
+        began = time.perf_counter()
+        own = pii._Text(text)
+        own.read()
+        assert sum(len(t) for _, t in own.pairs()) < n * 3 * (2 * pii.WINDOW + 1)
+        pii._spans_of(text, np.arange(10, dtype=np.uint64))
+        took.append(time.perf_counter() - began)
+    assert took[1] < 30 * took[0] + 2
+
+
 def test_null_ids_keep_terms_beyond_the_broadcast(spark, monkeypatch):
     frame = spark.createDataFrame([(None if i < 3 else i, t) for i, t in rare_entities()] + [(None, None)], "doc_id long, text string")
     key = lambda r: (r["doc_id"] is not None, *(str(x) for x in r))
