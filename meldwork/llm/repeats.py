@@ -4,20 +4,25 @@ The corpus is cut into slices of some megabytes. Each string of `length` bytes b
 k-gram hash in it (its minimizer), so equal strings meet wherever they stand; neighbouring strings with
 one minimizer form a fragment. Three exchanges, all of blobs from slice to bucket or back:
 
-1. For each fragment of a slice, its minimizer, a hash of its bytes and the slice's first document go
+1. For each fragment of a slice, its minimizer, hashes of its bytes and of what stands on either side of the minimizer
+   (128 bits together), and the slice's first document go
    to the minimizer's bucket. The bucket tells the slice which fragments an earlier document holds whole
-   (their bytes go), and which first holders have a minimizer in common with other fragments.
-2. The bytes of those few go to the bucket, which sorts their suffixes to the depth that counts, by
-   prefix doubling, and collapses the order into runs: one entry for each run of suffixes with an equal
-   `length`-byte prefix, with a sample, the run's smallest document. Streaming every fragment's
-   positions over the runs gives its matching statistics cut off at `length`; where the sample is an
-   earlier document, the match is long and the bytes go.
+   (their bytes go), and which first holders may share a string with another fragment: those that agree with one
+   on half a string's rest to the left or to the right of the minimizer.
+2. The bytes of those few go to the bucket, which builds a run-length index of them in the order of documents: the
+   Burrows-Wheeler transform over contexts of `length - 1` symbols, ties in text order, kept as runs of equal symbols, with a
+   sample, the document, at the first end of each run of a context. Then every fragment is streamed through it from its last
+   symbol to its first: each backward step narrows the interval of the context that matches, up to its
+   full length; from there on the step's symbol and the interval's context are a string of `length` bytes, and the first run of that symbol
+   in the interval has the smallest document with that string as its sample. Where that is an earlier document, the match is long and the
+   bytes go. Symbols decide, not hashes.
 3. The spans to remove come back to the slices.
 
 Equal fragments count once in a slice. The fragments at the edges of a passage that many documents share
 differ in every one of them, though their minimizer is the same; where a minimizer has more than HOT
 different fragments, their windows of `length` bytes go out under a 128-bit hash of the whole string
-instead, and the smallest document of each hash is a grouped minimum, so no group holds them all. Only passages that do repeat are indexed.
+instead, and the smallest document of each hash is a grouped minimum, so no group holds them all. Only passages
+that may repeat are indexed, once for each slice of the corpus that holds them first.
 
 Defined cases: null text is empty; a text shorter than `length` loses nothing; equal ids don't take
 from each other; a null id neither loses nor takes anything; other columns are ignored.
@@ -39,13 +44,18 @@ from meldwork.llm.common import _BACK, _STEP, _powers, mix, scratch, small_batch
 
 SLICE = 1 << 21
 GRAM = 16
-#: Bytes kept of a minimizer and of a fragment's hash; a fragment is known by both.
+#: Bytes kept of a minimizer and of a fragment's hash, and of the hashes of its sides; a fragment is known by all.
 KEY_BYTES = 5
 #: Different fragments of one minimizer above which they are compared window by window instead of in one bucket.
 HOT = 1 << 14
 #: The bucket number that marks rows of such windows, and windows in a row.
 _WINDOWS, _WINDOW_ROWS = -1, 1 << 16
 _KEY = np.uint64((1 << 8 * KEY_BYTES) - 1)
+SIDE_BYTES = 3
+#: A side that is too short to decide, and sides of a fragment that holds its minimizer more than once.
+_SHORT, _WILD = 0, (1 << 8 * SIDE_BYTES) - 1
+#: Symbols of a piece that is streamed; longer fragments are cut into pieces that overlap by a string.
+PIECE = 256
 
 
 def _slices(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -73,15 +83,15 @@ def _open(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _fragments(body: np.ndarray, ids: np.ndarray, at: np.ndarray, length: int) -> dict[str, np.ndarray]:
-    """start, stop (in the slice), doc, gram (minimizer), mark (hash of the bytes) of every fragment."""
+    """start, stop (in the slice), doc, gram (minimizer), mark (hash of the bytes), left and right (hashes of the sides) of every fragment."""
     n = len(body) - length + 1
     if n <= 0:
-        return {"start": np.zeros(0, np.int64), "stop": np.zeros(0, np.int64), "doc": np.zeros(0, np.int64), "gram": np.zeros(0, np.uint64), "mark": np.zeros(0, np.uint64)}
+        return {k: np.zeros(0, np.uint64 if k in ("gram", "mark", "left", "right") else np.int64) for k in ("start", "stop", "doc", "gram", "mark", "left", "right")}
     value = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_STEP))
     sums = np.zeros(len(body) + 1, np.uint64)
     np.cumsum(value[body] * _powers(_STEP, len(body)), out=sums[1:])
-    back = _powers(_BACK, len(body))
-    low = mix((sums[GRAM:] - sums[:-GRAM]) * back[: len(body) - GRAM + 1])
+    back = _powers(_BACK, len(body) + 1)
+    low = grams = mix((sums[GRAM:] - sums[:-GRAM]) * back[: len(body) - GRAM + 1])
     span, width = 1, length - GRAM + 1
     while span * 2 <= width:
         low = np.minimum(low[:-span], low[span:])
@@ -96,34 +106,81 @@ def _fragments(body: np.ndarray, ids: np.ndarray, at: np.ndarray, length: int) -
     last[:-1] &= ~valid[1:] | (low[1:] != low[:-1]) | (row[1:] != row[:-1])
     stop = np.flatnonzero(last) + length
     mark = mix((sums[stop] - sums[start]) * back[start] + (stop - start).astype(np.uint64))
-    return {"start": start, "stop": stop, "doc": ids[row[start]], "gram": low[start], "mark": mark}
+    gram = low[start]
+    left, right = _sides(start, stop, gram, grams, sums, back, length)
+    return {"start": start, "stop": stop, "doc": ids[row[start]], "gram": gram, "mark": mark, "left": left, "right": right}
 
 
-def _known(f: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct fragments of a slice: keys (sorted), and for each the place of one with the first document; each fragment's key number and first document."""
-    key = mix(f["gram"] ^ mix(f["mark"]))
-    order = np.lexsort((f["doc"], key))
-    head = np.ones(len(key), bool)
-    head[1:] = key[order][1:] != key[order][:-1]
-    number = np.empty(len(key), np.int64)
+def _sides(start: np.ndarray, stop: np.ndarray, gram: np.ndarray, grams: np.ndarray, sums: np.ndarray, back: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the bytes to the left and right of each fragment's minimizer, half of what a string holds beside it.
+
+    A string of two fragments with one minimizer has at least that half on one side, so they agree on a side.
+    """
+    width, half = length - GRAM + 1, (length - GRAM + 1) // 2
+    left, right = np.full(len(start), _WILD, np.uint64), np.full(len(start), _WILD, np.uint64)
+    for i in range(0, len(start), 1 << 15):
+        part = slice(i, i + (1 << 15))
+        places = []
+        for begin in (start[part], stop[part] - length):
+            hit = grams[begin[:, None] + np.arange(width)] == gram[part][:, None]
+            places.append(np.where(hit.sum(axis=1) == 1, begin + hit.argmax(axis=1), -1))
+        p = np.where((places[0] == places[1]) & (stop[part] - start[part] <= 2 * length - GRAM), places[0], -1)
+        for out, begin in ((left, p - half), (right, p + GRAM)):
+            whole = (begin >= start[part]) & (begin + half <= stop[part])
+            b = np.where(whole, begin, 0)
+            h = mix((sums[b + half] - sums[b]) * back[b]) % np.uint64(_WILD - 1) + np.uint64(1)
+            out[part] = np.where(p < 0, np.uint64(_WILD), np.where(whole, h, np.uint64(_SHORT)))
+    return left, right
+
+
+def _known(f: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct fragments of a slice: for each the place of one with the first document; each fragment's number among them and first document."""
+    order = np.lexsort((f["doc"], f["mark"], f["gram"]))
+    head = np.ones(len(order), bool)
+    head[1:] = (f["gram"][order][1:] != f["gram"][order][:-1]) | (f["mark"][order][1:] != f["mark"][order][:-1])
+    number = np.empty(len(order), np.int64)
     number[order] = np.cumsum(head) - 1
     place = order[head]
-    return key[place], place, number, f["doc"][place][number] if len(place) else f["doc"]
+    return place, number, f["doc"][place][number] if len(place) else f["doc"]
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
     return b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
 
 
-def _short(keys: np.ndarray) -> np.ndarray:
-    """The low KEY_BYTES bytes of each."""
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+#: Bytes of a fragment's key in a message: minimizer, hash, left, right.
+_WIDTHS = (KEY_BYTES, KEY_BYTES, SIDE_BYTES, SIDE_BYTES)
+_FIELDS = ("gram", "mark", "left", "right")
+
+
+def _keys(f: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray:
+    """The keys of the fragments at `at`, one column of bytes a field behind the other."""
+    return np.concatenate([f[k][at].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :w].ravel() for k, w in zip(_FIELDS, _WIDTHS, strict=True)])
+
 
+def _read_keys(raw: np.ndarray, n: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The keys of n fragments, and what stands behind them."""
+    out, at = {}, 0
+    for k, w in zip(_FIELDS, _WIDTHS, strict=True):
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :w] = raw[at : at + w * n].reshape(n, w)
+        out[k], at = wide.view("<u8").ravel(), at + w * n
+    return out, raw[at:]
 
-def _long(raw: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(raw) // KEY_BYTES, 8), np.uint8)
-    out[:, :KEY_BYTES] = raw.reshape(-1, KEY_BYTES)
-    return out.view("<u8").ravel()
+
+def _pair(key: dict[str, np.ndarray]) -> np.ndarray:
+    """64 bits of a key."""
+    return mix((key["gram"] & _KEY) ^ mix((key["mark"] & _KEY) ^ mix(key["left"] | key["right"] << np.uint64(8 * SIDE_BYTES))))
+
+
+def _again(keys: list[np.ndarray]) -> np.ndarray:
+    """Which rows of the key columns occur more than once."""
+    order = np.lexsort(keys)
+    same = np.logical_and.reduce([k[order][1:] == k[order][:-1] for k in keys])
+    out = np.zeros(len(order), bool)
+    out[order[1:]] |= same
+    out[order[:-1]] |= same
+    return out
 
 
 def _spread(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -141,13 +198,13 @@ def _announce(slices: DataFrame, buckets: int, length: int) -> DataFrame:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 f = _fragments(*_open(row), length)
-                _, place, _, _ = _known(f)
+                place, _, _ = _known(f)
                 out: list[tuple] = []
                 for b, part in _spread(f["gram"][place] % np.uint64(buckets)):
                     p = place[part]
                     docs, which = np.unique(f["doc"][p], return_inverse=True)
                     kind = np.uint16 if len(docs) < 65536 else np.uint32
-                    out.append((b, row["slice"], len(p), len(docs), _packed(_short(f["gram"][p]), _short(f["mark"][p]), which.astype(kind), docs)))
+                    out.append((b, row["slice"], len(p), len(docs), _packed(_keys(f, p), which.astype(kind), docs)))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "slice", "n", "docs", "blob"])
 
@@ -158,30 +215,42 @@ def _answer(told: DataFrame, hot: int) -> DataFrame:
     """(slice, blob): for fragments of the slice, their short gram and mark, and 1 (all held earlier), 2 (bytes wanted) or 3 (windows wanted)."""
 
     def run(table: pa.Table) -> pa.Table:
-        grams, marks, docs, froms = [], [], [], []
+        keys, docs, froms = [], [], []
         for slice_, n, k, blob in zip(table["slice"].to_pylist(), table["n"].to_pylist(), table["docs"].to_pylist(), table["blob"], strict=True):
-            raw = np.frombuffer(blob.as_buffer(), np.uint8)
-            grams.append(_long(raw[: KEY_BYTES * n]))
-            marks.append(_long(raw[KEY_BYTES * n : 2 * KEY_BYTES * n]))
-            rest, wide = raw[2 * KEY_BYTES * n :].tobytes(), 2 if k < 65536 else 4
+            key, rest = _read_keys(np.frombuffer(blob.as_buffer(), np.uint8), n)
+            rest, wide = rest.tobytes(), 2 if k < 65536 else 4
             which = np.frombuffer(rest[: wide * n], np.uint16 if wide == 2 else np.uint32)
+            keys.append(key)
             docs.append(np.frombuffer(rest[wide * n :], np.int64)[which])
             froms.append(np.full(n, slice_))
-        gram, mark, doc, source = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (grams, marks, docs, froms))
-        order = np.lexsort((doc, mark, gram))
-        gram, mark, doc, source = gram[order], mark[order], doc[order], source[order]
+        key = {k: np.concatenate([x[k] for x in keys]) for k in _FIELDS}
+        doc, source = np.concatenate(docs), np.concatenate(froms)
+        order = np.lexsort((doc, key["right"], key["left"], key["mark"], key["gram"]))
+        key, doc, source = {k: v[order] for k, v in key.items()}, doc[order], source[order]
+        gram = key["gram"]
         new_gram = np.ones(len(gram), bool)
         new_gram[1:] = gram[1:] != gram[:-1]
         new_mark = new_gram.copy()
-        new_mark[1:] |= mark[1:] != mark[:-1]
+        for k in ("mark", "left", "right"):
+            new_mark[1:] |= key[k][1:] != key[k][:-1]
         at_mark = np.flatnonzero(new_mark)
-        first = np.repeat(doc[at_mark], np.diff(np.append(at_mark, len(doc))))
-        at_gram = np.flatnonzero(new_gram)
-        kinds = np.add.reduceat(new_mark.astype(np.int64), at_gram) if len(at_gram) else at_gram
-        kinds = np.repeat(kinds, np.diff(np.append(at_gram, len(doc))))
-        reply = np.where(doc > first, 1, np.where(kinds > hot, 3, np.where(kinds > 1, 2, 0))).astype(np.uint8)
+        sizes = np.diff(np.append(at_mark, len(doc)))
+        first = np.repeat(doc[at_mark], sizes)
+        # Of the different fragments of a minimizer, those that agree with another one on a side; with all, where one holds it twice.
+        g, left, right = (key[k][at_mark] for k in ("gram", "left", "right"))
+        agree = _again([left, g]) & (left != _SHORT) | _again([right, g]) & (right != _SHORT)
+        begin = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, np.int64)
+        members = np.diff(np.append(begin, len(g)))
+        if len(g):
+            wild = np.repeat(np.logical_or.reduceat(left == _WILD, begin), members)
+            agree = agree | wild & (np.repeat(members, members) > 1)
+            asked = np.repeat(np.add.reduceat(agree.astype(np.int64), begin), members)
+            agree, asked = np.repeat(agree, sizes), np.repeat(asked, sizes)
+        else:
+            asked = agree
+        reply = np.where(doc > first, 1, np.where(agree, np.where(asked > hot, 3, 2), 0)).astype(np.uint8)
         keep = np.flatnonzero(reply)
-        out = [(s, len(p), _packed(_short(gram[keep[p]]), _short(mark[keep[p]]), reply[keep[p]])) for s, p in _spread(source[keep])]
+        out = [(s, len(p), _packed(_keys(key, keep[p]), reply[keep[p]])) for s, p in _spread(source[keep])]
         columns = list(zip(*out, strict=True)) if out else [(), (), ()]
         return pa.table({"slice": pa.array(columns[0], pa.int64()), "n": pa.array(columns[1], pa.int64()), "blob": pa.array(columns[2], pa.binary())})
 
@@ -216,14 +285,14 @@ def _resolve(slices: DataFrame, buckets: int, length: int) -> DataFrame:
                 row = batch.slice(i, 1).to_pylist()[0]
                 body, ids, at = _open(row)
                 f = _fragments(body, ids, at, length)
-                _, place, number, first = _known(f)
+                place, number, first = _known(f)
                 reply = np.zeros(len(place), np.uint8)
-                pair = mix((f["gram"][place] & _KEY) ^ mix(f["mark"][place] & _KEY))
+                pair = _pair({k: f[k][place] for k in _FIELDS})
                 order = np.argsort(pair, kind="stable")
+                sorted_ = pair[order]
                 for x in row["answers"] or []:
-                    raw, n = np.frombuffer(x["blob"], np.uint8), x["n"]
-                    asked = mix(_long(raw[: KEY_BYTES * n]) ^ mix(_long(raw[KEY_BYTES * n : 2 * KEY_BYTES * n])))
-                    reply[order[np.searchsorted(pair[order], asked)]] = raw[2 * KEY_BYTES * n :]
+                    asked, said = _read_keys(np.frombuffer(x["blob"], np.uint8), x["n"])
+                    reply[order[np.searchsorted(sorted_, _pair(asked))]] = said
                 gone = (f["doc"] > first) | (reply[number] == 1)
                 start, stop = _merged(f["start"][gone], f["stop"][gone])
                 out = [(row["slice"], None, len(start), _packed(start.astype(np.int64), stop.astype(np.int64)))] if len(start) else []
@@ -247,26 +316,99 @@ def _resolve(slices: DataFrame, buckets: int, length: int) -> DataFrame:
     return slices.mapInArrow(run, _SPANS)
 
 
-def prefix_runs(body: np.ndarray, length: int) -> np.ndarray:
-    """For every position with `length` bytes after it, the number of its run: equal for equal strings, in suffix order.
+def _numbered(*columns: np.ndarray) -> np.ndarray:
+    """Numbers of the rows of two columns of small numbers, in their order."""
+    a, b = columns
+    return np.unique(a.astype(np.int64) << 32 | b.astype(np.int64), return_inverse=True)[1].astype(np.int32)
 
-    Prefix doubling: ranks of 8-byte prefixes, then of 16, 32 and so on, the last pair overlapping.
-    """
-    wide = 8
-    while len(body) < wide:
-        return np.zeros(0, np.int64)
-    words = np.zeros(len(body) - wide + 1, np.uint64)
+
+def contexts(symbols: np.ndarray, length: int) -> np.ndarray:
+    """For every place, the number of the `length` symbols from there on, in their order; behind the end stand zeros."""
+    wide, n = min(7, length), len(symbols)
+    padded = np.concatenate((symbols.astype(np.uint64), np.zeros(length, np.uint64)))
+    words = np.zeros(n, np.uint64)
     for j in range(wide):
-        words = words << np.uint64(8) | body[j : len(words) + j].astype(np.uint64)
-    rank = np.unique(words, return_inverse=True)[1].astype(np.int32)
-    del words
+        words = words << np.uint64(9) | padded[j : n + j]
+    number = np.unique(words, return_inverse=True)[1].astype(np.int32) + 1
     while wide < length:
         step = min(wide, length - wide)
-        if len(rank) <= step:
-            return np.zeros(0, np.int64)
-        rank = np.unique(rank[:-step].astype(np.int64) << 32 | rank[step:].astype(np.int64), return_inverse=True)[1].astype(np.int32)
+        number = _numbered(number, np.concatenate((number[step:], np.zeros(step, np.int32)))) + 1
         wide += step
-    return rank
+    return number
+
+
+class RunIndex:
+    """A run-compressed Burrows-Wheeler transform over contexts of `length - 1` symbols, ties in text order.
+
+    `symbols` are bytes plus one, with a zero behind every piece; `docs` is the document of every place, in rising order.
+    Kept are runs of equal symbols with their counts, the starts of the contexts and of those one symbol shorter, and
+    for each run of one symbol in one context the document at its first end. The order of places is not kept.
+    """
+
+    def __init__(self, symbols: np.ndarray, docs: np.ndarray, length: int) -> None:
+        n = self.n = len(symbols)
+        shorter = contexts(symbols, length - 2)
+        number = _numbered(shorter, np.concatenate((symbols[length - 2 :], np.zeros(min(n, length - 2), symbols.dtype)))[:n])
+        order = np.argsort(number, kind="stable")
+        before = np.where(order > 0, symbols[order - 1], 0).astype(np.int64)
+        edge = np.ones(n, bool)
+        edge[1:] = before[1:] != before[:-1]
+        ends = edge.copy()
+        ends[1:] |= number[order][1:] != number[order][:-1]
+        new = np.ones(n, bool)
+        new[1:] = shorter[order][1:] != shorter[order][:-1]
+        self.shorter = np.flatnonzero(new)
+        start = np.flatnonzero(edge)
+        symbol, size = before[start], np.diff(np.append(start, n))
+        by = np.lexsort((start, symbol))
+        self.key, self.start, self.size = symbol[by] * (n + 1) + start[by], start[by], size[by]
+        total = np.cumsum(size[by]) - size[by]
+        count = np.bincount(symbol, weights=size, minlength=258).astype(np.int64)
+        self.less = np.cumsum(count) - count  # places whose symbol is smaller
+        self.ahead = total - self.less[symbol[by]]
+        self.symbol = symbol[by]
+        head = np.flatnonzero(ends)
+        by = np.lexsort((head, before[head]))
+        self.ends, self.sample = before[head][by] * (n + 1) + head[by], docs[order[head]][by]
+
+    def step(self, symbol: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Where the interval of symbol + P begins, if that of P begins at low."""
+        j = np.searchsorted(self.key, symbol * (self.n + 1) + low, "right") - 1
+        known = (j >= 0) & (self.symbol[j] == symbol)
+        return self.less[symbol] + np.where(known, self.ahead[j] + np.minimum(low - self.start[j], self.size[j]), 0)
+
+    def first(self, symbol: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """The smallest document with symbol + P, where P is a whole context whose interval begins at low."""
+        return self.sample[np.searchsorted(self.ends, symbol * (self.n + 1) + low)]
+
+    def cut(self, low: np.ndarray) -> np.ndarray:
+        """Where the interval of P without its last symbol begins, for a whole context P."""
+        return self.shorter[np.searchsorted(self.shorter, low, "right") - 1]
+
+
+def repeated(body: np.ndarray, doc: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
+    """The places in body of all strings that a smaller document holds too; pieces lie end to end, in rising order of doc.
+
+    Every piece is streamed through the index backwards, all pieces in step.
+    """
+    begin = np.cumsum(size) - size
+    at = np.arange(len(body)) + np.repeat(np.arange(len(size)), size)
+    symbols = np.zeros(len(body) + len(size), np.int32)
+    symbols[at] = body.astype(np.int32) + 1
+    index = RunIndex(symbols, np.repeat(doc, size + 1), length)
+    longest = np.argsort(-size, kind="stable")
+    last, own, left = (begin + size)[longest], doc[longest], size[longest]
+    low, out = np.zeros(len(size), np.int64), [np.zeros(0, np.int64)]
+    for t in range(1, int(left.max(initial=0)) + 1):
+        active = int(np.searchsorted(-left, -t, "right"))
+        place = last[:active] - t
+        symbol, low = body[place].astype(np.int64) + 1, low[:active]
+        if t >= length:  # the context is whole
+            earlier = index.first(symbol, low) < own[:active]
+            out.append(place[earlier])
+            low = index.cut(low)
+        low = index.step(symbol, low)
+    return np.concatenate(out)
 
 
 def _index(asked: DataFrame, length: int) -> DataFrame:
@@ -285,17 +427,19 @@ def _index(asked: DataFrame, length: int) -> DataFrame:
         doc, start, size, source = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (docs, starts, sizes, froms))
         body = np.concatenate(texts) if texts else np.zeros(0, np.uint8)
         begin = np.cumsum(size) - size
-        run_of = prefix_runs(body, length)
-        piece = np.repeat(np.arange(len(size), dtype=np.int32), size)
-        position = np.arange(len(body), dtype=np.int32)
-        inside = position + length <= (begin + size)[piece]
-        position, piece = position[inside], piece[inside]
-        run_of = run_of[position]
-        sample = np.full(int(run_of.max()) + 1 if len(run_of) else 0, np.iinfo(np.int64).max)
-        np.minimum.at(sample, run_of, doc[piece])
-        long = sample[run_of] < doc[piece]
-        position, piece = position[long], piece[long]
-        left = start[piece] + position - begin[piece]
+        # Pieces of bounded size that overlap by all but one byte of a string, in the order of their documents.
+        step = max(1, PIECE - length + 1)
+        n = np.maximum(1, -(-(size - length + 1) // step))
+        piece = np.repeat(np.arange(len(size)), n)
+        ahead = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * step
+        order = np.argsort(doc[piece], kind="stable")
+        piece, ahead = piece[order], ahead[order]
+        long = np.minimum(size[piece] - ahead, step + length - 1)
+        origin = begin[piece] + ahead
+        place = np.repeat(origin - np.cumsum(long) + long, long) + np.arange(long.sum())
+        found = repeated(body[place], doc[piece], long, length)
+        own = np.repeat(piece, long)[found]
+        left, piece = start[own] + place[found] - begin[own], own
         out = []
         for s, part in _spread(source[piece]):
             a, b = _merged(left[part], left[part] + length)
