@@ -7,25 +7,45 @@ from pyspark.sql import functions as F
 
 from meldwork.llm.common import written
 
+#: A key with more than this share of a table's rows is a hub; so there are at most 1 / SHARE hubs, which fit a broadcast.
+SHARE, LEAST = 1e-4, 1000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """rows left joined with table, one row a key there, without a task that gets all rows of a hub.
+
+    Both are read several times, so they should be written tables. Rows with a null key keep nulls.
+    """
+    bound = max(LEAST, int(rows.count() * SHARE))
+    hubs = table.join(rows.groupBy(*keys).count().filter(F.col("count") > bound).drop("count"), keys, "left_semi")
+    extra = [c for c in table.columns if c not in keys]
+    marked = rows.join(F.broadcast(hubs.withColumnsRenamed({c: f"_hub_{c}" for c in extra}).withColumn("_hub", F.lit(True))), keys, "left")
+    of_hubs = marked.filter("_hub").select(*rows.columns, *[F.col(f"_hub_{c}").alias(c) for c in extra])
+    others = marked.filter("_hub IS NULL").select(*rows.columns)
+    return of_hubs.unionByName(others.join(table, keys, "left").select(*rows.columns, *extra))
+
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label) for the nodes of links (a, b): label is the smallest node reachable.
+    """(node, label) for the nodes of links (a, b): label is the smallest node reachable. links should be a written table.
 
-    Each round takes the smallest label among a node's neighbours and then the label of that label,
-    so chains shorten by powers of two; every round is written, which cuts the lineage. Links that
-    already lie within one label are dropped from the next round.
+    Every node takes the smallest of itself and its neighbours as its label. Then each round lets labels move:
+    a label goes to its own label, or to the smallest label that a link leads to from it. What moves is a table of labels,
+    not of nodes, and chains shorten by powers of two. Links within one label are dropped from the next
+    round, and every round is written, which cuts the lineage.
     """
-    ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = written(ends.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    pairs = looked_up(links.select("a", "b"), labels.select(F.col("node").alias("a"), F.col("label").alias("x")), ["a"])
+    pairs = written(looked_up(written(pairs, "links"), labels.select(F.col("node").alias("b"), F.col("label").alias("y")), ["b"]).filter("x <> y").select("x", "y").distinct(), "links")
     while True:
-        # Contract: links between the labels that meet; their minimum is the next label of a label.
-        meet = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
-        meet = meet.filter("la <> lb").select(F.greatest("la", "lb").alias("node"), F.least("la", "lb").alias("low"))
-        jump = labels.select(F.col("node").alias("n2"), F.col("label").alias("l2"))
-        hop = labels.join(jump, labels.label == jump.n2, "left").select("node", "label", F.coalesce("l2", "label").alias("up"))
-        lower = meet.groupBy(F.col("node").alias("n3")).agg(F.min("low").alias("low"))
-        step = hop.join(lower, hop.label == lower.n3, "left").select("node", F.least("up", F.coalesce("low", "up")).alias("label"), (F.least("up", F.coalesce("low", "up")) < F.col("label")).alias("moved"))
-        step = written(step, "labels")
-        if not step.filter("moved").limit(1).count():
-            return step.select("node", "label")
-        labels = step.select("node", "label")
+        own = labels.select(F.col("label").alias("old")).distinct()
+        up = own.join(labels.select(F.col("node").alias("old"), F.col("label").alias("new")), "old").filter("new < old")
+        met = pairs.select(F.greatest("x", "y").alias("old"), F.least("x", "y").alias("new"))
+        moves = written(up.unionByName(met).groupBy("old").agg(F.min("new").alias("new")), "moves")
+        if not moves.limit(1).count():
+            return labels
+        moved = looked_up(labels, moves.select(F.col("old").alias("label"), "new"), ["label"])
+        labels = written(moved.select("node", F.coalesce("new", "label").alias("label")), "labels")
+        for end in ("x", "y"):
+            pairs = looked_up(pairs, moves.select(F.col("old").alias(end), "new"), [end]).withColumn(end, F.coalesce("new", end)).drop("new")
+            pairs = written(pairs.filter("x <> y").distinct() if end == "y" else pairs, "links")

@@ -626,6 +626,40 @@ def test_near_edges(spark, none):
     assert near_dedup.near_classes(none).count() == 0
 
 
+def test_near_copies_below_the_first_are_still_linked(spark):
+    """A chain within one bucket: each text is linked with the next one only, and with small blocks in every pair of them."""
+    words = [f"w{i}" for i in range(400)]
+    made = [(d, " ".join(words[d * 12 : d * 12 + 200])) for d in range(12)] + [(50 + d, " ".join(words[:200] + [f"x{d}"])) for d in range(30)]
+    frame = spark.createDataFrame(made, "doc_id long, text string")
+    for block in (1 << 19, 300):
+        got = {r["id"]: (r["n"], r["component"]) for r in near_dedup.near_classes(frame, width=3, percent=85, block=block).collect()}
+        assert got == brute_near(dict(made), 3, 85)
+
+
+def test_large_sets_do_not_look_alike(spark, monkeypatch):
+    """Sets of thousands of shingles on a small ring: unrelated ones share no band, near copies across the bound do."""
+    signatures = near_dedup.signatures
+    monkeypatch.setattr(near_dedup, "signatures", lambda *a: signatures(*a, ring_bits=12))
+    base = [f"w{i}" for i in range(270)]
+    made = [(d, " ".join(f"{d}w{i}" for i in range(4000))) for d in range(4)] + [(10, " ".join(base[:250])), (11, " ".join(base)), (12, " ".join(base[:240]))]
+    frame = spark.createDataFrame(made, "doc_id long, text string")
+    signs = {r["id"]: r["bands"] for r in near_dedup.signatures(frame, "doc_id", "text", 3, 32, 6, 85).collect()}
+    assert not set(signs[0]) & set(signs[1])
+    assert [len(signs[d]) for d in (0, 10, 11)] == [32, 64, 32]
+    got = {r["id"]: (r["n"], r["component"]) for r in near_dedup.near_classes(frame, width=3, percent=85).collect()}
+    assert got == brute_near(dict(made), 3, 85)
+
+
+def test_hubs_come_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(components, "LEAST", 3)
+    rows = spark.createDataFrame([(1, i) for i in range(9)] + [(2, 1), (3, 1), (None, 1)], "k long, v long")
+    table = spark.createDataFrame([(1, "a"), (2, "b")], "k long, x string")
+    got = sorted((str(r["k"]), r["x"]) for r in components.looked_up(rows, table, ["k"]).collect())
+    assert got == [("1", "a")] * 9 + [("2", "b"), ("3", None), ("None", None)]
+    links = spark.createDataFrame([(0, i) for i in range(1, 30)] + [(40, i) for i in range(20, 50) if i != 40], "a long, b long")
+    assert {r["label"] for r in components.components(links).collect()} == {0}
+
+
 def test_signature_estimates_jaccard():
     rnd = np.random.default_rng(1)
     ring = near_dedup._ring(16, 256)
@@ -634,6 +668,7 @@ def test_signature_estimates_jaccard():
         y = np.concatenate((x[: int(2000 * share)], rnd.integers(0, 1 << 62, 2000 - int(2000 * share)).astype(np.uint64)))
         true = share / (2 - share)
         assert abs((near_dedup.signature(x, ring, 16, 256) == near_dedup.signature(y, ring, 16, 256)).mean() - true) < 0.12
+        assert abs((near_dedup.wide_signature(x, 256) == near_dedup.wide_signature(y, 256)).mean() - true) < 0.12
 
 
 def test_components(spark):
