@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,9 +18,11 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a folder of our own only where none is set."""
+    """The cluster's shared folder (spark.checkpoint.dir); only in local mode, where none is set, a folder of our own."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_meldwork_scratch", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = spark._meldwork_scratch = "file://" + tempfile.mkdtemp(prefix="meldwork-")
     return folder.rstrip("/")
 
@@ -58,6 +61,17 @@ def named(columns: list[str]) -> list[Column]:
     return [F.col(f"`{c}`") for c in columns]
 
 
+def aside(df: DataFrame, *more: Column) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns under names that no helper has, and those names by the old ones; `more` are columns of df to add."""
+    inner = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in inner.items()], *more), inner
+
+
+def restored(df: DataFrame, inner: dict[str, str], *more: str) -> DataFrame:
+    """The columns that aside() has renamed under their old names, and then `more`, which replace old ones of their names."""
+    return df.select(*[F.col(n).alias(c) for c, n in inner.items() if c not in more], *more)
+
+
 #: Rows that Spark sends to Python at once. Its default of 10,000 is made for narrow rows; of whole texts it
 #: fills both sides' memory outside the heap.
 BATCH_ROWS = 512

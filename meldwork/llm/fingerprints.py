@@ -2,8 +2,8 @@
 
 The text is a string of words. A k-mer is k words in a row, its inner substrings are the s-mers; a
 k-mer is an anchor (a closed syncmer) if its smallest s-mer, by hash, is its first or its last. That
-depends on the k-mer alone, so an anchor survives any edit outside it. The fingerprint is all distinct
-anchor hashes, in order; the likeness of two is the Jaccard similarity of the whole sets. placed() gives
+depends on the k-mer alone, so an anchor survives any edit outside it. The fingerprint is all
+anchor hashes in the order of the text, so texts with the same anchors in another order differ; the likeness of two is the Jaccard similarity of the whole sets. placed() gives
 the anchors with their word positions, to find passages that two texts share.
 
 The next document's text comes by a window over ranges of the id, cut at quantiles; the first row of
@@ -54,8 +54,8 @@ def anchors(text: Column, k: int = 5, s: int = 2) -> Column:
 
 
 def anchor_set(text: Column) -> Column:
-    """All different anchors of the text, in order of their hashes."""
-    return F.array_sort(F.array_distinct(F.array_compact(anchors(text))))
+    """All different anchors of the text."""
+    return F.array_distinct(F.array_compact(anchors(text)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -105,9 +105,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half))
     # The sets are taken after the exchange: a text's own and its successor's, rather than carrying them beside the texts.
     out = both.select("id", n.cast("long").alias("n_chars"), "text", F.col("next.text").alias("after"), edited.alias("edited"))
-    out = out.withColumns({"own_set": anchor_set(F.col("text")), "next_set": anchor_set(F.col("after")), "edited_set": anchor_set(F.col("edited")), "edited_sha256": F.sha2("edited", 256)})
+    out = out.withColumns({"own_anchors": F.array_compact(anchors(F.col("text"))), "next_set": anchor_set(F.col("after")), "edited_anchors": F.array_compact(anchors(F.col("edited"))), "edited_sha256": F.sha2("edited", 256)})
+    out = out.withColumns({"own_set": F.array_distinct("own_anchors"), "edited_set": F.array_distinct("edited_anchors")})
     return out.select(
-        "id", "n_chars", "edited_sha256", printed(F.col("own_set")).alias("fingerprint"), printed(F.col("edited_set")).alias("edited_fingerprint"),
+        "id", "n_chars", "edited_sha256", printed(F.col("own_anchors")).alias("fingerprint"), printed(F.col("edited_anchors")).alias("edited_fingerprint"),
         likeness(F.col("own_set"), F.col("edited_set")).alias("near_edited"), likeness(F.col("own_set"), F.col("next_set")).alias("near_next"),
     )
 

@@ -2,12 +2,14 @@
 
 Batches come in rising doc_id. Each batch's line keys are merge-anti-joined with the runs, and the
 keys that are new become a run of their own; a level that holds `fanout` runs is merged into one run
-of the next level. Runs are bucketed and sorted by hash, so a batch is shuffled once to the buckets
-and the runs, which grow with the corpus, are never shuffled again.
+of the next level. Runs are bucketed and sorted by hash, one file a bucket, so a batch is shuffled once to the buckets
+and the runs, which grow with the corpus, are neither shuffled nor sorted again (for that, LineRuns sets
+spark.sql.legacy.bucketedTableScan.outputOrdering in the session).
 
 Defined cases: null or empty text is one empty line; a key shorter than `min_chars` never counts;
 a line repeated within one document stays there; equal doc_ids count as one document; a null doc_id
-is in no batch and keeps its lines; columns other than the id and the text pass through untouched.
+is in no batch and keeps its lines; columns other than the id and the text pass through untouched, whatever
+their names; columns named _n_lines or _n_dropped are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meldwork.llm.common import LOWER, SPACES, UPPER, map_rows, named, scratch, written
+from meldwork.llm.common import LOWER, SPACES, UPPER, aside, map_rows, restored, scratch, written
 
 HASHES = ["h1", "h2"]
 _TRIM = SPACES
@@ -45,6 +47,7 @@ class LineRuns:
     def __init__(self, spark: SparkSession, buckets: int = 16, fanout: int = 2) -> None:
         self.spark, self.buckets, self.fanout = spark, buckets, fanout
         self.levels: list[list[str]] = [[]]
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
 
     def _run(self, rows: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
@@ -114,6 +117,8 @@ def _split(text: str | None, drops: list[int] | None, min_chars: int) -> tuple[s
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, **options: int) -> DataFrame:
     """docs with the text's repeated lines dropped, and _n_lines, _n_dropped (longs) behind."""
+    docs, inner = aside(docs)
+    id_col, text_col = inner[id_col], inner[text_col]
     columns = docs.columns
     drops = dropped_lines(docs, id_col, text_col, min_chars, **options).withColumnRenamed(id_col, "_drop_id")
     joined = docs.join(drops, F.col(id_col) == F.col("_drop_id"), "left").drop("_drop_id")
@@ -125,7 +130,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.RecordBatch.from_arrays([*arrays, pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())], names=[*columns, "_n_lines", "_n_dropped"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return map_rows(joined.select(*named(columns), "_drops"), apply, f"{fields}, _n_lines long, _n_dropped long")
+    return restored(map_rows(joined.select(*columns, "_drops"), apply, f"{fields}, _n_lines long, _n_dropped long"), inner, "_n_lines", "_n_dropped")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -195,7 +195,7 @@ def _links(families: DataFrame, percent: int, block: int, most: int = 1024) -> D
 def _to_first(ties: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
     """(a, b): the ties that are links. Members of one first are dealt to groups of about `block` shingles, each with the first's set."""
     weights = written(looked_up(ties, sets.select(F.col("id").alias("a"), F.col("n").alias("first_n")), ["a"]).join(sets.select(F.col("id").alias("b"), "n"), "b"), "near-weights")
-    chunks = weights.groupBy("a").agg(F.ceil(F.sum("n") / block + F.count("*") / 1024).cast("int").alias("chunks"))
+    chunks = weights.groupBy("a").agg(F.ceil(F.sum("n") / block + F.count("*") / 256).cast("int").alias("chunks"))
     dealt = written(looked_up(weights.select("a", "b"), written(chunks, "near-chunks"), ["a"]).select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk")), "near-dealt")
     firsts = dealt.select("a", "chunk").distinct().select("a", "chunk", F.col("a").alias("id"), F.lit(1).alias("own"), F.lit(0).alias("other"))
     rows = dealt.select("a", "chunk", F.col("b").alias("id"), F.lit(0).alias("own"), F.lit(1).alias("other")).unionByName(firsts)

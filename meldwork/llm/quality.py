@@ -2,16 +2,18 @@
 
 A document's evidence is the sum of logistic heads (one a label: low quality, toxic) over hashed
 words and word beginnings that pass a screening test and some style measures. The heads are fitted on a bounded sample of
-labelled rows: the `sample` rows with the smallest hash of their id. Scores of all documents are then
-grouped: a host's rate is shrunk toward the global rate and a path's toward its host's, each by the
+labelled rows: the `sample` rows with the smallest hash of their id, at most `most` words a head. All labels are then
+grouped by site: a host's rate of bad documents is shrunk toward the global rate and a path's toward its host's, each by the
 weight that the method of moments finds in the spread between groups, so sparse sites stay near their
-prior. The document's log-odds move by the path's log-odds against the global ones. A document is
-rejected where any head's probability of being bad reaches the threshold.
+prior. Documents are dealt to FOLDS folds by their id, and a fold's rates come from the labels of the others, so no
+label speaks for its own document. The document's log-odds move by the path's log-odds against the global ones. A document is
+rejected where any head's probability of being bad reaches the threshold. Each text is scored once.
 
 Defined cases: null text is empty: no words, style of nothing; rows without a host or path fall to the
 group of nulls; labels for unknown documents, and null labels, are ignored, several labels of one
 document count as the worst; without labels of both kinds a head says 0 and rejects nothing; equal ids
-are scored row by row; every column of the documents is kept.
+are scored row by row; every column of the documents is kept, whatever its name; columns named _p_low, _p_toxic or
+_keep are replaced.
 """
 
 from __future__ import annotations
@@ -21,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meldwork.llm.common import map_rows, mix, text_bytes, words, written
+from meldwork.llm.common import aside, map_rows, mix, restored, text_bytes, words, written
 
 BITS = 20
 _MASK = (1 << BITS) - 1
 #: Bytes of a word's beginning, which stands for its inflected forms.
 HEAD = 5
 HEADS = ("low", "toxic")
+FOLDS = 5
 STYLE = 8
 #: Groups that a broadcast may hold; with more, posteriors are joined by shuffle.
 MAX_BROADCAST_GROUPS = 100_000
@@ -63,11 +66,16 @@ def features(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.nda
     return pair >> BITS, pair & _MASK, style
 
 
+def _marks(labels: DataFrame) -> DataFrame:
+    """(_label_id, low, toxic): the worst labels of every document."""
+    good = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").alias("_label_id"))
+    return good.agg((1 - F.min("quality")).alias("low"), F.max("toxic").alias("toxic"))
+
+
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """Style rows, word lists and labels of the sampled labelled documents; at most `sample` of them reach the driver."""
-    good = labels.filter("quality IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").alias("_label_id"))
-    chosen = good.agg((1 - F.min("quality")).alias("low"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("_label_id"), "_label_id").limit(sample)
-    joined = docs.select(F.col(id_col).alias("_label_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_label_id").select("_text", "low", "toxic")
+    chosen = _marks(labels).orderBy(F.xxhash64("_label_id"), "_label_id").limit(sample)
+    joined = docs.select(F.col(f"`{id_col}`").alias("_label_id"), F.col(f"`{text_col}`").alias("_text")).join(F.broadcast(chosen), "_label_id").select("_text", "low", "toxic")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, found, style = features(batch.column(0))
@@ -152,39 +160,50 @@ def _moments(rates: DataFrame, parent: Column) -> float:
     return float(min(1e6, max(1.0, (got["v"] or 0) / spread - 1)))
 
 
-def posteriors(scores: DataFrame, head: str) -> DataFrame:
-    """(_host, _path, shift): log-odds that each path adds to its documents'."""
-    rate = 1 / (1 + F.exp(-F.col(f"_{head}")))
-    paths = scores.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum(rate).alias("s"))
-    hosts = paths.groupBy("_host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+def posteriors(labelled: DataFrame, head: str) -> DataFrame:
+    """(_host, _path, _fold, shift): log-odds that each path adds to its documents of the fold; labelled is (_host, _path, _fold, head).
+
+    A document's own label must not speak for it, so a fold's counts are those of the other folds.
+    """
+    counts = labelled.groupBy("_host", "_path", "_fold").agg(F.count("*").alias("n"), F.sum(head).cast("double").alias("s"))
+    every = counts.groupBy("_host", "_path").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.collect_list(F.struct("_fold", "n", "s")).alias("own"))
+
+    def of_others(c: str, fold: Column) -> Column:
+        own = F.filter("own", lambda o: o["_fold"] == fold)
+        return (F.col(c) - F.aggregate(own, F.lit(0.0), lambda total, o: total + o[c])).alias(c)
+
+    folds = F.transform(F.sequence(F.lit(0), F.lit(FOLDS - 1)), lambda f: F.struct(f.alias("_fold"), of_others("n", f), of_others("s", f)))
+    paths = every.select("_host", "_path", F.explode(folds).alias("f")).select("_host", "_path", "f.*")
+    hosts = paths.groupBy("_host", "_fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     base = min(0.999, max(0.001, (total["s"] or 0) / max(1, total["n"] or 0)))
-    k = _moments(hosts, F.lit(base))
-    hosts = hosts.select(F.col("_host").alias("_h"), ((F.col("s") + k * base) / (F.col("n") + k)).alias("prior"))
-    known = paths.join(hosts, paths["_host"].eqNullSafe(hosts["_h"])).drop("_h")
-    k = _moments(known, F.col("prior"))
+    k = _moments(hosts.filter("n > 0"), F.lit(base))
+    hosts = hosts.select(F.col("_host").alias("_h"), F.col("_fold").alias("_f"), ((F.col("s") + k * base) / (F.col("n") + k)).alias("prior"))
+    known = paths.join(hosts, paths["_host"].eqNullSafe(hosts["_h"]) & (paths["_fold"] == hosts["_f"])).drop("_h", "_f")
+    k = _moments(known.filter("n > 0"), F.col("prior"))
     post = F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), (F.col("s") + k * F.col("prior")) / (F.col("n") + k)))
-    return known.select("_host", "_path", (F.log(post / (1 - post)) - float(np.log(base / (1 - base)))).alias(f"_{head}_shift"))
+    return known.select("_host", "_path", "_fold", (F.log(post / (1 - post)) - float(np.log(base / (1 - base)))).alias(f"_{head}_shift"))
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None, sample: int = 8000, threshold: float = 0.5) -> DataFrame:
-    """docs with _p_low, _p_toxic (after the sites' posteriors) and _keep."""
+    """docs with _p_low, _p_toxic (after the sites' posteriors) and _keep. By default the host is the source, and a path is source and language."""
     host = F.col("source") if host is None else host
     path = F.concat_ws("/", host, F.col("lang")) if path is None else path
     heads = fit(docs, labels, id_col, text_col, sample)
-    sites = scored(docs.select(F.col(text_col), host.alias("_host"), path.alias("_path")), heads, text_col).select("_host", "_path", "_low", "_toxic")
-    sites = written(sites, "quality-scores")
-    shifts = posteriors(sites, "low")
-    other = posteriors(sites, "toxic").select(F.col("_host").alias("_h"), F.col("_path").alias("_p"), "_toxic_shift")
-    shifts = shifts.join(other, shifts["_host"].eqNullSafe(F.col("_h")) & shifts["_path"].eqNullSafe(F.col("_p"))).select(F.col("_host").alias("_h"), F.col("_path").alias("_p"), "_low_shift", "_toxic_shift")
-    shifts = written(shifts, "quality-shifts")
+    fold = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit(5)), F.lit(FOLDS)).cast("int")
+    rows, inner = aside(docs, host.alias("_host"), path.alias("_path"), fold.alias("_fold"))
+    marks = _marks(labels)
+    sites = written(rows.select(F.col(inner[id_col]).alias("_label_id"), "_host", "_path", "_fold").join(marks, "_label_id").select("_host", "_path", "_fold", *HEADS), "quality-labels")
+    keys = ["_host", "_path", "_fold"]
+    shifts, other = (posteriors(sites, h).withColumnsRenamed({c: f"{c}{i}" for c in keys}) for i, h in enumerate(HEADS))
+    shifts = written(shifts.join(other, [F.col(f"{c}0").eqNullSafe(F.col(f"{c}1")) for c in keys]), "quality-shifts")
     if shifts.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS:
         shifts = F.broadcast(shifts)
-    out = scored(docs.withColumns({"_host": host, "_path": path}), heads, text_col)
-    out = out.join(shifts, out["_host"].eqNullSafe(F.col("_h")) & out["_path"].eqNullSafe(F.col("_p")), "left")
-    p = {h: 1 / (1 + F.exp(-(F.col(f"_{h}") + F.coalesce(f"_{h}_shift", F.lit(0.0))))) for h in HEADS}
-    out = out.withColumns({"_p_low": p["low"], "_p_toxic": p["toxic"]})
-    return out.withColumn("_keep", (F.col("_p_low") < threshold) & (F.col("_p_toxic") < threshold)).drop("_host", "_path", "_h", "_p", "_low", "_toxic", "_low_shift", "_toxic_shift")
+    out = scored(rows, heads, inner[text_col])
+    out = out.join(shifts, [F.col(c).eqNullSafe(F.col(f"{c}0")) for c in keys], "left")
+    p = {f"_p_{h}": 1 / (1 + F.exp(-(F.col(f"_{h}") + F.coalesce(f"_{h}_shift", F.lit(0.0))))) for h in HEADS}
+    out = out.withColumns(p).withColumn("_keep", (F.col("_p_low") < threshold) & (F.col("_p_toxic") < threshold))
+    return restored(out, inner, "_p_low", "_p_toxic", "_keep")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,3 +40,19 @@ def test_near_dedup_of_null_and_equal_ids(spark):
     frame = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
     got = sorted(map(tuple, corpus_pipeline.near_dedup(spark, frame, "").collect()), key=str)
     assert got == sorted([(None, text("a")), (None, text("b")), (7, text("c")), (7, text("d")), (None, ""), (None, None), (3, "")], key=str)
+
+
+def test_stages_keep_null_ids_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    words = lambda x: " ".join(f"{x}{i}" for i in range(60))
+    frame = spark.createDataFrame([(None, words("a")), (1, words("b")), (2, words("b")), (3, None), (4, "")], "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.lit(0).cast("long")})
+    clash = ["_row", "_found_id", "_kept_row", "_keep", "_low", "_host", "_drops", "_drop_id", "c0", "a.b"]
+    frame = frame.withColumns({c: F.lit(c) for c in clash})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, frame, str(SF))
+        if name in ("quality", "line_dedup"):
+            clash = [c for c in clash if c != "_keep"] if name == "quality" else clash
+        rows = out.collect()
+        assert all(r[c] == c for r in rows for c in clash if c in out.columns)
+        assert any(r["doc_id"] is None for r in rows) and out.columns[:2] == ["doc_id", "text"]
