@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meldwork.llm.common import named, written
+from meldwork.llm.common import aside, named, restored, written
 from meldwork.llm.decontaminate import matches
 from meldwork.llm.line_dedup import dedup_lines
 from meldwork.llm.near_dedup import near_classes
@@ -14,7 +14,7 @@ from meldwork.llm.quality import judged
 
 
 def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """docs with n_chars, where there is one, as the text's length."""
+    """docs with the columns and, where there is one of that name, n_chars as the text's length."""
     return docs.withColumn("n_chars", F.length("text").cast("long")).select(named(columns)) if "n_chars" in columns else docs.select(named(columns))
 
 
@@ -34,17 +34,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are judged by a key of their own: a null id is a document like others (after all ids, if its
     group has one), and of copies under one id one row stays.
     """
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
-    classes = near_classes(rows, "_row").select("id", "component")
-    named_rows = rows.select(F.col("_row").alias("id"), F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row").alias("rank"))
+    rows, inner = aside(docs)
+    doc = inner["doc_id"]
+    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+    classes = near_classes(rows, "_row", inner["text"]).select("id", "component")
+    named_rows = rows.select(F.col("_row").alias("id"), F.struct(F.col(doc).isNull().alias("last"), doc, "_row").alias("rank"))
     kept = classes.join(named_rows, "id").groupBy("component").agg(F.min("rank").alias("rank")).select(F.col("rank._row").alias("_kept_row"))
-    return rows.join(kept, F.col("_row") == F.col("_kept_row"), "left_semi").select(named(docs.columns))
+    return restored(rows.join(kept, F.col("_row") == F.col("_kept_row"), "left_semi"), inner)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     found = written(matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_found_id")).distinct(), "leaks")
-    return docs.join(found, F.col("doc_id") == F.col("_found_id"), "left_anti")
+    rows, inner = aside(docs)
+    return restored(rows.join(found, F.col(inner["doc_id"]) == F.col("_found_id"), "left_anti"), inner)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
