@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from meldwork.llm.common import written
 
-#: A key with more than this share of a table's rows is a hub; so there are at most 1 / SHARE hubs, which fit a broadcast.
-SHARE, LEAST = 1e-4, 1000
+#: A key with more than this share of a table's rows, and more rows than a task takes easily, is a hub; so there are at most 1 / SHARE hubs, which fit a broadcast.
+SHARE, LEAST = 1e-4, 100_000
 
 
 def looked_up(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
@@ -16,9 +16,11 @@ def looked_up(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
 
     Both are read several times, so they should be written tables. Rows with a null key keep nulls.
     """
-    bound = max(LEAST, int(rows.count() * SHARE))
+    count, extra = rows.count(), [c for c in table.columns if c not in keys]
+    if count <= LEAST:  # no key can have more
+        return rows.join(table, keys, "left").select(*rows.columns, *extra)
+    bound = max(LEAST, int(count * SHARE))
     hubs = table.join(rows.groupBy(*keys).count().filter(F.col("count") > bound).drop("count"), keys, "left_semi")
-    extra = [c for c in table.columns if c not in keys]
     marked = rows.join(F.broadcast(hubs.withColumnsRenamed({c: f"_hub_{c}" for c in extra}).withColumn("_hub", F.lit(True))), keys, "left")
     of_hubs = marked.filter("_hub").select(*rows.columns, *[F.col(f"_hub_{c}").alias(c) for c in extra])
     others = marked.filter("_hub IS NULL").select(*rows.columns)
