@@ -97,137 +97,137 @@ KEYWORDS = [
     "c++", "c#", "go", "rust", "kotlin", "swift", "ruby", "php", "scala", "linux", "unix", "bash", "powershell", "data structures", "algorithms",
 ]
 
-# Canonical skill: its aliases.
+# Alias of a skill: its canonical name.
 SKILLS = {
-    "JavaScript": ["js", "javascript", "ecmascript", "es6", "es2015"],
-    "React": ["reactjs", "react.js", "react js", "react"],
-    "React Native": ["reactnative", "react native", "react-native"],
-    "Vue.js": ["vuejs", "vue.js", "vue"],
-    "Angular": ["angularjs", "angular.js", "angular", "angular2"],
-    "Next.js": ["nextjs", "next.js", "next"],
-    "Node.js": ["nodejs", "node.js", "node"],
-    "Express.js": ["expressjs", "express.js", "express"],
-    "TypeScript": ["typescript", "ts"],
-    "jQuery": ["jquery"],
-    "Python": ["python", "python3", "python2", "py"],
-    "Django": ["django"],
-    "Flask": ["flask"],
-    "FastAPI": ["fastapi", "fast api"],
-    "Pandas": ["pandas"],
-    "NumPy": ["numpy"],
-    "SciPy": ["scipy"],
-    "Scikit-learn": ["scikit-learn", "sklearn", "scikit learn"],
-    "Machine Learning": ["ml", "machine learning", "machinelearning"],
-    "Deep Learning": ["dl", "deep learning", "deeplearning"],
-    "Artificial Intelligence": ["ai", "artificial intelligence"],
-    "Natural Language Processing": ["nlp", "natural language processing"],
-    "Computer Vision": ["cv", "computer vision"],
-    "TensorFlow": ["tensorflow", "tf"],
-    "PyTorch": ["pytorch", "torch"],
-    "Keras": ["keras"],
-    "Large Language Models": ["llm", "large language models"],
-    "Generative AI": ["generative ai", "genai"],
-    "Java": ["java"],
-    "Spring": ["spring"],
-    "Spring Boot": ["spring boot", "springboot"],
-    "Hibernate": ["hibernate"],
-    "SQL": ["sql"],
-    "MySQL": ["mysql"],
-    "PostgreSQL": ["postgresql", "postgres"],
-    "MongoDB": ["mongodb", "mongo"],
-    "Redis": ["redis"],
-    "Elasticsearch": ["elasticsearch", "elastic search"],
-    "DynamoDB": ["dynamodb", "dynamo db"],
-    "Cassandra": ["cassandra"],
-    "SQLite": ["sqlite"],
-    "NoSQL": ["nosql"],
-    "AWS": ["aws", "amazon web services"],
-    "Azure": ["azure", "microsoft azure"],
-    "GCP": ["gcp", "google cloud", "google cloud platform"],
-    "Docker": ["docker"],
-    "Kubernetes": ["kubernetes", "k8s"],
-    "Terraform": ["terraform"],
-    "Ansible": ["ansible"],
-    "Jenkins": ["jenkins"],
-    "CI/CD": ["ci/cd", "cicd", "ci cd"],
-    "DevOps": ["devops", "dev ops"],
-    "C++": ["c++", "cpp"],
-    "C#": ["c#", "csharp", "c sharp"],
-    "Go": ["golang", "go"],
-    "Rust": ["rust"],
-    "Kotlin": ["kotlin"],
-    "Swift": ["swift"],
-    "Ruby": ["ruby"],
-    "PHP": ["php"],
-    "Scala": ["scala"],
-    "R": ["r"],
-    "MATLAB": ["matlab"],
-    "Bash": ["bash"],
-    "Shell Scripting": ["shell", "shell scripting"],
-    "PowerShell": ["powershell"],
-    "HTML": ["html", "html5"],
-    "CSS": ["css", "css3"],
-    "Sass": ["sass", "scss"],
-    "Less": ["less"],
-    "Tailwind CSS": ["tailwind", "tailwindcss", "tailwind css"],
-    "Bootstrap": ["bootstrap"],
-    "Webpack": ["webpack"],
-    "Vite": ["vite"],
-    "Agile": ["agile"],
-    "Scrum": ["scrum"],
-    "Kanban": ["kanban"],
-    "TDD": ["tdd", "test driven development"],
-    "BDD": ["bdd"],
-    "Git": ["git"],
-    "GitHub": ["github"],
-    "GitLab": ["gitlab"],
-    "Bitbucket": ["bitbucket"],
-    "Jira": ["jira"],
-    "Confluence": ["confluence"],
-    "REST": ["rest", "restful", "rest api"],
-    "GraphQL": ["graphql"],
-    "gRPC": ["grpc"],
-    "Microservices": ["microservices", "micro services"],
-    "API Design": ["api"],
-    "Linux": ["linux"],
-    "Unix": ["unix"],
-    "Data Structures": ["data structures"],
-    "Algorithms": ["algorithms"],
-    "Data Structures & Algorithms": ["dsa"],
-    "System Design": ["system design"],
-    "Figma": ["figma"],
-    "Apache Spark": ["spark", "apache spark"],
-    "Apache Kafka": ["kafka", "apache kafka"],
-    "Hadoop": ["hadoop"],
-    "Apache Airflow": ["airflow", "apache airflow"],
-}
+    "js": "JavaScript", "javascript": "JavaScript", "ecmascript": "JavaScript", "es6": "JavaScript", "es2015": "JavaScript",
+    "reactjs": "React", "react.js": "React", "react js": "React", "react": "React",
+    "reactnative": "React Native", "react native": "React Native", "react-native": "React Native",
+    "vuejs": "Vue.js", "vue.js": "Vue.js", "vue": "Vue.js",
+    "angularjs": "Angular", "angular.js": "Angular", "angular": "Angular", "angular2": "Angular",
+    "nextjs": "Next.js", "next.js": "Next.js", "next": "Next.js",
+    "nodejs": "Node.js", "node.js": "Node.js", "node": "Node.js",
+    "expressjs": "Express.js", "express.js": "Express.js", "express": "Express.js",
+    "typescript": "TypeScript", "ts": "TypeScript",
+    "jquery": "jQuery",
+    "python": "Python", "python3": "Python", "python2": "Python", "py": "Python",
+    "django": "Django",
+    "flask": "Flask",
+    "fastapi": "FastAPI", "fast api": "FastAPI",
+    "pandas": "Pandas",
+    "numpy": "NumPy",
+    "scipy": "SciPy",
+    "scikit-learn": "Scikit-learn", "sklearn": "Scikit-learn", "scikit learn": "Scikit-learn",
+    "ml": "Machine Learning", "machine learning": "Machine Learning", "machinelearning": "Machine Learning",
+    "dl": "Deep Learning", "deep learning": "Deep Learning", "deeplearning": "Deep Learning",
+    "ai": "Artificial Intelligence", "artificial intelligence": "Artificial Intelligence",
+    "nlp": "Natural Language Processing", "natural language processing": "Natural Language Processing",
+    "cv": "Computer Vision", "computer vision": "Computer Vision",
+    "tensorflow": "TensorFlow", "tf": "TensorFlow",
+    "pytorch": "PyTorch", "torch": "PyTorch",
+    "keras": "Keras",
+    "llm": "Large Language Models", "large language models": "Large Language Models",
+    "generative ai": "Generative AI", "genai": "Generative AI",
+    "java": "Java",
+    "spring": "Spring",
+    "spring boot": "Spring Boot", "springboot": "Spring Boot",
+    "hibernate": "Hibernate",
+    "sql": "SQL",
+    "mysql": "MySQL",
+    "postgresql": "PostgreSQL", "postgres": "PostgreSQL",
+    "mongodb": "MongoDB", "mongo": "MongoDB",
+    "redis": "Redis",
+    "elasticsearch": "Elasticsearch", "elastic search": "Elasticsearch",
+    "dynamodb": "DynamoDB", "dynamo db": "DynamoDB",
+    "cassandra": "Cassandra",
+    "sqlite": "SQLite",
+    "nosql": "NoSQL",
+    "aws": "AWS", "amazon web services": "AWS",
+    "azure": "Azure", "microsoft azure": "Azure",
+    "gcp": "GCP", "google cloud": "GCP", "google cloud platform": "GCP",
+    "docker": "Docker",
+    "kubernetes": "Kubernetes", "k8s": "Kubernetes",
+    "terraform": "Terraform",
+    "ansible": "Ansible",
+    "jenkins": "Jenkins",
+    "ci/cd": "CI/CD", "cicd": "CI/CD", "ci cd": "CI/CD",
+    "devops": "DevOps", "dev ops": "DevOps",
+    "c++": "C++", "cpp": "C++",
+    "c#": "C#", "csharp": "C#", "c sharp": "C#",
+    "golang": "Go", "go": "Go",
+    "rust": "Rust",
+    "kotlin": "Kotlin",
+    "swift": "Swift",
+    "ruby": "Ruby",
+    "php": "PHP",
+    "scala": "Scala",
+    "r": "R",
+    "matlab": "MATLAB",
+    "bash": "Bash",
+    "shell": "Shell Scripting", "shell scripting": "Shell Scripting",
+    "powershell": "PowerShell",
+    "html": "HTML", "html5": "HTML",
+    "css": "CSS", "css3": "CSS",
+    "sass": "Sass", "scss": "Sass",
+    "less": "Less",
+    "tailwind": "Tailwind CSS", "tailwindcss": "Tailwind CSS", "tailwind css": "Tailwind CSS",
+    "bootstrap": "Bootstrap",
+    "webpack": "Webpack",
+    "vite": "Vite",
+    "agile": "Agile",
+    "scrum": "Scrum",
+    "kanban": "Kanban",
+    "tdd": "TDD", "test driven development": "TDD",
+    "bdd": "BDD",
+    "git": "Git",
+    "github": "GitHub",
+    "gitlab": "GitLab",
+    "bitbucket": "Bitbucket",
+    "jira": "Jira",
+    "confluence": "Confluence",
+    "rest": "REST", "restful": "REST", "rest api": "REST",
+    "graphql": "GraphQL",
+    "grpc": "gRPC",
+    "microservices": "Microservices", "micro services": "Microservices",
+    "api": "API Design",
+    "linux": "Linux",
+    "unix": "Unix",
+    "data structures": "Data Structures",
+    "algorithms": "Algorithms",
+    "dsa": "Data Structures & Algorithms",
+    "system design": "System Design",
+    "figma": "Figma",
+    "spark": "Apache Spark", "apache spark": "Apache Spark",
+    "kafka": "Apache Kafka", "apache kafka": "Apache Kafka",
+    "hadoop": "Hadoop",
+    "airflow": "Apache Airflow", "apache airflow": "Apache Airflow",
+}
 
-# Country code: names that the ISO table lacks.
+# Name or code of a country that is looked up before the ISO table: its code.
 COUNTRIES = {
-    "US": ["usa", "us", "u.s.", "u.s.a.", "united states", "united states of america", "america"],
-    "GB": ["uk", "u.k.", "united kingdom", "great britain", "england", "britain"],
-    "IN": ["india", "in"],
-    "CA": ["canada", "ca"],
-    "AU": ["australia", "au"],
-    "DE": ["germany", "de"],
-    "FR": ["france", "fr"],
-    "JP": ["japan", "jp"],
-    "CN": ["china", "cn"],
-    "BR": ["brazil", "br"],
-    "SG": ["singapore", "sg"],
-    "AE": ["uae", "united arab emirates"],
-    "NL": ["netherlands", "holland"],
-    "KR": ["south korea", "korea"],
-    "IL": ["israel"],
-    "IE": ["ireland"],
-    "NZ": ["new zealand"],
-    "SE": ["sweden"],
-    "CH": ["switzerland"],
-    "ES": ["spain"],
-    "IT": ["italy"],
-    "RU": ["russia"],
-    "MX": ["mexico"],
-}
+    "usa": "US", "us": "US", "u.s.": "US", "u.s.a.": "US", "united states": "US", "united states of america": "US", "america": "US",
+    "uk": "GB", "u.k.": "GB", "united kingdom": "GB", "great britain": "GB", "england": "GB", "britain": "GB",
+    "india": "IN", "in": "IN",
+    "canada": "CA", "ca": "CA",
+    "australia": "AU", "au": "AU",
+    "germany": "DE", "de": "DE",
+    "france": "FR", "fr": "FR",
+    "japan": "JP", "jp": "JP",
+    "china": "CN", "cn": "CN",
+    "brazil": "BR", "br": "BR",
+    "singapore": "SG", "sg": "SG",
+    "uae": "AE", "united arab emirates": "AE",
+    "netherlands": "NL", "holland": "NL",
+    "south korea": "KR", "korea": "KR",
+    "israel": "IL",
+    "ireland": "IE",
+    "new zealand": "NZ",
+    "sweden": "SE",
+    "switzerland": "CH",
+    "spain": "ES",
+    "italy": "IT",
+    "russia": "RU",
+    "mexico": "MX",
+}
 
 # Quality field: weight, label, suggestion.
 QUALITY = {
@@ -245,5 +245,14 @@ QUALITY = {
 SCALARS = ["full_name", "headline", "location.city", "location.region", "location.country", "years_experience", "links.linkedin", "links.github", "links.portfolio"]
 CONFIDENCE_FIELDS = ["full_name", "emails", "phones", "location", "headline", "skills", "experience", "education", "links"]
 
-# Calling code: how many digits a subscriber number has, and the digits it may begin with.
-PHONE_RULES = {"IN": ("91", 10, "1-9"), "US": ("1", 10, "2-9"), "GB": ("44", 10, "1-9")}
+# Region: calling code, least and most digits of a subscriber's number, and the digits it may begin with (national numbering plans).
+PHONE_RULES = {
+    "IN": ("91", 10, 10, "1-9"), "US": ("1", 10, 10, "2-9"), "GB": ("44", 10, 10, "1-9"), "FR": ("33", 9, 9, "1-9"), "DE": ("49", 7, 11, "1-9"), "ES": ("34", 9, 9, "5-9"), "IT": ("39", 6, 11, "0-9"), "NL": ("31", 9, 9, "1-9"),
+    "BE": ("32", 8, 9, "1-9"), "CH": ("41", 9, 9, "1-9"), "AT": ("43", 7, 13, "1-9"), "SE": ("46", 7, 9, "1-9"), "NO": ("47", 8, 8, "2-9"), "DK": ("45", 8, 8, "2-9"), "FI": ("358", 6, 10, "1-9"), "IE": ("353", 7, 9, "1-9"),
+    "PT": ("351", 9, 9, "2-9"), "PL": ("48", 9, 9, "1-9"), "CZ": ("420", 9, 9, "2-9"), "GR": ("30", 10, 10, "2-9"), "RU": ("7", 10, 10, "3-9"), "UA": ("380", 9, 9, "3-9"), "TR": ("90", 10, 10, "2-58"), "IL": ("972", 8, 9, "2-9"),
+    "AE": ("971", 8, 9, "2-9"), "SA": ("966", 9, 9, "1-9"), "ZA": ("27", 9, 9, "1-8"), "EG": ("20", 8, 10, "1-9"), "NG": ("234", 8, 10, "1-9"), "KE": ("254", 9, 9, "1-9"), "CN": ("86", 10, 11, "1-9"), "JP": ("81", 9, 10, "1-9"),
+    "KR": ("82", 8, 10, "1-9"), "SG": ("65", 8, 8, "3-9"), "HK": ("852", 8, 8, "2-9"), "AU": ("61", 9, 9, "2-8"), "NZ": ("64", 8, 10, "2-9"), "BR": ("55", 10, 11, "1-9"), "MX": ("52", 10, 10, "1-9"), "AR": ("54", 10, 11, "1-9"),
+    "PK": ("92", 9, 10, "2-9"), "BD": ("880", 8, 10, "1-9"), "ID": ("62", 8, 12, "1-9"), "MY": ("60", 8, 10, "1-9"), "PH": ("63", 8, 10, "2-9"), "TH": ("66", 8, 9, "2-9"), "VN": ("84", 9, 10, "1-9"),
+}
+# Months by their English names.
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]

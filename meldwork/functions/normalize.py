@@ -44,19 +44,28 @@ def email(c: Column) -> Column:
     return let(strip(c), lambda bare: let(F.lower(bare), lambda low: let(low.rlike(f"^{dims.EMAIL}$"), lambda good: of(c, bare, low, good))))
 
 
+def _plan(region: str) -> tuple[str, str]:
+    """A region's calling code and the pattern of its subscribers' numbers."""
+    code, least, most, begin = dims.PHONE_RULES[region]
+    return code, f"[{begin}][0-9]{{{least - 1},{most - 1}}}"
+
+
 def phone(c: Column, region: str = "IN") -> Column:
-    """E.164 by a rule table: calling codes of dims.PHONE_RULES, trunk 0, 00 for +; a code outside the table passes with 8 to 15 digits."""
-    code, length, first = dims.PHONE_RULES[region]
+    """E.164 by the numbering plans of dims.PHONE_RULES: the longest calling code that the number begins with decides; trunk 0, 00 for +; a code outside the table passes with 8 to 15 digits."""
+    code, own = _plan(region)
+    plans = literal_map(dict(map(_plan, dims.PHONE_RULES)))
 
     def abroad(far: Column) -> Column:
-        out = F.when(F.length(far).between(8, 15), F.concat(F.lit("+"), far))
-        for code, length, first in dims.PHONE_RULES.values():
-            out = F.when(far.startswith(code), F.when(far.rlike(f"^{code}[{first}][0-9]{{{length - 1}}}$"), F.concat(F.lit("+"), far))).otherwise(out)
-        return out
+        known = F.coalesce(*[F.when(F.try_element_at(plans, F.substring(far, 1, k)).isNotNull(), k) for k in (3, 2, 1)])
+        def held(k: Column) -> Column:
+            plan = F.concat(F.lit("^"), F.try_element_at(plans, F.substring(far, F.lit(1), k)), F.lit("$"))
+            return F.when(k.isNull(), F.length(far).between(8, 15)).otherwise(F.rlike(F.substring(far, k + 1, F.length(far)), plan))
+
+        return F.when(let(known, held), F.concat(F.lit("+"), far))
 
     def value(bare: Column, digits: Column) -> Column:
         home = F.regexp_replace(digits, "^0", "")
-        near = F.when(home.rlike(f"^[{first}][0-9]{{{length - 1}}}$"), F.concat(F.lit("+" + code), home)).when(digits.rlike(f"^{code}[{first}][0-9]{{{length - 1}}}$"), F.concat(F.lit("+"), digits))
+        near = F.when(home.rlike(f"^{own}$"), F.concat(F.lit("+" + code), home)).when(digits.rlike(f"^{code}{own}$"), F.concat(F.lit("+"), digits))
         far = F.when(bare.startswith("+"), digits).when(digits.startswith("00"), F.substring(digits, F.lit(3), F.length(digits)))
         return F.when(~_odd(bare, digits), let(far, lambda f: F.when(f.isNotNull(), abroad(f)).otherwise(near)))
 
@@ -81,14 +90,36 @@ def _odd(bare: Column, digits: Column) -> Column:
 DATE_LADDER = ["yyyy-MM-dd", "yyyy/MM/dd", "MM/yyyy", "MM/dd/yyyy", "MMM yyyy", "MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "yyyy-MM-dd'T'HH:mm:ss"]
 
 
-def date(c: Column, field: str = "date") -> Column:
-    """YYYY-MM or Present. YYYY-MM passes unchecked, a bare year is its January, other layouts go down the ladder."""
+def fuzzy_month(bare: Column, year: int | None = None) -> Column:
+    """YYYY-MM of a date within other words: a month by its name or its first three letters or more, else the first of two or three
+    numbers that can be one, month before day; the year of four digits, or of two behind an apostrophe or as the last of three numbers (69 to 99 in the last century), or
+    `year`. A year alone is its January. Null without a year, and where no month and no year of four digits stands.
+    """
+    names = F.array(*map(F.lit, dims.MONTHS))
+    tokens = F.regexp_extract_all(F.lower(bare), F.lit(r"([a-z]+|[0-9]+)"), F.lit(1))
+    words = F.transform(F.filter(tokens, lambda t: t.rlike("^[a-z]{3,}$")), lambda t: F.array_position(F.transform(names, lambda n: n.startswith(t) | ((t == "sept") & (n == "september"))), True))
+    numbers = F.transform(F.filter(tokens, lambda t: t.rlike("^[0-9]{1,2}$")), lambda t: t.cast("int"))
+    whole = F.get(F.transform(F.filter(tokens, lambda t: t.rlike("^[12][0-9]{3}$")), lambda t: t.cast("int")), F.lit(0))
+
+    def of(named: Column, small: Column, full: Column) -> Column:
+        short = F.coalesce(F.regexp_extract(bare, r"['\u2019]([0-9]{2})(?![0-9])", 1).try_cast("int"), F.when(named.isNull() & (F.size(small) == 3), F.get(small, F.lit(2))))
+        y = F.coalesce(full, short + F.when(short > 68, 1900).otherwise(2000), F.lit(year).cast("int"))
+        pair = F.when(F.size(small) + F.when(full.isNotNull(), 1).otherwise(0) >= 2, F.get(F.filter(F.slice(small, 1, 2), lambda n: n.between(1, 12)), F.lit(0)))
+        m = F.coalesce(named, pair, F.when(full.isNotNull(), 1))
+        return F.when(y.isNotNull() & m.isNotNull(), F.format_string("%04d-%02d", y, m))
+
+    return let(F.get(F.filter(words, lambda n: n > 0), F.lit(0)).cast("int"), lambda named: let(numbers, lambda small: let(whole, lambda full: of(named, small, full))))
+
+
+def date(c: Column, field: str = "date", year: int | None = None) -> Column:
+    """YYYY-MM or Present. YYYY-MM passes unchecked, a bare year is its January, other layouts go down the ladder and then through fuzzy_month(); `year` is that of dates without one."""
     def kind(bare: Column) -> Column:
         return F.when(bare == "", "empty").when(F.lower(bare).isin("present", "current", "now", "ongoing"), "now").when(bare.rlike("^[0-9]{4}-[0-9]{2}$"), "ready").when(bare.rlike("^[0-9]{4}$"), "year").otherwise("other")
 
     def value(bare: Column, what: Column) -> Column:
         parsed = F.coalesce(*[F.try_to_timestamp(bare, F.lit(p)) for p in DATE_LADDER])
-        return F.when(what == "now", "Present").when(what == "ready", bare).when(what == "year", F.concat(bare, F.lit("-01"))).when(what == "other", F.date_format(parsed, "yyyy-MM"))
+        other = F.coalesce(F.date_format(parsed, "yyyy-MM"), fuzzy_month(bare, year))
+        return F.when(what == "now", "Present").when(what == "ready", bare).when(what == "year", F.concat(bare, F.lit("-01"))).when(what == "other", other)
 
     def of(what: Column, got: Column) -> Column:
         return _result(
@@ -107,15 +138,33 @@ def iso_countries(spark: SparkSession) -> dict[str, str]:
     return {locale("", code).getDisplayCountry(locale.ENGLISH).lower(): code for code in locale.getISOCountries()}
 
 
+def _folded(c: Column) -> Column:
+    """Lower case without the accents that English names of countries drop."""
+    return F.translate(F.lower(c), "áàâäãåéèêëíìîïóòôöõúùûüçñ", "aaaaaaeeeeiiiiooooouuuucn")
+
+
+def fuzzy_country(text: Column, names: dict[str, str]) -> Column:
+    """The code of the name that is most like a text of three letters or more: first names that contain it, the earlier in the name the better,
+    then names within one edit for every four of the text's letters, the nearest first; ties go by code. Null if there is none.
+    """
+    known = F.transform(F.map_entries(literal_map(names)), lambda n: F.struct(_folded(n["key"]).alias("name"), n["value"].alias("code")))
+
+    def of(t: Column) -> Column:
+        holding = F.filter(F.transform(known, lambda n: F.struct(F.call_function("instr", n["name"], t).alias("place"), n["code"].alias("code"))), lambda n: n["place"] > 0)
+        most = F.floor(F.length(t) / 4).cast("int")
+        near = F.filter(F.transform(known, lambda n: F.struct(F.levenshtein(n["name"], t).alias("place"), n["code"].alias("code"))), lambda n: n["place"] <= most)
+        return F.when(F.length(t) >= 3, F.coalesce(F.array_min(holding)["code"], F.array_min(near)["code"]))
+
+    return let(_folded(text), of)
+
+
 def country(c: Column, names: dict[str, str] | None = None) -> Column:
-    """A two-letter code: any two characters are upper-cased unchecked, then aliases, then ISO names, then the first name that contains the text."""
-    aliases = literal_map({a: code for code, all_ in dims.COUNTRIES.items() for a in all_})
+    """A two-letter code: any two characters are upper-cased unchecked, then aliases, then ISO names, then fuzzy_country()."""
+    aliases = literal_map(dims.COUNTRIES)
     iso = literal_map(names) if names else None
 
     def fuzzy(low: Column) -> Column:
-        if iso is None:
-            return F.lit(None).cast("string")
-        return F.try_element_at(iso, F.get(F.filter(F.array_sort(F.map_keys(iso)), lambda n: (F.length(low) > 3) & n.contains(low)), F.lit(0)))
+        return fuzzy_country(low, names) if names else F.lit(None).cast("string")
 
     def how(bare: Column) -> Column:
         low = F.lower(bare)
@@ -138,7 +187,7 @@ def country(c: Column, names: dict[str, str] | None = None) -> Column:
 
 def skill(c: Column) -> Column:
     """The canonical name of a known alias, else title case; blank stays as it is."""
-    aliases = literal_map({a: name for name, all_ in dims.SKILLS.items() for a in all_})
+    aliases = literal_map(dims.SKILLS)
 
     def of(bare: Column, known: Column, got: Column) -> Column:
         return _result(

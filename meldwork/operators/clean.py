@@ -83,7 +83,7 @@ def described(rule: Column, before: Column, after: Column) -> Column:
         return F.concat(*[F.lit(x) if isinstance(x, str) else F.coalesce(x, F.lit("")) for x in parts])
 
     region = F.lit("unknown")
-    for name, (code, _, _) in dims.PHONE_RULES.items():
+    for name, (code, *_) in sorted(dims.PHONE_RULES.items(), key=lambda r: len(r[1][0])):  # the longest code is asked first
         region = F.when(after.startswith("+" + code), name).otherwise(region)
     texts = {
         "email_validation_failed": say("Email '", before, "' failed RFC validation"), "trim_whitespace": say("Email trim whitespace"), "lowercase": say("Email lowercase"), "remove_duplicate_email": say("Duplicate email '", before, "' removed"),
@@ -108,8 +108,35 @@ def rule_log(records: DataFrame, *keys: str) -> DataFrame:
     return log.withColumns({"description": described(F.col("rule"), F.col("before"), F.col("after")), "stage": stage})
 
 
-def chains(log: DataFrame, *keys: str) -> DataFrame:
-    """Per field, its transformations in order, their number and the last value; dates have none."""
-    order = F.struct("file_seq", "row_seq", "step", "rule", "before", "after")
-    steps = F.array_sort(F.collect_list(order))
-    return log.filter("category <> 'date'").groupBy(*keys, "field").agg(steps.alias("steps")).withColumns({"total": F.size("steps"), "final": F.element_at("steps", -1)["after"]})
+#: The stages that change a field, in their order.
+STAGES = ["normalization", "canonicalization", "conflict_resolution"]
+_ORDER = ["stage_order", "file_seq", "row_seq", "step"]
+
+
+def steps(log: DataFrame, *keys: str, conflicts: DataFrame | None = None) -> DataFrame:
+    """(keys, field, order, and what happened): every transformation of a field in the order of the stages, conflicts as steps that give their winner; dates have none."""
+    number = F.array_position(F.array(*map(F.lit, STAGES)), F.col("stage")).cast("int")
+    out = log.filter("category <> 'date'").select(*keys, "field", number.alias("stage_order"), F.col("file_seq").cast("long"), F.col("row_seq").cast("long"), F.col("step").cast("int"), "stage", "rule", "before", "after", "description")
+    if conflicts is None:
+        return out
+    values = F.to_json(F.transform("candidates", lambda c: c["value"]))
+    settled = conflicts.select(
+        *keys, "field", F.lit(len(STAGES)).alias("stage_order"), F.lit(0).cast("long").alias("file_seq"), F.lit(0).cast("long").alias("row_seq"), F.lit(0).alias("step"), F.lit(STAGES[-1]).alias("stage"),
+        F.lit("priority_based_conflict_resolution").alias("rule"), values.alias("before"), F.col("winner.value").alias("after"), F.col("explanation").alias("description"),
+    )
+    return out.unionByName(settled)
+
+
+def chain_totals(log: DataFrame, *keys: str, conflicts: DataFrame | None = None) -> DataFrame:
+    """Per field the number of its transformations, the first rule and the last value; no list of them is gathered, so a field may have any number."""
+    order = F.struct(*_ORDER)
+    last, begin = F.max_by(F.struct("after"), order), F.min_by(F.struct("rule"), order)
+    return steps(log, *keys, conflicts=conflicts).groupBy(*keys, "field").agg(F.count("*").cast("int").alias("total"), begin.alias("_first"), last.alias("_last")).select(*keys, "field", "total", F.col("_first.rule").alias("first_rule"), F.col("_last.after").alias("final"))
+
+
+def chains(log: DataFrame, *keys: str, conflicts: DataFrame | None = None) -> DataFrame:
+    """Per field, its transformations in order, their number and the last value: a fold over the ordered steps."""
+    listed = F.array_sort(F.collect_list(F.struct(*_ORDER, "stage", "rule", "before", "after", "description")))
+    folded = F.aggregate("steps", F.struct(F.lit(0).alias("total"), F.lit(None).cast("string").alias("final")), lambda a, s: F.struct((a["total"] + 1).alias("total"), s["after"].alias("final")))
+    out = steps(log, *keys, conflicts=conflicts).groupBy(*keys, "field").agg(listed.alias("steps")).withColumn("_f", folded)
+    return out.select(*keys, "field", "steps", "_f.total", "_f.final")

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meldwork.functions import dims
-from meldwork.functions.schema import display_name, priority
+from meldwork.functions.schema import RECORD, display_name, priority
+from meldwork.sources import scratch
 
 #: Scalar, and the record's column it comes from.
 SCALAR_COLUMNS = {
@@ -63,11 +64,35 @@ def merge(records: DataFrame, by: list[str], *more: Column) -> DataFrame:
         F.struct(F.col("_city").alias("city"), F.col("_region").alias("region"), F.col("_country").alias("country")).alias("location"),
         F.struct(F.col("_linkedin").alias("linkedin"), F.col("_github").alias("github"), F.col("_portfolio").alias("portfolio"), F.col("other_links").alias("other")).alias("links"),
         F.col("_headline").alias("headline"), F.col("_years_experience").alias("years_experience"),
-        F.coalesce("skills", F.array().cast("array<struct<name:string,confidence:double,sources:array<string>>>")).alias("skills"), "experience", "education", "n_records",
+        F.coalesce("skills", F.array().cast(_SKILLS)).alias("skills"), "experience", "education", "n_records",
         *[c for c in base.columns if c not in known],
     )
 
 
+_SKILLS = "array<struct<name:string,confidence:double,sources:array<string>>>"
+
+
+def unmerged(records: DataFrame, by: list[str], *more: Column) -> DataFrame:
+    """The rows and columns of merge() with nothing in them but the number of records and `more`, for a run that goes on without a merge."""
+    def empty(kind: str) -> Column:
+        return F.array().cast(kind)
+
+    none, texts = F.lit(None).cast("string"), "array<string>"
+    base = ordered(records).groupBy(*by).agg(F.count("*").alias("n_records"), *more)
+    return base.select(
+        *by, F.lit("CND-UNKNOWN").alias("candidate_id"), F.lit("").alias("full_name"), empty(texts).alias("emails"), empty(texts).alias("phones"),
+        F.struct(*[none.alias(c) for c in ("city", "region", "country")]).alias("location"), F.struct(*[none.alias(c) for c in ("linkedin", "github", "portfolio")], empty(texts).alias("other")).alias("links"),
+        none.alias("headline"), F.lit(None).cast("int").alias("years_experience"), empty(_SKILLS).alias("skills"), empty(RECORD["experience"]).alias("experience"), empty(RECORD["education"]).alias("education"), "n_records",
+        *[c for c in base.columns if c not in (*by, "n_records")],
+    )
+
+
+def no_candidates(records: DataFrame, by: list[str]) -> DataFrame:
+    """candidates() of nothing."""
+    kinds = {"field": "string", "value": "string", "source_file": "string", "source_type": "string", "priority": "int", "rank": "int", "n": "long", "winner": "struct<value:string,source_type:string,priority:int>"}
+    return records.select(*by, *[F.lit(None).cast(k).alias(c) for c, k in kinds.items()]).filter("false")
+
+
 def skill_rollup(records: DataFrame, by: list[str]) -> DataFrame:
     """Per entity its skills: grouped by lower case, named as first seen, with their source types in the order seen."""
     each = ordered(records).select(*by, "source_type", "_ord", F.posexplode("skills").alias("_pos", "name")).withColumns({"_ord": F.struct("_ord", "_pos"), "_key": F.lower("name")})
@@ -77,17 +102,39 @@ def skill_rollup(records: DataFrame, by: list[str]) -> DataFrame:
     return named.groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("skills"))
 
 
-def candidates(records: DataFrame, by: list[str]) -> DataFrame:
-    """Every non-empty contribution to a scalar, ranked, for scalars that have two or more."""
+def candidates(records: DataFrame, by: list[str], spread: bool = False) -> DataFrame:
+    """Every non-empty contribution to a scalar, ranked, for scalars that have two or more. With `spread`, several tasks share the candidates of one entity."""
     rows = ordered(records)
     pairs = F.array(*[F.struct(F.lit(n).alias("field"), F.when(F.expr(_present(c)), F.col(c).cast("string")).alias("value")) for n, c in SCALAR_COLUMNS.items()])
     long = rows.select(*by, "source_file", "source_type", "_ord", F.explode(pairs).alias("p")).select(*by, "source_file", "source_type", "_ord", "p.field", "p.value").filter("value IS NOT NULL")
-    group = Window.partitionBy(*by, "field")
-    first = F.first(F.struct("value", "source_type", F.col("_ord.priority").alias("priority"))).over(group.orderBy("_ord"))
-    ranked = long.withColumns({"n": F.count("*").over(group), "rank": F.row_number().over(group.orderBy("_ord")), "winner": first})
+    head = F.struct("value", "source_type", F.col("_ord.priority").alias("priority"))
+    ranked = ranked_by_range(long, [*by, "field"], "_ord", head) if spread else ranked_by_window(long, [*by, "field"], "_ord", head)
     return ranked.filter("n > 1").select(*by, "field", "value", "source_file", "source_type", F.col("_ord.priority").alias("priority"), "rank", "n", "winner")
 
 
+def ranked_by_window(rows: DataFrame, group: list[str], order: str, head: Column) -> DataFrame:
+    """rows with rank, n (the group's rows) and winner (head of its first row). A group is sorted in one task."""
+    own = Window.partitionBy(*group)
+    return rows.withColumns({"n": F.count("*").over(own), "rank": F.row_number().over(own.orderBy(order)), "winner": F.first(head).over(own.orderBy(order))})
+
+
+def ranked_by_range(rows: DataFrame, group: list[str], order: str, head: Column, parts: int | None = None) -> DataFrame:
+    """The same as ranked_by_window(), where tasks share a group: rows lie in ranges of (group, order), and a row's rank is its place in its range and what lies in the ranges before.
+
+    The ranges are written once, so that counts and rows agree; the counts are one row a group and range that holds some of it.
+    """
+    spark = rows.sparkSession
+    dealt = rows.withColumn("_head", head).repartitionByRange(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), *group, order).sortWithinPartitions(*group, order)
+    placed, _, _ = scratch.written(dealt.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "ranges")
+    counts = placed.groupBy(*group, "_range").agg(F.count("*").alias("_count"), F.min("_at").alias("_from"), F.min_by("_head", "_at").alias("_first"))
+    ranges = Window.partitionBy(*group).orderBy("_range")
+    before = F.coalesce(F.sum("_count").over(ranges.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumns({"_before": before, "n": F.sum("_count").over(Window.partitionBy(*group)), "winner": F.first("_first").over(ranges)})
+    same = [F.col(f"r.{g}").eqNullSafe(F.col(f"c.{g}")) for g in group]
+    met = placed.alias("r").join(counts.alias("c"), [F.col("r._range") == F.col("c._range"), *same])
+    return met.select(*[F.col(f"r.{c}") for c in rows.columns], F.col("c.n"), (F.col("c._before") + F.col("r._at") - F.col("c._from") + 1).cast("int").alias("rank"), F.col("c.winner"))
+
+
 def provenance(contested: DataFrame, canonical: DataFrame, by: list[str]) -> DataFrame:
     """Accepted and rejected contributions of contested scalars, and the plain fields that nobody contests; canonical was merged with lead()."""
     mine, best = display_name(F.col("source_type")), display_name(F.col("winner.source_type"))

@@ -47,6 +47,16 @@ def confidence(canonical: DataFrame) -> DataFrame:
     return out.withColumn("overall_confidence", F.bround(total / len(fields), 4)).drop(*[f"_{x}_{f}" for f in _HAS for x in "nw"], "_files")
 
 
+def unscored(canonical: DataFrame) -> DataFrame:
+    """The columns of confidence() and quality() with nothing in them, for a run that goes on without scores."""
+    kinds = {
+        "field_confidences": "array<struct<field:string,confidence:double,source_count:bigint,sources_agreeing:bigint>>", "overall_confidence": "double",
+        "quality_score": "struct<overall_score:double,missing_fields:array<string>,suggestions:array<string>,field_completeness:map<string,boolean>>",
+    }
+    out = canonical.drop(*[f"_{x}_{f}" for f in _HAS for x in "nw"], "_files")
+    return out.withColumns({"field_confidences": F.array().cast(kinds["field_confidences"]), "overall_confidence": F.lit(0.0), "quality_score": F.lit(None).cast(kinds["quality_score"])})
+
+
 def backfill(rows: DataFrame, scored: DataFrame, by: list[str]) -> DataFrame:
     """Provenance rows with the confidence of the field of the same name, where accepted; else 0."""
     known = scored.select(*by, F.explode("field_confidences").alias("f")).select(*by, "f.field", F.col("f.confidence").alias("_conf"))

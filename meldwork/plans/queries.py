@@ -39,8 +39,8 @@ def _map(pairs: dict[str, str]) -> str:
 
 SKILL_RAW = ["js", "ReactJS", "graph theory", "K8s", "foo.bar", "3d", "python3", "Go"]
 COUNTRY_RAW = ["uk", "India", "U.K.", "zz", "England", "nowhere land", " usa ", "Germany"]
-ALIAS = {a: n for n, all_ in dims.SKILLS.items() for a in all_}
-COUNTRY = {a: c for c, all_ in dims.COUNTRIES.items() for a in all_}
+ALIAS = dims.SKILLS
+COUNTRY = dims.COUNTRIES
 _EMAILS = f"list_sort(list_distinct(regexp_extract_all(text, {_q(dims.EMAIL)})))"
 _PHONES = f"list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(text, {_q(dims.PHONE)}), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 7 AND 15), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13)))))"
 

@@ -185,8 +185,100 @@ def q_country_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_COUNTRY_NAMES = """
-SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'AR' WHEN 1 THEN 'MZ' WHEN 2 THEN 'MZ' WHEN 6 THEN 'KE' END AS country,
-       CASE p_partkey % 7 WHEN 0 THEN 'country_fuzzy_resolve' WHEN 1 THEN 'country_name_resolve' WHEN 2 THEN 'country_fuzzy_resolve' WHEN 6 THEN 'country_name_resolve' ELSE 'country_resolve_failed' END AS rules FROM part
+SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'AR' WHEN 1 THEN 'MZ' WHEN 2 THEN 'MZ' WHEN 4 THEN 'PE' WHEN 5 THEN 'VN' WHEN 6 THEN 'KE' END AS country,
+       CASE p_partkey % 7 WHEN 1 THEN 'country_name_resolve' WHEN 3 THEN 'country_resolve_failed' WHEN 6 THEN 'country_name_resolve' ELSE 'country_fuzzy_resolve' END AS rules FROM part
+"""
+
+
+def q_country_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Misspelt and shortened names of the nations, each customer's its own way, ranked against all 25 of the table."""
+    names = {r["n_name"].lower(): f"{r['n_nationkey']:02d}" for r in _table(spark, sf_dir, "nation").select("n_name", "n_nationkey").collect()}  # 25 rows
+    name, key = F.col("n_name"), F.col("c_custkey")
+    at = (key % (F.length(name) - 2) + 2).cast("int")
+    before, after = F.substring(name, F.lit(1), at - 1), F.substring(name, at + 1, F.length(name))
+    raw = F.when(key % 4 == 0, F.concat(before, after)).when(key % 4 == 1, F.concat(before, F.lit("x"), after)).when(key % 4 == 2, F.lower(F.substring(name, F.lit(1), 2 + (key % 3).cast("int")))).otherwise(F.concat(name, F.lit("q")))
+    rows = _table(spark, sf_dir, "customer").join(F.broadcast(_table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows
+    return rows.select("c_custkey", raw.alias("raw")).withColumn("code", normalize.fuzzy_country(F.col("raw"), names))
+
+
+SQL_COUNTRY_FUZZY = """
+WITH raw AS (
+  SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN substr(n_name, 1, p - 1) || substr(n_name, p + 1) WHEN 1 THEN substr(n_name, 1, p - 1) || 'x' || substr(n_name, p + 1) WHEN 2 THEN lower(substr(n_name, 1, 2 + c_custkey % 3)) ELSE n_name || 'q' END AS raw
+  FROM (SELECT c_custkey, n_name, c_custkey % (length(n_name) - 2) + 2 AS p FROM customer JOIN nation ON c_nationkey = n_nationkey)
+), ranked AS (
+  SELECT c_custkey, raw, printf('%02d', n_nationkey) AS code, instr(lower(n_name), lower(raw)) AS place, levenshtein(lower(n_name), lower(raw)) AS edits FROM raw, nation WHERE length(raw) >= 3
+)
+SELECT r.c_custkey, r.raw, coalesce(arg_min(code, [lpad(place::VARCHAR, 3, '0'), code]) FILTER (place > 0), arg_min(code, [lpad(edits::VARCHAR, 3, '0'), code]) FILTER (edits <= length(r.raw) // 4)) AS code
+FROM raw r LEFT JOIN ranked USING (c_custkey) GROUP BY r.c_custkey, r.raw
+"""
+
+MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+
+
+def q_date_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates of orders within other words: names and numbers of months, ordinals, day before month, years of two digits and missing ones."""
+    d = F.col("o_orderdate").cast("date")
+    day, month, year = F.dayofmonth(d), F.month(d), F.year(d)
+    name = F.element_at(F.array(*map(F.lit, MONTHS)), month)
+    def say(*parts: Column | str) -> Column:
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+    short = F.substring(F.lpad(year.cast("string"), 4, "0"), 3, 2)
+    raw = _arms(F.col("o_orderkey"), say("around the ", day, "th of ", name, ", ", year, " or so"), say(name, " the ", day, "rd"), say(year, ", in early ", F.upper(F.substring(name, 1, 3))), say("left ", day, "/", month, "/", year),
+                say("since ", F.substring(name, 1, 4), " \u2019", short), say(month, "-", day, "-", short), say("maybe in ", year), say("maybe ", day), say(F.lower(name), " only"))
+    out = _table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw"))
+    return out.withColumn("plain", normalize.date(F.col("raw"))["value"]).withColumn("with_year", normalize.date(F.col("raw"), year=2001)["value"])
+
+
+# The arms of q_date_fuzzy: 3 reads day/month as month/day where the day can be a month, as 5 does not.
+SQL_DATE_FUZZY = """
+WITH d AS (
+  SELECT o_orderkey, o_orderkey % 9 AS arm, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, ['January', 'February', 'March', 'April', 'May', 'June', 'July', 'August', 'September', 'October', 'November', 'December'][month(o_orderdate)] AS name FROM orders
+), said AS (
+  SELECT *, CASE arm WHEN 0 THEN format('around the {}th of {}, {} or so', d, name, y) WHEN 1 THEN format('{} the {}rd', name, d) WHEN 2 THEN format('{}, in early {}', y, upper(name[:3])) WHEN 3 THEN format('left {}/{}/{}', d, m, y)
+    WHEN 4 THEN format('since {} \u2019{:02d}', name[:4], y % 100) WHEN 5 THEN format('{}-{}-{:02d}', m, d, y % 100) WHEN 6 THEN format('maybe in {}', y) WHEN 7 THEN format('maybe {}', d) ELSE lower(name) || ' only' END AS raw FROM d
+)
+SELECT o_orderkey, raw, CASE WHEN arm IN (1, 7, 8) THEN NULL WHEN arm = 6 THEN format('{}-01', y) WHEN arm = 3 AND d <= 12 THEN format('{}-{:02d}', y, d) ELSE format('{}-{:02d}', y, m) END AS plain,
+       CASE WHEN arm IN (1, 8) THEN format('2001-{:02d}', m) WHEN arm = 7 THEN NULL WHEN arm = 6 THEN format('{}-01', y) WHEN arm = 3 AND d <= 12 THEN format('{}-{:02d}', y, d) ELSE format('{}-{:02d}', y, m) END AS with_year
+FROM said
+"""
+
+#: Calling code, least and most digits, first digits: some of the numbering plans, as the SQL has them too.
+PLANS = [("FR", "33", 9, 9, "123456789"), ("FI", "358", 6, 10, "123456789"), ("SG", "65", 8, 8, "3456789"), ("NO", "47", 8, 8, "23456789"), ("RU", "7", 10, 10, "3456789"), ("KE", "254", 9, 9, "123456789"), ("US", "1", 10, 10, "23456789"), ("PT", "351", 9, 9, "23456789")]
+
+
+def q_phone_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of eight numbering plans, of any length and beginning, abroad and at home in France."""
+    key = F.col("o_orderkey")
+    code = _arms(key, *[p[1] for p in PLANS])
+    digits = F.substring(F.concat(((key * 7919) % 10).cast("string"), F.lpad((key * 104729 % 10000000000).cast("string"), 10, "0")), F.lit(1), (5 + F.floor(key / 8) % 7).cast("int"))
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", code.alias("code"), digits.alias("digits"))
+    return rows.select("o_orderkey", normalize.phone(F.concat(F.lit("+"), "code", F.lit(" "), "digits"))["value"].alias("abroad"), normalize.phone(F.when(~F.col("digits").startswith("0"), F.concat(F.lit("0"), "digits")), "FR")["value"].alias("home"))
+
+
+SQL_PHONE_PLANS = """
+WITH n AS (
+  SELECT o_orderkey, (((o_orderkey * 7919) % 10)::VARCHAR || lpad((o_orderkey * 104729 % 10000000000)::VARCHAR, 10, '0'))[:5 + (o_orderkey // 8) % 7] AS digits, o_orderkey % 8 AS k FROM orders
+)
+SELECT o_orderkey, CASE WHEN length(digits) BETWEEN least AND most AND contains(firsts, digits[1]) THEN '+' || code || digits END AS abroad,
+       CASE WHEN digits[1] <> '0' AND length(digits) = 9 THEN '+33' || digits END AS home
+FROM n JOIN (VALUES """ + ", ".join(f"({i}, '{c}', {a}, {b}, '{f}')" for i, (_, c, a, b, f) in enumerate(PLANS)) + """) AS p(k, code, least, most, firsts) USING (k)
+"""
+
+
+def q_rank_by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and headlines of all customers and suppliers as candidates of one entity, ranked over ranges that tasks share."""
+    records = _two_sources(spark, sf_dir).withColumn("entity_id", F.lit(1))
+    out = merge.candidates(records, ["entity_id"], spread=True)
+    return out.select("field", "value", "source_file", "priority", "rank", "n", F.col("winner.value").alias("winner"))
+
+
+SQL_RANK_BY_RANGE = """
+WITH c AS (
+  SELECT 'full_name' AS field, s_name AS value, 's.csv' AS source_file, 2 AS priority, s_suppkey AS k FROM supplier
+  UNION ALL SELECT 'full_name', c_name, 'c.json', 3, c_custkey FROM customer UNION ALL SELECT 'headline', c_mktsegment, 'c.json', 3, c_custkey FROM customer
+)
+SELECT field, value, source_file, priority, row_number() OVER w AS rank, count(*) OVER (PARTITION BY field) AS n, first_value(value) OVER w AS winner FROM c WINDOW w AS (PARTITION BY field ORDER BY priority, k)
 """
 
 
@@ -339,19 +431,37 @@ def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chains of transformations a field: their number, the first rule and the last value."""
-    out = clean.chains(clean.rule_log(_prepared(spark, sf_dir), "entity_id"), "entity_id")
-    return out.select("entity_id", "field", "total", F.col("steps")[0]["rule"].alias("first_rule"), "final")
+    """Chains of transformations a field, conflicts of the merge included: their number, the first rule and the last value."""
+    records = _prepared(spark, sf_dir)
+    conflicts = merge.conflicts(merge.candidates(records, ["entity_id"]), ["entity_id"])
+    out = clean.chains(clean.rule_log(records, "entity_id"), "entity_id", conflicts=conflicts)
+    return out.select("entity_id", "field", "total", F.col("steps")[0]["rule"].alias("first_rule"), "final", F.element_at("steps", -1)["stage"].alias("last_stage"))
 
 
 SQL_CHAINS = """
-SELECT s_nationkey AS entity_id, 'emails' AS field, count(*) AS total, 'lowercase' AS first_rule, arg_max(lower(replace(s_name, '#', '.')) || '@x.io', s_suppkey) AS final FROM supplier GROUP BY s_nationkey
-UNION ALL SELECT s_nationkey, 'skills', 3 * count(*), 'skill_canonicalize', NULL FROM supplier GROUP BY s_nationkey
-UNION ALL SELECT s_nationkey, 'location.country', count(*), arg_min(CASE s_suppkey % 3 WHEN 0 THEN 'country_alias_resolve' ELSE 'country_resolve_failed' END, s_suppkey), arg_max(CASE s_suppkey % 3 WHEN 0 THEN 'IN' END, s_suppkey)
-FROM (SELECT * FROM supplier WHERE s_suppkey % 3 <> 1) GROUP BY s_nationkey
+WITH steps AS (
+  SELECT s_nationkey AS entity_id, 'emails' AS field, 1 AS stage, s_suppkey AS k, 0 AS step, 'lowercase' AS rule, lower(replace(s_name, '#', '.')) || '@x.io' AS after FROM supplier
+  UNION ALL SELECT s_nationkey, 'skills', 2, s_suppkey, x.step, x.rule, x.after FROM supplier, (VALUES (0, 'skill_canonicalize', 'JavaScript'), (1, 'skill_canonicalize', 'JavaScript'), (2, 'remove_duplicate_skill', NULL)) AS x(step, rule, after)
+  UNION ALL SELECT s_nationkey, 'location.country', 1, s_suppkey, 0, CASE s_suppkey % 3 WHEN 0 THEN 'country_alias_resolve' ELSE 'country_resolve_failed' END, CASE s_suppkey % 3 WHEN 0 THEN 'IN' END FROM supplier WHERE s_suppkey % 3 <> 1
+  UNION ALL SELECT s_nationkey, 'full_name', 3, 0, 0, 'priority_based_conflict_resolution', arg_min(s_name, s_suppkey) FROM supplier GROUP BY s_nationkey HAVING count(*) > 1
+  UNION ALL SELECT s_nationkey, 'location.country', 3, 0, 0, 'priority_based_conflict_resolution', arg_min(CASE s_suppkey % 3 WHEN 0 THEN 'IN' ELSE 'US' END, s_suppkey) FROM supplier WHERE s_suppkey % 3 < 2 GROUP BY s_nationkey HAVING count(*) > 1
+)
+SELECT entity_id, field, count(*) AS total, arg_min(rule, [stage, k, step]) AS first_rule, arg_max_null(after, [stage, k, step]) AS final,
+       CASE max(stage) WHEN 1 THEN 'normalization' WHEN 2 THEN 'canonicalization' ELSE 'conflict_resolution' END AS last_stage
+FROM steps GROUP BY entity_id, field
 """
 
 
+def q_chain_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same totals without gathering the steps."""
+    records = _prepared(spark, sf_dir)
+    conflicts = merge.conflicts(merge.candidates(records, ["entity_id"]), ["entity_id"])
+    return clean.chain_totals(clean.rule_log(records, "entity_id"), "entity_id", conflicts=conflicts)
+
+
+SQL_CHAIN_TOTALS = "SELECT entity_id, field, total, first_rule, final FROM (" + SQL_CHAINS + ")"
+
+
 def q_rule_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules found by a word of their description, with stage and number."""
     log = clean.rule_log(_prepared(spark, sf_dir), "entity_id")

@@ -1,17 +1,14 @@
 """Files to records: detection by extension and content, then one reader a source type.
 
-parse_files() reads the files table (run_id, file_seq, source_file, source_type, content) once; extract() makes
-records of its rows. A file or record that can't be read is a row of rejects, never a failed task; a record without
-a name is no record.
+parse_files() makes rows of the files table (run_id, file_seq, source_file, source_type, content, and path where a file is read by
+lines); extract() makes records of its rows. JSON and plain text are read in columns, CSV by lines, and only archives of
+documents in Python, a file at a time. A file or record that can't be read is a row of rejects; a record without a name is no record.
 """
 
 from __future__ import annotations
 
-import csv
 import importlib
 import io
-import json
-import re
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
@@ -23,18 +20,36 @@ from pyspark.sql import functions as F
 from meldwork.functions import dims, text
 from meldwork.functions.schema import RECORD, as_records, priority
 from meldwork.functions.text import WHITE, blank_to_null, non_empty, split_list
+from meldwork.sources import csv_rows
+from meldwork.sources.json_records import json_rows
 
 
 def read_files(spark: SparkSession, paths: str | list[str], run_id: str = "run") -> DataFrame:
     """The files under paths, in the order of their paths; a file name that comes again replaces the earlier one.
 
-    Names and order are settled on the paths alone; contents meet them by path. file_seq rises with the path
-    and isn't gapless.
+    Names and order are settled on the paths alone and sent to where contents are read, up to
+    csv_rows.MAX_BROADCAST_FILES of them, so no content is shuffled; beyond, contents meet them by path. file_seq rises with the
+    path. The content of a CSV file isn't read here: its read_by is lines.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    last = raw.select("path").withColumn("source_file", F.element_at(F.split("path", "/"), -1)).groupBy("source_file").agg(F.max("path").alias("path"))
-    order = last.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "path").sortWithinPartitions("path").withColumn("file_seq", F.monotonically_increasing_id())
-    return detect(raw.select("path", "content").join(order, "path").select(F.lit(run_id).alias("run_id"), "file_seq", "source_file", "content"))
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    by_lines = F.lower("_metadata.file_name").endswith(".csv")
+    name = F.element_at(F.split("path", "/"), -1)
+    last = scan.select(name.alias("source_file"), F.struct("path", F.col("_metadata.file_path").alias("place")).alias("p")).groupBy("source_file").agg(F.max("p").alias("p")).select("source_file", "p.path", "p.place")
+    few = is_few(spark, paths)
+    parts = 1 if few else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = last.repartitionByRange(parts, "path").sortWithinPartitions("path").withColumn("file_seq", F.monotonically_increasing_id())
+    order = order.select("source_file", "place", "file_seq") if few else order.select("source_file", "place", "file_seq").persist()
+    def part(of: Column, content: Column, by: str) -> DataFrame:
+        found = scan.filter(of).select(F.col("_metadata.file_path").alias("place"), "length", content.alias("content"))
+        return found.join(F.broadcast(order) if few else order, "place").select(F.lit(run_id).alias("run_id"), "file_seq", "source_file", "content", "length", F.col("place").alias("path"), F.lit(by).alias("read_by"))
+
+    return detect(part(~by_lines, F.col("content"), "content").unionByName(part(by_lines, F.lit(None).cast("binary"), "lines")))
+
+
+def is_few(spark: SparkSession, paths: str | list[str]) -> bool:
+    """Whether the files under paths are few enough for a row of each to go to every task."""
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    return scan.select("path").limit(csv_rows.MAX_BROADCAST_FILES + 1).count() <= csv_rows.MAX_BROADCAST_FILES
 
 
 def extension(name: Column) -> Column:
@@ -64,7 +79,7 @@ def mime_type(name: Column) -> Column:
 def detect(files: DataFrame) -> DataFrame:
     """files with source_type, mime_type, size and priority."""
     kind = source_type(F.col("source_file"), F.when(extension(F.col("source_file")) == ".json", F.col("content").cast("string")))
-    return files.withColumns({"source_type": kind, "mime_type": mime_type(F.col("source_file")), "size": F.octet_length("content").cast("long")}).withColumn("priority", priority(F.col("source_type")))
+    return files.withColumns({"source_type": kind, "mime_type": mime_type(F.col("source_file")), "size": (F.col("length") if "length" in files.columns else F.octet_length("content")).cast("long")}).drop("length").withColumn("priority", priority(F.col("source_type")))
 
 
 def unknown_files(files: DataFrame) -> DataFrame:
@@ -72,21 +87,7 @@ def unknown_files(files: DataFrame) -> DataFrame:
 
 
 KEYS = ["run_id", "source_file", "source_type", "file_seq"]
-#: What counts as missing in a CSV cell.
-NA = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
-
-
-def _csv_rows(content: bytes) -> list[dict]:
-    """The cells of every row by lower-cased header, as long as they may be."""
-    csv.field_size_limit(1 << 62)
-    try:
-        body = content.decode("utf-8-sig")
-    except UnicodeDecodeError:
-        body = content.decode("latin-1")
-    return [{"row_seq": i, "cells": {str(k).lower().strip(): None if v in NA else v for k, v in row.items() if k is not None}} for i, row in enumerate(csv.DictReader(io.StringIO(body, newline="")))]
-
-
-def _cells(rows: DataFrame) -> Callable[[str], Column]:
+def _cells() -> Callable[[str], Column]:
     def cell(name: str) -> Column:
         aliases = F.array(*map(F.lit, dims.CSV_ALIASES[name]))
         return F.try_element_at("cells", F.get(F.filter(aliases, lambda a: F.map_contains_key("cells", a)), F.lit(0)))
@@ -103,7 +104,7 @@ _ENDLESS = [float("inf"), float("-inf")]
 
 def csv_projection(rows: DataFrame) -> DataFrame:
     """Records from rows with `cells`, a map of lower-cased header to cell; the first alias that is a header decides."""
-    cell = _cells(rows)
+    cell = _cells()
     scalars = {n: blank_to_null(cell(n)) for n in ("full_name", "headline", "city", "region", "country", "linkedin", "github")}
     lists = {n: split_list(cell(n)) for n in ("emails", "phones", "skills")}
     company, headline = blank_to_null(cell("company")), blank_to_null(cell("headline"))
@@ -115,169 +116,94 @@ def csv_projection(rows: DataFrame) -> DataFrame:
     return as_records(step.withColumn("years_experience", F.col("y").try_cast("int")), "run_id")
 
 
+def _endless(cell: Callable[[str], Column]) -> Column:
+    return blank_to_null(cell("full_name")).isNotNull() & _number(cell("years_experience")).isin(_ENDLESS)
+
+
 def csv_rejects(rows: DataFrame) -> DataFrame:
     """Rows with a name whose years can't be a whole number."""
-    cell = _cells(rows)
-    bad = rows.filter(blank_to_null(cell("full_name")).isNotNull() & _number(cell("years_experience")).isin(_ENDLESS))
-    return bad.select("run_id", "source_file", F.concat(F.lit("row "), "row_seq", F.lit(": years of experience are infinite")).alias("error"))
-
+    cell = _cells()
+    return rows.filter(_endless(cell)).select("run_id", "source_file", F.concat(F.lit("row "), "row_seq", F.lit(": years of experience are infinite")).alias("error"))
 
-def _present(data: dict, aliases: list[str]) -> object:
-    """The value under the first alias that is a key, even if null; a+b joins the parts that are there."""
-    for alias in aliases:
-        if "+" in alias:
-            parts = [str(data[p]).strip() for p in alias.split("+") if data.get(p)]
-            if parts:
-                return " ".join(parts)
-        elif alias in data:
-            return data[alias]
-    return None
 
+_JSON_FIELDS = ["full_name", "headline", "city", "region", "country", "years_experience", "linkedin", "github", "portfolio", "emails", "phones", "skills", "experience", "education"]
 
-def _listed(value: object) -> list[str]:
-    if isinstance(value, str):
-        value = value.split(",")
-    out = []
-    for item in value if isinstance(value, list) else []:
-        if isinstance(item, dict):
-            item = next((str(item[k]) for k in ("name", "value", "skill", "skillName") if k in item), None)
-        if isinstance(item, str) and item.strip():
-            out.append(item.strip())
-    return out
 
+#: One row for every record, text or failure of a file; one of cells, text, error or the JSON fields is set, by `kind`.
+PARSED = {"reader": "string", "run_id": "string", "source_file": "string", "source_type": "string", "file_seq": "long", "row_seq": "long", "kind": "string", "cells": "map<string,string>", "text": "string", "error": "string"} | {f: RECORD[f] for f in _JSON_FIELDS}
 
-def _month(value: object) -> str | None:
-    """A date as it is, or year and month of an object, whatever they are; only a text is a date later on."""
-    if isinstance(value, dict):
-        return f"{value['year']}-{str(value.get('month', '')).zfill(2)}" if value.get("year") else None
-    return value if isinstance(value, str) else None
 
+def _as_parsed(rows: DataFrame, reader: str) -> DataFrame:
+    """rows with all PARSED columns. The reader is a constant of its rows, so what asks for one leaves the others out of its plan."""
+    rows = rows.withColumn("reader", F.lit(reader))
+    return rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(k).alias(c) for c, k in PARSED.items()])
 
-def _either(item: dict, *names: str) -> object:
-    return next((item[n] for n in names if item.get(n)), None)
 
+def _in_python(files: DataFrame, kinds: list[str], rows: Callable[[str, bytes], Iterator[dict]]) -> DataFrame:
+    """PARSED rows of the files of some kinds, read a file at a time; what a file raises is its error, behind the rows that came before it."""
 
-def _text(value: object) -> str | None:
-    return None if value is None else str(value)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                own, out = {k: getattr(r, k) for k in KEYS}, []
+                try:
+                    for row in rows(r.source_type, bytes(r.content)):
+                        out.append({"row_seq": 0} | row | own)
+                        if len(out) == 1000:
+                            yield _frame(out)
+                            out = []
+                except Exception as e:  # noqa: BLE001  whatever a file holds, it is a reject
+                    out.append(own | {"row_seq": 0, "kind": "error", "error": f"{type(e).__name__}: {e}".encode("utf-8", "replace").decode()})
+                yield _frame(out)
 
+    only = files.filter(F.col("source_type").isin(kinds) & F.col("content").isNotNull()).select(*KEYS, "content")
+    return _as_parsed(only.mapInPandas(run, ", ".join(f"{k} {PARSED[k]}" for k in _PYTHON)), "csv" if kinds == ["recruiter_csv"] else "document")
 
-def _items(value: object) -> list[dict]:
-    return [x for x in (value if isinstance(value, list) else [value]) if isinstance(x, dict)]
 
+_PYTHON = [*KEYS, "row_seq", "kind", "cells", "text", "error"]
 
-def _experience(value: object) -> list[dict]:
-    found = []
-    for item in _items(value):
-        entry = {
-            "company": _text(_either(item, "company", "companyName", "organization")), "title": _text(_either(item, "title", "position", "role", "jobTitle")),
-            "start": _month(_either(item, "start", "startDate", "start_date")), "end": _month(_either(item, "end", "endDate", "end_date")),
-            "summary": _text(_either(item, "summary", "description")),
-        }
-        if entry["company"] or entry["title"]:
-            found.append(entry)
-    return found
 
+def _frame(rows: list[dict]) -> pd.DataFrame:
+    return pd.DataFrame([tuple(map(r.get, _PYTHON)) for r in rows], columns=_PYTHON, dtype=object)
 
-def _education(value: object) -> list[dict]:
-    found = []
-    for item in _items(value):
-        year = _either(item, "end_year", "endYear", "graduation_year")
-        year = year.get("year") if isinstance(year, dict) else year
-        entry = {"institution": _text(_either(item, "institution", "school", "schoolName", "university")), "degree": _text(_either(item, "degree", "degreeName")), "field": _text(_either(item, "field", "fieldOfStudy", "major", "specialization")), "end_year": _whole(year, int)}
-        if entry["institution"] or entry["degree"]:
-            found.append(entry)
-    return found
 
+def _csv(source_type: str, content: bytes) -> Iterator[dict]:
+    for row in csv_rows.whole_rows(content):
+        yield row | {"kind": "csv"}
 
-def _whole(value: object, read: Callable[[object], float] = float) -> int | None:
-    """A whole number, or None for what isn't one; infinity, or one beyond 32 bits, raises OverflowError."""
-    try:
-        number = None if value is None else int(read(value))
-    except (TypeError, ValueError):
-        return None
-    if number is not None and not -(1 << 31) <= number < 1 << 31:
-        raise OverflowError("a number is too large")
-    return number
-
-
-def json_record(data: dict, linkedin: bool) -> dict | None:
-    """One record of a JSON object, None where it has no name. A scalar of the wrong type raises TypeError."""
-    aliases = dims.LINKEDIN_ALIASES if linkedin else dims.ATS_ALIASES
-    got = {k: _present(data, v) for k, v in aliases.items()}
-    if not got["full_name"]:
-        return None
-    place = got["location"] if linkedin else got["city"]
-    if linkedin:
-        inside = isinstance(place, dict)
-        city, region, country = (_either(place, "name", "city") if inside else place if isinstance(place, str) else None), None, _either(place, "country", "countryCode") if inside else None
-    else:
-        place = place.get("city") if isinstance(place, dict) else place
-        city, region, country = (x if isinstance(x, str) else None for x in (place, got["region"], got["country"]))
-    scalars = {k: got.get(k) for k in ("headline", "linkedin", "github", "portfolio")} | {"city": city, "region": region, "country": country}
-    for k, v in scalars.items():
-        if v is not None and not isinstance(v, str):
-            raise TypeError(f"{k} isn't a text")
-    return scalars | {
-        "full_name": str(got["full_name"]).strip(), "years_experience": None if linkedin else _whole(got["years_experience"]), "emails": _listed(got["emails"]), "phones": _listed(got.get("phones")),
-        "skills": _listed(got["skills"]), "experience": _experience(got["experience"]), "education": _education(got["education"]),
-    }
 
+def _text_rows(files: DataFrame) -> DataFrame:
+    """A note is UTF-8, or else Latin-1."""
+    body = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1"))
+    return _as_parsed(files.filter("source_type = 'recruiter_notes'").select(*KEYS, F.lit(0).alias("row_seq"), F.lit("note").alias("kind"), body.alias("text")), "note")
 
-_JSON_FIELDS = ["full_name", "headline", "city", "region", "country", "years_experience", "linkedin", "github", "portfolio", "emails", "phones", "skills", "experience", "education"]
 
+def _by_lines(files: DataFrame, paths: str | list[str]) -> DataFrame:
+    """PARSED rows of the CSV files that read_files() has not read: by lines, or whole where a cell spans lines."""
+    spark = files.sparkSession
+    listed = files.filter("read_by = 'lines'").select(*KEYS, "path")
+    few = is_few(spark, paths)
+    lines = csv_rows.text_lines(spark, paths)
+    found = csv_rows.survey(lines)
+    rows = csv_rows.csv_lines(lines, found, few).join(F.broadcast(listed) if few else listed, "path").withColumn("kind", F.lit("csv"))
+    spanned = [r["path"] for r in found.filter("spans").select("path").collect()]  # names of files, all of which the driver has listed already
+    if not spanned:
+        return _as_parsed(rows, "csv")
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).filter(F.col("_metadata.file_path").isin(spanned)).select(F.col("_metadata.file_path").alias("path"), "content")
+    return _as_parsed(rows, "csv").unionByName(_in_python(whole.join(F.broadcast(listed) if few else listed, "path"), ["recruiter_csv"], _csv))
 
-def _json_rows(content: bytes, linkedin: bool) -> list[dict]:
-    """A row for every record and for every one that can't be read; a list, a single object or, in the plain dialect, an object that wraps a list."""
-    data = json.loads(content.decode())
-    if isinstance(data, dict):
-        data = [data] if linkedin else next((data[k] for k in dims.WRAPPER_KEYS if isinstance(data.get(k), list)), [data])
-    out = []
-    for i, item in enumerate(data if isinstance(data, list) else []):
-        if isinstance(item, dict):
-            try:
-                got = json_record(item, linkedin)
-            except (TypeError, ValueError, OverflowError, RecursionError) as e:
-                out.append({"row_seq": i, "error": f"record {i}: {e}"})
-                continue
-            if got:
-                out.append(got | {"row_seq": i})
-    return out
 
+def parse_files(files: DataFrame, pdf: Callable[[bytes], str] | None = None, paths: str | list[str] | None = None) -> DataFrame:
+    """PARSED rows of all files of known type. `pdf` turns a PDF's bytes into text, by default pdf_text; `paths` are those that read_files() was given."""
 
-#: One row for every record, text or failure of a file; one of cells, text, error or the JSON fields is set, by `kind`.
-PARSED = {"run_id": "string", "source_file": "string", "source_type": "string", "file_seq": "long", "row_seq": "long", "kind": "string", "cells": "map<string,string>", "text": "string", "error": "string"} | {f: RECORD[f] for f in _JSON_FIELDS}
-
-
-def parse_files(files: DataFrame, pdf: Callable[[bytes], str] | None = None) -> DataFrame:
-    """PARSED rows of all files of known type, each read once. `pdf` turns a PDF's bytes into text; by default pdf_text."""
-
-    def rows(source_type: str, content: bytes) -> list[dict]:
-        if source_type == "recruiter_csv":
-            return [x | {"kind": "csv"} for x in _csv_rows(content)]
-        if source_type in ("ats_json", "linkedin_json"):
-            return [{"kind": "json"} | x for x in _json_rows(content, source_type == "linkedin_json")]
-        if source_type == "recruiter_notes":
-            try:
-                return [{"kind": "note", "text": content.decode()}]
-            except UnicodeDecodeError:
-                return [{"kind": "note", "text": content.decode("latin-1")}]
+    def document(source_type: str, content: bytes) -> Iterator[dict]:
         body = ((pdf or pdf_text) if source_type == "resume_pdf" else docx_text)(content)
-        return [{"kind": "document", "text": body} if body.strip() else {"error": "no extractable text"}]
+        body.encode()  # half a character is an error of this file
+        yield {"kind": "document", "text": body} if body.strip() else {"kind": "error", "error": "no extractable text"}
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for r in frame.itertuples(index=False):
-                own = {k: getattr(r, k) for k in KEYS}
-                try:
-                    found = rows(r.source_type, bytes(r.content))
-                except Exception as e:  # noqa: BLE001  whatever a file holds, it is a reject
-                    found = [{"error": f"{type(e).__name__}: {e}"}]
-                out += [{"row_seq": 0} | x | own | ({"kind": "error"} if x.get("error") else {}) for x in found]
-            yield pd.DataFrame([tuple(map(x.get, PARSED)) for x in out], columns=list(PARSED), dtype=object).astype({"years_experience": "Int64"})
-
-    only = files.filter("source_type <> 'unknown'").select(*KEYS, "content")
-    return only.mapInPandas(run, ", ".join(f"{k} {v}" for k, v in PARSED.items()))
+    json_files = files.filter(F.col("source_type").isin("ats_json", "linkedin_json")).select(*KEYS, "content")
+    out = _as_parsed(json_rows(json_files, *KEYS), "json").unionByName(_text_rows(files)).unionByName(_in_python(files, ["resume_pdf", "resume_docx"], document)).unionByName(_in_python(files, ["recruiter_csv"], _csv))
+    return out.unionByName(_by_lines(files, paths)) if paths is not None else out
 
 
 def document_record(rows: DataFrame, keep: int = 5000) -> DataFrame:
@@ -335,12 +261,18 @@ def pdf_text(content: bytes) -> str:
 def extract(parsed: DataFrame) -> DataFrame:
     """Records of all PARSED rows."""
     def of(kind: str) -> DataFrame:
-        return parsed.filter(F.col("kind") == kind)
+        return parsed.filter((F.col("reader") == kind) & (F.col("kind") == kind))
+
+    return csv_projection(of("csv").select(*KEYS, "row_seq", "cells")).unionByName(as_records(of("json").drop("reader", "cells", "text", "error"), "run_id")).unionByName(document_record(of("document").select(*KEYS, "text"))).unionByName(notes_records(of("note").select(*KEYS, "text")))
+
 
-    return csv_projection(of("csv").select(*KEYS, "row_seq", "cells")).unionByName(as_records(of("json").drop("cells", "text", "error"), "run_id")).unionByName(document_record(of("document").select(*KEYS, "text"))).unionByName(notes_records(of("note").select(*KEYS, "text")))
+def is_reject() -> Column:
+    """Whether a PARSED row gives no record for a reason that rejects() tells."""
+    cell = _cells()
+    return (F.col("kind") == "error") | ((F.col("kind") == "csv") & F.coalesce(_endless(cell), F.lit(False)))
 
 
 def rejects(files: DataFrame, parsed: DataFrame) -> DataFrame:
     """(run_id, source_file, error): files and records that gave nothing, and why."""
     failed = parsed.filter("kind = 'error'").select("run_id", "source_file", "error")
-    return failed.unionByName(csv_rejects(parsed.filter("kind = 'csv'"))).unionByName(unknown_files(files).withColumnRenamed("warning", "error"))
+    return failed.unionByName(csv_rejects(parsed.filter("reader = 'csv' AND kind = 'csv'"))).unionByName(unknown_files(files).withColumnRenamed("warning", "error"))
