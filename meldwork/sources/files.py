@@ -143,23 +143,26 @@ def _in_python(files: DataFrame, kinds: list[str], rows: Callable[[str, bytes],
     """PARSED rows of the files of some kinds, read a file at a time; what a file raises is its error, behind the rows that came before it."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[dict] = []
         for frame in frames:
             for r in frame.itertuples(index=False):
-                own, out = {k: getattr(r, k) for k in KEYS}, []
+                own = {k: getattr(r, k) for k in KEYS}
                 try:
                     for row in rows(r.source_type, bytes(r.content)):
                         out.append({"row_seq": 0} | row | own)
-                        if len(out) == 1000:
+                        if len(out) == BATCH_ROWS:
                             yield _frame(out)
                             out = []
                 except Exception as e:  # noqa: BLE001  whatever a file holds, it is a reject
                     out.append(own | {"row_seq": 0, "kind": "error", "error": f"{type(e).__name__}: {e}".encode("utf-8", "replace").decode()})
-                yield _frame(out)
+        yield _frame(out)
 
     only = files.filter(F.col("source_type").isin(kinds) & F.col("content").isNotNull()).select(*KEYS, "content")
     return _as_parsed(only.mapInPandas(run, ", ".join(f"{k} {PARSED[k]}" for k in _PYTHON)), "csv" if kinds == ["recruiter_csv"] else "document")
 
 
+#: Rows that a task gathers before it sends them on.
+BATCH_ROWS = 1000
 _PYTHON = [*KEYS, "row_seq", "kind", "cells", "text", "error"]
 
 
