@@ -8,7 +8,10 @@ the anchors with their word positions, to find passages that two texts share.
 
 The next document's text comes by a window over ranges of the id, cut at quantiles; the first row of
 each range is added to the range before it, so every row meets its successor with one shuffle of the
-texts.
+texts and their anchors.
+
+The k-mer's length sets the size: two of k - s + 1 k-mers are anchors. The query takes k = 20 and s = 2, about one anchor in ten words, a
+fingerprint of under a third of the text; a passage that two texts share must have 20 words to give one.
 
 Defined cases: null text is empty; a text with at least one word but no syncmer (always with fewer than k
 words, by chance with k or k + 1) has one anchor, all its words; without words the fingerprint is empty, and two empty ones have likeness 1; equal ids
@@ -53,11 +56,6 @@ def anchors(text: Column, k: int = 5, s: int = 2) -> Column:
     return let(word_hashes, of)
 
 
-def anchor_set(text: Column) -> Column:
-    """All different anchors of the text."""
-    return F.array_distinct(F.array_compact(anchors(text)))
-
-
 def likeness(a: Column, b: Column) -> Column:
     """The Jaccard similarity of two whole anchor sets; 1 of two empty ones."""
     both = F.size(F.array_intersect(a, b))
@@ -84,29 +82,29 @@ def _ranges(ids: DataFrame, id_col: str, parts: int) -> tuple[Column, int]:
     return (F.when(F.col(id_col).isNull(), len(cuts)).otherwise(number) if cuts else F.lit(0)), len(cuts) + 1
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, s: int = 2) -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     number, _ = _ranges(rows, "id", 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.withColumn("range", number)
+    # A text's anchors are taken once, before the exchange, and go to its predecessor with it: a fraction of the text's size.
+    rows = rows.withColumns({"range": number, "anchors": F.array_compact(anchors(F.col("text"), k, s))})
     tops = rows.groupBy("range").agg(F.max("id").alias("top"))  # one row a range
     first = rows.join(F.broadcast(tops.withColumnRenamed("range", "_r")), (F.col("range") == F.col("_r")) & F.col("id").eqNullSafe(F.col("top")))
-    first = first.groupBy("range").agg(F.max(F.struct("id", "text")).alias("first"))
+    first = first.groupBy("range").agg(F.max(F.struct("id", "text", "anchors")).alias("first"))
     order = sorted(r[0] for r in tops.select("range").collect())
     before = spark.createDataFrame(list(zip(order, [order[-1], *order[:-1]], strict=True)) if order else [], "range int, before int")
-    follow = first.join(F.broadcast(before), "range").select("first.id", "first.text", F.col("before").alias("range"), F.lit(1).alias("extra"))
+    follow = first.join(F.broadcast(before), "range").select("first.id", "first.text", F.col("before").alias("range"), "first.anchors", F.lit(1).alias("extra"))
     # A range's extra row closes it, also where its id is above theirs: after the last comes the first.
     both = rows.withColumn("extra", F.lit(0)).unionByName(follow)
     ahead = Window.partitionBy("range").orderBy("extra", F.desc_nulls_last("id"), F.desc("text"))
-    both = both.withColumn("next", F.lead(F.struct("text")).over(ahead)).filter("extra = 0")
+    both = both.withColumn("next", F.lead(F.struct("text", "anchors")).over(ahead)).filter("extra = 0")
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half))
-    # The sets are taken after the exchange: a text's own and its successor's, rather than carrying them beside the texts.
-    out = both.select("id", n.cast("long").alias("n_chars"), "text", F.col("next.text").alias("after"), edited.alias("edited"))
-    out = out.withColumns({"own_anchors": F.array_compact(anchors(F.col("text"))), "next_set": anchor_set(F.col("after")), "edited_anchors": F.array_compact(anchors(F.col("edited"))), "edited_sha256": F.sha2("edited", 256)})
-    out = out.withColumns({"own_set": F.array_distinct("own_anchors"), "edited_set": F.array_distinct("edited_anchors")})
+    out = both.select("id", n.cast("long").alias("n_chars"), F.col("anchors").alias("own_anchors"), F.col("next.anchors").alias("next_anchors"), edited.alias("edited"))
+    out = out.withColumns({"edited_anchors": F.array_compact(anchors(F.col("edited"), k, s)), "edited_sha256": F.sha2("edited", 256), "own_set": F.array_distinct("own_anchors"), "next_set": F.array_distinct("next_anchors")})
+    out = out.withColumn("edited_set", F.array_distinct("edited_anchors"))
     return out.select(
         "id", "n_chars", "edited_sha256", printed(F.col("own_anchors")).alias("fingerprint"), printed(F.col("edited_anchors")).alias("edited_fingerprint"),
         likeness(F.col("own_set"), F.col("edited_set")).alias("near_edited"), likeness(F.col("own_set"), F.col("next_set")).alias("near_next"),
@@ -115,4 +113,4 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document."""
-    return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("id", "doc_id")
+    return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=20).withColumnRenamed("id", "doc_id")

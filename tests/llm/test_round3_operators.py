@@ -13,7 +13,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from meldwork.llm import periods, secret_scan, whitening
+from meldwork.llm import fingerprints, periods, secret_scan, whitening
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -287,3 +287,13 @@ def test_whole_embeddings(spark):
     got = whitening.op12_embedding_whitening(spark, SF).collect()
     assert len(got) == 16 * len(rows)
     assert max(r["identity_error"] for r in got) < 1e-9
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test data")
+def test_op10_fingerprints_are_smaller_than_their_texts(spark):
+    got = fingerprints.op10_fingerprints(spark, SF).collect()
+    text = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    assert len(got) == len(text)
+    long = [r for r in got if len(text[r["doc_id"]].split()) > 200]
+    assert sum(len(r["fingerprint"]) for r in long) < sum(len(text[r["doc_id"]]) for r in long) / 3
+    assert sum(r["near_edited"] > r["near_next"] for r in long) > 0.95 * len(long)
