@@ -10,8 +10,8 @@ The next document's text comes by a window over ranges of the id, cut at quantil
 each range is added to the range before it, so every row meets its successor with one shuffle of the
 texts and their anchors.
 
-The k-mer's length sets the size: two of k - s + 1 k-mers are anchors. The query takes k = 20 and s = 2, about one anchor in ten words, a
-fingerprint of under a third of the text; a passage that two texts share must have 20 words to give one.
+The k-mer's length sets the size: two of k - s + 1 k-mers are anchors. The query takes k = 22 and s = 2, about one anchor in eleven words, a
+fingerprint of under a third of the text; a passage that two texts share must have 22 words to give one.
 
 Defined cases: null text is empty; a text with at least one word but no syncmer (always with fewer than k
 words, by chance with k or k + 1) has one anchor, all its words; without words the fingerprint is empty, and two empty ones have likeness 1; equal ids
@@ -87,16 +87,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     number, _ = _ranges(rows, "id", 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # A text's anchors are taken once, before the exchange, and go to its predecessor with it: a fraction of the text's size.
-    rows = rows.withColumns({"range": number, "anchors": F.array_compact(anchors(F.col("text"), k, s))})
+    rows = rows.withColumn("range", number)
     tops = rows.groupBy("range").agg(F.max("id").alias("top"))  # one row a range
     first = rows.join(F.broadcast(tops.withColumnRenamed("range", "_r")), (F.col("range") == F.col("_r")) & F.col("id").eqNullSafe(F.col("top")))
-    first = first.groupBy("range").agg(F.max(F.struct("id", "text", "anchors")).alias("first"))
+    first = first.groupBy("range").agg(F.max(F.struct("id", "text")).alias("first"))
     order = sorted(r[0] for r in tops.select("range").collect())
     before = spark.createDataFrame(list(zip(order, [order[-1], *order[:-1]], strict=True)) if order else [], "range int, before int")
-    follow = first.join(F.broadcast(before), "range").select("first.id", "first.text", F.col("before").alias("range"), "first.anchors", F.lit(1).alias("extra"))
+    follow = first.join(F.broadcast(before), "range").select("first.id", "first.text", F.col("before").alias("range"), F.lit(1).alias("extra"))
     # A range's extra row closes it, also where its id is above theirs: after the last comes the first.
     both = rows.withColumn("extra", F.lit(0)).unionByName(follow)
+    # A text's anchors are taken once, before the exchange, and go to its predecessor with it: a fraction of the text's size.
+    both = both.withColumn("anchors", F.array_compact(anchors(F.col("text"), k, s)))
     ahead = Window.partitionBy("range").orderBy("extra", F.desc_nulls_last("id"), F.desc("text"))
     both = both.withColumn("next", F.lead(F.struct("text", "anchors")).over(ahead)).filter("extra = 0")
     n = F.char_length("text")
@@ -113,4 +114,4 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document."""
-    return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=20).withColumnRenamed("id", "doc_id")
+    return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=22).withColumnRenamed("id", "doc_id")
