@@ -19,9 +19,14 @@ def folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: What this process has written and not deleted.
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, str, dict]:
     """df written and read back, where it lies, and the metrics, which are taken while it is written."""
     spark, path, seen = df.sparkSession, f"{folder(df.sparkSession)}/{re.sub('[^a-z]+', '-', name.lower())}-{uuid.uuid4().hex}", Observation(name)
+    _WRITTEN.append(path)
     (df.observe(seen, *[c.alias(k) for k, c in metrics.items()]) if metrics else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path, seen.get if metrics else {}
 
@@ -29,3 +34,11 @@ def written(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, str
 def delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
+
+
+def purge(spark: SparkSession) -> None:
+    """Delete every table that this process has written for itself. Call it when the results that rest on them are written."""
+    for path in list(_WRITTEN):
+        delete(spark, path)

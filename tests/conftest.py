@@ -18,4 +18,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from meldwork.sources import scratch
+
+    scratch.purge(session)
     session.stop()

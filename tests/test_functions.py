@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from meldwork.functions import normalize, text
+from meldwork.functions import dims, normalize, text
+from meldwork.operators import clean
 
 
 def values(spark, inputs, fn):
@@ -76,3 +77,46 @@ def test_sections_and_blocks(spark):
     assert [(f["title"], f["company"], f["start"], f["end"], f["summary"]) for f in found] == [("Dev", "Acme", "Jan 2019", "Feb 2020", "Jan 2019 - Feb 2020 Did things")]
     found = values(spark, [resume], lambda c: F.transform(text.blocks(text.section(c, "education")), lambda b: text.education_block(b)))[0]
     assert (found[0]["institution"], found[0]["end_year"]) == ("MIT", 20)
+
+
+def test_numbers_of_all_plans(spark):
+    inputs, want = [], []
+    for code, least, most, begin in dims.PHONE_RULES.values():
+        for n in (least - 1, least, most, most + 1):
+            digits = begin[-1] + "0123456789012345"[: n - 1]
+            inputs.append(f"+{code} {digits}")
+            want.append(f"+{code}{digits}" if least <= n <= most else None)
+        if begin[0] > "0":
+            inputs.append(f"00{code}{int(begin[0]) - 1}" + "0" * (least - 1))
+            want.append(None)
+    assert len(dims.PHONE_RULES) >= 30
+    assert [g["value"] for g in values(spark, inputs, normalize.phone)] == want
+
+
+def test_the_longest_calling_code_decides(spark):
+    raw = ["+3581234567", "+35 1234567", "+99912345678", "+999123", "+7 912 345 67 89", "+7 212 345 67 89"]
+    assert [g["value"] for g in values(spark, raw, normalize.phone)] == ["+3581234567", None, "+99912345678", None, "+79123456789", None]
+    assert values(spark, ["01 23 45 67 89"], lambda c: normalize.phone(c, "FR"))[0]["value"] == "+33123456789"
+    described = spark.sql("SELECT '+3581234567' AS a").select(clean.described(F.lit("convert_to_e164"), F.col("a"), F.col("a"))).first()[0]
+    assert described.endswith("(detected country: FI)")
+
+
+@pytest.mark.parametrize(
+    ("raw", "plain", "with_year"),
+    [
+        ("the 3rd of March 2019, or so", "2019-03", "2019-03"), ("March the 3rd", None, "2001-03"), ("3 mar '19", "2019-03", "2019-03"), ("Sept ’98", "1998-09", "1998-09"), ("31/12/2019", "2019-12", "2019-12"), ("x 05/06/2019", "2019-05", "2019-05"),
+        ("12-31-99", "1999-12", "1999-12"), ("in 2019", "2019-01", "2019-01"), ("maybe 2019", "2019-01", "2019-01"), ("maybe", None, None), ("mayor 12", None, None), ("5 juneau", None, None), ("13/13/2019", "2019-01", "2019-01"), ("", None, None),
+    ],
+)
+def test_dates_within_words(spark, raw, plain, with_year):
+    assert values(spark, [raw], normalize.date)[0]["value"] == plain
+    assert values(spark, [raw], lambda c: normalize.date(c, year=2001))[0]["value"] == with_year
+
+
+def test_countries_by_likeness(spark):
+    names = normalize.iso_countries(spark)
+    raw = ["Perú", "argentna", "Norwai", "Phillipines", "viet", "ger", "united", "xq", "qqqqqq", "Côte d'Ivoire", ""]
+    got = [g["value"] for g in values(spark, raw, lambda c: normalize.country(c, names))]
+    assert got[:6] == ["PE", "AR", "NO", "PH", "VN", "DE"]
+    assert got[6] == "AE"  # of names that begin with it, the first code
+    assert got[7:] == ["XQ", None, "CI", None]

@@ -171,3 +171,26 @@ def test_chains_end_with_the_conflicts(spark):
     assert [s["stage"] for s in got["location.country"]["steps"]] == ["normalization", "normalization"]
     totals = {r["field"]: (r["total"], r["final"]) for r in clean.chain_totals(out["rule_log"], "run_id", conflicts=out["conflicts"]).collect()}
     assert totals == {k: (r["total"], r["final"]) for k, r in got.items()}
+
+
+def test_ranks_over_ranges_equal_the_window(spark):
+    rnd = random.Random(6)
+    rows = [(rnd.choice([None, "a", "b"]) if i % 3 else "hot", rnd.choice("fg"), (rnd.randint(1, 3), i), f"v{i}") for i in range(900)]
+    frame = spark.createDataFrame(rows, "entity string, field string, o struct<p:int,i:int>, value string").repartition(5)
+    head = F.struct("value", "o.p")
+    got = merge.ranked_by_range(frame, ["entity", "field"], "o", head, parts=9)
+    want = merge.ranked_by_window(frame, ["entity", "field"], "o", head)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    placed = [p for p in got.inputFiles() if "ranges" in p]
+    assert len(placed) >= 8
+    one = spark.read.parquet(*placed).filter("entity = 'hot' AND field = 'f'").select("_range").distinct().count()
+    assert one >= 2
+    assert merge.ranked_by_range(frame.limit(0), ["entity", "field"], "o", head).count() == 0
+
+
+def test_an_engine_that_spreads_gives_the_same(spark):
+    rows = [("r", f"f{i % 3}.csv", "recruiter_csv" if i % 2 else "ats_json", i % 3, i, f"Ann {i % 5}", None if i % 4 else "h") for i in range(60)]
+    records = schema.as_records(spark.createDataFrame(rows, "run_id string, source_file string, source_type string, file_seq long, row_seq long, full_name string, headline string"), "run_id")
+    one, two = (Engine(spark, countries={}, spread=n).consolidate(records) for n in (10, 1000))
+    for table in ("candidates", "conflicts", "field_provenance", "canonical", "output"):
+        assert sorted(map(str, one[table].collect())) == sorted(map(str, two[table].collect()))
