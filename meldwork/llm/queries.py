@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from meldwork.llm.common import purge
 from meldwork.llm.decontaminate import op4_decontamination
 from meldwork.llm.fingerprints import op10_fingerprints
 from meldwork.llm.html_main import op7_html_extraction
@@ -16,6 +17,8 @@ from meldwork.llm.secret_scan import op13_secret_scan
 from meldwork.llm.sharding import op2_sharding
 from meldwork.llm.whitening import op12_embedding_whitening
 
+__all__ = ["ORACLES", "QUERIES", "purge"]
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_sharding": op2_sharding,
