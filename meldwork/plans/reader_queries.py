@@ -47,7 +47,7 @@ def _ats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_json_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of the plain JSON dialect: aliases by presence, lists, places, years, experience and education."""
     x, e = F.col("experience"), F.col("education")
-    return files.extract(files.parse_files(_ats(spark, sf_dir))).select(
+    return files.records(_ats(spark, sf_dir)).select(
         F.col("file_seq").alias("c_custkey"), "row_seq", "full_name", _joined("emails").alias("emails"), _joined("phones").alias("phones"), _joined("skills").alias("skills"), "headline", "years_experience", F.concat_ws("/", "city", "region", "country").alias("place"),
         F.concat_ws("/", "linkedin", "github", "portfolio").alias("links"),
         _joined(F.transform(x, lambda v: F.concat_ws("/", v["company"], v["title"], v["start"], v["end"], v["summary"]))).alias("experience"),
@@ -70,7 +70,7 @@ FROM customer JOIN (VALUES
 
 def q_json_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files and records that can't be read, with the first word of the reason."""
-    bad = files.parse_files(_ats(spark, sf_dir)).filter("kind = 'error'")
+    bad = files.readers(_ats(spark, sf_dir))["json"].filter("kind = 'error'")
     return bad.select(F.col("file_seq").alias("c_custkey"), "row_seq", F.split("error", ":")[0].alias("reason"))
 
 
@@ -92,7 +92,7 @@ def q_json_linkedin(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.replace(_arms(key, *LINKEDIN), F.lit("@N"), F.col("s_name"))
     rows = _table(spark, sf_dir, "supplier").select(F.lit("r").alias(RUN), F.lit("f").alias("source_file"), F.lit("linkedin_json").alias("source_type"), key.alias("file_seq"), F.encode(body, "UTF-8").alias("content"))
     x, e = F.col("experience"), F.col("education")
-    return files.extract(files.parse_files(rows)).select(
+    return files.records(rows).select(
         F.col("file_seq").alias("s_suppkey"), "full_name", "headline", "city", "country", _joined("emails").alias("emails"), _joined("skills").alias("skills"), "linkedin",
         _joined(F.transform(x, lambda v: F.concat_ws("/", v["company"], v["title"], v["start"]))).alias("experience"), _joined(F.transform(e, lambda v: F.concat_ws("/", v["institution"], v["degree"], v["field"]))).alias("education"))
 
@@ -109,9 +109,8 @@ def q_csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole CSV files with quotes, missing cells and odd years: records and the reason of rejected rows."""
     body = F.concat(F.lit('Name, EMAIL ,title,company,yoe,skills\n'), F.lit('"'), "p_name", F.lit('","a@b.c, d@e.f",Dev,'), "p_brand", F.lit(',3.7,"x,,y"\n,skip@me.io,,,,\n'), "p_brand", F.lit(",NA,,,inf,\n"), "p_type", F.lit(",,,,many,\n"))
     rows = _table(spark, sf_dir, "part").select(F.lit("r").alias(RUN), F.lit("f").alias("source_file"), F.lit("recruiter_csv").alias("source_type"), F.col("p_partkey").alias("file_seq"), F.encode(body, "UTF-8").alias("content"))
-    parsed = files.parse_files(rows)
-    good = files.extract(parsed).select(F.col("file_seq").alias("p_partkey"), "row_seq", "full_name", _joined("emails").alias("emails"), _joined("skills").alias("skills"), "years_experience", _joined(F.transform("experience", lambda v: F.concat_ws("/", v["title"], v["company"]))).alias("experience"))
-    bad = files.csv_rejects(parsed.filter("kind = 'csv'")).groupBy("error").agg(F.count("*").alias("n"))
+    good = files.records(rows).select(F.col("file_seq").alias("p_partkey"), "row_seq", "full_name", _joined("emails").alias("emails"), _joined("skills").alias("skills"), "years_experience", _joined(F.transform("experience", lambda v: F.concat_ws("/", v["title"], v["company"]))).alias("experience"))
+    bad = files.csv_rejects(files.readers(rows)["csv"]).groupBy("error").agg(F.count("*").alias("n"))
     return good.unionByName(bad.select(F.col("n").alias("p_partkey"), F.lit(-1).cast("long").alias("row_seq"), F.col("error").alias("full_name")), allowMissingColumns=True)
 
 
@@ -149,7 +148,7 @@ def q_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes of recruiters: a labelled name of at most four words, patterns, keywords; blank notes give nothing."""
     note = _arms(F.col("n_nationkey"), "Candidate: Ann Lee\n+91 98765 43210 ann@x.io likes python", " \n\t", "Name: one two three four five\nsql", "plain text")
     rows = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("file_seq"), F.lit("r").alias(RUN), F.lit("f").alias("source_file"), F.lit("recruiter_notes").alias("source_type"), F.encode(note, "UTF-8").alias("content"))
-    out = files.extract(files.parse_files(rows))
+    out = files.records(rows)
     return out.select(F.col("file_seq").alias("n_nationkey"), "full_name", _joined("emails").alias("emails"), _joined("phones").alias("phones"), _joined("skills").alias("skills"), "raw_text")
 
 

@@ -196,17 +196,28 @@ def _by_lines(files: DataFrame, paths: str | list[str]) -> DataFrame:
     return _as_parsed(rows, "csv").unionByName(_in_python(whole.join(F.broadcast(listed) if few else listed, "path"), ["recruiter_csv"], _csv))
 
 
-def parse_files(files: DataFrame, pdf: Callable[[bytes], str] | None = None, paths: str | list[str] | None = None) -> DataFrame:
-    """PARSED rows of all files of known type. `pdf` turns a PDF's bytes into text, by default pdf_text; `paths` are those that read_files() was given."""
+def readers(files: DataFrame, pdf: Callable[[bytes], str] | None = None, paths: str | list[str] | None = None) -> dict[str, DataFrame]:
+    """PARSED rows by the reader that makes them. `pdf` turns a PDF's bytes into text, by default pdf_text; `paths` are those that read_files() was given."""
 
     def document(source_type: str, content: bytes) -> Iterator[dict]:
         body = ((pdf or pdf_text) if source_type == "resume_pdf" else docx_text)(content)
         body.encode()  # half a character is an error of this file
         yield {"kind": "document", "text": body} if body.strip() else {"kind": "error", "error": "no extractable text"}
 
-    json_files = files.filter(F.col("source_type").isin("ats_json", "linkedin_json")).select(*KEYS, "content")
-    out = _as_parsed(json_rows(json_files, *KEYS), "json").unionByName(_text_rows(files)).unionByName(_in_python(files, ["resume_pdf", "resume_docx"], document)).unionByName(_in_python(files, ["recruiter_csv"], _csv))
-    return out.unionByName(_by_lines(files, paths)) if paths is not None else out
+    by_content = _in_python(files, ["recruiter_csv"], _csv)
+    return {
+        "csv": by_content if paths is None else by_content.unionByName(_by_lines(files, paths)), "note": _text_rows(files), "document": _in_python(files, ["resume_pdf", "resume_docx"], document),
+        "json": _as_parsed(json_rows(files.filter(F.col("source_type").isin("ats_json", "linkedin_json")).select(*KEYS, "content"), *KEYS), "json"),
+    }
+
+
+def parse_files(files: DataFrame, pdf: Callable[[bytes], str] | None = None, paths: str | list[str] | None = None) -> DataFrame:
+    """PARSED rows of all files of known type, as readers() makes them."""
+    found = list(readers(files, pdf, paths).values())
+    out = found[0]
+    for rows in found[1:]:
+        out = out.unionByName(rows)
+    return out
 
 
 def document_record(rows: DataFrame, keep: int = 5000) -> DataFrame:
@@ -261,12 +272,23 @@ def pdf_text(content: bytes) -> str:
     return "\n".join(x for x in pages if x)
 
 
+def _records(by_reader: dict[str, DataFrame]) -> DataFrame:
+    def of(kind: str) -> DataFrame:
+        return by_reader[kind].filter(F.col("kind") == kind)
+
+    csv = csv_projection(of("csv").select(*KEYS, "row_seq", "cells"))
+    texts = document_record(of("document").select(*KEYS, "text")).unionByName(notes_records(of("note").select(*KEYS, "text")))
+    return csv.unionByName(texts).unionByName(as_records(of("json").drop("reader", "cells", "text", "error"), "run_id"))
+
+
 def extract(parsed: DataFrame) -> DataFrame:
     """Records of all PARSED rows."""
-    def of(kind: str) -> DataFrame:
-        return parsed.filter((F.col("reader") == kind) & (F.col("kind") == kind))
+    return _records({r: parsed.filter(F.col("reader") == r) for r in ("csv", "note", "document", "json")})
+
 
-    return csv_projection(of("csv").select(*KEYS, "row_seq", "cells")).unionByName(as_records(of("json").drop("reader", "cells", "text", "error"), "run_id")).unionByName(document_record(of("document").select(*KEYS, "text"))).unionByName(notes_records(of("note").select(*KEYS, "text")))
+def records(files: DataFrame, pdf: Callable[[bytes], str] | None = None, paths: str | list[str] | None = None) -> DataFrame:
+    """Records of the files, where nobody asks for what was rejected: no reader's plan goes through those of the others."""
+    return _records(readers(files, pdf, paths))
 
 
 def is_reject() -> Column:
