@@ -8,7 +8,10 @@ link density, up to the enclosing article or main. What it comes to and those of
 enough or read like paragraphs (within an article or main: any of low link density) are kept, and their blocks
 are joined in page order. Elements that never hold article text (menus, footers, asides, forms,
 scripts, styles, and containers whose class, id or role names such a thing) are skipped with all they
-hold; a container that another of its names calls content is kept if it holds a paragraph. A page
+hold; a container that another of its names calls content is kept if it holds a paragraph, one for which only a part
+of a compound name speaks (share-price) if it holds more prose than links. Names are split at hyphens, underscores and camel case.
+Within what is kept, a list goes if each of its items is mostly a link. Controls (button, select, input) don't end
+the block they stand in; a label or a phrase named as such things are stays in running text unless it holds a link. A page
 without any block is read again without asking for names, then with the paragraphs of its forms.
 
 Defined cases: null or empty html gives the empty string; unclosed and stray tags are repaired as
@@ -60,9 +63,15 @@ PHRASE = {"button", "select", "option", "input", "label", "svg", "canvas", "obje
 CELLS = {"td", "th", "tr", "tbody", "thead", "tfoot"}
 #: Words in class, id or role that mark menus, notices, adverts, forms and reader comments.
 UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|banner|breadcrumbs?|byline-?share|combx|comments?|commentlist|community|complementary|contentinfo|consent|cookies?|disqus|disclaimer|footer|gdpr|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|overlay|pager|pagination|popup|promo\w*|recommended|related|replies|respond|search|share|sharing|shoutbox|sidebar|signup|skyscraper|social|sponsor\w*|subscribe|subscription|tags|teaser|toolbar|topbar|tracking|widget)(?=$|[\s_-])",
-    re.I,
+    r"ads?|advert\w*|adbox|banner|breadcrumbs?|bylineshare|combx|comments?|commentlist|community|complementary|contentinfo|consent|cookies?|disqus|disclaimer|footer|gdpr|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|overlay|pager|pagination|popup|promo\w*|recommended|related|replies|respond|search|share|sharing|shoutbox|sidebar|signup|skyscraper|social|sponsor\w*|subscribe|subscription|tags|teaser|toolbar|topbar|tracking|widget"
 )
+#: Of these, the words that decide at the end of any name (articleComments, weather-banner).
+DECISIVE = re.compile(r"ads?|advert\w*|adbox|banner|breadcrumbs?|comments?|commentlist|disqus|footer|navbar|newsletter|popup|sidebar")
+#: Words that say where or in what shape a thing stands, so that the rest of the name tells what it is.
+NEUTRAL = set(
+    "area article articles bar blog body bottom box block button buttons center col column container content count entry first form global group head header holder icon icons inline inner item items last left link links list main media message module outer page panel placeholder post posts primary reader right row secondary section site slot small stories story text thread title tools top unit user web wrap wrapper".split()
+)
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 #: Names that say how a wrapper is laid out, not what it is.
 LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without)[_-]\S+", re.I)
 LIKELY = re.compile(r"article|content|entry|main|post|story|text|body", re.I)
@@ -109,12 +118,21 @@ def _start_points(name: str, words: str) -> float:
     return base + (5.0 if LIKELY.search(words) else 0.0)
 
 
-def _unlikely(words: str) -> tuple[bool, bool]:
-    """Whether the names mark something to skip, and whether one name of its own says that it is content."""
-    words = LAYOUT.sub("", words)
-    if not UNLIKELY.search(words):
-        return False, False
-    return True, any(LIKELY.search(w) and not UNLIKELY.search(w) for w in words.split())
+def _verdict(name: str) -> int:
+    """2 for one name that marks something to skip, 1 for one in which such a word stands beside others (share-price), else 0."""
+    parts = [x for x in re.split(r"[_-]+", _CAMEL.sub("-", name).lower()) if x and not x.isdigit()]
+    marked = [bool(UNLIKELY.fullmatch(x)) for x in parts]
+    if not any(marked):
+        return 0
+    telling = [x for x in parts if x not in NEUTRAL]
+    return 2 if all(m or x in NEUTRAL for m, x in zip(marked, parts, strict=True)) or DECISIVE.fullmatch(telling[-1]) else 1
+
+
+def _unlikely(words: str) -> tuple[int, bool]:
+    """The strongest verdict on the names, and whether one name of its own says that the element is content."""
+    names = [(w, _verdict(w)) for w in LAYOUT.sub("", words).split()]
+    most = max((v for _, v in names), default=0)
+    return most, most > 0 and any(not v and LIKELY.search(w) for w, v in names)
 
 
 class _Open:
@@ -155,13 +173,24 @@ class _Open:
         return any(self.places.get(n) for n in names)
 
 
+#: Why a container is in doubt: its names, names that disagree, a part of a compound name.
+NAMED, SPARED, COMPOUND = range(3)
+
+
+def _prose(text: str, in_links: int) -> int:
+    """The characters that count as prose: all but the links', in a text of a line or more that isn't mostly links."""
+    return len(text) - in_links if len(text) >= 25 and in_links * 4 < len(text) else 0
+
+
 def _read(page: str, level: int = 0) -> tuple[list[_Node], list[tuple[_Node, str, int, str]]]:
     """The tree's nodes, parents first, and the page's blocks: (container or block element, text, characters in links, element).
 
     A skipped element stays among the open ones, and its subtree is followed by the same rules, so that
     whatever closes it ends the skip. A container that is to go for its names is in doubt: it is read, and its blocks go
     when its own end tag comes; where that is missing, its paragraphs stay. One whose names disagree stays
-    if it holds a paragraph. At level 1 no element goes for its names, at level 2 forms are in doubt too.
+    if it holds a paragraph, and one for which only a part of a compound name speaks if it holds more prose than links.
+    A phrase that is to go for its names, or a label, doesn't end the block around it: its text stays if it is the
+    smaller part of the block and holds no link or control. At level 1 no element goes for its names, at level 2 forms are in doubt too.
     Every step costs the same at any depth, so the time is linear in the page.
     """
     root = _Node("root", None)
@@ -169,41 +198,60 @@ def _read(page: str, level: int = 0) -> tuple[list[_Node], list[tuple[_Node, str
     blocks: list[tuple[_Node, str, int, str] | None] = []
     prose: list[int] = []  # numbers of blocks that are paragraphs
     other: list[int] = []  # and of the rest
-    doubts: list[tuple[int, int, bool]] = []  # place among the open elements, first block, spared
+    doubts: list[tuple[int, int, int, int, int]] = []  # place among the open elements, first block, kind, prose and links before
     parts: list[str] = []
+    held: list[int] = []  # numbers of parts that come from doubtful phrases
     linked: list[int] = []
     link, skipped = 0, 0  # skipped: the skipped element's place among the open ones
     inline = False  # whether it stands in running text and goes for its names
+    phrase = -1  # number of the first part of the phrase that is skipped now but held
+    running = in_anchors = 0  # characters of prose and of links in the blocks so far
     unended: set[str] = set()
 
     def flush() -> None:
+        nonlocal running, in_anchors
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
+        if held and 2 * sum(len(parts[i].strip()) for i in held) > len(text):
+            for i in held:
+                parts[i] = ""
+            text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
             in_links, kind = min(len(text), sum(linked)), up.names[-1]
             (prose if kind == "p" and len(text) >= 25 and in_links * 4 < len(text) else other).append(len(blocks))
             blocks.append((up.nodes[-1], text, in_links, kind))
+            running += _prose(text, in_links)
+            in_anchors += in_links
         parts.clear()
         linked.clear()
+        held.clear()
 
     def drop(numbers: list[int], begin: int) -> None:
+        nonlocal running, in_anchors
         while numbers and numbers[-1] >= begin:
+            _, text, in_links, _ = blocks[numbers[-1]]
+            running -= _prose(text, in_links)
+            in_anchors -= in_links
             blocks[numbers.pop()] = None
 
     def close(upto: int, name: str | None = None) -> None:
         """Close the elements from `upto` on; name is that of the end tag that does it."""
-        nonlocal skipped
-        flush()
+        nonlocal skipped, phrase
+        if not skipped or upto < skipped:
+            flush()
         while doubts and doubts[-1][0] >= upto:
-            place, begin, spared = doubts.pop()
+            place, begin, kind, before, links = doubts.pop()
             ended = place == upto and name == up.names[place]
-            if spared and prose and prose[-1] >= begin:
+            if kind == SPARED and prose and prose[-1] >= begin or kind == COMPOUND and running - before > in_anchors - links:
                 continue
             drop(other, begin)
-            if ended or spared:
+            if ended or kind != NAMED:
                 drop(prose, begin)
         up.cut(upto)
         if upto <= skipped:
-            skipped = 0
+            skipped, phrase = 0, -1
+
+    def doubt(place: int, kind: int) -> None:
+        doubts.append((place, len(blocks), kind, running, in_anchors))
 
     size, last = len(page), page.rfind(">")
     at = quoted_to_the_end = 0
@@ -212,8 +260,10 @@ def _read(page: str, level: int = 0) -> tuple[list[_Node], list[tuple[_Node, str
         begin = size if begin < 0 else begin
         if begin > last:  # no tag can end, so what is left is text
             begin = size
-        if begin > at and not skipped:
+        if begin > at and (not skipped or phrase >= 0):
             run = page[at:begin]
+            if skipped:
+                held.append(len(parts))
             parts.append(run)
             if link:
                 linked.append(len(run.strip()))
@@ -255,17 +305,21 @@ def _read(page: str, level: int = 0) -> tuple[list[_Node], list[tuple[_Node, str
         if name in RAW and name not in unended:
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*+(?:>|\Z)", re.I).search(page, at)
             if end or name in ("script", "style"):
-                flush()
                 at = end.end() if end else size
                 continue
             unended.add(name)  # its text is read as markup, and skipped until the next block
         if skipped and up.names[skipped] in unended and name in BLOCK and name not in RAW:
             close(skipped)
         if name in BLOCK or skipped and name == "a":
+            if phrase >= 0:  # a link or a control in it: the phrase is one
+                for i in range(phrase, len(parts)):
+                    parts[i] = ""
+                phrase = -1
             if skipped and inline and name in CONTAINER | {"p"} and up.names[skipped] != "a":  # running text holds no blocks: it may never be closed
-                doubts.append((skipped, len(blocks), False))
+                flush()
+                doubt(skipped, NAMED)
                 skipped = 0
-            if not skipped:
+            if not skipped and name not in PHRASE:
                 flush()
             gone, scope = CLOSES.get(name, (set(), "page") if name in PHRASE or name in ("html", "body") else ({"p"}, "flow"))
             i = (up.outermost if name in ("tbody", "tfoot") else up.find)(gone, scope) if gone else 0
@@ -282,11 +336,13 @@ def _read(page: str, level: int = 0) -> tuple[list[_Node], list[tuple[_Node, str
                     up.push(name, up.nodes[-1])
                 continue
         words, hidden = _names(attributes) if attributes else ("", False)
-        named, spared = _unlikely(words) if words and not level and name not in ("html", "body", "article", "main") else (False, False)
-        doubtful = named and name in CONTAINER and name not in OMITTED or level > 1 and name == "form"
-        if hidden or name in SKIP and not doubtful or name == "header" and not up.has("article", "main") or named and not doubtful:
+        verdict, spared = _unlikely(words) if words and not level and name not in ("html", "body", "article", "main") else (0, False)
+        doubtful = verdict and name in CONTAINER and name not in OMITTED or level > 1 and name == "form"
+        named = verdict == 2 and not doubtful
+        if hidden or name in SKIP and not doubtful or name == "header" and not up.has("article", "main") or named:
             if not void:
                 skipped, inline = len(up.names), named and not hidden and name not in BLOCK
+                phrase = len(parts) if (inline and name != "a" or name == "label") and not hidden else -1
                 up.push(name, up.nodes[-1])
             continue
         if name == "br":
@@ -299,7 +355,7 @@ def _read(page: str, level: int = 0) -> tuple[list[_Node], list[tuple[_Node, str
                 node = _Node(name, node, _start_points(name, words))
                 tree.append(node)
             if doubtful:
-                doubts.append((len(up.names), len(blocks), spared or name == "form"))
+                doubt(len(up.names), SPARED if spared or name == "form" else NAMED if verdict == 2 else COMPOUND)
             up.push(name, node)
     close(1)
     return tree, [b for b in blocks if b is not None]
@@ -387,10 +443,12 @@ def main_text(page: str | None) -> str:
             memo[x] = found
         return found
 
+    # A list goes if each of its items is mostly a link.
+    items = {id(node) for node, text, in_links, _ in blocks if in_links * 2 <= len(text)}
     out = []
     for node, text, in_links, kind in blocks:
         own = keeps(node) or node is loose and (kind in ("p", "h1", "h2", "h3") and in_links * 4 < len(text))
-        if own and not (kind == "li" and in_links * 2 > len(text)):
+        if own and not (kind == "li" and id(node) not in items):
             out.append(text)
     return "\n".join(out)
 
