@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,22 +138,46 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def _tables(breaks: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tables(breaks: str) -> tuple[np.ndarray, np.ndarray]:
     is_space = np.zeros(256, bool)
     is_space[[ord(c) for c in breaks]] = True
     lower = np.arange(256, dtype=np.uint8)
     lower[65:91] += 32
-    return is_space, lower, mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_STEP))[lower]
+    return is_space, lower
+
+
+#: Bytes up to which byte_hashes() goes in steps of eight, all pieces at once.
+SHORT = 64
+
+
+def byte_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the pieces of body: eight bytes after eight go through mix(); longer pieces by xxh3.
+
+    No polynomial of the bytes: modulo a power of two there are texts whose polynomials agree in every base.
+    """
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * np.uint64(_STEP))
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate((body, np.zeros(8, np.uint8))), 8)
+    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    alive = np.flatnonzero(size <= SHORT)
+    for done in range(0, SHORT, 8):
+        alive = alive[size[alive] > done]
+        if not len(alive):
+            break
+        chunk = np.ascontiguousarray(eight[starts[alive] + done]).view("<u8").ravel()
+        out[alive] = mix(out[alive] ^ (chunk & masks[np.minimum(size[alive] - done, 8)]))
+    for i in np.flatnonzero(size > SHORT):
+        out[i] = xxhash.xxh3_64_intdigest(body[starts[i] : ends[i]].tobytes())
+    return out
 
 
 def words(column: pa.Array, breaks: str = SPACES, head: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The words of each row, split at `breaks` (ASCII): 64-bit hashes (A-Z lower-cased), row numbers, byte starts and ends.
 
-    A hash is a polynomial of the word's bytes (its first `head` bytes, if given), read off prefix
-    sums of the whole batch.
+    A hash is that of the word's bytes (its first `head` bytes, if given).
     """
     body, at = text_bytes(column)
-    is_space, _, value = _tables(breaks)
+    is_space, lower = _tables(breaks)
     n = len(body)
     if not n:
         empty = np.zeros(0, np.int64)
@@ -168,10 +193,7 @@ def words(column: pa.Array, breaks: str = SPACES, head: int | None = None) -> tu
     cut = at[1:][at[1:] > 0] - 1
     last[cut] = inside[cut]
     ends = np.flatnonzero(last) + 1
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(value[body] * _powers(_STEP, n), out=sums[1:])
-    upto = ends if head is None else np.minimum(ends, starts + head)
-    hashes = mix((sums[upto] - sums[starts]) * _powers(_BACK, n)[starts])
+    hashes = byte_hashes(lower[body], starts, ends if head is None else np.minimum(ends, starts + head))
     rows = np.searchsorted(at, starts, "right") - 1
     return hashes, rows, starts - at[rows], ends - at[rows]
 

@@ -11,7 +11,8 @@ buckets. First each member's full set is compared with that of the smallest of i
 are members; a group of copies of one text is done with that. Where a bucket then still holds sets that no confirmed
 links join, what hangs together by such buckets is a family: no other link leads out of it. A family's full sets are compared in blocks of bounded size, pair of blocks
 by pair of blocks, as products of incidence matrices, and a task returns only a spanning forest of the
-links that it confirmed, so pairs never become rows and no group is held whole.
+links that it confirmed, so pairs never become rows and no group is held whole. A full set is the set of its shingles'
+64-bit hashes; two shingles of a pair of sets agree by chance once in 2**64 / (size * size).
 
 Banding finds a pair at the threshold t with probability 1 - (1 - t**r)**b; with r=6, b=32 and
 t=0.85 it misses 3 in 10 million such pairs, and fewer of closer ones.
@@ -211,8 +212,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = written(signs.filter("n > 0 AND id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("id").alias("class")), "near-sets-of-rows")
     heads = signs.join(classes.select(F.col("class").alias("id"), "k1", "k2"), ["id", "k1", "k2"], "left_semi")
     slots = heads.select("id", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64(F.col("band") % bands, "hash").alias("bucket"), "id")
+    slots = written(slots, "near-slots")
     first = slots.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("last")).filter("a < last").drop("last")
-    shared = written(slots.join(first, "bucket"), "near-buckets")
+    shared = written(looked_up(slots, written(first, "near-firsts"), ["bucket"]).filter("a IS NOT NULL"), "near-buckets")
     ties = written(shared.filter("a < id").select("a", F.col("id").alias("b")).distinct(), "near-ties")
     members = docs.join(shared.select("id").distinct(), F.col(id_col) == F.col("id"), "left_semi")
     sets = written(_sets(members, id_col, text_col, width).withColumn("n", (F.octet_length("set") / 8).cast("long")), "near-family-sets")
@@ -221,7 +223,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Buckets that confirmed links don't join: their members, tied to the first, are compared pair by pair.
     labelled = shared.join(joined, "id", "left").select("bucket", "a", "id", F.coalesce("label", "id").alias("label"))
     open_ = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
-    left = written(shared.join(open_, "bucket", "left_semi").filter("a < id").select("a", F.col("id").alias("b")).distinct(), "near-ties")
+    of_open = looked_up(shared, written(open_.withColumn("open", F.lit(True)), "near-open"), ["bucket"]).filter("open")
+    left = written(of_open.filter("a < id").select("a", F.col("id").alias("b")).distinct(), "near-ties")
     families = components(left).select(F.col("node").alias("id"), F.col("label").alias("family"))
     rest = sets.join(families, "id").select("family", "id", "n", "set")
     links = written(sure.unionByName(_links(written(rest, "near-family-sets"), percent, block)), "near-links")
