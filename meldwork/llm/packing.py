@@ -7,7 +7,9 @@ one with the largest dot product of its demand and the bin's free room (both as
 limits) goes in next, until none fits.
 
 A document is read as an instruction example: the first `prompt` of its ids, a quarter, is its prompt and bears no
-loss. A sequence holds at most 7/8 of its length in loss-bearing ids and at most 12 segments. A document longer than
+loss. A sequence holds at most 7/8 of its length in loss-bearing ids and at most 12 segments; short documents couldn't
+fill it so, and a group's limit on segments is doubled until its sequences number at most a twentieth more than their
+ids and loss need, or no more than without the limit. A document longer than
 a sequence is cut: its prompt into quarters of a sequence, the rest into three quarters, which must share theirs with prompts.
 
 Defined cases: null text is empty: the closing id alone; equal ids are separate documents; an empty table gives
@@ -59,8 +61,27 @@ def fill_bins(demand: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.nd
     return bins, places
 
 
-def pack(examples: DataFrame, amounts: dict[str, int], key: list[str], group_rows: int = 1000) -> DataFrame:
-    """examples with _bin, and _ahead, how much of the first amount stands before it in the bin; amounts maps each limited column to its limit."""
+def fill_elastic(demand: np.ndarray, limits: np.ndarray, elastic: int, slack: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+    """fill_bins with the smallest of the limit in place `elastic`, its double, its fourfold, ... that costs little.
+
+    Little is at most `slack` more bins than the other amounts need, or than the same heuristic fills without that limit.
+    """
+    firm = np.arange(len(limits)) != elastic
+    enough = (1 + slack) * np.ceil((demand[:, firm].sum(axis=0) / limits[firm]).max(initial=1) - 1e-9)
+    found = fill_bins(demand, limits)
+    if len(demand) and found[0].max() + 1 > enough:
+        enough = max(enough, fill_bins(demand[:, firm], limits[firm])[0].max() + 1)
+    while len(demand) and found[0].max() + 1 > enough and limits[elastic] < demand[:, elastic].sum():
+        limits = np.where(firm, limits, limits * 2)
+        found = fill_bins(demand, limits)
+    return found
+
+
+def pack(examples: DataFrame, amounts: dict[str, int], key: list[str], group_rows: int = 1000, elastic: str | None = None) -> DataFrame:
+    """examples with _bin, and _ahead, how much of the first amount stands before it in the bin.
+
+    amounts maps each limited column to its limit; the limit of the column `elastic` may grow, see fill_elastic().
+    """
     rows = examples.count()
     groups = max(1, -(-rows // group_rows))
     dealt = examples.withColumn("_group", F.pmod(F.xxhash64(*key), F.lit(groups)))
@@ -69,7 +90,7 @@ def pack(examples: DataFrame, amounts: dict[str, int], key: list[str], group_row
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(key, kind="stable").reset_index(drop=True)
         demand = frame[list(amounts)].to_numpy(float)
-        bins, places = fill_bins(demand, limits)
+        bins, places = fill_elastic(demand, limits, list(amounts).index(elastic)) if elastic else fill_bins(demand, limits)
         order = np.lexsort((places, bins))
         total = np.cumsum(demand[order, 0]) - demand[order, 0]
         first = np.flatnonzero(np.diff(bins[order], prepend=-1))
@@ -229,7 +250,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, segments
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens."""
     cut = written(pieces(docs, tokenizer, length=length, prompt=prompt).withColumn("_row", F.monotonically_increasing_id()), "pack-pieces")
     amounts = {"length": length, "_segments": segments, "loss_tokens": int(length * loss)}
-    packed = pack(cut.withColumns({"_segments": F.lit(1), "loss_tokens": loss_bearing(prompt)}), amounts, ["doc_id", "start", "_row"], group_rows)
+    packed = pack(cut.withColumns({"_segments": F.lit(1), "loss_tokens": loss_bearing(prompt)}), amounts, ["doc_id", "start", "_row"], group_rows, "_segments")
     packed = packed.withColumnsRenamed({"_ahead": "offset", "_bin": "sequence_id"})
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens")
 

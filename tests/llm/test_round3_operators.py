@@ -11,9 +11,10 @@ from fractions import Fraction
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from meldwork.llm import fingerprints, periods, secret_scan, whitening
+from meldwork.llm import common, fingerprints, html_main, near_dedup, packing, periods, secret_scan, whitening
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -297,3 +298,91 @@ def test_op10_fingerprints_are_smaller_than_their_texts(spark):
     long = [r for r in got if len(text[r["doc_id"]].split()) > 200]
     assert sum(len(r["fingerprint"]) for r in long) < sum(len(text[r["doc_id"]]) for r in long) / 3
     assert sum(r["near_edited"] > r["near_next"] for r in long) > 0.95 * len(long)
+
+
+# Texts that html pages, packing and hashes of words must keep apart
+
+PROSE = "Real text, which is long, has commas, and says something of note here."
+
+
+@pytest.mark.parametrize(("part", "want"), [
+    ('<p>The <span class="social">social</span> contract is a text of note.</p>', ["The social contract is a text of note."]),
+    ("<p>Press <button>Go</button> or <label>this mark</label> to go on with it, please.</p>", ["Press or this mark to go on with it, please."]),
+    (f"<p>{PROSE} <script>x()</script>More.</p>", [f"{PROSE} More."]),
+    (f'<section class="share-price"><p>{PROSE}</p></section>', [PROSE]),
+    (f'<div class="cookie-recipe"><h2>Dough</h2><p>{PROSE}</p>x</div>', ["Dough", PROSE, "x"]),
+    (f'<div id="tags-explained"><p>{PROSE}</p></div>', [PROSE]),
+    ('<div class="share-tools"><p><a href=1>Tell all of your friends about it</a></p></div>', []),
+    (f'<div class="articleComments"><p>{PROSE}</p></div>', []),
+    (f'<div class="comment-list"><p>{PROSE}</p></div>', []),
+    (f'<div class="siteCookieBanner"><p>{PROSE}</p></div>', []),
+    (f"<p>{PROSE} <a class=share href=1>Share</a></p>", [PROSE]),
+    (f"<p>{PROSE} <span class=share><b>Tell</b> <a href=1>all</a></span> More.</p>", [f"{PROSE} More."]),
+    ("<ul><li><a href=1>Linked item</a></li><li>Plain item</li></ul>", ["Linked item", "Plain item"]),
+    ("<ul><li><a href=1>Home</a></li><li><a href=2>Products</a></li></ul>", []),
+])
+def test_prose_stays_whatever_its_class(part, want):
+    page = f"<body><article><h1>Title</h1><p>{PROSE} 1</p>{part}<p>{PROSE} 2</p></article></body>"
+    assert html_main.main_text(page).split("\n") == ["Title", f"{PROSE} 1", *want, f"{PROSE} 2"]
+
+
+def test_blocks_of_labelled_pages():
+    """Precision and recall of blocks over pages made of parts whose label is known."""
+    rnd = random.Random(4)
+    kept = ["<p>{}</p>", "<div class=share-price><p>{}</p></div>", '<p class="lead">{}</p>', "<blockquote><p>{}</p></blockquote>", "<section id=community-garden><p>{}</p></section>", "<ul><li>{}</li></ul>"]
+    gone = ["<div class=ad>{}</div>", "<aside><p>{}</p></aside>", '<div class="reader-comments"><p>{}</p></div>', "<form><p>{}</p></form>", "<div class=cookieNotice><p>{}</p></div>", '<ul class="nav-list"><li><a href=1>{}</a></li></ul>']
+    hits = found = wanted = 0
+    for i in range(200):
+        parts = [(f"Block {i} {j}, {' '.join(rnd.choice(['which', 'says,', 'a', 'word']) for _ in range(rnd.randint(8, 40)))}.", rnd.random() < 0.7) for j in range(rnd.randint(3, 12))]
+        parts[0] = (parts[0][0], True)
+        body = "".join(rnd.choice(kept if good else gone).format(text) for text, good in parts)
+        got, want = set(html_main.main_text(f"<body><nav><a href=1>Home</a></nav><main><article>{body}</article></main></body>").split("\n")), {t for t, good in parts if good}
+        hits, found, wanted = hits + len(got & want), found + len(got), wanted + len(want)
+    assert hits == found == wanted
+
+
+def test_words_of_equal_polynomials_have_different_hashes(spark):
+    thue = "a"
+    for _ in range(11):
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    for n in (1, 7, 8, 9, 16, 63, 64, 65, 2048):
+        h, r, _, _ = common.words(pa.array([f"{thue[:n]} {other[:n]}", f"x {thue[:n].upper()}y {thue[:n].upper()}"]))
+        assert h[0] != h[1] and h[0] == h[4] and len(set(h.tolist())) == 4 and r.tolist() == [0, 0, 1, 1, 1]
+    frame = spark.createDataFrame([(1, f"{thue} q r"), (2, f"{other} q r"), (3, f"{thue.upper()}\tq r")], "doc_id long, text string")
+    assert sorted((r["id"], r["component"]) for r in near_dedup.near_classes(frame, width=3, percent=85).collect()) == [(1, 1), (2, 2), (3, 1)]
+
+
+def plain_fill(demand, limits):
+    """The heuristic as it is defined, by loops."""
+    share = [[d / m for d, m in zip(row, limits, strict=True)] for row in demand]
+    left, bins, places, number = sorted(range(len(share)), key=lambda i: (-sum(share[i]), i)), {}, {}, 0
+    while left:
+        free, place = [1.0] * len(limits), 0
+        while fits := [i for i in left if all(s <= f + 1e-9 for s, f in zip(share[i], free, strict=True))]:
+            best = max(fits, key=lambda i: (sum(s * f for s, f in zip(share[i], free, strict=True)), -left.index(i))) if place else fits[0]
+            left.remove(best)
+            bins[best], places[best] = number, place
+            free, place = [f - s for s, f in zip(share[best], free, strict=True)], place + 1
+        number += 1
+    return [bins[i] for i in range(len(share))], [places[i] for i in range(len(share))]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_bins_equal_the_plain_heuristic(seed):
+    demand = np.random.default_rng(seed).integers(1, 64, (120, 3)).astype(float)
+    limits = np.array([128.0, 64.0, 256.0])  # powers of two, so that both sums are exact
+    assert tuple(x.tolist() for x in packing.fill_bins(demand, limits)) == plain_fill(demand.tolist(), limits.tolist())
+
+
+@pytest.mark.parametrize("size", [1, 5, 20, 60, 120, 700, 1100])
+def test_short_documents_fill_their_sequences(size):
+    demand = np.array([[size, 1, size - size // 4]] * 1000, float)
+    limits = np.array([2048.0, 12, 1792])
+    bins, places = packing.fill_elastic(demand, limits, 1)
+    each = int(min(2048 // size, 1792 // (size - size // 4)))
+    assert bins.max() + 1 <= max(1.05 * np.ceil(1000 * size / 2048), -(-1000 // each))
+    assert all((demand[bins == b].sum(axis=0) <= limits)[[0, 2]].all() for b in np.unique(bins))
+    if size >= 700:  # where the limit costs nothing it stands
+        assert places.max() < 12
+    assert packing.fill_elastic(demand[:0], limits, 1)[0].size == 0
