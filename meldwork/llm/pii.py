@@ -8,9 +8,10 @@ counts the documents in which t stands that near to e. The same
 is asked for e's class (mail domain, number prefix, label of a secret) and its kind, whose counts are those of all entities in
 them, so a term can give away what a rare entity is. A term that gives away at least `disclosure` of the
 content of one of the three is sanitised wherever it stands near that one, if chance doesn't explain it: its
-different texts save `texts * PMI` bits, which must exceed log2 of the candidate terms by -log2(`chance`).
-There is no floor on texts: one is enough where the entity is rare in a large corpus, and few are not in a
-corpus of some dozen documents. A secret gives itself away: it is sanitised where it is rare, that is where its own
+different texts save `texts * PMI` bits, which must exceed by -log2(`chance`) the log2 of the terms that could have
+stood there by chance: all different terms of the corpus, as a term of one text stands near something by necessity. So
+in a corpus of usual vocabulary an entity and a term must meet in two different texts or more; a value of one text is given away
+through its class and kind only. Texts that differ little are different texts here. A secret gives itself away: it is sanitised where it is rare, that is where its own
 content, by different texts, is at least half of what a value of one text has.
 
 Defined cases: null text is empty; equal texts count as one text for the evidence; a long text is
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meldwork.llm.common import SPACES, map_rows, mix, words, written
+from meldwork.llm.components import looked_up
 
 #: The kinds, in the order in which spans with one start are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -256,13 +258,17 @@ def revealing(docs: DataFrame, text_col: str = "text", disclosure: float = 0.9,
     total = docs.count()
     holders = pairs.filter(F.col("term") == _HOLDERS).select("entity", F.col("together").alias("holders"), F.col("texts").alias("held"))
     candidates = pairs.filter(F.col("term") == _CANDIDATES).select("entity", F.col("together").alias("candidates"))
+    counted = written(_counted(docs, text_col), "pii-terms")
+    vocabulary = max(1, counted.count())
     share = F.col("together") / F.col("n")
-    # No entity has less than one holder, so a term below this share gives away too little of any.
-    known = pairs.filter(~F.col("term").isin(_HOLDERS, _CANDIDATES)).join(_counted(docs, text_col), "term").filter(share >= max(total, 1) ** (disclosure - 1) * 0.999)
-    known = known.join(holders, "entity").join(candidates, "entity")
+    # No entity has less than one holder, so a term below this share gives away too little of any, and one in fewer texts is too little evidence.
+    known = pairs.filter(~F.col("term").isin(_HOLDERS, _CANDIDATES)).filter(F.col("texts") * math.log2(max(total, 2)) * 1.001 >= math.log2(vocabulary / chance))
+    known = written(known.join(counted, "term").filter(share >= max(total, 1) ** (disclosure - 1) * 0.999), "pii-known")
+    # A kind's rows are a large part of all, so the hubs are looked up.
+    known = looked_up(known, written(holders.join(candidates, "entity"), "pii-holders"), ["entity"])
     content = -F.log2(F.col("holders") / total)
     information = F.log2(F.least(F.lit(1.0), share)) + content
-    evidence = F.col("texts") * information - F.log2("candidates")
+    evidence = F.col("texts") * information - F.log2(F.greatest(F.col("candidates"), F.lit(vocabulary)))
     found = known.filter((content > 0) & (information >= disclosure * content) & (evidence >= -math.log2(chance))).select("entity", "term")
     rare = holders.filter((F.col("entity").bitwiseAND(7) == SECRET) & (F.col("held") * F.col("held") <= total))
     return found.unionByName(rare.select("entity", F.lit(_HOLDERS).cast("long").alias("term")))

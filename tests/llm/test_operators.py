@@ -325,20 +325,46 @@ def test_revealing_terms_beyond_the_broadcast(spark, monkeypatch):
 
 
 def rare_entities():
-    made = [(i, f"Reach user{i} under q{'abcdefghij'[i]}k@rare.io please, helpdeskline. {'filler text here ' * 12} Surname{i}ovich signs") for i in range(6)]
+    made = [(at + i, f"{opening} user{i} under q{'abcdefghij'[i]}k@rare.io please, helpdeskline. {'filler text here ' * 12} Surname{i}ovich signs") for at, opening in ((0, "Reach"), (50, "Please reach")) for i in range(6)]
     return made + [(100 + i, f"please signs text here number{i % 50} filler Reach under") for i in range(400)]
 
 
 def test_terms_of_rare_entities(spark):
-    # Each address is in one text only; the surname stands 36 words away from it.
+    # Each address is in two texts only; the surname stands 36 words away from it.
     got = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(rare_entities(), "doc_id long, text string")).collect()}
-    for i, text in rare_entities()[:6]:
-        assert got[i]["n_email"] == 1
-        found = {text[int(a) : int(b)] for k, a, b in (s.split(":") for s in got[i]["spans"].split(",")) if k == "term"}
+    for at, text in rare_entities()[:12]:
+        i = at % 50
+        assert got[at]["n_email"] == 1
+        found = {text[int(a) : int(b)] for k, a, b in (s.split(":") for s in got[at]["spans"].split(",")) if k == "term"}
         assert found == {"helpdeskline", f"user{i}", f"Surname{i}ovich"}
     assert got[100]["spans"] == ""
 
 
+def test_terms_near_random_entities_are_no_evidence(spark):
+    """Addresses at random places flag terms in at most 5 % of the documents; names that go with an address are found."""
+    rnd = random.Random(12)
+    common_words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
+    made, planted = [], {}
+    for d in range(4000):
+        w = [common_words[min(399, int(rnd.expovariate(0.01)))] for _ in range(rnd.randint(20, 120))]
+        w += [f"once{d}x{j}" for j in range(rnd.randint(0, 4))]
+        rnd.shuffle(w)
+        if d % 3 == 0:
+            w.insert(rnd.randrange(len(w)), f"mail{d}@host{rnd.randrange(300)}.org")
+        if d % 100 == 1:
+            who = d // 100 % 10
+            w.insert(rnd.randrange(len(w)), f"person{who}@corp{who}.net of Family{who}son")
+            planted[d] = f"Family{who}son"
+        made.append((d, " ".join(w)))
+    texts, wrong, found = dict(made), 0, 0
+    for r in pii.find(spark.createDataFrame(made, "doc_id long, text string")).collect():
+        terms = {texts[r["doc_id"]][int(a) : int(b)] for k, a, b in (s.split(":") for s in r["spans"].split(",") if s) if k == "term"}
+        found += planted.get(r["doc_id"]) in terms
+        wrong += bool(terms - {planted.get(r["doc_id"])})
+    assert found == len(planted) == 40
+    assert wrong <= 0.05 * len(made)
+
+
 def brute_revealing(made, window, disclosure=0.9, chance=0.05):
     """Spans by the formulas, with strings in place of numbers and loops in place of tables."""
     import math
@@ -374,11 +400,11 @@ def brute_revealing(made, window, disclosure=0.9, chance=0.05):
             holders[g], held[g], candidates[g] = holders.get(g, 0) + c, held.get(g, 0) + 1, candidates.get(g, 0) + len(own)
             for y in own:
                 together[g, y], texts[g, y] = together.get((g, y), 0) + c, texts.get((g, y), 0) + 1
-    flagged = set()
+    flagged, vocabulary = set(), sum(len(w.encode()) >= 3 for w in n)
     for (g, y), c in together.items():
         content = -math.log2(holders[g] / total)
         gain = math.log2(min(1, c / n[y])) + content
-        if content > 0 and gain >= disclosure * content and texts[g, y] * gain - math.log2(candidates[g]) >= -math.log2(chance):
+        if content > 0 and gain >= disclosure * content and texts[g, y] * gain - math.log2(max(candidates[g], vocabulary)) >= -math.log2(chance):
             flagged.add((g, y))
     out = {}
     for d, t in made:
