@@ -27,6 +27,20 @@ def looked_up(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     return of_hubs.unionByName(others.join(table, keys, "left").select(*rows.columns, *extra))
 
 
+def _relabelled(pairs: DataFrame, table: DataFrame, old: str, new: str) -> DataFrame:
+    """The distinct pairs (x, y), written, with both ends looked up in table (old, new), without those whose ends are one then.
+
+    An end that the table lacks stays. Pairs of few rows go through both joins in one job.
+    """
+    few = pairs.count() <= LEAST
+    for end in ("x", "y"):
+        own = table.select(F.col(old).alias(end), F.col(new).alias("_new"))
+        found = pairs.join(own, end, "left") if few else looked_up(pairs, own, [end])
+        pairs = found.withColumn(end, F.coalesce("_new", end)).select("x", "y")
+        pairs = pairs if few or end == "y" else written(pairs, "links")
+    return written(pairs.filter("x <> y").distinct(), "links")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for the nodes of links (a, b): label is the smallest node reachable. links should be a written table.
 
@@ -37,17 +51,30 @@ def components(links: DataFrame) -> DataFrame:
     """
     ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = written(ends.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    pairs = looked_up(links.select("a", "b"), labels.select(F.col("node").alias("a"), F.col("label").alias("x")), ["a"])
-    pairs = written(looked_up(written(pairs, "links"), labels.select(F.col("node").alias("b"), F.col("label").alias("y")), ["b"]).filter("x <> y").select("x", "y").distinct(), "links")
+    pairs = _relabelled(links.select(F.col("a").alias("x"), F.col("b").alias("y")), labels, "node", "label")
     while True:
         own = labels.select(F.col("label").alias("old")).distinct()
         up = own.join(labels.select(F.col("node").alias("old"), F.col("label").alias("new")), "old").filter("new < old")
         met = pairs.select(F.greatest("x", "y").alias("old"), F.least("x", "y").alias("new"))
         moves = written(up.unionByName(met).groupBy("old").agg(F.min("new").alias("new")), "moves")
-        if not moves.limit(1).count():
+        if moves.isEmpty():
             return labels
         moved = looked_up(labels, moves.select(F.col("old").alias("label"), "new"), ["label"])
         labels = written(moved.select("node", F.coalesce("new", "label").alias("label")), "labels")
-        for end in ("x", "y"):
-            pairs = looked_up(pairs, moves.select(F.col("old").alias(end), "new"), [end]).withColumn(end, F.coalesce("new", end)).drop("new")
-            pairs = written(pairs.filter("x <> y").distinct() if end == "y" else pairs, "links")
+        if not pairs.isEmpty():
+            pairs = _relabelled(pairs, moves, "old", "new")
+
+
+def joined_by(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) of components(), for the links that gave labels and these further ones together.
+
+    Only labels that a further link joins move, so the work grows with those links, not with all.
+    """
+    nodes = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    alone = nodes.join(labels.select("node"), "node", "left_anti").withColumn("label", F.col("node"))
+    met = _relabelled(links.select(F.col("a").alias("x"), F.col("b").alias("y")), labels, "node", "label")
+    if met.isEmpty():
+        return labels.unionByName(alone)
+    top = components(met.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    every = written(labels.unionByName(alone), "labels")
+    return looked_up(every, top, ["label"]).select("node", F.coalesce("top", "label").alias("label"))

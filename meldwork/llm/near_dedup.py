@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meldwork.llm.common import map_rows, mix, shingles, words, written
-from meldwork.llm.components import components, looked_up
+from meldwork.llm.components import components, joined_by, looked_up
 
 
 def _ring(bits: int, k: int) -> np.ndarray:
@@ -219,16 +219,16 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = docs.join(shared.select("id").distinct(), F.col(id_col) == F.col("id"), "left_semi")
     sets = written(_sets(members, id_col, text_col, width).withColumn("n", (F.octet_length("set") / 8).cast("long")), "near-family-sets")
     sure = written(_to_first(ties, sets, percent, block), "near-links")
-    joined = components(sure).select(F.col("node").alias("id"), "label")
+    joined = components(sure)
     # Buckets that confirmed links don't join: their members, tied to the first, are compared pair by pair.
-    labelled = shared.join(joined, "id", "left").select("bucket", "a", "id", F.coalesce("label", "id").alias("label"))
+    labelled = shared.join(joined.withColumnRenamed("node", "id"), "id", "left").select("bucket", "a", "id", F.coalesce("label", "id").alias("label"))
     open_ = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
     of_open = looked_up(shared, written(open_.withColumn("open", F.lit(True)), "near-open"), ["bucket"]).filter("open")
     left = written(of_open.filter("a < id").select("a", F.col("id").alias("b")).distinct(), "near-ties")
     families = components(left).select(F.col("node").alias("id"), F.col("label").alias("family"))
     rest = sets.join(families, "id").select("family", "id", "n", "set")
-    links = written(sure.unionByName(_links(written(rest, "near-family-sets"), percent, block)), "near-links")
-    labels = components(links).select(F.col("node").alias("class"), F.col("label").alias("component"))
+    further = written(_links(written(rest, "near-family-sets"), percent, block), "near-links")
+    labels = written(joined_by(joined, further).select(F.col("node").alias("class"), F.col("label").alias("component")), "labels")
     own = signs.filter("n > 0").select("id", "k1", "k2", "n")
     named = looked_up(written(own, "near-rows"), classes, ["k1", "k2", "n"]).select("id", "n", F.coalesce("class", "id").alias("class"))
     out = looked_up(written(named, "near-rows"), labels, ["class"]).select("id", "n", "class", F.coalesce("component", "class").alias("component"))

@@ -731,6 +731,27 @@ def test_signature_estimates_jaccard():
         assert abs((near_dedup.wide_signature(x, 256) == near_dedup.wide_signature(y, 256)).mean() - true) < 0.12
 
 
+def smallest(links):
+    """The smallest node reachable of every node of the links."""
+    up = {n: n for link in links for n in link}
+    for _ in up:
+        for a, b in links:
+            up[a] = up[b] = min(up[a], up[b])
+    return up
+
+
+@pytest.mark.parametrize("least", [100_000, 3])
+def test_joined_by_further_links(spark, monkeypatch, least):
+    monkeypatch.setattr(components, "LEAST", least)
+    rng = np.random.default_rng(9)
+    for n in (0, 1, 40):
+        sure = [tuple(sorted(map(int, rng.choice(60, 2, replace=False)))) for _ in range(30)] + [(100, i) for i in range(101, 130)]
+        further = [tuple(sorted(map(int, rng.choice(140, 2, replace=False)))) for _ in range(n)]
+        table = [common.written(spark.createDataFrame(x, "a long, b long"), "links") for x in (sure, further)]
+        got = components.joined_by(components.components(table[0]), table[1]).collect()
+        assert sorted((r["node"], r["label"]) for r in got) == sorted(smallest(sure + further).items())
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 90), (95, 90), (100, 120)], "a long, b long")
     labels = {r["node"]: r["label"] for r in components.components(links).collect()}
