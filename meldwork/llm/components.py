@@ -27,6 +27,34 @@ def looked_up(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     return of_hubs.unionByName(others.join(table, keys, "left").select(*rows.columns, *extra))
 
 
+#: Bits of a bitmap that marked() sends to the tasks: a key's share, and at most in all (half a million rows of two numbers).
+BITS, MOST_BITS = 32, 1 << 25
+
+
+def marked(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with a column _may: false where the table surely lacks the row's key. No row is moved for it.
+
+    What is sent to the tasks is a bitmap of the keys' hashes of bounded size, not the keys, so a few rows (most, for tables far beyond
+    MOST_BITS keys) have _may without a key there, and a join must decide among them. table should be written: it is read twice.
+    """
+    bits = min(1 << max(6, (BITS * table.count() - 1).bit_length()), MOST_BITS)
+    bit = F.pmod(F.xxhash64(*keys), F.lit(bits))
+    words = table.select(bit.alias("_bit")).groupBy(F.expr("_bit div 64").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_bit % 64 as int)))").alias("_bits"))
+    found = rows.withColumn("_bit", bit).join(F.broadcast(words), F.expr("_bit div 64 = _word"), "left")
+    return found.select(*rows.columns, F.expr("coalesce(shiftright(_bits, cast(_bit % 64 as int)) & 1, 0) = 1").alias("_may"))
+
+
+def among(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose key the written table has; others are left where they are, so that a few wide rows are found among many without moving all."""
+    return marked(rows, table, keys).filter("_may").drop("_may").join(table.select(*keys), keys, "left_semi").select(*rows.columns)
+
+
+def without(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose key the written table lacks; only those are moved that may have to go."""
+    told = marked(rows, table, keys)
+    return told.filter("NOT _may").drop("_may").unionByName(told.filter("_may").drop("_may").join(table.select(*keys), keys, "left_anti").select(*rows.columns))
+
+
 def _relabelled(pairs: DataFrame, table: DataFrame, old: str, new: str) -> DataFrame:
     """The distinct pairs (x, y), written, with both ends looked up in table (old, new), without those whose ends are one then.
 

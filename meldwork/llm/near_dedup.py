@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meldwork.llm.common import map_rows, mix, shingles, words, written
-from meldwork.llm.components import components, joined_by, looked_up
+from meldwork.llm.components import among, components, joined_by, looked_up, marked
 
 
 def _ring(bits: int, k: int) -> np.ndarray:
@@ -214,9 +214,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     slots = heads.select("id", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64(F.col("band") % bands, "hash").alias("bucket"), "id")
     slots = written(slots, "near-slots")
     first = slots.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("last")).filter("a < last").drop("last")
-    shared = written(looked_up(slots, written(first, "near-firsts"), ["bucket"]).filter("a IS NOT NULL"), "near-buckets")
+    first = written(first, "near-firsts")
+    # Most buckets have one member, and their slots need not be moved again.
+    maybe = written(marked(slots, first, ["bucket"]).filter("_may").drop("_may"), "near-slots")
+    shared = written(looked_up(maybe, first, ["bucket"]).filter("a IS NOT NULL"), "near-buckets")
     ties = written(shared.filter("a < id").select("a", F.col("id").alias("b")).distinct(), "near-ties")
-    members = docs.join(shared.select("id").distinct(), F.col(id_col) == F.col("id"), "left_semi")
+    members = among(docs, written(shared.select(F.col("id").alias(id_col)).distinct(), "near-members"), [id_col])
     sets = written(_sets(members, id_col, text_col, width).withColumn("n", (F.octet_length("set") / 8).cast("long")), "near-family-sets")
     sure = written(_to_first(ties, sets, percent, block), "near-links")
     joined = components(sure)
