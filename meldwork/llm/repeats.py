@@ -50,7 +50,6 @@ KEY_BYTES = 5
 HOT = 1 << 14
 #: The bucket number that marks rows of such windows, and windows in a row.
 _WINDOWS, _WINDOW_ROWS = -1, 1 << 16
-_KEY = np.uint64((1 << 8 * KEY_BYTES) - 1)
 SIDE_BYTES = 3
 #: A side that is too short to decide, and sides of a fragment that holds its minimizer more than once.
 _SHORT, _WILD = 0, (1 << 8 * SIDE_BYTES) - 1
@@ -82,6 +81,46 @@ def _open(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return body, np.frombuffer(row["ids"], np.int64), np.concatenate(([0], np.cumsum(np.frombuffer(row["sizes"], np.int64))))
 
 
+#: The first powers of _STEP and its inverse, which every slice needs.
+_TABLES: dict[int, np.ndarray] = {}
+
+
+def _table(base: int, n: int) -> np.ndarray:
+    """The first n powers of base."""
+    if n > 2 * SLICE:  # one long document
+        return _powers(base, n)
+    if len(_TABLES.get(base, ())) < n:
+        _TABLES[base] = _powers(base, n)
+    return _TABLES[base][:n]
+
+
+#: Strings whose minimizers are found at once; their arrays stay in a core's cache.
+_BLOCK = 1 << 14
+
+
+def _narrowest(x: np.ndarray, width: int) -> np.ndarray:
+    """The minimum of every `width` neighbours."""
+    span, n = 1, len(x) - width + 1
+    while span * 2 <= width:
+        x = np.minimum(x[:-span], x[span:])
+        span *= 2
+    return np.minimum(x[:n], x[width - span : width - span + n])
+
+
+def _minimizers(sums: np.ndarray, back: np.ndarray, n: int, width: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of the n strings: the smallest k-gram hash with its place modulo a power of two in the lowest bits, whether it stands there once, and how many bits those are."""
+    bits = max(1, (width - 1).bit_length())
+    low, once, ring = np.empty(n, np.uint64), np.empty(n, bool), np.uint64((1 << bits) - 1)
+    for x in range(0, n, _BLOCK):
+        y = min(n, x + _BLOCK) + width - 1
+        grams = mix((sums[x + GRAM : y + GRAM] - sums[x:y]) * back[x:y]) & ~ring
+        place = np.arange(x, y, dtype=np.uint64) & ring
+        least = _narrowest(grams | place, width)
+        low[x : y - width + 1] = least
+        once[x : y - width + 1] = (least ^ _narrowest(grams | place ^ ring, width)) & ring == ring
+    return low, once, bits
+
+
 def _fragments(body: np.ndarray, ids: np.ndarray, at: np.ndarray, length: int) -> dict[str, np.ndarray]:
     """start, stop (in the slice), doc, gram (minimizer), mark (hash of the bytes), left and right (hashes of the sides) of every fragment."""
     n = len(body) - length + 1
@@ -89,53 +128,52 @@ def _fragments(body: np.ndarray, ids: np.ndarray, at: np.ndarray, length: int) -
         return {k: np.zeros(0, np.uint64 if k in ("gram", "mark", "left", "right") else np.int64) for k in ("start", "stop", "doc", "gram", "mark", "left", "right")}
     value = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_STEP))
     sums = np.zeros(len(body) + 1, np.uint64)
-    np.cumsum(value[body] * _powers(_STEP, len(body)), out=sums[1:])
-    back = _powers(_BACK, len(body) + 1)
-    low = grams = mix((sums[GRAM:] - sums[:-GRAM]) * back[: len(body) - GRAM + 1])
-    span, width = 1, length - GRAM + 1
-    while span * 2 <= width:
-        low = np.minimum(low[:-span], low[span:])
-        span *= 2
-    low = np.minimum(low[:n], low[width - span : width - span + n])
-    row = np.repeat(np.arange(len(ids)), np.diff(at))[:n]
-    valid = np.arange(n) + length <= at[1:][row]
-    first = valid.copy()
-    first[1:] &= ~valid[:-1] | (low[1:] != low[:-1]) | (row[1:] != row[:-1])
-    start = np.flatnonzero(first)
-    last = valid.copy()
-    last[:-1] &= ~valid[1:] | (low[1:] != low[:-1]) | (row[1:] != row[:-1])
-    stop = np.flatnonzero(last) + length
+    np.cumsum(value[body] * _table(_STEP, len(body)), out=sums[1:])
+    back = _table(_BACK, len(body) + 1)
+    low, once, bits = _minimizers(sums, back, n, length - GRAM + 1)
+    # A fragment ends where the minimizer's hash changes and where a document has no further string.
+    head, end = at[:-1], at[1:] - length + 1
+    cuts = np.unique(np.concatenate((np.flatnonzero((low[1:] ^ low[:-1]) >> np.uint64(bits)) + 1, head[end > head], end[end > head])))
+    row = np.searchsorted(at, cuts[:-1], "right") - 1
+    valid = cuts[:-1] + length <= at[row + 1]
+    start, stop = cuts[:-1][valid], cuts[1:][valid] - 1 + length
     mark = mix((sums[stop] - sums[start]) * back[start] + (stop - start).astype(np.uint64))
-    gram = low[start]
-    left, right = _sides(start, stop, gram, grams, sums, back, length)
-    return {"start": start, "stop": stop, "doc": ids[row[start]], "gram": gram, "mark": mark, "left": left, "right": right}
+    left, right = _sides(start, stop, low, once, bits, sums, back, length)
+    return {"start": start, "stop": stop, "doc": ids[row[valid]], "gram": low[start] >> np.uint64(bits), "mark": mark, "left": left, "right": right}
 
 
-def _sides(start: np.ndarray, stop: np.ndarray, gram: np.ndarray, grams: np.ndarray, sums: np.ndarray, back: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def _sides(start: np.ndarray, stop: np.ndarray, low: np.ndarray, once: np.ndarray, bits: int, sums: np.ndarray, back: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the bytes to the left and right of each fragment's minimizer, half of what a string holds beside it.
 
     A string of two fragments with one minimizer has at least that half on one side, so they agree on a side.
     """
-    width, half = length - GRAM + 1, (length - GRAM + 1) // 2
-    left, right = np.full(len(start), _WILD, np.uint64), np.full(len(start), _WILD, np.uint64)
-    for i in range(0, len(start), 1 << 15):
-        part = slice(i, i + (1 << 15))
-        places = []
-        for begin in (start[part], stop[part] - length):
-            hit = grams[begin[:, None] + np.arange(width)] == gram[part][:, None]
-            places.append(np.where(hit.sum(axis=1) == 1, begin + hit.argmax(axis=1), -1))
-        p = np.where((places[0] == places[1]) & (stop[part] - start[part] <= 2 * length - GRAM), places[0], -1)
-        for out, begin in ((left, p - half), (right, p + GRAM)):
-            whole = (begin >= start[part]) & (begin + half <= stop[part])
-            b = np.where(whole, begin, 0)
-            h = mix((sums[b + half] - sums[b]) * back[b]) % np.uint64(_WILD - 1) + np.uint64(1)
-            out[part] = np.where(p < 0, np.uint64(_WILD), np.where(whole, h, np.uint64(_SHORT)))
-    return left, right
+    half, ring = (length - GRAM + 1) // 2, (1 << bits) - 1
+    first, last = (s + ((low[s] & np.uint64(ring)).astype(np.int64) - s & ring) for s in (start, stop - length))
+    p = np.where(once[start] & once[stop - length] & (first == last), first, -1)
+    out = []
+    for begin in (p - half, p + GRAM):
+        whole = (begin >= start) & (begin + half <= stop)
+        b = np.where(whole, begin, 0)
+        h = mix((sums[b + half] - sums[b]) * back[b]) % np.uint64(_WILD - 1) + np.uint64(1)
+        out.append(np.where(p < 0, np.uint64(_WILD), np.where(whole, h, np.uint64(_SHORT))))
+    return out[0], out[1]
+
+
+def _ordered(first: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """The order by `first` and then by `more`, the most significant one first, of which only rows with equal firsts are sorted."""
+    order = np.argsort(first)
+    same = first[order[1:]] == first[order[:-1]]
+    tied = np.zeros(len(order), bool)
+    tied[1:] |= same
+    tied[:-1] |= same
+    rows = np.sort(order[tied])
+    order[tied] = rows[np.lexsort([k[rows] for k in (*more[::-1], first)])]
+    return order
 
 
 def _known(f: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct fragments of a slice: for each the place of one with the first document; each fragment's number among them and first document."""
-    order = np.lexsort((f["doc"], f["mark"], f["gram"]))
+    order = _ordered(f["mark"], f["gram"], f["doc"])
     head = np.ones(len(order), bool)
     head[1:] = (f["gram"][order][1:] != f["gram"][order][:-1]) | (f["mark"][order][1:] != f["mark"][order][:-1])
     number = np.empty(len(order), np.int64)
@@ -168,15 +206,10 @@ def _read_keys(raw: np.ndarray, n: int) -> tuple[dict[str, np.ndarray], np.ndarr
     return out, raw[at:]
 
 
-def _pair(key: dict[str, np.ndarray]) -> np.ndarray:
-    """64 bits of a key."""
-    return mix((key["gram"] & _KEY) ^ mix((key["mark"] & _KEY) ^ mix(key["left"] | key["right"] << np.uint64(8 * SIDE_BYTES))))
-
-
-def _again(keys: list[np.ndarray]) -> np.ndarray:
-    """Which rows of the key columns occur more than once."""
-    order = np.lexsort(keys)
-    same = np.logical_and.reduce([k[order][1:] == k[order][:-1] for k in keys])
+def _again(key: np.ndarray) -> np.ndarray:
+    """Which rows of the key occur more than once."""
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
     out = np.zeros(len(order), bool)
     out[order[1:]] |= same
     out[order[:-1]] |= same
@@ -184,7 +217,8 @@ def _again(keys: list[np.ndarray]) -> np.ndarray:
 
 
 def _spread(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(bucket, kind="stable")
+    few = len(bucket) and 0 <= bucket.min() and bucket.max() < 1 << 16  # sorted by radix
+    order = np.argsort(bucket.astype(np.uint16) if few else bucket, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
         if len(part):
             yield int(bucket[part[0]]), part
@@ -212,21 +246,20 @@ def _announce(slices: DataFrame, buckets: int, length: int) -> DataFrame:
 
 
 def _answer(told: DataFrame, hot: int) -> DataFrame:
-    """(slice, blob): for fragments of the slice, their short gram and mark, and 1 (all held earlier), 2 (bytes wanted) or 3 (windows wanted)."""
+    """(slice, n, blob): for each fragment of the slice's message to bucket n, in its order, 0, 1 (all held earlier), 2 (bytes wanted) or 3 (windows wanted)."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, docs, froms = [], [], []
-        for slice_, n, k, blob in zip(table["slice"].to_pylist(), table["n"].to_pylist(), table["docs"].to_pylist(), table["blob"], strict=True):
+        keys, docs, ends = [], [], np.cumsum(table["n"].to_numpy())
+        for n, k, blob in zip(table["n"].to_pylist(), table["docs"].to_pylist(), table["blob"], strict=True):
             key, rest = _read_keys(np.frombuffer(blob.as_buffer(), np.uint8), n)
             rest, wide = rest.tobytes(), 2 if k < 65536 else 4
             which = np.frombuffer(rest[: wide * n], np.uint16 if wide == 2 else np.uint32)
             keys.append(key)
             docs.append(np.frombuffer(rest[wide * n :], np.int64)[which])
-            froms.append(np.full(n, slice_))
         key = {k: np.concatenate([x[k] for x in keys]) for k in _FIELDS}
-        doc, source = np.concatenate(docs), np.concatenate(froms)
-        order = np.lexsort((doc, key["right"], key["left"], key["mark"], key["gram"]))
-        key, doc, source = {k: v[order] for k, v in key.items()}, doc[order], source[order]
+        doc, spare = np.concatenate(docs), np.uint64(64 - 8 * KEY_BYTES)  # bits of a number beside a minimizer
+        order = _ordered(key["gram"] << spare | key["mark"] & np.uint64((1 << int(spare)) - 1), key["mark"], key["left"], key["right"], doc)
+        key, doc = {k: v[order] for k, v in key.items()}, doc[order]
         gram = key["gram"]
         new_gram = np.ones(len(gram), bool)
         new_gram[1:] = gram[1:] != gram[:-1]
@@ -238,7 +271,7 @@ def _answer(told: DataFrame, hot: int) -> DataFrame:
         first = np.repeat(doc[at_mark], sizes)
         # Of the different fragments of a minimizer, those that agree with another one on a side; with all, where one holds it twice.
         g, left, right = (key[k][at_mark] for k in ("gram", "left", "right"))
-        agree = _again([left, g]) & (left != _SHORT) | _again([right, g]) & (right != _SHORT)
+        agree = _again(g << spare | left) & (left != _SHORT) | _again(g << spare | right) & (right != _SHORT)
         begin = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, np.int64)
         members = np.diff(np.append(begin, len(g)))
         if len(g):
@@ -248,11 +281,10 @@ def _answer(told: DataFrame, hot: int) -> DataFrame:
             agree, asked = np.repeat(agree, sizes), np.repeat(asked, sizes)
         else:
             asked = agree
-        reply = np.where(doc > first, 1, np.where(agree, np.where(asked > hot, 3, 2), 0)).astype(np.uint8)
-        keep = np.flatnonzero(reply)
-        out = [(s, len(p), _packed(_keys(key, keep[p]), reply[keep[p]])) for s, p in _spread(source[keep])]
-        columns = list(zip(*out, strict=True)) if out else [(), (), ()]
-        return pa.table({"slice": pa.array(columns[0], pa.int64()), "n": pa.array(columns[1], pa.int64()), "blob": pa.array(columns[2], pa.binary())})
+        reply = np.empty(len(order), np.uint8)
+        reply[order] = np.where(doc > first, 1, np.where(agree, np.where(asked > hot, 3, 2), 0))
+        out = pa.table({"slice": table["slice"], "n": table["bucket"], "blob": pa.array([x.tobytes() for x in np.split(reply, ends[:-1])], pa.binary())})
+        return out.filter(np.logical_or.reduceat(reply > 0, ends - table["n"].to_numpy()))
 
     return told.groupBy("bucket").applyInArrow(run, "slice long, n long, blob binary")
 
@@ -276,8 +308,8 @@ def _window_hashes(body: np.ndarray, at: np.ndarray, length: int, salt: int) ->
     return mix((sums[at + length] - sums[at]) * _powers(_BACK, len(body))[at])
 
 
-def _resolve(slices: DataFrame, buckets: int, length: int) -> DataFrame:
-    """_SPANS rows: with bucket null, spans of the slice to remove; else fragments whose bytes are wanted there."""
+def _resolve(slices: DataFrame, announced: int, buckets: int, length: int) -> DataFrame:
+    """_SPANS rows: with bucket null, spans of the slice to remove; else fragments whose bytes are wanted there. The answers are those of `announced` buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,12 +319,10 @@ def _resolve(slices: DataFrame, buckets: int, length: int) -> DataFrame:
                 f = _fragments(body, ids, at, length)
                 place, number, first = _known(f)
                 reply = np.zeros(len(place), np.uint8)
-                pair = _pair({k: f[k][place] for k in _FIELDS})
-                order = np.argsort(pair, kind="stable")
-                sorted_ = pair[order]
-                for x in row["answers"] or []:
-                    asked, said = _read_keys(np.frombuffer(x["blob"], np.uint8), x["n"])
-                    reply[order[np.searchsorted(sorted_, _pair(asked))]] = said
+                said = {x["n"]: x["blob"] for x in row["answers"] or []}
+                for b, part in _spread(f["gram"][place] % np.uint64(announced)):  # as they were announced
+                    if b in said:
+                        reply[part] = np.frombuffer(said[b], np.uint8)
                 gone = (f["doc"] > first) | (reply[number] == 1)
                 start, stop = _merged(f["start"][gone], f["stop"][gone])
                 out = [(row["slice"], None, len(start), _packed(start.astype(np.int64), stop.astype(np.int64)))] if len(start) else []
@@ -349,7 +379,7 @@ class RunIndex:
         n = self.n = len(symbols)
         shorter = contexts(symbols, length - 2)
         number = _numbered(shorter, np.concatenate((symbols[length - 2 :], np.zeros(min(n, length - 2), symbols.dtype)))[:n])
-        order = np.argsort(number, kind="stable")
+        order = np.sort(number.astype(np.int64) << 32 | np.arange(n)) & 0xFFFFFFFF  # ties in text order
         before = np.where(order > 0, symbols[order - 1], 0).astype(np.int64)
         edge = np.ones(n, bool)
         edge[1:] = before[1:] != before[:-1]
@@ -360,7 +390,7 @@ class RunIndex:
         self.shorter = np.flatnonzero(new)
         start = np.flatnonzero(edge)
         symbol, size = before[start], np.diff(np.append(start, n))
-        by = np.lexsort((start, symbol))
+        by = np.argsort(symbol.astype(np.uint16), kind="stable")  # the starts rise
         self.key, self.start, self.size = symbol[by] * (n + 1) + start[by], start[by], size[by]
         total = np.cumsum(size[by]) - size[by]
         count = np.bincount(symbol, weights=size, minlength=258).astype(np.int64)
@@ -368,7 +398,7 @@ class RunIndex:
         self.ahead = total - self.less[symbol[by]]
         self.symbol = symbol[by]
         head = np.flatnonzero(ends)
-        by = np.lexsort((head, before[head]))
+        by = np.argsort(before[head].astype(np.uint16), kind="stable")
         self.ends, self.sample = before[head][by] * (n + 1) + head[by], docs[order[head]][by]
 
     def step(self, symbol: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -513,8 +543,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     _slices(docs, id_col, text_col).repartition(parts, "slice").write.bucketBy(parts, "slice").sortBy("slice").option("path", scratch(spark, name, name)).saveAsTable(name)
     slices = spark.table(name)
     total = slices.agg(F.sum("n_bytes")).first()[0] or 0
-    answers = _answer(_announce(slices, max(parts, total >> 24), length), HOT)
-    found = written(_resolve(_with_answers(slices, answers), max(parts, total >> 21), length), "repeat-fragments")
+    announced = max(parts, total >> 24)
+    answers = _answer(_announce(slices, announced, length), HOT)
+    found = written(_resolve(_with_answers(slices, answers), announced, max(parts, total >> 21), length), "repeat-fragments")
     spans = found.filter("bucket IS NULL").unionByName(_index(found.filter(f"bucket <> {_WINDOWS}"), length))
     spans = spans.unionByName(_hot(found.filter(f"bucket = {_WINDOWS}"), length))
     out = _removed(_with_answers(slices, spans))

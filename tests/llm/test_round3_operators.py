@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from meldwork.llm import common, fingerprints, html_main, near_dedup, packing, periods, secret_scan, whitening
+from meldwork.llm import common, fingerprints, html_main, near_dedup, packing, periods, repeats, secret_scan, whitening
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -386,3 +386,36 @@ def test_short_documents_fill_their_sequences(size):
     if size >= 700:  # where the limit costs nothing it stands
         assert places.max() < 12
     assert packing.fill_elastic(demand[:0], limits, 1)[0].size == 0
+
+
+def test_minimizers_equal_brute_force():
+    """Blocks, windows of every width, and hashes that stand twice in a string."""
+    rnd = np.random.default_rng(5)
+    for n_bytes, letters, length in ((400, 2, 16), (900, 3, 17), (700, 1, 50), (3000, 2, 50), (40_000, 200, 50), (2000, 2, 130)):
+        body = rnd.integers(97, 97 + letters, n_bytes).astype(np.uint8)
+        value = common.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(common._STEP))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value[body] * common._powers(common._STEP, n_bytes))))
+        back = common._powers(common._BACK, n_bytes + 1)
+        n, width = n_bytes - length + 1, length - repeats.GRAM + 1
+        low, once, bits = repeats._minimizers(sums, back, n, width)
+        grams = common.mix((sums[repeats.GRAM :] - sums[: -repeats.GRAM]) * back[: n_bytes - repeats.GRAM + 1]) >> np.uint64(bits)
+        windows = np.lib.stride_tricks.sliding_window_view(grams, width)
+        assert (low >> np.uint64(bits) == windows.min(axis=1)).all()
+        hit = windows == windows.min(axis=1)[:, None]
+        assert (once == (hit.sum(axis=1) == 1)).all()
+        ring = (1 << bits) - 1
+        assert (((low & np.uint64(ring)).astype(np.int64) == (np.arange(n) + hit.argmax(axis=1)) & ring)[once]).all()
+
+
+def test_op3_answers_are_a_byte_a_fragment(spark):
+    """A bucket answers by the order of the message, so the keys don't go back (17 bytes a fragment before)."""
+    text = " ".join(f"{common.mix(np.arange(i, i + 1, dtype=np.uint64))[0]:x}" for i in range(3000))
+    frame = spark.createDataFrame([(i, text) for i in range(4)], "doc_id long, text string").repartition(4, "doc_id")
+    told = repeats._announce(repeats._slices(frame, "doc_id", "text"), 7, 50).cache()
+    try:
+        answers = repeats._answer(told, repeats.HOT).collect()
+        by = {(r["bucket"], r["slice"]): r["n"] for r in told.collect()}
+    finally:
+        told.unpersist()
+    assert answers and all(len(r["blob"]) == by[r["n"], r["slice"]] for r in answers)
+    assert {x for r in answers for x in bytes(r["blob"])} == {1}
